@@ -20,6 +20,49 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.concat(*(F.substring(digits, k, 2) for k in range(15, 0, -2))).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup,)}
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.warc import deduplicated_records
+
+    return deduplicated_records(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.htmlmain import extract
+
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op6_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.lm import score
+
+    return score(table(spark, sf_dir, "documents"), "crc32(cast(cast(doc_id as string) as binary)) % 10 = 0")
+
+
+def op8_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.reshard import reshard
+
+    placed = reshard(table(spark, sf_dir, "documents"), carry=False)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.embdedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.chat import formatted_digests
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], turns.schema)
+    return formatted_digests(turns.unionAll(added))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_simhash_near_dedup, op4_warc_revisits, op5_html_main_text, op6_backoff_lm, op8_flow_reshard, op9_embedding_near_dedup, op10_chat_format)
+}
 
 SQL: dict[str, str] = {}
