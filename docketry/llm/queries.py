@@ -38,6 +38,12 @@ def op6_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), "crc32(cast(cast(doc_id as string) as binary)) % 10 = 0")
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm.reshard import reshard
 
@@ -62,7 +68,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op4_warc_revisits, op5_html_main_text, op6_backoff_lm, op8_flow_reshard, op9_embedding_near_dedup, op10_chat_format)
+    for f in (op1_simhash_near_dedup, op4_warc_revisits, op5_html_main_text, op6_backoff_lm, op7_benchmark_decontamination, op8_flow_reshard, op9_embedding_near_dedup, op10_chat_format)
 }
 
 SQL: dict[str, str] = {}
