@@ -20,6 +20,18 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.concat(*(F.substring(digits, k, 2) for k in range(15, 0, -2))).alias("fingerprint"), "component_id")
 
 
+def op2_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm.warc import deduplicated_records
 
@@ -68,7 +80,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op4_warc_revisits, op5_html_main_text, op6_backoff_lm, op7_benchmark_decontamination, op8_flow_reshard, op9_embedding_near_dedup, op10_chat_format)
+    for f in (op1_simhash_near_dedup, op2_quality_cotraining, op3_soft_mixing, op4_warc_revisits, op5_html_main_text, op6_backoff_lm, op7_benchmark_decontamination, op8_flow_reshard, op9_embedding_near_dedup, op10_chat_format)
 }
 
 SQL: dict[str, str] = {}
