@@ -78,7 +78,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     """(text, link density, in an article, in a silent element, heading) of each block that has text."""
     made: list[_Block] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # name, silent by kind, silent by attributes, article
-    links, heading, fresh, at = 0, False, True, 0
+    links, heading, hushed, fresh, at = 0, False, False, True, 0
 
     def text(piece: str) -> None:
         nonlocal fresh
@@ -88,7 +88,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             deepest = max((i for i, s in enumerate(stack) if s[3]), default=-1)
             soft = any(s[2] for s in stack[deepest + 1 :]) or any(s[2] and s[3] for s in stack)
             lead = heading and inside and not soft and {s[0] for s in stack if s[1]} == {"header"}
-            made.append(_Block(inside, (hard and not lead) or soft, heading))
+            made.append(_Block(inside, (hard and not lead) or soft or hushed, heading))
             fresh = False
         piece = htmllib.unescape(piece)
         made[-1].parts.append(piece)
@@ -106,6 +106,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
         if name in BLOCK:
             fresh, links = True, links if name in ("li", "ul", "ol") else 0
             heading = bool(_HEADING.match(name)) and not closing
+            hushed = not closing and name not in FRAME and bool(m[4]) and _silent(name, m[4])
         elif name in ("br", "td", "th", "img", "wbr") and name != "wbr" and not fresh:
             made[-1].parts.append(" ")
         elif name == "a":

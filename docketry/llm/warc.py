@@ -49,7 +49,7 @@ def record_id(archive: str, offset: int) -> str:
 def record(kind: str, own_id: str, page_id: int | None, url: str | None, digest: str, length: int, payload: bytes, original: tuple[str, int, str | None] | None = None) -> bytes:
     """One record as a gzip member. ``original``: record id, page id and url that a revisit refers to."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
-    clean = lambda u: _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", u)
+    clean = lambda u: _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", u or "")
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own_id}", f"WARC-Date: {DATE}"]
     head += [f"WARC-Target-URI: {clean(url)}"] * (url is not None) + [f"Page-ID: {page_id}"] * (page_id is not None)
     head += [f"WARC-Payload-Digest: sha1:{digest}"]
