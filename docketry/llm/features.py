@@ -41,24 +41,47 @@ def bag(column: pa.Array | pa.ChunkedArray) -> tuple[list[bytes], list[bytes], n
     return keys, counts, stats
 
 
+def joined_bytes(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column as one array of ``kind``, and the row offsets in it; no copy of the data."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = np.dtype(kind).itemsize
+    offsets = np.frombuffer(whole.buffers()[1], dtype=np.int32)[whole.offset : whole.offset + len(whole) + 1].astype(np.int64)
+    data = np.frombuffer(whole.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]] if len(whole) else np.zeros(0, np.uint8)
+    return data.view(kind), (offsets - offsets[0]) // size if len(whole) else np.zeros(1, np.int64)
+
+
 class Bags:
     """Sparse rows: ``at`` row offsets over ``key`` and ``value`` = count / sqrt(words), beside dense columns."""
 
-    def __init__(self, keys: list[bytes], counts: list[bytes], dense: np.ndarray):
-        self.at = np.concatenate([[0], np.cumsum([len(k) // 4 for k in keys])]).astype(np.int64)
-        self.key = np.frombuffer(b"".join(keys), "<i4").astype(np.int64)
-        count = np.frombuffer(b"".join(counts), "<i4").astype(np.float64)
-        n = np.maximum(vec.row_sums(count, self.at), 1) if len(keys) else np.zeros(0)
-        self.value = count / np.sqrt(np.repeat(n, np.diff(self.at)))
+    def __init__(self, keys: pa.ChunkedArray, counts: pa.ChunkedArray, dense: np.ndarray):
+        self.key, self.at = joined_bytes(keys, "<i4")
+        count = joined_bytes(counts, "<i4")[0]
+        n = np.maximum(vec.row_sums(count, self.at), 1)
+        self.value = count / np.sqrt(np.repeat(n.astype(np.float32), np.diff(self.at)))
         self.dense = dense
 
+    @classmethod
+    def bare(cls, dense: np.ndarray) -> Bags:
+        """Rows with dense columns only."""
+        return cls._of(np.zeros(len(dense) + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32), dense)
+
+    @classmethod
+    def _of(cls, at: np.ndarray, key: np.ndarray, value: np.ndarray, dense: np.ndarray) -> Bags:
+        made = object.__new__(cls)
+        made.at, made.key, made.value, made.dense = at, key, value, dense
+        return made
+
     def take(self, rows: np.ndarray) -> Bags:
-        made = object.__new__(Bags)
         size = np.diff(self.at)[rows]
-        made.at = np.concatenate([[0], np.cumsum(size)])
-        index = np.arange(made.at[-1]) + np.repeat(self.at[rows] - made.at[:-1], size)
-        made.key, made.value, made.dense = self.key[index], self.value[index], self.dense[rows]
-        return made
+        at = np.concatenate([[0], np.cumsum(size)])
+        index = np.arange(at[-1], dtype=np.int32) + np.repeat((self.at[rows] - at[:-1]).astype(np.int32), size)
+        return Bags._of(at, self.key[index], self.value[index], self.dense[rows])
+
+    def stack(self, other: Bags) -> Bags:
+        return Bags._of(np.concatenate([self.at, self.at[-1] + other.at[1:]]), np.concatenate([self.key, other.key]), np.concatenate([self.value, other.value]), np.concatenate([self.dense, other.dense]))
+
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.dense), dtype=np.int32), np.diff(self.at))
 
 
 class Linear:
@@ -76,10 +99,13 @@ class Linear:
         """``y``: class numbers. Goes on from the present weights."""
         self.mean, self.scale = x.dense.mean(axis=0), x.dense.std(axis=0) + 1e-6
         classes = self.words.shape[1]
-        used, at = np.unique(x.key, return_inverse=True)
-        often = np.bincount(at, minlength=len(used)) >= 3
+        seen = np.bincount(x.key, minlength=DIMS)
+        used = np.flatnonzero(seen)
+        number = np.zeros(DIMS, np.int32)
+        number[used] = np.arange(len(used))
+        at, often = number[x.key], seen[used] >= 3
         dense, truth = self._columns(x.dense), np.eye(classes)[y]
-        row = np.repeat(np.arange(len(y)), np.diff(x.at))
+        row = x.rows()
         # each word's log-odds of occurring in a class: the words that tell classes apart get the larger steps
         held = np.stack([np.bincount(at, truth[row, c], minlength=len(used)) for c in range(classes)], axis=1) + 1.0
         other, size = held.sum(axis=1, keepdims=True) - held, truth.sum(axis=0) + 2.0
@@ -89,9 +115,9 @@ class Linear:
         m = [np.zeros_like(w), np.zeros_like(v)]
         s = [np.zeros_like(w), np.zeros_like(v)]
         for step in range(1, steps + 1):
-            z = dense @ v + np.stack([np.bincount(row, x.value * (w[:, c] * ratio[:, c])[at], minlength=len(y)) for c in range(classes)], axis=1)
+            z = dense @ v + np.stack([np.bincount(row, x.value * (w[:, c] * ratio[:, c]).astype(np.float32)[at], minlength=len(y)) for c in range(classes)], axis=1)
             error = (softmax(z) - truth) / len(y)
-            gw = ratio * np.stack([np.bincount(at, x.value * error[row, c], minlength=len(used)) for c in range(classes)], axis=1)
+            gw = ratio * np.stack([np.bincount(at, x.value * error[:, c].astype(np.float32)[row], minlength=len(used)) for c in range(classes)], axis=1)
             for k, (p, g) in enumerate(((w, gw + self.decay * w), (v, dense.T @ error + self.decay * v))):
                 m[k] = 0.9 * m[k] + 0.1 * g
                 s[k] = 0.99 * s[k] + 0.01 * g * g
@@ -101,7 +127,7 @@ class Linear:
         return self
 
     def logits(self, x: Bags) -> np.ndarray:
-        row = np.repeat(np.arange(len(x.dense)), np.diff(x.at))
+        row = x.rows()
         return self._columns(x.dense) @ self.dense + np.stack([np.bincount(row, x.value * self.words[x.key, c], minlength=len(x.dense)) for c in range(self.words.shape[1])], axis=1)
 
     def score_tokens(self, ids: np.ndarray, rows: np.ndarray, dense: np.ndarray) -> np.ndarray:

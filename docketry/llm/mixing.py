@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm import vec
 from docketry.llm.common import bounded_sample, written
-from docketry.llm.features import STATS, Bags, Linear, softmax, token_buckets
+from docketry.llm.features import STATS, Bags, Linear, joined_bytes, softmax, token_buckets
 from docketry.llm.quality import sampled_bags
 
 LABELLED = 10_000  # labelled documents that the classifier is fitted on at most
@@ -46,7 +46,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], labelled
     rows = sampled_bags(docs, chosen, ())
     if not len(rows):
         return None
-    text = Bags(rows["keys"].to_pylist(), rows["counts"].to_pylist(), np.frombuffer(b"".join(rows["stats"].to_pylist()), np.float64).reshape(-1, STATS))
+    text = Bags(rows["keys"], rows["counts"], joined_bytes(rows["stats"], "<f8")[0].reshape(-1, STATS))
     return Linear(len(domains), STATS, 1e-3).fit(text, rows["domain"].to_numpy().astype(np.int64), 30)
 
 

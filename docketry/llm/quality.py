@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm import vec
 from docketry.llm.common import bounded_sample
-from docketry.llm.features import STATS, Bags, Linear, bag, softmax, token_buckets
+from docketry.llm.features import STATS, Bags, Linear, bag, joined_bytes, softmax, token_buckets
 
 LABELLED, UNLABELLED = 10_000, 10_000
 ROUNDS = 3
@@ -106,7 +106,7 @@ def cotrain(labelled: tuple[Bags, Bags, np.ndarray], unlabelled: tuple[Bags, Bag
         for v in (0, 1):
             rows = np.array(sorted(pseudo[v]), dtype=np.int64)
             x, more = views[v].take(learn), unlabelled[v].take(rows)
-            models[v].fit(_stack(x, more), np.concatenate([y[learn], np.array([pseudo[v][r] for r in rows], dtype=np.int64)]), 60 if k == 0 else 20)
+            models[v].fit(x.stack(more), np.concatenate([y[learn], np.array([pseudo[v][r] for r in rows], dtype=np.int64)]), 60 if k == 0 else 20)
         if k < rounds - 1 and n:
             for v in (0, 1):
                 p = softmax(models[v].logits(unlabelled[v]))
@@ -121,14 +121,6 @@ def cotrain(labelled: tuple[Bags, Bags, np.ndarray], unlabelled: tuple[Bags, Bag
     return CoTrained(models[0], models[1], platt, logistic(calibrated, y[check]))
 
 
-def _stack(a: Bags, b: Bags) -> Bags:
-    made = object.__new__(Bags)
-    made.at = np.concatenate([a.at, a.at[-1] + b.at[1:]])
-    made.key, made.value = np.concatenate([a.key, b.key]), np.concatenate([a.value, b.value])
-    made.dense = np.concatenate([a.dense, b.dense])
-    return made
-
-
 def sampled_bags(docs: DataFrame, chosen: DataFrame, columns: tuple[str, ...]) -> pa.Table:
     """Summaries of the chosen documents (doc_id and label columns; bounded) with ``columns``, ordered by hash."""
     names = [c for c in chosen.columns if c != "doc_id"]
@@ -156,12 +148,14 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     others = bounded_sample(ids.join(truth, "doc_id", "left_anti"), "doc_id", unlabelled).select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
     rows = sampled_bags(docs, known.unionByName(others), ("lang", "source", "n_chars"))
-    text = Bags(rows["keys"].to_pylist(), rows["counts"].to_pylist(), np.frombuffer(b"".join(rows["stats"].to_pylist()), np.float64).reshape(-1, STATS))
+    text = Bags(rows["keys"], rows["counts"], joined_bytes(rows["stats"], "<f8")[0].reshape(-1, STATS))
     flat = [rows[c].combine_chunks() for c in ("lang", "source", "n_chars")]
-    meta = Bags([b""] * len(rows), [b""] * len(rows), metadata(*flat) if len(rows) else np.zeros((0, META)))
+    meta = Bags.bare(metadata(*flat) if len(rows) else np.zeros((0, META)))
+    labels_of = {name: rows[name].to_numpy().astype(np.float64) if len(rows) else np.zeros(0) for name in ("quality", "toxic")}
+    del rows, flat
     made = {}
     for name in ("quality", "toxic"):
-        y = rows[name].to_numpy().astype(np.float64) if len(rows) else np.zeros(0)
+        y = labels_of[name]
         at, rest = np.flatnonzero(~np.isnan(y)), np.flatnonzero(np.isnan(y))
         made[name] = cotrain((text.take(at), meta.take(at), y[at].astype(np.int64)), (text.take(rest), meta.take(rest)), DECAY[name], FALLBACK[name])
     return made
@@ -185,7 +179,7 @@ def score(docs: DataFrame, models: dict[str, CoTrained]) -> DataFrame:
                     if m.text is None:
                         views = (np.full(b - a, m.constant),) * 3
                     else:
-                        none = Bags([b""] * (b - a), [b""] * (b - a), meta[a:b])
+                        none = Bags.bare(meta[a:b])
                         views = m.combine(_margin(m.text.score_tokens(ids, rows, stats)), _margin(m.meta.logits(none)))
                     for k, p in zip(at, views, strict=True):
                         if k is not None:
