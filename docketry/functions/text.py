@@ -94,7 +94,10 @@ def relevance(text: Column) -> Column:
 def json_blob(raw: Column) -> Column:
     """From the first opening to the last closing brace, if that is a JSON object."""
     found = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
-    return F.when((found != "") & F.json_object_keys(found).isNotNull(), found)
+    # the parser stops at the object's end, so what follows a closing brace is held against the grammar here
+    bare = F.regexp_replace(found, r'"(?:[^"\\\\]|\\\\.)*"', "")
+    level = F.char_length(F.regexp_replace(bare, r"[^{]", "")) == F.char_length(F.regexp_replace(bare, r"[^}]", ""))
+    return F.when((found != "") & level & ~bare.rlike(r"\}\s*[^,}\]\s]") & F.json_object_keys(found).isNotNull(), found)
 
 
 def inr(amount: Column) -> Column:
@@ -106,7 +109,8 @@ def inr(amount: Column) -> Column:
 
 
 def size_kb(n: Column) -> Column:
-    return F.format_string("%.2f KB", n / 1024.0)
+    """Kilobytes with two digits; halves go to the even digit."""
+    return F.format_string("%.2f KB", F.bround(n / F.lit(1024.0), 2))
 
 
 def filename_bucket(stem: Column) -> Column:

@@ -123,9 +123,7 @@ def _anchor_sql(field: str) -> str:
     return f"with {TOKENS}, {_hits(field)} select doc_id, tok_idx, cast(anchor as bigint) as anchor, prec as precision, seq from hits"
 
 
-_GROUPED = (
-    "reverse(regexp_replace(reverse(substr(d, 1, length(d) - 3)), '([0-9]{2})', '\\1,', 'g'))"
-)
+_GROUPED = "reverse(regexp_replace(reverse(substr(d, 1, length(d) - 3)), '([0-9]{2})', '\\1,', 'g'))"
 
 SQL: dict[str, str] = {
     "flagship_hp_accuracy": f"""with {HP} select count(*) as docs, count(g.value) as found, count(*) filter (abs(g.value - q.hp) / q.hp <= 0.05) as correct, round(avg(coalesce(g.confidence, 0)), 6) as mean_confidence
@@ -156,8 +154,6 @@ SQL: dict[str, str] = {
       select brand, model, full_name from (select *, row_number() over (partition by lower(trim(full_name)) order by rank, seq) as n from rows_) where n = 1""",
     "brand_list": "select distinct p_brand as brand from part where p_brand <> ''",
     "asset_harvest": f"with {QUOTES} select distinct 'Mahindra' as brand, model || ' DI' as model, 'Mahindra ' || model || ' DI' as full_name from quotes",
-    "dealer_harvest": f"""with {QUOTES} select doc_id, upper(n_name || ' ' || segment || ' TRACTORS') as name from quotes
-      union all select doc_id, unnest([n_name || ' MOTORS Ltd', 'MOTORS Ltd', 'Ltd']) as name from quotes where false""",
     "doc_confidence": f"""with {BOTH}, {BOXES}, {BEST_BOX}, fields as (select doc_id, 0.15::double as w, hp_conf as c from gated union all select doc_id, 0.20::double, cost_conf from gated
       union all select doc_id, 0.125::double, conf from best_box where cls in ('signature', 'stamp') and doc_id in (select doc_id from gated)),
       summed as (select doc_id, coalesce(sum(case when c > 0 then w * c end) / sum(case when c > 0 then w end), 0) as confidence from fields group by doc_id)
@@ -208,7 +204,7 @@ SQL: dict[str, str] = {
     "split_70_15_15": """with r as (select doc_id, row_number() over (order by doc_id * 7919 % 10007, doc_id) as n, count(*) over () as total from documents)
       select doc_id, case when n <= round_even(total * 0.7::double, 0) then 'train' when n <= round_even(total * 0.7::double, 0) + round_even(total * 0.15::double, 0) then 'val' else 'test' end as part from r""",
     "labels_missing": "select doc_id from documents where doc_id not in (select doc_id from labels)",
-    "yolo_encode": f"""with {BOXES} select seq, printf('%d %.6f %.6f %.6f %.6f', case cls when 'signature' then 0 else 1 end, (x1 + x2) / 2.0::double / 640, (y1 + y2) / 2.0::double / 800, (x2 - x1) / 640.0::double, (y2 - y1) / 800.0::double) as line from boxes where cls <> 'logo'""",
+    "yolo_encode": f"""with {BOXES} select seq, printf('%d %.6f %.6f %.6f %.6f', case cls when 'signature' then 0 else 1 end, (x1 + x2) / 2.0::double / 600, (y1 + y2) / 2.0::double / 750, (x2 - x1) / 600.0::double, (y2 - y1) / 750.0::double) as line from boxes where cls <> 'logo'""",
     "yolo_verify": f"""with {BOXES}, b as (select *, seq % 11 = 0 as odd, seq % 13 = 0 and seq % 11 <> 0 as six, greatest(abs((x1 + x2) / 1024.0::double), abs((y1 + y2) / 1400.0::double)) > 1.0000005 as far from boxes where cls <> 'logo')
       select count(*) as lines, count(*) filter (cls = 'signature' and not odd and not six and not far) as signatures, count(*) filter (cls = 'stamp' and not odd and not six and not far) as stamps, count(*) filter (six) as malformed, count(*) filter (odd) as bad_class, count(*) filter (far and not six) as bad_range from b""",
     "size_histogram": "with h as (select max(n_chars) + 1 as hi from documents) select cast(floor(n_chars * 20.0::double / hi) + 1 as bigint) as bin, count(*) as docs, round(quantile_cont(n_chars, 0.5), 6) as median from documents, h group by 1",
@@ -217,6 +213,5 @@ SQL: dict[str, str] = {
     "pseudo_labels": f"with {BOTH} select count(*) as docs, count(*) filter (hp_conf >= 0.85 and cost_conf >= 0.85) as sure, round(cast(count(*) filter (hp_conf >= 0.85 and cost_conf >= 0.85) as double) / count(*), 6) as share from gated",
     "cache_misses": "with d as (select doc_id, substr(sha256(text), 1, 16) as hash from documents) select doc_id, hash from d where hash not in (select hash from d where doc_id % 3 = 0)",
     "evidence_text": f"with {TOKENS} select doc_id, string_agg(text, ' ' order by tok_idx) as text from tokens group by doc_id",
-    "row_text": f"with {TOKENS} select doc_id, y1 // 25 as line, string_agg(text, ' ' order by x1, text) as text from tokens group by doc_id, y1 // 25",
+    "row_text": f"with {TOKENS} select doc_id, cast(y1 // 25 as bigint) as line, string_agg(text, ' ' order by x1, text) as text from tokens group by doc_id, y1 // 25",
 }
-del SQL["dealer_harvest"]

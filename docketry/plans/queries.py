@@ -407,7 +407,7 @@ def labels_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def yolo_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detections.yolo_lines(S.boxes(spark, sf_dir), 640, 800).select("seq", "line")
+    return detections.yolo_lines(S.boxes(spark, sf_dir), 600, 750).select("seq", "line")
 
 
 @query
@@ -461,3 +461,16 @@ def evidence_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = S.quote_tokens(spark, sf_dir)
     return t.groupBy("doc_id", big(F.floor(F.col("y1") / 25)).alias("line")).agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("x1", "text"))), lambda x: x["text"])).alias("text"))
+
+
+@query
+def extract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole path from tokens and detections to flat records, against part and nation names as masters."""
+    from docketry.plans.pipeline import extract
+
+    nations = S.read(spark, sf_dir, "nation")
+    dealers = nations.select(F.concat_ws(" ", "n_name", F.lit("AUTOMOBILE TRACTORS")).alias("canonical"), F.array().cast("array<string>").alias("aliases"), F.col("n_nationkey").alias("seq"))
+    sizes = S.read(spark, sf_dir, "part").select((F.col("p_size") + 500).alias("m")).distinct().where("m % 2 = 0")
+    assets = sizes.select(F.lit("Mahindra").alias("brand"), F.concat_ws(" ", "m", F.lit("DI")).alias("model"), F.concat_ws(" ", F.lit("Mahindra"), "m", F.lit("DI")).alias("full_name"), F.col("m").alias("seq"))
+    flat = assemble.legacy(extract(S.quote_tokens(spark, sf_dir), S.boxes(spark, sf_dir), dealers, assets))
+    return flat.select("doc_id", "dealer_name", "model_name", big("horse_power").alias("horse_power"), "asset_cost", "signature_present", "stamp_present", six("confidence").alias("confidence"))
