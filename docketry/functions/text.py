@@ -122,3 +122,33 @@ def filename_bucket(stem: Column) -> Column:
 def text_of(tokens: Column) -> Column:
     """The texts of an array of (tok_idx, text), in order, joined by spaces."""
     return F.concat_ws(" ", F.transform(F.array_sort(tokens), lambda t: t["text"]))
+
+
+def coerce_int(literal: Column) -> Column:
+    """A number from a JSON literal: whole as it is, fractions cut, digits of a string; booleans and the rest are null."""
+    low = F.btrim(literal)
+    number = F.when(low.rlike(r"^-?[0-9]+$"), low.try_cast("bigint")).when(low.rlike(r"^-?[0-9]+\.[0-9]+([eE][+-]?[0-9]+)?$"), low.try_cast("double").try_cast("bigint"))
+    return F.when(low.rlike('^".*"$'), to_int(low)).otherwise(number)
+
+
+def manual_int(text: Column) -> Column:
+    """What a person typed: thousands separators and currency marks are dropped, anything else makes it null."""
+    return F.btrim(F.regexp_replace(text, r",|₹|(?i:rs\.?)", "")).try_cast("bigint")
+
+
+def wanted_fields(fields: Column) -> Column:
+    """The known ones of the requested fields, in the order of the request."""
+    known = F.array(*map(F.lit, ("dealer_name", "model_name", "horse_power", "asset_cost")))
+    return F.array_intersect(fields, known)
+
+
+def prompt(text: Column, fields: Column) -> Column:
+    """What a language model is asked: the page's text and the missing fields as a JSON list."""
+    return F.concat(F.lit("Text of the page:\n"), text, F.lit("\n\nAnswer with a JSON object of these fields: "), F.to_json(wanted_fields(fields)))
+
+
+def human_size(n: Column) -> Column:
+    """Bytes in the largest unit that gives at least one, with one digit."""
+    units = ("B", "KB", "MB", "GB", "TB")
+    level = F.least(F.lit(len(units) - 1), F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double")) / 10 + 1e-9))
+    return F.format_string("%.1f %s", n / F.pow(F.lit(1024.0), level), F.element_at(F.array(*map(F.lit, units)), (level + 1).cast("int")))

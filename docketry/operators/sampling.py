@@ -12,7 +12,7 @@ def stratified(df: DataFrame, group: str, order: list[Column], n: int) -> DataFr
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     sizes = df.groupBy(group).agg(F.count("*").alias("_size"))
     share = F.greatest(F.lit(1), F.rint(F.lit(float(n)) * F.col("_size") / F.lit(max(total, 1))).cast("int"))
-    return df.withColumn("_rank", rank).join(F.broadcast(sizes), group).where(F.col("_rank") <= share).drop("_rank", "_size")
+    return df.withColumn("_rank", rank).join(sizes, group).where(F.col("_rank") <= share).drop("_rank", "_size")
 
 
 def split(df: DataFrame, key: Column, ties: list[str], parts: dict[str, float], width: int) -> DataFrame:
@@ -32,7 +32,7 @@ def split(df: DataFrame, key: Column, ties: list[str], parts: dict[str, float],
         cuts.append((upto, name))
     for cut, name in reversed(cuts):
         label = F.when(rank <= cut, name).otherwise(label)
-    return inner.join(F.broadcast(before), "_b").withColumn("part", label).drop("_k", "_b", "_r", "_before")
+    return inner.join(before, "_b").withColumn("part", label).drop("_k", "_b", "_r", "_before")
 
 
 def uniform(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:

@@ -45,6 +45,14 @@ def test_texts(spark):
     assert column(spark, [-0.5, 0.5, 2.0, None], text.unit, "double") == [0.0, 0.5, 1.0, None]
 
 
+def test_model_answers(spark):
+    assert column(spark, ["true", "52", "52.9", '"Rs. 5,25,000"', "null", None, "[1]"], text.coerce_int) == [None, 52, 52, 525000, None, None, None]
+    assert column(spark, ["₹5,25,000", "Rs. 12", "12 lakh", ""], text.manual_int) == [525000, 12, None, None]
+    assert column(spark, [512, 2048, 5 * 1024**3], text.human_size, "bigint") == ["512.0 B", "2.0 KB", "5.0 GB"]
+    asked = spark.createDataFrame([("page", ["stamp", "asset_cost", "dealer_name"])], "t string, f array<string>").select(text.prompt(F.col("t"), F.col("f")).alias("x")).first().x
+    assert asked.endswith('["asset_cost","dealer_name"]') and "page" in asked
+
+
 def test_boxes(spark):
     rows = spark.sql("select named_struct('x1', 0, 'y1', 0, 'x2', 10, 'y2', 10) a, named_struct('x1', 5, 'y1', 5, 'x2', 15, 'y2', 15) b")
     r = rows.select(G.iou(F.col("a"), F.col("b")).alias("iou"), G.distance(F.col("a"), F.col("b")).alias("d"), G.same_row(F.col("a"), F.col("b")).alias("row"), G.well_formed(F.col("a")).alias("ok")).first()
