@@ -11,7 +11,8 @@ domains; rates live in the cluster only.
 By default the total is the least for which no domain shrinks, so all documents stay and scarce domains
 repeat. ``copies`` turns a rate into whole copies by a hash of doc_id.
 
-Null and empty texts have no tokens and rate 1. Without labelled rows all domains are equally likely.
+A domain that no labelled row has cannot be told apart; its weight is shared among the others. Without
+labelled rows all rates are 1. Null and empty texts have no tokens and rate 1.
 A null doc_id hashes like any value; repeated rows are mixed alike. Labels repeated for a doc_id are one.
 Other columns are carried along.
 """
@@ -37,17 +38,19 @@ CLOSE = 1e-4  # largest relative distance to a target at which the steps end
 KEEP = 8  # steps between written rates
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], labelled: int = LABELLED) -> Linear | None:
-    """A classifier of ``docs.lang`` from documents that ``labels`` calls good and not toxic."""
+def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], labelled: int = LABELLED) -> tuple[Linear | None, list[str]]:
+    """A classifier of ``docs.lang`` from documents that ``labels`` calls good and not toxic, and the domains that it has seen."""
     trusted = labels.where("doc_id is not null and quality = 1 and toxic = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isin(domains)).groupBy("doc_id").agg(F.min("lang").alias("lang"))
     number = F.array_position(F.array(*map(F.lit, domains)), F.col("lang")).cast("int") - 1
     chosen = bounded_sample(ids.join(trusted, "doc_id"), "doc_id", labelled).select("doc_id", number.alias("domain"))
     rows = sampled_bags(docs, chosen, ())
     if not len(rows):
-        return None
+        return None, []
+    given = rows["domain"].to_numpy().astype(np.int64)
+    seen = np.unique(given)
     text = Bags(rows["keys"], rows["counts"], joined_bytes(rows["stats"], "<f8")[0].reshape(-1, STATS))
-    return Linear(len(domains), STATS, 1e-3).fit(text, rows["domain"].to_numpy().astype(np.int64), 30)
+    return Linear(len(seen), STATS, 1e-3).fit(text, np.searchsorted(seen, given), 30), [domains[k] for k in seen]
 
 
 def posteriors(docs: DataFrame, model: Linear | None, domains: int) -> DataFrame:
@@ -91,9 +94,10 @@ def solve(members: DataFrame, targets: list[float] | None, weights: list[float],
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """doc_id, n_tokens, posterior, rate and copies of every row of ``docs`` (doc_id, text, lang)."""
     weights = weights or TARGETS
-    domains = list(weights)
-    members = written(posteriors(docs, fit_domains(docs, labels, domains), len(domains)), "posteriors")
-    return with_copies(solve(members, None, list(weights.values())))
+    model, seen = fit_domains(docs, labels, list(weights))
+    members = written(posteriors(docs, model, max(len(seen), 1)), "posteriors")
+    asked = [weights[d] for d in seen] or [1.0]
+    return with_copies(solve(members, None, [w / sum(asked) for w in asked], STEPS if seen else 0))
 
 
 def with_copies(rated: DataFrame) -> DataFrame:
