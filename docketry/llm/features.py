@@ -80,8 +80,28 @@ class Bags:
     def stack(self, other: Bags) -> Bags:
         return Bags._of(np.concatenate([self.at, self.at[-1] + other.at[1:]]), np.concatenate([self.key, other.key]), np.concatenate([self.value, other.value]), np.concatenate([self.dense, other.dense]))
 
-    def rows(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.dense), dtype=np.int32), np.diff(self.at))
+    def parts(self, size: int = 1 << 19):
+        """Row ranges of about ``size`` entries: passes over them need little memory beside the rows themselves."""
+        return vec.pieces(self.at, size)
+
+    def dot(self, table: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Each row's sum of value times ``table[key]``, for all columns of the table."""
+        out = np.empty((len(self.dense), table.shape[1]))
+        for a, b in self.parts():
+            i, j = self.at[a], self.at[b]
+            for c in range(table.shape[1]):
+                out[a:b, c] = vec.row_sums(self.value[i:j] * table[key[i:j], c], self.at[a : b + 1] - i)
+        return out
+
+    def spread(self, rows: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
+        """For each of ``size`` keys the sum of value times its rows' columns: the transpose of ``dot``."""
+        out = np.zeros((size, rows.shape[1]))
+        for a, b in self.parts():
+            i, j = self.at[a], self.at[b]
+            n = np.diff(self.at[a : b + 1])
+            for c in range(rows.shape[1]):
+                out[:, c] += np.bincount(key[i:j], self.value[i:j] * np.repeat(rows[a:b, c], n), minlength=size)
+        return out
 
 
 class Linear:
@@ -105,9 +125,8 @@ class Linear:
         number[used] = np.arange(len(used))
         at, often = number[x.key], seen[used] >= 3
         dense, truth = self._columns(x.dense), np.eye(classes)[y]
-        row = x.rows()
         # each word's log-odds of occurring in a class: the words that tell classes apart get the larger steps
-        held = np.stack([np.bincount(at, truth[row, c], minlength=len(used)) for c in range(classes)], axis=1) + 1.0
+        held = Bags._of(x.at, x.key, np.ones(len(x.key), np.float32), x.dense).spread(truth, at, len(used)) + 1.0
         other, size = held.sum(axis=1, keepdims=True) - held, truth.sum(axis=0) + 2.0
         ratio = np.log(held / size) - np.log(other / (size.sum() - size)) if classes > 1 else np.ones_like(held)
         ratio = np.clip(ratio, -6, 6) * often[:, None]
@@ -115,9 +134,8 @@ class Linear:
         m = [np.zeros_like(w), np.zeros_like(v)]
         s = [np.zeros_like(w), np.zeros_like(v)]
         for step in range(1, steps + 1):
-            z = dense @ v + np.stack([np.bincount(row, x.value * (w[:, c] * ratio[:, c]).astype(np.float32)[at], minlength=len(y)) for c in range(classes)], axis=1)
-            error = (softmax(z) - truth) / len(y)
-            gw = ratio * np.stack([np.bincount(at, x.value * error[:, c].astype(np.float32)[row], minlength=len(used)) for c in range(classes)], axis=1)
+            error = (softmax(dense @ v + x.dot(w * ratio, at)) - truth) / len(y)
+            gw = ratio * x.spread(error, at, len(used))
             for k, (p, g) in enumerate(((w, gw + self.decay * w), (v, dense.T @ error + self.decay * v))):
                 m[k] = 0.9 * m[k] + 0.1 * g
                 s[k] = 0.99 * s[k] + 0.01 * g * g
@@ -127,8 +145,7 @@ class Linear:
         return self
 
     def logits(self, x: Bags) -> np.ndarray:
-        row = x.rows()
-        return self._columns(x.dense) @ self.dense + np.stack([np.bincount(row, x.value * self.words[x.key, c], minlength=len(x.dense)) for c in range(self.words.shape[1])], axis=1)
+        return self._columns(x.dense) @ self.dense + x.dot(self.words, x.key)
 
     def score_tokens(self, ids: np.ndarray, rows: np.ndarray, dense: np.ndarray) -> np.ndarray:
         """Logits of whole texts straight from their tokens."""
