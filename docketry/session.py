@@ -14,6 +14,8 @@ def build_session(app: str = "docketry", **settings: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # call sites of every expression cost more than building most plans
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for key, value in (conf | {k.replace("_", "."): v for k, v in settings.items()}).items():
         builder = builder.config(key, value)
