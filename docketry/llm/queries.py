@@ -57,9 +57,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docketry.llm.reshard import reshard
+    from docketry.llm.reshard import old_shard, resharded, text_crc32, text_size
 
-    placed = reshard(table(spark, sf_dir, "documents"), carry=False)
+    files = resharded(table(spark, sf_dir, "documents"))
+    placed = files.select("doc_id", text_size().alias("size"), text_crc32().alias("text_crc32"), "shard", "slot", old_shard().alias("old_shard"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 

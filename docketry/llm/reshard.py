@@ -19,7 +19,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import written
+from docketry.llm.common import new_path, written
 
 OLD_SHARDS, NEW_SHARDS = 32, 40
 ROW_BYTES = 16
@@ -90,6 +90,14 @@ def old_shard(shards: int = OLD_SHARDS) -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
 
 
+def text_size() -> Column:
+    return F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long") + ROW_BYTES
+
+
+def text_crc32() -> Column:
+    return F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+
+
 def reshard(docs: DataFrame, shards: int = NEW_SHARDS, given: Column | None = None, given_shards: int = OLD_SHARDS, carry: bool = True) -> DataFrame:
     """``docs`` (all columns in struct ``row`` if ``carry``) with doc_id, size, text_crc32, old_shard, shard and slot.
 
@@ -97,8 +105,7 @@ def reshard(docs: DataFrame, shards: int = NEW_SHARDS, given: Column | None = No
     """
     spark = docs.sparkSession
     whole = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), (given if given is not None else old_shard(given_shards)).alias("old_shard"), *whole)
+    rows = docs.select("doc_id", text_size().alias("size"), text_crc32().alias("text_crc32"), (given if given is not None else old_shard(given_shards)).alias("old_shard"), *whole)
     total = docs.count()
     buckets = max(1, round(total / max(BLOCK_ROWS, 16 * total / MAX_BLOCKS) / given_shards / 4))
     block = ["old_shard", "class", "bucket"]
@@ -141,11 +148,23 @@ def reshard(docs: DataFrame, shards: int = NEW_SHARDS, given: Column | None = No
     return done.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("rank") + F.col("base")).alias("slot"), *(["row"] if carry else []))
 
 
-def rewrite_shards(placed: DataFrame, folder: str) -> DataFrame:
-    """Write the shards that gained or lost rows as ``folder/shard=K``, in slot order; returns their numbers."""
+def rewrite_shards(placed: DataFrame, folder: str, every: bool = False) -> DataFrame:
+    """Write the shards that gained or lost rows as ``folder/shard=K``, in slot order; returns their numbers.
+
+    ``every`` writes the others too, for rows that are in no shard files yet.
+    """
     gained = placed.where("old_shard <> shard").select("shard")
     lost = placed.where("old_shard <> shard").select(F.col("old_shard").alias("shard"))
     touched = written(gained.union(lost).distinct(), "touched")
-    files = placed.join(F.broadcast(touched), "shard").select("shard", "slot", "row.*")
-    files.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(folder)
+    files = (placed if every else placed.join(F.broadcast(touched), "shard")).select("shard", "slot", "row.*")
+    files.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(folder)
     return touched
+
+
+def resharded(docs: DataFrame, shards: int = NEW_SHARDS) -> DataFrame:
+    """``docs`` dealt to ``shards``, written as shard files and read back: all columns, then shard and slot."""
+    spark, folder = docs.sparkSession, new_path(docs.sparkSession, "shards")
+    placed = reshard(docs, shards)
+    rewrite_shards(placed, folder, every=True)
+    files = placed.select("row.*", "shard", "slot")
+    return spark.read.schema(files.schema).parquet(folder).select(*(F.col(f"`{c}`") for c in files.columns))

@@ -5,11 +5,13 @@ import hashlib
 import random
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from docketry.llm.embdedup import near_vectors
 from docketry.llm.mixing import TARGETS, mix, mixed, solve
 from docketry.llm.quality import classify, keep_good
+from docketry.llm.queries import op8_flow_reshard
 from docketry.llm.reshard import even, minimum_cost_flow, reshard, rewrite_shards
 from docketry.llm.warc import deduplicated_records, read_archives, resolve, rewrite, write_archives
 
@@ -74,6 +76,24 @@ def test_shards(spark, tmp_path):
     assert reshard(docs.limit(0), 10).count() == 0
 
 
+def test_query_digests_come_from_shard_files(spark, tmp_path):
+    rows = [(i, "ab" * (i % 50), "en") for i in range(500)] + [(900, None, None), (901, "é", "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op8_flow_reshard(spark, str(tmp_path))
+    files = [f for f in got.inputFiles() if "/shard=" in f]
+    assert files
+    stored = spark.read.parquet(files[0].split("/shard=")[0]).select("doc_id", "text", "lang", "shard", "slot").collect()
+    assert sorted((r.doc_id, r.text, r.lang) for r in stored) == sorted(rows)
+    at = {r.doc_id: r for r in stored}
+    for r in got.collect():
+        assert (r.shard, r.slot) == (at[r.doc_id].shard, at[r.doc_id].slot)
+        text = (at[r.doc_id].text or "").encode()
+        assert (r["size"], r.text_crc32) == (len(text) + 16, zlib.crc32(text))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert any("/shard=" in f for f in corpus_pipeline.sharding(spark, docs, str(tmp_path)).inputFiles())
+    assert corpus_pipeline.sharding(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((260, 16)).astype(np.float32)
