@@ -116,3 +116,34 @@ def test_empty_table_and_stage(spark):
     kept = drop_near_copies(spark.createDataFrame(rows, schema), WIDE_512)
     assert kept.columns == ["doc_id", "text", "lang"]
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [0, 1, 2, 3, 4, 5, None]
+
+
+def test_stage_decides_by_shingle_similarity(spark):
+    """Chains of texts around 0.8: kept is what exact groups keep, neither fewer nor more."""
+    rng = random.Random(21)
+    rows, sets = [], {}
+    for i in range(0, 1200, 3):
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([12, 40, 150, 300]))]
+        n = len(w) - 4
+        texts = [w]
+        for cut in rng.sample([0.05, 0.1, 0.105, 0.115, 0.13], 2)[: rng.randint(1, 2)]:
+            t = list(w)
+            for at in range(0, max(1, round(cut * n / 5)) * 9, 9):
+                t[(at + 4) % len(t)] = f"x{rng.randint(0, 10**6)}"
+            texts.append(t)
+        for k, t in enumerate(texts):
+            t = t if len(t) < 300 or k != 2 else t + ["again"] * 200  # one more shingle or a few, however often it is said
+            rows.append((i + k, " ".join(t)))
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    lead = {i: i for i in sets}
+    for i in sets:
+        for j in range(i - i % 3, i):
+            if j in sets and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low = min(lead[i], lead[j])
+                lead = {k: low if v in (lead[i], lead[j]) else v for k, v in lead.items()}
+    want = {i for i in sets if lead[i] == i}
+    assert 100 < len(sets) - len(want) < len(sets) - 410
+    got = {r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
