@@ -1,10 +1,15 @@
 """Main-text extraction from HTML by two passes of block rules.
 
 A page is cut into blocks at block-level tags. The first pass decides a block by the element it stands in
-(menus, headers, footers, sidebars, notices, adverts, forms and reader comments are out; an article or
-main element is in), then by link density, length and the density of stop words. Blocks too short to
-decide are left open. The second pass gives an open block the label of its nearest decided neighbour
-(on a tie the one before it, for a heading the one after it; out where the page has none).
+(menus, headers, footers, sidebars, notices, adverts, forms and reader comments are out), then by link
+density, length and the density of stop words. Blocks too short to decide are left open. The second pass
+gives an open block the label of its nearest decided neighbour (on a tie the one before it, for a heading
+the one after it; out where the page has none).
+
+An article or main element shifts these rules and replaces none: where it holds text that is in by itself,
+text outside must be longer to be in. An open block inside stays in unless the decided blocks on both sides
+are out, or nothing inside is in by itself and less text is open there than is in outside. An open block
+outside follows decided blocks outside only.
 
 Null and empty html give an empty text. Texts are never cut; unknown references stay as they are. Only
 the named columns are read, so others may have any name. Repeated rows give repeated results.
@@ -14,6 +19,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -136,24 +142,28 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
 IN, OUT, OPEN = 1, 0, -1
 
 
+LEAST_WORDS, SURE_WORDS = 10, 40
+OUTSIDE_WORDS = 20  # in place of LEAST_WORDS for a block outside an article that has text
+
+
 def first_pass(found: list[tuple[str, float, bool, bool, bool]]) -> list[int]:
-    framed = any(inside and not out for _, _, inside, out, _ in found)
-    labels = []
+    labels, long = [], []
     for whole, linked, inside, out, heading in found:
         words = whole.lower().split()
         dense = sum(w.strip(".,;:!?\"'()") in STOP for w in words) / len(words)
+        long.append(len(words) >= OUTSIDE_WORDS)
         if out:
             labels.append(OUT)
-        elif framed:
-            labels.append(IN if inside else OUT)
-        elif linked > 0.5 or (linked > 0.2 and len(words) < 10):
+        elif (linked > 0.5 or (linked > 0.2 and len(words) < LEAST_WORDS)) and not (inside and heading):
             labels.append(OUT)
-        elif len(words) >= 10 and (dense >= 0.2 or len(words) >= 40):
+        elif len(words) >= LEAST_WORDS and (dense >= 0.2 or len(words) >= SURE_WORDS):
             labels.append(IN)
-        elif whole[0] in "©|" or (len(words) >= 10 and dense < 0.05 and not heading):
+        elif not inside and (whole[0] in "©|" or (len(words) >= LEAST_WORDS and dense < 0.05 and not heading)):
             labels.append(OUT)
         else:
             labels.append(OPEN)
+    if any(v == IN and b[2] for v, b in zip(labels, found, strict=True)):
+        labels = [OPEN if v == IN and not b[2] and not enough else v for v, b, enough in zip(labels, found, long, strict=True)]
     return labels
 
 
@@ -163,13 +173,35 @@ def second_pass(labels: list[int], headings: list[bool]) -> list[int]:
     decided = [i for i, v in enumerate(labels) if v != OPEN]
     for i, v in enumerate(labels):
         if v == OPEN:
-            done[i] = labels[min(decided, key=lambda d: (abs(d - i), (d < i) == headings[i]))] if decided else OUT
+            k = bisect(decided, i)
+            done[i] = labels[min(decided[max(k - 1, 0) : k + 1], key=lambda d: (abs(d - i), (d < i) == headings[i]))] if decided else OUT
+    return done
+
+
+def framed_pass(found: list[tuple[str, float, bool, bool, bool]], labels: list[int]) -> list[int]:
+    """The second pass of a page with an article: open blocks inside and outside are decided apart."""
+    done = list(labels)
+    outside = [i for i, b in enumerate(found) if not b[2]]
+    for i, v in zip(outside, second_pass([labels[i] for i in outside], [found[i][4] for i in outside]), strict=True):
+        done[i] = v
+    inside = [i for i, b in enumerate(found) if b[2] and not b[3]]
+    size = lambda rows: sum(len(found[i][0]) for i in rows)
+    holds = any(labels[i] == IN for i in inside) or size(i for i in inside if labels[i] == OPEN) >= size(i for i in outside if done[i] == IN)
+    decided = [i for i in inside if labels[i] != OPEN]
+    for i in inside:
+        if labels[i] == OPEN:
+            k = bisect(decided, i)
+            between = 0 < k < len(decided) and labels[decided[k - 1]] == OUT == labels[decided[k]]
+            done[i] = IN if holds and not between else OUT
     return done
 
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    return "\n\n".join(b[0] for b, keep in zip(found, second_pass(first_pass(found), [b[4] for b in found]), strict=True) if keep == IN)
+    labels = first_pass(found)
+    framed = any(inside and not out for _, _, inside, out, _ in found)
+    keep = framed_pass(found, labels) if framed else second_pass(labels, [b[4] for b in found])
+    return "\n\n".join(b[0] for b, k in zip(found, keep, strict=True) if k == IN)
 
 
 def extract(pages: DataFrame, html: str = "html", keys: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -136,6 +136,18 @@ def test_page_without_article_is_decided_by_density_and_neighbours():
     assert second_pass([OPEN, 0, OPEN, 1, OPEN], [False] * 5) == [0, 0, 0, 1, 1] and second_pass([0, OPEN, 1], [False, True, False]) == [0, 1, 1]
 
 
+def test_an_article_is_a_prior_within_the_density_rules():
+    body = "This is the first paragraph of the story and it is long enough to be sure of it, as it goes on for a while and says what it has to say."
+    teaser = "<article><h2>Related story</h2></article>"
+    assert main_text(f"<div><p>{body}</p><p>{body}</p></div>{teaser}") == f"{body}\n\n{body}"
+    links = "".join(f'<li><a href="{k}">Other story {k}</a></li>' for k in range(3))
+    comment = f'<ul>{links}</ul><p>Nice one</p><p><a href="r">Reply</a></p>'
+    assert main_text(f"<article><h1><a href='/'>Title</a></h1><p>{body}</p><p>Short.</p>{comment}</article><p>Stray words</p>") == f"Title\n\n{body}\n\nShort."
+    assert OPEN in first_pass(blocks(f"<article><h1>Title</h1><p>{body}</p></article>"))
+    labels = [1, OPEN, OPEN, 0, 0, OPEN, 1]
+    assert second_pass(labels, [False] * 7) == [1, 1, 0, 0, 0, 0, 1]
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<p>", "<", "<!-- open", "<script>never closed", '<a href="x>broken', "</div></div>", "<div class=ad>" * 400])
 def test_odd_pages(page):
     assert isinstance(main_text(page), str)
