@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import text as T
 from docketry.functions.geometry import same_row
-from docketry.functions.similarity import ratio, udfs
+from docketry.functions.similarity import token_set, udfs
 from docketry.operators.anchors import hits, reading, with_shingles
 
 SIMILAR = 85
 NEAREST = 5
 LEAST_COUNT = 2
+PART_ROWS = 1000  # names of a part, of which pairs are compared
 
 
 def brands(assets: DataFrame) -> DataFrame:
@@ -25,30 +27,103 @@ def candidate_counts(names: DataFrame, least: int = 4) -> DataFrame:
     return names.select(F.btrim("name").alias("name"), "seq").where(F.char_length("name") >= least).groupBy("name").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
 
 
-def star_clusters(counts: DataFrame, block: str = "substring(lower(name), 1, 2)") -> DataFrame:
-    """canonical, aliases and frequency of name clusters, by greedy stars within blocks.
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the shared folder where one is set."""
+    spark = df.sparkSession
+    return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else df.localCheckpoint()
 
-    The most frequent unclaimed name is a seed and claims its most similar names of ratio 85 and more, at most
-    five with itself. A cluster is called by its most frequent, then longest, then first name and needs
-    two occurrences. ``block`` bounds a group; ``'1'`` compares all names in one.
+
+def similar_pairs(ranked: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """(a, b, score) of all pairs of ``ranked`` (place, name) of token-set ratio ``SIMILAR`` and more, each both ways.
+
+    Every name is compared with every other, in pairs of parts. Without common words the letters of two names must
+    nearly agree, and with them the rest of one side must be short beside them; only such pairs are scored.
+    """
+
+    def letters(words: list[set[str]]) -> np.ndarray:
+        bags = np.zeros((len(words), 64), dtype=np.int16)
+        for k, own in enumerate(words):
+            for ch in "".join(own):
+                bags[k, ord(ch) % 64] += 1
+        return bags
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = group[group.part == group.one], group[group.part == group.two]
+        one, two = [set(x.split()) for x in left.name], [set(x.split()) for x in right.name]
+        size = [np.array([len(" ".join(w)) for w in words]) for words in (one, two)]
+        bags, others = letters(one), letters(two)
+        made = []
+        for i, (place, name) in enumerate(zip(left.place, left.name, strict=True)):
+            apart = np.abs(others - bags[i]).sum(axis=1)
+            near = 100 * apart <= (100 - SIMILAR) * (size[0][i] + size[1])
+            for j, (to, other) in enumerate(zip(right.place, right.name, strict=True)):
+                if place == to or (group.one.iloc[0] == group.two.iloc[0] and place > to):
+                    continue
+                if not near[j]:
+                    both = one[i] & two[j]
+                    if not both:
+                        continue
+                    s = len(" ".join(both))
+                    rest = min(size[0][i], size[1][j]) - s
+                    if rest * 100 > (100 - SIMILAR) * (2 * s + rest):
+                        continue
+                score = token_set(name, other)
+                if score >= SIMILAR:
+                    made += [(place, to, score), (to, place, score)]
+        return pd.DataFrame(made, columns=["a", "b", "score"])
+
+    parts = max(1, -(-ranked.count() // part_rows))
+    own = ranked.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(parts)))
+    dealt = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
+    dealt = dealt.select("place", "name", "part", F.least("part", "with").alias("one"), F.greatest("part", "with").alias("two"))
+    return dealt.groupBy("one", "two").applyInPandas(run, "a long, b long, score double")
+
+
+def reached(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(place, root) of ``nodes`` (place): root is the smallest place reached over ``links`` (a, b), taken both ways."""
+    both = kept(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    found = kept(nodes.select("place", F.col("place").alias("root")))
+    while True:
+        near = both.join(found.select(F.col("place").alias("b"), "root"), "b").groupBy(F.col("a").alias("place")).agg(F.min("root").alias("near"))
+        step = found.join(near, "place", "left").select("place", F.col("root").alias("was"), F.least("root", "near").alias("at"))
+        jump = found.select(F.col("place").alias("at"), F.col("root").alias("low"))
+        step = kept(step.join(jump, "at").select("place", "was", F.least("at", "low").alias("root")))
+        found = step.select("place", "root")
+        if step.where("root < was").isEmpty():
+            return found
+
+
+def star_clusters(counts: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """canonical, aliases and frequency of name clusters, by greedy stars over all names.
+
+    The first seen unclaimed name is a seed and claims its most similar names of token-set ratio 85 and more, at
+    most five with itself. A cluster is called by its most frequent, then longest name, of equal ones the seed or
+    the most similar, and needs two occurrences. Names that no chain of claims ties are clustered apart.
     """
+    place = F.row_number().over(Window.partitionBy("first").orderBy("name")) - 1
+    same = counts.groupBy("first").agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 1
+    ranked = kept(counts.withColumn("place", F.col("first").cast("long") * same + place))
+    pairs = similar_pairs(ranked.select("place", "name"), part_rows).unionByName(ranked.select(F.col("place").alias("a"), F.col("place").alias("b"), F.lit(100.0).alias("score")))
+    best = Window.partitionBy("a").orderBy(F.desc("score"), "b")
+    claims = kept(pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= NEAREST))
+    near = claims.groupBy(F.col("a").alias("place")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "b"))), lambda x: x["b"]).alias("near"))
+    rows = ranked.join(near, "place").join(reached(ranked, claims), "place")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["n", "first"], ascending=[False, True], kind="stable").to_dict("records")
-        free, made = list(range(len(rows))), []
-        while free:
-            seed = free[0]
-            near = sorted(((-ratio(rows[seed]["name"], rows[k]["name"]), k) for k in range(len(rows))), key=lambda x: x[0])
-            mine = [k for s, k in near if -s >= SIMILAR][:NEAREST]
-            mine = sorted({seed, *(k for k in mine if k in set(free))})
-            free = [k for k in free if k not in mine]
-            total = sum(rows[k]["n"] for k in mine)
+        names = {r["place"]: r for r in group.sort_values("place").to_dict("records")}
+        taken, made = set(), []
+        for seed, row in names.items():
+            if seed in taken:
+                continue
+            mine = [seed, *(k for k in row["near"] if k != seed and k not in taken)]
+            taken.update(mine)
+            total = sum(names[k]["n"] for k in mine)
             if total >= LEAST_COUNT:
-                lead = max(mine, key=lambda k: (rows[k]["n"], len(rows[k]["name"]), -k))
-                made.append((rows[lead]["name"], sorted(rows[k]["name"] for k in mine if k != lead), total))
+                lead = max(mine, key=lambda k: (names[k]["n"], len(names[k]["name"])))
+                made.append((names[lead]["name"], sorted(names[k]["name"] for k in mine if k != lead), total))
         return pd.DataFrame(made, columns=["canonical", "aliases", "frequency"])
 
-    return counts.withColumn("block", F.expr(block)).groupBy("block").applyInPandas(run, "canonical string, aliases array<string>, frequency long")
+    return rows.groupBy("root").applyInPandas(run, "canonical string, aliases array<string>, frequency long")
 
 
 def union_assets(curated: DataFrame, mined: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Text, geometry and similarity functions and the extraction operators on small token fixtures."""
 
 import json
+import random
 
 import pytest
 from docketry.functions import geometry as G
@@ -142,6 +143,31 @@ def test_masters(spark):
     assert masters.union_assets(rows("Mahindra 575"), rows("MAHINDRA 575 ")).collect()[0].full_name == "Mahindra 575"
 
 
+def test_clusters_compare_all_names(spark):
+    """Held against the greedy loop over all names: claims across first letters, word orders and subsets."""
+    names = ["BADHU PAWAN AUTOMOBILES", "PAWAN MADHU AUTOMOBILES", "MADHU PAWAN AUTOMOBILES", "SHREE GANESH", "SHREE GANESH TRACTORS", "TRACTORS", "ZUNIL SHOP", "SUNIL SHOP", "ALONE HERE"]
+    rng = random.Random(4)
+    for _ in range(60):
+        w = [rng.choice(["RAJ", "OM", "PATEL", "KISAN", "BHARAT", "NEW"]) + rng.choice(["", "A", "I"]) for _ in range(rng.randint(1, 3))]
+        names.append(" ".join([*w, rng.choice(["MOTORS", "TRACTORS", "AGRO"])]))
+    seen = [*dict.fromkeys(names)]
+    taken, want = set(), []
+    for k, seed in enumerate(seen):
+        if seed in taken:
+            continue
+        near = sorted((x for x in enumerate(seen) if similarity.token_set(seed, x[1]) >= 85), key=lambda x: (-similarity.token_set(seed, x[1]), x[0]))[:5]
+        mine = [seed, *(x for _, x in near if x != seed and x not in taken)]
+        taken.update(mine)
+        if sum(names.count(x) for x in mine) >= 2:
+            lead = max(mine, key=lambda x: (names.count(x), len(x)))
+            want.append((lead, sorted(x for x in mine if x != lead), sum(names.count(x) for x in mine)))
+    counts = masters.candidate_counts(spark.createDataFrame([(x, k) for k, x in enumerate(names)], "name string, seq long"))
+    assert len(want) > 10 and any("BADHU PAWAN AUTOMOBILES" in (c, *a) and len(a) == 2 for c, a, _ in want)
+    for size in (1000, 16):
+        assert sorted((r.canonical, r.aliases, r.frequency) for r in masters.star_clusters(counts, size).collect()) == sorted(want)
+    assert masters.star_clusters(counts.limit(0)).count() == 0
+
+
 def test_detections(spark):
     rows = spark.createDataFrame([(0, 0, "signature", 0, 0, 10, 10, 0.6), (0, 1, "signature", 5, 5, 20, 20, 0.95), (0, 2, "stamp", 6, 6, 20, 20, 0.3), (0, 3, "stamp", 400, 400, 420, 420, 0.1)], "doc_id long, seq long, cls string, x1 int, y1 int, x2 int, y2 int, conf double")
     assert {(r.cls, r.seq) for r in detections.best_per_class(detections.confident(rows)).collect()} == {("signature", 1), ("stamp", 2)}
