@@ -29,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm import vec
@@ -93,7 +93,7 @@ def fingerprints(docs: DataFrame, scheme: Scheme, text: str = "text", keys: tupl
 
 
 def shingle_sets(docs: DataFrame, scheme: Scheme, folder: str) -> DataFrame:
-    """doc_id, ``key`` (equal for equal sets), ``fp`` of the distinct shingles, and ``node``, the place of the set in ``folder``."""
+    """doc_id, the text's ``mark``, ``key`` (equal for equal sets), ``fp`` of the distinct shingles, and ``node``, the place of the set in ``folder``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, top = file_system(folder)
@@ -101,7 +101,7 @@ def shingle_sets(docs: DataFrame, scheme: Scheme, folder: str) -> DataFrame:
         number, at = TaskContext.get().taskAttemptId(), 0
         with files.open_output_stream(f"{top}/{number}") as out:
             for batch in batches:
-                data, offsets = vec.flat(batch.column(1))
+                data, offsets = vec.flat(batch.column(2))
                 fp = np.zeros((batch.num_rows, scheme.words), dtype="<u8")
                 key = np.zeros((batch.num_rows, 2), dtype="<u8")
                 node = np.zeros(batch.num_rows, dtype=np.int64)
@@ -119,9 +119,15 @@ def shingle_sets(docs: DataFrame, scheme: Scheme, folder: str) -> DataFrame:
                     at += len(stored)
                 node += number << PLACE_BITS
                 fixed = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * x.shape[1]), batch.num_rows, [None, pa.py_buffer(x.tobytes())]).cast(pa.binary()) for x in (key, fp)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *fixed, pa.array(node)], ["doc_id", "key", "fp", "node"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *fixed, pa.array(node)], ["doc_id", "mark", "key", "fp", "node"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key binary, fp binary, node long")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark().alias("mark"), F.col("text").cast("string").alias("text"))
+    return given.mapInArrow(run, "doc_id long, mark long, key binary, fp binary, node long")
+
+
+def text_mark() -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def distinct(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -361,16 +367,16 @@ def drop_near_copies(docs: DataFrame, scheme: Scheme = WIDE_512) -> DataFrame:
     """One row of each group of near copies, that of the smallest doc_id; all columns of ``docs`` as they are.
 
     Rows are near copies if at least 0.8 of their distinct shingles are common, and so are those that a chain of
-    near copies ties. Rows of equal doc_id count as one; rows without doc_id are kept.
+    near copies ties. A doc_id may stand for several texts: each is judged by itself. Rows without doc_id are kept.
     """
     folder = new_path(docs.sparkSession, "shingles")
     prints = written(shingle_sets(docs, scheme, folder), "fingerprints")
     named_sets = prints.where("doc_id is not null").groupBy("key")
-    classes = written(named_sets.agg(F.min("node").alias("node"), F.min("fp").alias("fp"), F.min("doc_id").alias("lead")), "classes")
+    classes = written(named_sets.agg(F.min("node").alias("node"), F.min("fp").alias("fp"), F.min(F.struct("doc_id", "mark")).alias("lead")), "classes")
     found = components(links(classes, scheme, shard_rows=WIDE_SHARD_ROWS, sets=folder))
-    leaders = classes.join(found, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("lead").alias("_doc")).select("_doc").distinct()
+    leaders = classes.join(found, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("lead").alias("lead")).select(F.col("lead.doc_id").alias("_doc"), F.col("lead.mark").alias("_mark"))
     width = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    named = docs.select(F.col("doc_id").cast("long").alias("_doc"), width.alias("_row"))
-    kept = named.join(leaders, "_doc", "left_semi")
-    once = kept.dropDuplicates(["_doc"])
+    named = docs.select(F.col("doc_id").cast("long").alias("_doc"), text_mark().alias("_mark"), width.alias("_row"))
+    kept = named.join(leaders, ["_doc", "_mark"], "left_semi")
+    once = kept.dropDuplicates(["_doc", "_mark"])
     return once.unionByName(named.where("_doc is null")).select("_row.*")

@@ -147,3 +147,11 @@ def test_stage_decides_by_shingle_similarity(spark):
     assert 100 < len(sets) - len(want) < len(sets) - 410
     got = {r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_stage_keeps_different_texts_of_one_doc_id(spark):
+    rng = random.Random(10)
+    a, b, c, d = (" ".join(f"w{rng.randint(0, 9999)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, c), (3, d), (4, d)]
+    got = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, a), (1, b), (3, c), (3, d)])
