@@ -1,16 +1,25 @@
-"""Text features and linear classifiers for the classifier operators, in numpy."""
+"""Text features and linear classifiers for the classifier operators.
+
+Classifiers are softmax regressions. A fit is a distributed one: training rows lie in a written table of features,
+each pass sums losses and gradients of all of them on the executors, and the driver holds weights and its own
+optimizer's vectors only, whose size does not depend on the rows. Several problems share the passes.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from docketry.llm import vec
 
 DIMS = 1 << 17
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[c for c in range(33, 127) if not chr(c).isalnum()]] = 0x20
-_UPPER, _DIGIT, _SIGN, _PIPE, _LINE = (np.zeros(256, np.int64) for _ in range(5))
+_UPPER, _DIGIT, _SIGN, _PIPE, _LINE = (np.zeros(256, np.uint8) for _ in range(5))
 _UPPER[65:91] = _DIGIT[48:58] = _PIPE[ord("|")] = _LINE[10] = 1
 _SIGN[[ord(c) for c in "!#$%&*+/<=>@\\^_`{|}~"]] = 1
 STATS = 8
@@ -22,137 +31,251 @@ def token_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     ids = (vec.xxh64(w.buf, w.start, w.end - w.start, 7) & np.uint64(DIMS - 1)).astype(np.int64)
     n = np.maximum(np.diff(w.rows), 1)
     size = np.maximum(np.diff(offsets), 1)
-    per = lambda t: vec.row_sums(t[data], offsets)
-    row = np.repeat(np.arange(len(n)), np.diff(w.rows))
-    distinct = np.bincount(np.unique(row * DIMS + ids) // DIMS, minlength=len(n))
+    per = lambda t: vec.row_sums(t[data], offsets, np.int64)
+    own = np.sort(np.repeat(np.arange(len(n)), np.diff(w.rows)) * DIMS + ids)
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    distinct = np.bincount(own[new] // DIMS, minlength=len(n))
     stats = [np.log1p(np.diff(w.rows)), per(_UPPER) / size, per(_DIGIT) / size, per(_SIGN) / size, per(_PIPE) / n, per(_LINE) / n, distinct / n, np.minimum(size / n, 40)]
     return ids, w.rows, np.stack(stats, axis=1)
 
 
 def bag(column: pa.Array | pa.ChunkedArray) -> tuple[list[bytes], list[bytes], np.ndarray]:
-    """For a training sample: each row's distinct buckets, their counts, and statistics; bounded by ``DIMS`` a row."""
+    """Each row's distinct buckets, their counts, and statistics; bounded by ``DIMS`` a row."""
     data, offsets = vec.flat(column)
-    ids, rows, stats = token_buckets(data, offsets)
-    keys, counts = [], []
-    for a, b in zip(rows[:-1], rows[1:], strict=True):
-        k, c = np.unique(ids[a:b], return_counts=True)
-        keys.append(k.astype("<i4").tobytes())
-        counts.append(c.astype("<i4").tobytes())
-    return keys, counts, stats
+    return bag_of(*token_buckets(data, offsets))
+
 
+def bag_of(ids: np.ndarray, rows: np.ndarray, stats: np.ndarray) -> tuple[list[bytes], list[bytes], np.ndarray]:
+    own = np.sort(np.repeat(np.arange(len(rows) - 1), np.diff(rows)) * DIMS + ids)
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(own))).astype("<i4")
+    key, at = (own[first] % DIMS).astype("<i4"), np.searchsorted(own[first], np.arange(len(rows)) * DIMS)
+    cut = lambda x: [x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+    return cut(key), cut(count), stats
 
-def joined_bytes(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a binary column as one array of ``kind``, and the row offsets in it; no copy of the data."""
-    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    size = np.dtype(kind).itemsize
-    offsets = np.frombuffer(whole.buffers()[1], dtype=np.int32)[whole.offset : whole.offset + len(whole) + 1].astype(np.int64)
-    data = np.frombuffer(whole.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]] if len(whole) else np.zeros(0, np.uint8)
-    return data.view(kind), (offsets - offsets[0]) // size if len(whole) else np.zeros(1, np.int64)
+
+PART = 1 << 19  # entries of a batch that are worked on at once
 
 
 class Bags:
-    """Sparse rows: ``at`` row offsets over ``key`` and ``value`` = count / sqrt(words), beside dense columns."""
+    """Sparse rows: ``at`` row offsets over ``key`` and ``value`` = count / sqrt(words)."""
 
-    def __init__(self, keys: pa.ChunkedArray, counts: pa.ChunkedArray, dense: np.ndarray):
-        self.key, self.at = joined_bytes(keys, "<i4")
-        count = joined_bytes(counts, "<i4")[0]
+    def __init__(self, keys: pa.Array, counts: pa.Array):
+        self.at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in keys.to_pylist()])]).astype(np.int64)
+        joined = lambda column: np.frombuffer(b"".join(column.to_pylist()), "<i4")
+        self.key, count = joined(keys), joined(counts)
         n = np.maximum(vec.row_sums(count, self.at), 1)
-        self.value = count / np.sqrt(np.repeat(n.astype(np.float32), np.diff(self.at)))
-        self.dense = dense
-
-    @classmethod
-    def bare(cls, dense: np.ndarray) -> Bags:
-        """Rows with dense columns only."""
-        return cls._of(np.zeros(len(dense) + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32), dense)
-
-    @classmethod
-    def _of(cls, at: np.ndarray, key: np.ndarray, value: np.ndarray, dense: np.ndarray) -> Bags:
-        made = object.__new__(cls)
-        made.at, made.key, made.value, made.dense = at, key, value, dense
-        return made
-
-    def take(self, rows: np.ndarray) -> Bags:
-        size = np.diff(self.at)[rows]
-        at = np.concatenate([[0], np.cumsum(size)])
-        index = np.arange(at[-1], dtype=np.int32) + np.repeat((self.at[rows] - at[:-1]).astype(np.int32), size)
-        return Bags._of(at, self.key[index], self.value[index], self.dense[rows])
-
-    def stack(self, other: Bags) -> Bags:
-        return Bags._of(np.concatenate([self.at, self.at[-1] + other.at[1:]]), np.concatenate([self.key, other.key]), np.concatenate([self.value, other.value]), np.concatenate([self.dense, other.dense]))
-
-    def parts(self, size: int = 1 << 19):
-        """Row ranges of about ``size`` entries: passes over them need little memory beside the rows themselves."""
-        return vec.pieces(self.at, size)
-
-    def dot(self, table: np.ndarray, key: np.ndarray) -> np.ndarray:
+        self.value = count / np.sqrt(np.repeat(n, np.diff(self.at)))
+
+    def dot(self, table: np.ndarray) -> np.ndarray:
         """Each row's sum of value times ``table[key]``, for all columns of the table."""
-        out = np.empty((len(self.dense), table.shape[1]))
-        for a, b in self.parts():
-            i, j = self.at[a], self.at[b]
-            for c in range(table.shape[1]):
-                out[a:b, c] = vec.row_sums(self.value[i:j] * table[key[i:j], c], self.at[a : b + 1] - i)
+        out = np.empty((len(self.at) - 1, table.shape[1]))
+        for c in range(table.shape[1]):
+            out[:, c] = vec.row_sums(self.value * table[self.key, c], self.at)
         return out
 
-    def spread(self, rows: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
-        """For each of ``size`` keys the sum of value times its rows' columns: the transpose of ``dot``."""
-        out = np.zeros((size, rows.shape[1]))
-        for a, b in self.parts():
-            i, j = self.at[a], self.at[b]
-            n = np.diff(self.at[a : b + 1])
-            for c in range(rows.shape[1]):
-                out[:, c] += np.bincount(key[i:j], self.value[i:j] * np.repeat(rows[a:b, c], n), minlength=size)
-        return out
+    def spread(self, rows: np.ndarray, value: np.ndarray | None = None) -> np.ndarray:
+        """For each key the sum of value times its rows' columns: the transpose of ``dot``."""
+        value, n = self.value if value is None else value, np.diff(self.at)
+        return np.stack([np.bincount(self.key, value * np.repeat(rows[:, c], n), minlength=DIMS) for c in range(rows.shape[1])], axis=1)
 
 
 class Linear:
-    """Softmax regression over hashed words and scaled dense columns, fitted by Adam with weight decay."""
+    """Softmax regression over hashed words (none if ``words`` is None) and scaled dense columns."""
 
-    def __init__(self, classes: int, width: int, decay: float):
-        self.words = np.zeros((DIMS, classes))
+    def __init__(self, classes: int, width: int, words: bool):
+        self.words = np.zeros((DIMS, classes), np.float32) if words else None
         self.dense = np.zeros((width + 1, classes))
-        self.mean, self.scale, self.decay = np.zeros(width), np.ones(width), decay
+        self.mean, self.scale = np.zeros(width), np.ones(width)
 
-    def _columns(self, dense: np.ndarray) -> np.ndarray:
+    def columns(self, dense: np.ndarray) -> np.ndarray:
         return np.concatenate([np.clip((dense - self.mean) / self.scale, -4, 4), np.ones((len(dense), 1))], axis=1)
 
-    def fit(self, x: Bags, y: np.ndarray, steps: int = 80, rate: float = 0.5) -> Linear:
-        """``y``: class numbers. Goes on from the present weights."""
-        self.mean, self.scale = x.dense.mean(axis=0), x.dense.std(axis=0) + 1e-6
-        classes = self.words.shape[1]
-        seen = np.bincount(x.key, minlength=DIMS)
-        used = np.flatnonzero(seen)
-        number = np.zeros(DIMS, np.int32)
-        number[used] = np.arange(len(used))
-        at, often = number[x.key], seen[used] >= 3
-        dense, truth = self._columns(x.dense), np.eye(classes)[y]
-        # each word's log-odds of occurring in a class: the words that tell classes apart get the larger steps
-        held = Bags._of(x.at, x.key, np.ones(len(x.key), np.float32), x.dense).spread(truth, at, len(used)) + 1.0
-        other, size = held.sum(axis=1, keepdims=True) - held, truth.sum(axis=0) + 2.0
-        ratio = np.log(held / size) - np.log(other / (size.sum() - size)) if classes > 1 else np.ones_like(held)
-        ratio = np.clip(ratio, -6, 6) * often[:, None]
-        w, v = np.divide(self.words[used], ratio, out=np.zeros_like(ratio), where=np.abs(ratio) > 1e-3), self.dense.copy()
-        m = [np.zeros_like(w), np.zeros_like(v)]
-        s = [np.zeros_like(w), np.zeros_like(v)]
-        for step in range(1, steps + 1):
-            error = (softmax(dense @ v + x.dot(w * ratio, at)) - truth) / len(y)
-            gw = ratio * x.spread(error, at, len(used))
-            for k, (p, g) in enumerate(((w, gw + self.decay * w), (v, dense.T @ error + self.decay * v))):
-                m[k] = 0.9 * m[k] + 0.1 * g
-                s[k] = 0.99 * s[k] + 0.01 * g * g
-                p -= rate / np.sqrt(step) * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
-        self.words = np.zeros_like(self.words)
-        self.words[used], self.dense = w * ratio, v
-        return self
-
-    def logits(self, x: Bags) -> np.ndarray:
-        return self._columns(x.dense) @ self.dense + x.dot(self.words, x.key)
+    def logits(self, dense: np.ndarray, bags: Bags | None = None) -> np.ndarray:
+        z = self.columns(dense) @ self.dense
+        return z if self.words is None else z + bags.dot(self.words)
 
     def score_tokens(self, ids: np.ndarray, rows: np.ndarray, dense: np.ndarray) -> np.ndarray:
         """Logits of whole texts straight from their tokens."""
         n = np.maximum(np.diff(rows), 1)
-        return self._columns(dense) @ self.dense + vec.row_sums(self.words[ids], rows) / np.sqrt(n)[:, None]
+        return self.columns(dense) @ self.dense + vec.row_sums(self.words[ids], rows, np.float64) / np.sqrt(n)[:, None]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
+
+
+@dataclass(frozen=True)
+class Problem:
+    """``label``: the column of class numbers, null where a row does not take part. ``dense``: the binary column of ``width`` doubles."""
+
+    label: str
+    classes: int
+    dense: str
+    width: int
+    words: bool
+    decay: float
+
+
+SLICES = 8
+
+
+def summed(rows: DataFrame, vector: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """The sum over all batches of ``rows`` of ``vector(batch)``: a task sums its own, tasks meet slice by slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            own = vector(batch)
+            total = own if total is None else total + own
+        if total is not None:
+            parts = np.array_split(total, SLICES)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "part"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = 0.0
+        for part in group.column("part"):
+            total = total + np.frombuffer(part.as_py())
+        return pa.table({"slice": group.column("slice").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "slice int, part binary"
+    found = rows.mapInArrow(run, kind).repartition(SLICES, "slice").groupBy("slice").applyInArrow(add, kind).toArrow().sort_by("slice")
+    return np.frombuffer(b"".join(found.column("part").to_pylist()))
+
+
+def pieces_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Row ranges of a batch of features with about ``PART`` entries."""
+    at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in batch.column("keys").to_pylist()])])
+    for a, b in vec.pieces(at, PART):
+        yield batch.slice(a, b - a)
+
+
+def labels_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """Class numbers, -1 for null."""
+    return batch.column(name).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def dense_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(name).to_pylist()), "<f8").reshape(batch.num_rows, -1)
+
+
+class Descent:
+    """L-BFGS with backtracking: ``point`` is to be evaluated next, ``best`` the lowest point so far."""
+
+    def __init__(self, start: np.ndarray, memory: int = 6):
+        self.point = self.best = start
+        self.value, self.memory, self.pairs = None, memory, []
+
+    def told(self, value: float, slope: np.ndarray) -> None:
+        if self.value is not None and value > self.value + 1e-4 * self.step * self.fall:
+            self.step *= 0.3
+            self.point = self.best + self.step * self.way
+            return
+        if self.value is not None:
+            s, y = self.point - self.best, slope - self.slope
+            if s @ y > 1e-12:
+                self.pairs = [*self.pairs[1 - self.memory :], (s, y, 1 / (s @ y))]
+        self.best, self.value, self.slope = self.point, value, slope
+        q, used = slope.copy(), []
+        for s, y, r in reversed(self.pairs):
+            used.append(r * (s @ q))
+            q -= used[-1] * y
+        if self.pairs:
+            s, y, _ = self.pairs[-1]
+            q *= (s @ y) / (y @ y)
+        for (s, y, r), a in zip(self.pairs, reversed(used), strict=True):
+            q += (a - r * (y @ q)) * s
+        self.way, self.fall = -q, -(slope @ q)
+        self.step = 1.0 if self.pairs else 1 / max(np.sqrt(slope @ slope), 1e-12)
+        self.point = self.best + self.step * self.way
+
+
+def fit(rows: DataFrame, problems: list[Problem], models: list[Linear], passes: int) -> list[Linear]:
+    """Models of ``problems`` over the features ``rows`` (keys, counts, dense and label columns), from ``models`` on.
+
+    Minimises the mean cross-entropy plus decay times half the squared weights. A word's weight is a multiple of its
+    log-odds of occurring in a class, so that words that tell classes apart move first; words in fewer than three
+    rows have none. The first pass gathers these and the scale of the dense columns, ``passes`` more descend.
+    """
+    spark, sizes = rows.sparkSession, [(DIMS * p.classes if p.words else 0, (p.width + 1) * p.classes) for p in problems]
+
+    def statistics(batch: pa.RecordBatch) -> np.ndarray:
+        out = [np.zeros(p.classes + 2 * p.width + (DIMS * p.classes if p.words else 0)) for p in problems]
+        for piece in pieces_of(batch):
+            for p, own in zip(problems, out, strict=True):
+                y = labels_of(piece, p.label)
+                x, truth = dense_of(piece, p.dense), np.eye(p.classes)[np.maximum(y, 0)] * (y >= 0)[:, None]
+                if (y >= 0).any():
+                    own[: p.classes] += truth.sum(axis=0)
+                    own[p.classes : p.classes + p.width] += x[y >= 0].sum(axis=0)
+                    own[p.classes + p.width : p.classes + 2 * p.width] += (x[y >= 0] ** 2).sum(axis=0)
+                    if p.words:
+                        bags = Bags(piece.column("keys"), piece.column("counts"))
+                        own[p.classes + 2 * p.width :] += bags.spread(truth, np.ones(len(bags.key))).ravel()
+        return np.concatenate(out)
+
+    found, at = summed(rows, statistics), 0
+    if not len(found):
+        return models
+    counts, ratios, made, descents = [], [], [], []
+    for p, old in zip(problems, models, strict=True):
+        end = at + p.classes + 2 * p.width + (DIMS * p.classes if p.words else 0)
+        own, at = found[at:end], end
+        size = own[: p.classes]
+        n = max(size.sum(), 1.0)
+        new = Linear(p.classes, p.width, p.words)
+        new.mean = own[p.classes : p.classes + p.width] / n
+        new.scale = np.sqrt(np.maximum(own[p.classes + p.width : p.classes + 2 * p.width] / n - new.mean**2, 0)) + 1e-6
+        # the old weights in terms of the new scale
+        new.dense[:-1] = old.dense[:-1] * (new.scale / old.scale)[:, None]
+        new.dense[-1] = old.dense[-1] + ((new.mean - old.mean) / old.scale) @ old.dense[:-1]
+        ratio, start = None, new.dense.ravel()
+        if p.words:
+            held = own[p.classes + 2 * p.width :].reshape(DIMS, p.classes)
+            often, held = held.sum(axis=1) >= 3, held + 1.0
+            other, total = held.sum(axis=1, keepdims=True) - held, size + 2.0
+            ratio = np.clip(np.log(held / total) - np.log(other / (total.sum() - total)), -6, 6) * often[:, None] if p.classes > 1 else np.zeros_like(held)
+            start = np.concatenate([np.divide(old.words, ratio, out=np.zeros_like(ratio), where=np.abs(ratio) > 1e-3).ravel(), start])
+        counts.append(n)
+        ratios.append(ratio)
+        made.append(new)
+        descents.append(Descent(start))
+
+    def place(model: Linear, p: Problem, ratio: np.ndarray | None, point: np.ndarray, size: tuple[int, int]) -> Linear:
+        if p.words:
+            model.words = (point[: size[0]].reshape(DIMS, p.classes) * ratio).astype(np.float32)
+        model.dense = point[size[0] :].reshape(-1, p.classes)
+        return model
+
+    for _ in range(passes):
+        for p, model, ratio, size, d in zip(problems, made, ratios, sizes, descents, strict=True):
+            place(model, p, ratio, d.point, size)
+        held = spark.sparkContext.broadcast(made)
+
+        def slopes(batch: pa.RecordBatch, held=held) -> np.ndarray:
+            out = [np.zeros(1 + sum(s)) for s in sizes]
+            for piece in pieces_of(batch):
+                bags = Bags(piece.column("keys"), piece.column("counts")) if any(p.words for p in problems) else None
+                for p, model, own, size in zip(problems, held.value, out, sizes, strict=True):
+                    y = labels_of(piece, p.label)
+                    on = (y >= 0)[:, None]
+                    x = dense_of(piece, p.dense)
+                    chance, truth = softmax(model.logits(x, bags)), np.eye(p.classes)[np.maximum(y, 0)]
+                    error = (chance - truth) * on
+                    own[0] -= np.log(np.maximum((chance * truth).sum(axis=1), 1e-300))[on[:, 0]].sum()
+                    if p.words:
+                        own[1 : 1 + size[0]] += bags.spread(error).ravel()
+                    own[1 + size[0] :] += (model.columns(x).T @ error).ravel()
+            return np.concatenate(out)
+
+        found, at = summed(rows, slopes), 0
+        held.destroy()
+        for p, n, ratio, size, d in zip(problems, counts, ratios, sizes, descents, strict=True):
+            own, at = found[at : at + 1 + sum(size)] / n, at + 1 + sum(size)
+            slope = own[1:].copy()
+            if p.words:
+                slope[: size[0]] *= ratio.ravel()
+            d.told(own[0] + p.decay / 2 * (d.point @ d.point), slope + p.decay * d.point)
+    return [place(model, p, ratio, d.best, size) for p, model, ratio, size, d in zip(problems, made, ratios, sizes, descents, strict=True)]

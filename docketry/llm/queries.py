@@ -27,9 +27,9 @@ def op2_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docketry.llm.mixing import mix
+    from docketry.llm.mixing import CORPUS, mix
 
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), total=CORPUS)
 
 
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

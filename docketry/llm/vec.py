@@ -145,12 +145,12 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def row_sums(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sum of ``values`` in each row range; empty ranges give zero. Works along axis 0."""
-    out = np.zeros((len(rows) - 1, *values.shape[1:]), dtype=values.dtype)
+def row_sums(values: np.ndarray, rows: np.ndarray, kind: type | None = None) -> np.ndarray:
+    """Sum of ``values``, as ``kind``, in each row range; empty ranges give zero. Works along axis 0."""
+    out = np.zeros((len(rows) - 1, *values.shape[1:]), dtype=kind or values.dtype)
     full = np.flatnonzero(np.diff(rows))
     if len(full):
-        out[full] = np.add.reduceat(values, rows[:-1][full], axis=0)
+        out[full] = np.add.reduceat(values, rows[:-1][full], axis=0, dtype=kind)
     return out
 
 
