@@ -7,14 +7,16 @@ occurs. Words are what white space separates in the lower-cased text.
 1. Shingles that documents share with an item anchor the windows. A window that reaches the similarity
    shares at least 0.8 (w + m) / 1.8 of them, and shifting it right to its first shared shingle loses
    none, so the windows that start at a shared shingle and reach that count include a best one.
-2. Each anchored window gets a 64-bit SimHash. Items of its length are looked up by 16 four-bit blocks:
-   fingerprints within 15 bits agree in at least one block, so the index returns all of them.
+2. Each anchored window gets a 64-bit SimHash. Items of its length are looked up by 11 blocks of five or six bits,
+   items under each value within one bit of their own: fingerprints within 21 bits are within one bit in at least one
+   block, so the index returns all of them.
 3. Candidates within the radius are verified by their exact similarity.
 
-At a similarity of 0.8 about 10 of 64 bits differ; a pair at the threshold is within 15 bits with a
-chance of about 0.97, closer pairs practically always. Items of fewer than five words have no shingle and
-match nothing; so do null and empty texts. A document shorter than the item is one window. Exact copies
-of a text are searched once. Repeated doc_ids with different texts are texts of their own.
+At a similarity of 0.8 about 10 of 64 bits differ, with a deviation of 3; a pair at the threshold is within 21 bits with
+a chance of about 0.9999, closer pairs practically always. Items of fewer than five words have no shingle and match
+nothing; so do null and empty texts. A document shorter than the item is one window; a very long one is a row, with as
+many windows as it has anchors. Exact copies of a text are searched once. Repeated doc_ids with different texts are texts
+of their own; other columns are carried along or ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,12 +28,16 @@ from docketry.llm.common import written
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 15
-BROADCAST_ROWS = 1_000_000  # a side of at most so many small rows is broadcast; a larger one is shuffled
+RADIUS = 21
+BLOCKS = 11
+BROADCAST_BYTES = 64 << 20  # a side of at most so many bytes is broadcast; a larger one is shuffled
+TASK_TEXTS = 256  # texts whose windows a task should print and look up
 
 
-def _checked(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= most else df
+def _checked(df: DataFrame, size: Column | int) -> DataFrame:
+    """``df``, a written table whose rows take ``size`` bytes, for the small side of a join."""
+    total = df.agg(F.sum(size if isinstance(size, Column) else F.lit(size))).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
 def words(text: Column) -> Column:
@@ -64,14 +70,27 @@ def simhash(hashes: Column) -> Column:
     return made
 
 
-def _blocks(fp: Column) -> Column:
-    size = 64 // (RADIUS + 1)
-    return F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(fp, size * k).bitwiseAND(F.lit((1 << size) - 1)).alias("v")) for k in range(RADIUS + 1)))
+#: (first bit, bits) of each block
+LAID = tuple((64 * k // BLOCKS, 64 * (k + 1) // BLOCKS - 64 * k // BLOCKS) for k in range(BLOCKS))
+
+
+def _block(fp: Column, k: int) -> Column:
+    first, bits = LAID[k]
+    return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def _blocks(fp: Column, near: bool = False) -> Column:
+    """(k, v) of each block; with ``near`` also with each of the block's bits turned."""
+    turned = lambda k: [_block(fp, k), *(_block(fp, k).bitwiseXOR(F.lit(1 << j)) for j in range(LAID[k][1]) if near)]
+    return F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k in range(BLOCKS) for v in turned(k)))
 
 
 def _common(a: Column, b: Column) -> Column:
+    """Shingles that both have, as often as both have them; counted one by one only where some shingle repeats."""
     count = lambda of, h: F.size(F.filter(of, lambda x: x == h))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, h: acc + F.least(count(a, h), count(b, h)))
+    plain = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+    both = F.array_intersect(a, b)
+    return F.when(plain, F.size(both)).otherwise(F.aggregate(both, F.lit(0), lambda acc, h: acc + F.least(count(a, h), count(b, h))))
 
 
 def item_table(benchmark: DataFrame) -> DataFrame:
@@ -89,7 +108,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     text = docs.where("text is not null").select(F.col("text").cast("string").alias("text"))
     keyed = text.select(F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w")).withColumn("n", F.size("w") - SHINGLE + 1)
 
-    anchors = _checked(written(items.select("item_id", "m", F.explode(F.array_distinct("hashes")).alias("h")), "anchors"))
+    anchors = _checked(written(items.select("item_id", "m", F.explode(F.array_distinct("hashes")).alias("h")), "anchors"), 32)
     spread = keyed.select("text_key", "n", "w", F.explode_outer(F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1))).alias("at"))
     shared = spread.select("text_key", "n", "at", _shingle(F.col("w"), F.col("at")).alias("h")).where("at is not null").join(anchors, "h")
     found = shared.groupBy("text_key", "item_id", "m", "n").agg(F.array_sort(F.collect_set("at")).alias("at"))
@@ -98,18 +117,21 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     begun = full.select("text_key", "m", F.explode(starts).alias("p"), "n").select("text_key", "m", F.greatest(F.lit(0), F.least("p", F.col("n") - F.col("m"))).alias("start"), F.least("m", "n").alias("size"))
     windows = written(begun.groupBy("text_key").agg(F.collect_set(F.struct("start", "size", "m")).alias("windows")), "windows")
 
-    # the texts with windows, once each; the array of a text's windows is no longer than the text
-    again = keyed.join(_checked(windows, BROADCAST_ROWS // 4), "text_key")
-    hashed = again.select("text_key", F.transform("windows", lambda x: F.struct(x["start"].alias("start"), x["m"].alias("m"), _shingles(F.col("w"), x["start"], x["size"]).alias("hashes"))).alias("made"))
-    once = hashed.dropDuplicates(["text_key"]).select("text_key", F.inline("made"))
-    printed = once.withColumn("fp", simhash(F.col("hashes")))
+    # the texts with windows, once each: keys find them, then only they are dealt, to as many tasks as they need
+    keys = windows.select("text_key")
+    again = keyed.join(_checked(keys, 16), "text_key", "left_semi").repartition(max(1, -(-windows.count() // TASK_TEXTS)), "text_key").dropDuplicates(["text_key"])
+    listed = again.join(windows, "text_key").select("text_key", "w", F.inline("windows"))
+    printed = listed.select("text_key", "start", "m", _shingles(F.col("w"), F.col("start"), F.col("size")).alias("hashes")).withColumn("fp", simhash(F.col("hashes")))
     probe = printed.withColumn("block", F.explode(_blocks(F.col("fp")))).select("text_key", "start", "m", "hashes", "fp", "block.k", "block.v")
-    index = items.withColumn("block", F.explode(_blocks(F.col("fp")))).select("item_id", "m", F.col("hashes").alias("item_hashes"), F.col("fp").alias("item_fp"), "block.k", "block.v")
-    near = probe.join(_checked(index), ["m", "k", "v"]).withColumn("differ", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("differ") <= RADIUS)
-    # of the blocks in which a pair agrees, the lowest one counts
-    lowest = near.where(~F.exists(F.zip_with(_blocks(F.col("fp")), _blocks(F.col("item_fp")), lambda a, b: (a["v"] == b["v"]) & (a["k"] < F.col("k"))), lambda x: x))
+    index = items.withColumn("block", F.explode(_blocks(F.col("fp"), near=True))).select("item_id", "m", F.col("fp").alias("item_fp"), "block.k", "block.v")
+    apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    near = probe.join(_checked(written(index, "index"), 40), ["m", "k", "v"]).withColumn("differ", F.bit_count(apart)).where(F.col("differ") <= RADIUS)
+    # of the blocks in which a pair nearly agrees, the lowest one counts
+    for k in range(BLOCKS - 1):
+        near = near.where((F.col("k") <= k) | (F.bit_count(_block(apart, k)) > 1))
+    paired = near.drop("k", "v").join(_checked(items.select("item_id", F.col("hashes").alias("item_hashes")), F.size("item_hashes") * 8 + 32), "item_id")
     both = _common(F.col("hashes"), F.col("item_hashes"))
-    scored = lowest.withColumn("both", both).withColumn("similarity", F.col("both") / (F.size("hashes") + F.size("item_hashes") - F.col("both"))).where(F.col("similarity") >= SIMILARITY)
+    scored = paired.withColumn("both", both).withColumn("similarity", F.col("both") / (F.size("hashes") + F.size("item_hashes") - F.col("both"))).where(F.col("similarity") >= SIMILARITY)
     best = scored.groupBy("text_key", "item_id").agg(F.max_by(F.struct("start", (F.size("hashes") + SHINGLE - 1).alias("n_words"), "differ", "similarity"), F.struct("similarity", -F.col("start"))).alias("best"))
     return written(best.select("text_key", "item_id", "best.*"), "matches")
 
@@ -118,13 +140,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id with the best window of each item that contaminates it."""
     found = matches(docs, benchmark)
     keyed = docs.where("text is not null").select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_key"))
-    return keyed.join(_checked(found), "text_key").drop("text_key")
+    return keyed.join(_checked(found, 56), "text_key").drop("text_key")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated rows, all columns as they are; rows without text stay."""
-    found = matches(docs, benchmark).select("text_key").distinct()
+    found = written(matches(docs, benchmark).select("text_key").distinct(), "contaminated")
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     named = docs.select(F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").isNull().alias("none"), whole.alias("row"))
-    left = named.where("not none").join(_checked(found), "text_key", "left_anti")
+    left = named.where("not none").join(_checked(found, 16), "text_key", "left_anti")
     return left.unionByName(named.where("none")).select("row.*")
