@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as htmllib
 import re
 from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,20 +56,30 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>|<[!?/].*|<[a-zA-Z][^<>]*\Z",
     re.S | re.I,
 )
-_NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_LOUD = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+# What a class name begins with that says what an element has, not what it is
+HAS = frozenset("with has have no not without is js".split())
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HEADING = re.compile(r"h[1-6]\Z")
 
 
+def _marked(names: str) -> bool:
+    """Whether one of the class or id names is that of something else than an article."""
+    for name in names.split():
+        parts = [p.lower() for p in _PART.findall(name)]
+        if parts and parts[0] not in HAS and not MARKS.isdisjoint(parts):
+            return True
+    return False
+
+
 def _silent(name: str, attributes: str) -> bool:
     """Whether the element's own attributes mark it as not part of an article."""
-    for key, *values in _NAMES.findall(attributes):
+    for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "")
-        if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if key == "hidden" or (key in ("class", "id") and _marked(value)) or (key == "style" and _LOUD.search(value)):
             return True
-        if key in ("class", "id") and any(p.lower() in MARKS for p in _PART.findall(value)):
+        if (key == "role" and value.lower() in ROLES) or (key == "aria-hidden" and value.lower() == "true"):
             return True
     return False
 
@@ -80,20 +91,37 @@ class _Block:
         self.parts, self.linked, self.inside, self.out, self.heading = [], 0, inside, out, heading
 
 
+class _Frame:
+    """An open element, with what it and the elements around it say about text inside."""
+
+    __slots__ = ("article", "hushed", "kinds", "name", "other", "soft")
+
+    def __init__(self, name: str, attributes: str, around: _Frame | None):
+        marked = name not in ("html", "body") and bool(attributes) and _silent(name, attributes)
+        own = name in ("article", "main")
+        self.name = name
+        self.article = own or (around is not None and around.article)
+        # an article inside a marked element is not hushed by it, only by marks of articles and those inside
+        self.hushed = (marked and own) or (around is not None and around.hushed)
+        self.soft = marked or self.hushed or (around is not None and around.soft and not own)
+        kind = name in SILENT or name == "header"
+        self.kinds = kind or (around is not None and around.kinds)
+        self.other = (kind and name != "header") or (around is not None and around.other)
+
+
 def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     """(text, link density, in an article, in a silent element, heading) of each block that has text."""
     made: list[_Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, silent by kind, silent by attributes, article
+    stack: list[_Frame] = []
+    opened: Counter[str] = Counter()  # how many elements of a name are open
     links, heading, hushed, fresh, at = 0, False, False, True, 0
 
     def text(piece: str) -> None:
         nonlocal fresh
         if fresh:
-            hard = any(s for _, s, _, _ in stack)
-            inside = any(a for _, _, _, a in stack)
-            deepest = max((i for i, s in enumerate(stack) if s[3]), default=-1)
-            soft = any(s[2] for s in stack[deepest + 1 :]) or any(s[2] and s[3] for s in stack)
-            lead = heading and inside and not soft and {s[0] for s in stack if s[1]} == {"header"}
+            top = stack[-1] if stack else None
+            inside, soft, hard = (top.article, top.soft, top.kinds) if top else (False, False, False)
+            lead = heading and inside and not soft and hard and not top.other
             made.append(_Block(inside, (hard and not lead) or soft or hushed, heading))
             fresh = False
         piece = htmllib.unescape(piece)
@@ -113,21 +141,23 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             fresh, links = True, links if name in ("li", "ul", "ol") else 0
             heading = bool(_HEADING.match(name)) and not closing
             hushed = not closing and name not in FRAME and bool(m[4]) and _silent(name, m[4])
-        elif name in ("br", "td", "th", "img", "wbr") and name != "wbr" and not fresh:
+        elif name in ("br", "td", "th", "img") and not fresh:
             made[-1].parts.append(" ")
         elif name == "a":
             links = 0 if closing else 1
         if name in FRAME or (not closing and name == "span" and _silent(name, m[4])):
             if not closing:
                 if not m[4].endswith("/") or name in BLOCK:
-                    stack.append((name, name in SILENT or name == "header", name not in ("html", "body") and bool(m[4]) and _silent(name, m[4]), name in ("article", "main")))
+                    stack.append(_Frame(name, m[4], stack[-1] if stack else None))
+                    opened[name] += 1
                     fresh = True
-            elif any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
-                    pass
+            elif opened[name]:
+                while (top := stack.pop().name) != name:
+                    opened[top] -= 1
+                opened[name] -= 1
                 fresh = True
-        elif closing and name == "span" and stack and stack[-1][0] == "span":
-            stack.pop()
+        elif closing and name == "span" and stack and stack[-1].name == "span":
+            opened[stack.pop().name] -= 1
             fresh = True
     if at < len(page):
         text(page[at:])
