@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow.fs as pafs
@@ -15,12 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder that driver and executors share, with its scheme: ``spark.checkpoint.dir``, or where that is unset a
+    folder of the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docketry-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/docketry-shared"
+        spark.sparkContext.setCheckpointDir(found)
+    return qualified(spark, found)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as Spark resolves it, against its default file system, so that other readers find the same place."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
 
 
 def new_path(spark: SparkSession, what: str) -> str:
@@ -36,12 +42,10 @@ def written(df: DataFrame, what: str, partition_by: list[str] | None = None) ->
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    """A file system that reads and writes ``path`` (plain or URI) from any executor."""
-    if "://" not in path and not path.startswith("file:"):
-        return pafs.LocalFileSystem(), path
+    """A file system that reads and writes ``path`` from any executor: a ``qualified`` one, or a plain local one."""
     if path.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(path)
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:

@@ -151,7 +151,9 @@ def rewrite(resolved: DataFrame, folder: str, target: str) -> DataFrame:
                 at += len(member)
         return pa.table({"archive": [name], "records": [len(rows)]})
 
-    return written(resolved.groupBy("archive").applyInArrow(run, "archive string, records long"), "warc-archives")
+    # headers are small and payloads are not, so as many tasks as there are archives
+    archives = max(1, resolved.select("archive").distinct().count())
+    return written(resolved.repartition(archives, "archive").groupBy("archive").applyInArrow(run, "archive string, records long"), "warc-archives")
 
 
 def read_archives(archives: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
@@ -179,7 +181,7 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = False) -> D
     names = ["record_id", "page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "html"]
     out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
     schema = "record_id string, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, html string"
-    return archives.select("archive").repartition("archive").mapInArrow(run, schema)
+    return archives.select("archive").repartition(max(1, archives.count()), "archive").mapInArrow(run, schema)
 
 
 def deduplicated_records(pages: DataFrame) -> DataFrame:
