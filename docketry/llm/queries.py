@@ -60,7 +60,8 @@ def op8_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm.reshard import old_shard, resharded, text_crc32, text_size
 
     files = resharded(table(spark, sf_dir, "documents"))
-    placed = files.select("doc_id", text_size().alias("size"), text_crc32().alias("text_crc32"), "shard", "slot", old_shard().alias("old_shard"))
+    shard, slot = files.columns[-2:]
+    placed = files.select("doc_id", text_size().alias("size"), text_crc32().alias("text_crc32"), F.col(shard).alias("shard"), F.col(slot).alias("slot"), old_shard().alias("old_shard"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 

@@ -5,11 +5,15 @@ whose cost is a byte moved; its minimum-cost flow says how many bytes go from ea
 one. The transfers are made in blocks: the rows of an old shard of one size class and hash bucket. A block
 that lies across the border of two transfers is parted row by row; small rows come last in a shard, so the
 borders fall between them and new sizes are nearly equal. The driver sees block sizes only, at most
-``MAX_BLOCKS``; blocks then hold more rows each. Slots number the rows of a new shard without gaps, by
-block offsets and ranks in a block.
-
-Null texts have no bytes; a null doc_id hashes like any value; equal rows are rows of their own. An empty
-table gives no rows. Other columns are carried along unchanged, whatever their names.
+``MAX_BLOCKS`` (or 62 for each old shard, one a size class, if that is more); blocks then hold more rows each. Slots
+number the rows of a new shard without gaps, by block offsets and ranks in a block. A shard is written in files of
+about ``FILE_BYTES``, each by a task of its own, and only shards that gain or lose rows are written.
+
+Null texts have no bytes; a null doc_id hashes like any value. Rows of equal text, and equal rows, are rows of their
+own with places of their own: which of two equal rows gets which of their places is open, and no law ties rows of equal
+text to one shard. A very long text is a block's last row or a block of its own. An empty table gives no rows. Other
+columns are carried along unchanged, whatever their names: where one is called ``shard`` or ``slot``, the placement's
+column gets an underscore more.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ OLD_SHARDS, NEW_SHARDS = 32, 40
 ROW_BYTES = 16
 BLOCK_ROWS = 4096
 MAX_BLOCKS = 100_000
+FILE_BYTES = 128 << 20  # text bytes of a shard's file
 
 
 def minimum_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
@@ -148,16 +153,31 @@ def reshard(docs: DataFrame, shards: int = NEW_SHARDS, given: Column | None = No
     return done.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("rank") + F.col("base")).alias("slot"), *(["row"] if carry else []))
 
 
+def placement_names(columns: list[str]) -> list[str]:
+    """Names for the shard and slot of a row that none of ``columns`` has."""
+    taken = {c.lower() for c in columns}
+    return [next(n for k in range(len(columns) + 1) if (n := name + "_" * k) not in taken) for name in ("shard", "slot")]
+
+
 def rewrite_shards(placed: DataFrame, folder: str, every: bool = False) -> DataFrame:
     """Write the shards that gained or lost rows as ``folder/shard=K``, in slot order; returns their numbers.
 
-    ``every`` writes the others too, for rows that are in no shard files yet.
+    Other shards' files in ``folder`` stay as they are; a shard that lost all its rows loses its files. ``every``
+    writes all shards, for rows that are in no shard files yet.
     """
+    spark, names = placed.sparkSession, placement_names(placed.schema["row"].dataType.fieldNames())
     gained = placed.where("old_shard <> shard").select("shard")
     lost = placed.where("old_shard <> shard").select(F.col("old_shard").alias("shard"))
     touched = written(gained.union(lost).distinct(), "touched")
-    files = (placed if every else placed.join(F.broadcast(touched), "shard")).select("shard", "slot", "row.*")
-    files.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(folder)
+    whole = placed.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
+    per_file = max(1, FILE_BYTES * whole.rows // max(whole.bytes or 0, 1))
+    chosen = placed if every else placed.join(F.broadcast(touched), "shard")
+    files = chosen.select("row.*", F.col("shard").alias(names[0]), F.col("slot").alias(names[1]), F.floor(F.col("slot") / per_file).alias("_file"))
+    files = files.repartition(names[0], "_file").sortWithinPartitions(*names).drop("_file")
+    files.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(names[0]).parquet(folder)
+    for gone in touched.join(placed.select("shard").distinct(), "shard", "left_anti").collect():  # shards, not rows
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{names[0]}={gone.shard}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     return touched
 
 
@@ -166,5 +186,6 @@ def resharded(docs: DataFrame, shards: int = NEW_SHARDS) -> DataFrame:
     spark, folder = docs.sparkSession, new_path(docs.sparkSession, "shards")
     placed = reshard(docs, shards)
     rewrite_shards(placed, folder, every=True)
-    files = placed.select("row.*", "shard", "slot")
+    names = placement_names(docs.columns)
+    files = placed.select("row.*", F.col("shard").alias(names[0]), F.col("slot").alias(names[1]))
     return spark.read.schema(files.schema).parquet(folder).select(*(F.col(f"`{c}`") for c in files.columns))

@@ -16,6 +16,7 @@ from docketry.llm.quality import classify, keep_good
 from docketry.llm.queries import op8_flow_reshard
 from docketry.llm.reshard import even, minimum_cost_flow, reshard, rewrite_shards
 from docketry.llm.warc import deduplicated_records, read_archives, resolve, rewrite, write_archives
+from pyspark.sql import functions as F
 
 
 def digest(html):
@@ -78,6 +79,37 @@ def test_shards(spark, tmp_path):
     assert reshard(docs.limit(0), 10).count() == 0
 
 
+def test_rewriting_leaves_untouched_shards_alone(spark, tmp_path):
+    row = "struct<doc_id: long, text: string>"
+    folder = str(tmp_path / "shards")
+    before = [(i, "t" * i, i % 4, i % 4, i // 4) for i in range(40)]
+    old = spark.createDataFrame([(len(t) + 16, o, s, k, (i, t)) for i, t, o, s, k in before], f"size long, old_shard int, shard int, slot long, row {row}")
+    rewrite_shards(old, folder, every=True)
+    spark.createDataFrame([(99, "from elsewhere", 0)], "doc_id long, text string, slot long").write.parquet(f"{folder}/shard=9")
+    # all of shard 3 goes to shard 1
+    new = old.withColumn("slot", F.when(F.col("old_shard") == 3, F.col("slot") + 10).otherwise(F.col("slot"))).withColumn("shard", F.when(F.col("old_shard") == 3, 1).otherwise(F.col("shard")))
+    assert sorted(r.shard for r in rewrite_shards(new, folder).collect()) == [1, 3]
+    got = spark.read.parquet(folder).collect()
+    assert {(r.doc_id, r.shard) for r in got} == {(i, 1 if i % 4 == 3 else i % 4) for i in range(40)} | {(99, 9)} and len(got) == 41
+
+
+def test_placement_equals_a_plain_version(spark):
+    """Old shards are laid out by block and row; a row's middle byte says which piece of the flow it falls into."""
+    rng = random.Random(6)
+    rows = [(i, "x" * rng.choice([0, 3, 50, 400, 20_000 if i % 90 == 0 else 7])) for i in range(900)]
+    got = {r.doc_id: r for r in reshard(spark.createDataFrame(rows, "doc_id long, text string"), 6, given_shards=4).collect()}
+    size = {i: len(t) + 16 for i, t in rows}
+    supply = [sum(size[i] for i in size if got[i].old_shard == k) for k in range(4)]
+    room = even(sum(supply), 6)
+    for k in range(4):
+        stays = sum(size[i] for i in size if got[i].old_shard == got[i].shard == k)
+        assert stays >= min(supply[k], room[k]) - 20_016  # what fits stays, but for the row across the border
+    for j in range(6):
+        assert abs(sum(size[i] for i in size if got[i].shard == j) - room[j]) <= 4 * 20_016
+        of = sorted((got[i].slot, got[i].old_shard, i) for i in size if got[i].shard == j)
+        assert [s for s, *_ in of] == list(range(len(of))) and [o for _, o, _ in of] == sorted(o for _, o, _ in of)
+
+
 def test_query_digests_come_from_shard_files(spark, tmp_path):
     rows = [(i, "ab" * (i % 50), "en") for i in range(500)] + [(900, None, None), (901, "é", "fr")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
@@ -94,6 +126,8 @@ def test_query_digests_come_from_shard_files(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     assert any("/shard=" in f for f in corpus_pipeline.sharding(spark, docs, str(tmp_path)).inputFiles())
     assert corpus_pipeline.sharding(spark, docs.limit(0), str(tmp_path)).count() == 0
+    clash = corpus_pipeline.sharding(spark, docs.withColumn("Shard", F.lit("own")).withColumn("slot", F.lit(-1)), str(tmp_path))
+    assert clash.columns == [*docs.columns, "Shard", "slot", "shard_", "slot_"] and clash.where("Shard = 'own' and slot = -1").count() == len(rows)
 
 
 def test_vectors_equal_brute_force(spark):

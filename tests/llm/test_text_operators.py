@@ -24,27 +24,32 @@ def lower(text):
 
 
 def brute_scores(rows, mu=MU):
-    tokens = {i: [*WORD.findall(lower(t)), None] for i, t in rows}
+    """Plain recursion: P(w|h) from counts of h and hw and P(w|h without its first word)."""
+    tokens = {i: ["<s>", *WORD.findall(lower(t)), None] for i, t in rows}
     train = [i for i in tokens if zlib.crc32(str(i).encode()) % 10]
-    uni = Counter(w for i in train for w in tokens[i])
-    pair = Counter((v, w) for i in train for v, w in zip(["<s>", *tokens[i]], tokens[i], strict=False))
-    n, v = sum(uni.values()), len(uni)
-    followed = {**uni, "<s>": len(train), None: 0}
-    p = lambda w: (uni[w] + ADD) / (n + ADD * (v + 1))
+    grams, after = Counter(), Counter()
+    for i in train:
+        for k in range(1, len(tokens[i])):
+            for size in (0, 1, 2):
+                if k >= size:
+                    h = tuple(tokens[i][k - size : k])
+                    grams[h, tokens[i][k]] += 1
+                    after[h] += 1
+    n, v = after[()], sum(not h for h, _ in grams)
+
+    def p(h, w):
+        if not h:
+            return (grams[h, w] + ADD) / (n + ADD * (v + 1))
+        return (grams[h, w] + mu[len(h) - 1] * p(h[1:], w)) / (after[h] + mu[len(h) - 1])
+
     out = {}
     for i, ws in tokens.items():
-        s = sum(math.log10((pair[a, b] + mu * p(b)) / (followed.get(a, 0) + mu)) for a, b in zip(["<s>", *ws], ws, strict=False))
-        out[i] = (len(ws), sum(uni[w] > 0 for w in ws), n, sum(math.log10(p(w)) for w in ws), s)
+        s = sum(math.log10(p(tuple(ws[max(0, k - 2) : k]), ws[k])) for k in range(1, len(ws)))
+        out[i] = (len(ws) - 1, sum(grams[(), w] > 0 for w in ws[1:]), n, sum(math.log10(p((), w)) for w in ws[1:]), s)
     return out
 
 
-def test_lm_equals_brute_force(spark):
-    rng = random.Random(1)
-    texts = ["", None, " \n", "A a a A", "É é the", *(" ".join(rng.choice(["the", "Cat", "sat", "on", "x" + str(rng.randint(0, 30))]) for _ in range(rng.randint(0, 60))) for _ in range(80)), "long " * 3000]
-    rows = list(enumerate(texts))
-    docs = spark.createDataFrame([(i, t, 0.5, "b") for i, t in rows], "doc_id long, text string, score double, held_out string").repartition(5)
-    want = brute_scores(rows)
-    got = score(docs, "crc32(cast(cast(doc_id as string) as binary)) % 10 = 0", stable=False, chunk_bytes=4000, bucket_keys=20).collect()
+def same_scores(got, want, rows):
     assert len(got) == len(rows)
     for r in got:
         w = want[r.doc_id]
@@ -53,16 +58,42 @@ def test_lm_equals_brute_force(spark):
         assert r.base_score == pytest.approx(w[3], rel=1e-9) and r.score == pytest.approx(w[4], rel=1e-9)
 
 
-def test_lm_of_empty_table(spark):
-    assert score(spark.createDataFrame([], "doc_id long, text string"), "doc_id = 1").count() == 0
+HELD = "crc32(cast(cast(doc_id as string) as binary)) % 10 = 0"
 
 
-def test_automaton_is_a_distribution():
-    """The arcs and failures of a seen context sum to one over the training words and one unseen word."""
-    words, pair, uni = "abc", Counter({("a", "b"): 3, ("a", "c"): 1}), Counter(a=4, b=3, c=1)
-    n, v = 8, 3
-    p = lambda w: (uni[w] + ADD) / (n + ADD * (v + 1))
-    assert sum((pair["a", w] + MU * p(w)) / (uni["a"] + MU) for w in [*words, "?"]) == pytest.approx(1)
+def test_lm_equals_brute_force(spark):
+    rng = random.Random(1)
+    texts = ["", None, " \n", "A a a A", "É é the", *(" ".join(rng.choice(["the", "Cat", "sat", "on", "x" + str(rng.randint(0, 30))]) for _ in range(rng.randint(0, 60))) for _ in range(80)), "long " * 3000]
+    texts += [" ".join(rng.choice(["the", "cat", "y" + str(rng.randint(0, 9))]) for _ in range(9000)), texts[20], texts[20]]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, 0.5, "b", 1) for i, t in rows], "doc_id long, text string, score double, held_out string, chunk int").repartition(5)
+    want = brute_scores(rows)
+    same_scores(score(docs, HELD, stable=False, chunk_bytes=4000, bucket_keys=20).collect(), want, rows)
+    same_scores(score(docs, HELD, stable=False).collect(), want, rows)
+
+
+def test_lm_of_odd_tables(spark):
+    schema = "doc_id long, text string"
+    assert score(spark.createDataFrame([], schema), "doc_id = 1").count() == 0
+    for rows in ([(1, None), (2, None), (3, None)], [(10, "all held out"), (10, "all held out")]):
+        got = score(spark.createDataFrame(rows, schema), HELD, stable=False).collect()
+        want = brute_scores(rows) if rows[0][0] == 1 else None
+        assert all(r.base_score < 0 and r.score < 0 for r in got) and len(got) == len(rows)
+        if want:
+            same_scores(got, want, rows)
+
+
+def test_runs_carry_the_state_across_their_borders():
+    import numpy as np
+    import pyarrow as pa
+    from docketry.llm import vec
+    from docketry.llm.lm import Automaton, Chunk
+
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 90))) for _ in range(30)]
+    chunk = Chunk(*vec.flat(pa.array(texts)), np.arange(30) % 4 == 0)
+    machine = Automaton(chunk, chunk.counts, chunk.starts, int(chunk.counts[0].sum()), int((chunk.counts[0] > 0).sum()))
+    assert np.allclose(machine.traverse(chunk), machine.traverse(chunk, 7), rtol=1e-12)
 
 
 # --- decontamination
@@ -102,6 +133,7 @@ def test_decontamination_equals_brute_force(spark):
             at = rng.randint(0, len(body))
             body[at:at] = w
         docs.append((k, " ".join(body) if k % 7 else " \n".join(body)))
+    docs += [(80, " ".join([*(word() for _ in range(20_000)), items[3][1], *(word() for _ in range(20_000))]))]  # a very long text
     docs += [(70, None), (71, ""), (72, docs[1][1]), (72, docs[1][1]), (73, items[6][1][: len(items[6][1]) * 19 // 20]), (74, "x a b a b a b a b a b a b y")]
     table = spark.createDataFrame([(i, t, "h") for i, t in docs], "doc_id long, text string, h string")
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -148,6 +180,34 @@ def test_an_article_is_a_prior_within_the_density_rules():
     assert second_pass(labels, [False] * 7) == [1, 1, 0, 0, 0, 0, 1]
 
 
+def test_only_an_elements_own_names_hush_it():
+    body = "This is the first paragraph of the story and it is long enough to be sure of it, as it goes on for a while."
+    for frame in ('<div class="layout with-sidebar">', '<div id="page" class="has-navbar">', '<div data-role="menu" title="a hidden ad">'):
+        assert main_text(f"{frame}<p>{body}</p></div>") == body
+    assert main_text(f'<article><p title="a hidden gem">{body}</p><p data-id="ad">{body}</p></article>') == f"{body}\n\n{body}"
+    for frame in ('<div class="page sidebar">', "<div hidden>", '<div role="navigation">', '<div style="color:red; display : none">', "<div id=siteFooter>"):
+        assert main_text(f"<div><p>{body}</p></div>{frame}<p>{body} {body}</p></div>") == body
+    assert main_text(f'<div class="sidebar"><article><p>{body}</p><div class="ad"><p>{body}</p></div></article></div>') == body
+
+
+def test_second_pass_equals_a_plain_search():
+    rng = random.Random(14)
+    for _ in range(300):
+        labels, headings = [rng.choice([0, 1, OPEN, OPEN]) for _ in range(rng.randint(0, 15))], [rng.random() < 0.3 for _ in range(15)]
+        decided = [i for i, v in enumerate(labels) if v != OPEN]
+        want = [v if v != OPEN else labels[min(decided, key=lambda d, i=i: (abs(d - i), (d < i) == headings[i]))] if decided else 0 for i, v in enumerate(labels)]
+        assert second_pass(labels, headings[: len(labels)]) == want
+
+
+def test_many_blocks_take_time_in_proportion():
+    import time
+
+    for page in ("<article>" + "<p>word is the one of it</p>" * 100_000 + "</article>", "<div>" * 50_000 + "<p>x" * 50_000, "<div class=ad>" * 50_000 + "</p>" * 50_000):
+        began = time.perf_counter()
+        main_text(page)
+        assert time.perf_counter() - began < 8
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<p>", "<", "<!-- open", "<script>never closed", '<a href="x>broken', "</div></div>", "<div class=ad>" * 400])
 def test_odd_pages(page):
     assert isinstance(main_text(page), str)
