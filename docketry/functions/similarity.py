@@ -1,10 +1,12 @@
-"""String similarity by longest common subsequence, as Arrow UDFs over distinct pairs."""
+"""String similarity by longest common subsequence: column expressions for words, Arrow UDFs over distinct pairs of texts."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -64,26 +66,59 @@ def udfs() -> dict:
     return {name: _pairwise(f) for name, f in (("ratio", ratio), ("token_set", token_set), ("partial", partial))}
 
 
-def drop_repeated_tail(value: str) -> str:
-    """While the last words repeat the words before them, drop them; longest run first."""
-    words = value.split()
-    while True:
-        width = next((w for w in range(len(words) // 2, 0, -1) if words[-w:] == words[-2 * w : -w]), 0)
-        if not width:
-            return " ".join(words)
-        words = words[:-width]
-
-
-def drop_echoes(value: str) -> str:
-    """Repeated tails, then last words that resemble an earlier one, until neither is left."""
-    words = value.split()
-    if len(words) < 2:
-        return value
-    while len(words) > 1:
-        words = drop_repeated_tail(" ".join(words)).split()
-        plain = [w.lower().strip(".,:;-") for w in words]
-        if len(words) > 1 and plain[-1] and any(p and ratio(plain[-1], p) >= 80 for p in plain[:-1]):
-            words.pop()
-        else:
-            break
-    return " ".join(words)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def letters_in_common(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence: bit by bit in a long, for more than 61 letters row by row."""
+    chars = lambda t: F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
+
+    def narrow(x: Column, y: Column) -> Column:
+        n = F.size(x)
+        full = F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1
+        mask = lambda ch: F.aggregate(F.transform(x, lambda c, k: F.when(c == ch, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda m, v: m.bitwiseOR(v))
+        step = lambda row, ch: let(row.bitwiseAND(mask(ch)), lambda hit: (row + hit).bitwiseOR(row - hit).bitwiseAND(full))
+        return n - F.bit_count(F.aggregate(y, full, step))
+
+    def wide(x: Column, y: Column) -> Column:
+        cell = lambda last, row, ch, k: F.when(F.get(x, k - 1) == ch, F.get(last, k - 1) + 1).otherwise(F.greatest(F.get(last, k), F.get(row, k - 1)))
+        line = lambda last, ch: F.aggregate(F.sequence(F.lit(1), F.size(x)), F.array(F.lit(0)), lambda row, k: F.array_append(row, cell(last, row, ch, k)))
+        return F.element_at(F.aggregate(y, F.array_repeat(F.lit(0), F.size(x) + 1), line), -1)
+
+    found = let(F.struct(chars(a).alias("x"), chars(b).alias("y")), lambda s: F.when(F.size(s["x"]) <= 61, narrow(s["x"], s["y"])).otherwise(wide(s["x"], s["y"])))
+    return F.when((a == "") | (b == ""), 0).otherwise(found)
+
+
+def resembles(a: Column, b: Column, least: int) -> Column:
+    """Whether the ratio of two texts is at least ``least``; most pairs are told by their lengths."""
+    n, m = F.char_length(a), F.char_length(b)
+    near = 200 * F.least(n, m) >= least * (n + m)
+    return F.when(a == b, True).when(near, 200 * letters_in_common(a, b) >= least * (n + m)).otherwise(False)
+
+
+def without_repeated_tail(words: Column) -> Column:
+    """While the last words repeat the words before them, they are dropped; the longest run first."""
+
+    def once(left: Column) -> Column:
+        n = F.size(left)
+        runs = F.filter(F.sequence(F.greatest(F.floor(n / 2).cast("int"), F.lit(1)), F.lit(1), F.lit(-1)), lambda w: (2 * w <= n) & (F.slice(left, n - w + 1, w) == F.slice(left, n - 2 * w + 1, w)))
+        return F.slice(left, F.lit(1), n - F.coalesce(F.get(runs, F.lit(0)), F.lit(0)))
+
+    repeats = F.size(F.array_distinct(words)) < F.size(words)
+    return F.when(repeats, F.aggregate(words, words, lambda left, _: once(left))).otherwise(words)
+
+
+def without_echoes(words: Column, least: int = 80) -> Column:
+    """Without repeated tails, and without last words that resemble an earlier one, until neither is left."""
+    plain = lambda w: F.btrim(F.lower(w), F.lit(".,:;-"))
+
+    def echoed(left: Column) -> Column:
+        last = plain(F.element_at(left, -1))
+        earlier = F.exists(F.slice(left, F.lit(1), F.size(left) - 1), lambda w: (plain(w) != "") & resembles(last, plain(w), least))
+        return F.when(F.size(left) > 1, (last != "") & earlier).otherwise(False)
+
+    step = lambda left: let(without_repeated_tail(left), lambda t: F.when(echoed(t), F.slice(t, F.lit(1), F.size(t) - 1)).otherwise(t))
+    unsettled = (F.size(F.array_distinct(words)) < F.size(words)) | echoed(words)
+    return F.when(unsettled, F.aggregate(words, words, lambda left, _: step(left))).otherwise(words)

@@ -72,11 +72,14 @@ def unit(x: Column) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
+# How horse power is written inside a model's name, in the order in which the forms are tried
+HP_FORMS = (r"(?i)\bH[.\s]*P[.\-:\s]+([0-9]{2,3})\b", r"(?i)\(\s*HP[-:\s]*([0-9]{2,3})\s*\)", r"(?i)\b([0-9]{2,3})\s*H[.\s]*P\b", r"(?i)\b([0-9]{2,3})HP\b")
+
+
 def hp_from_text(text: Column) -> Column:
     """Horse power written inside a model name: the first of four patterns with a value in range."""
     lo, hi = HP_RANGE
-    patterns = (r"(?i)\bH[.\s]*P[.\-:\s]+([0-9]{2,3})\b", r"(?i)\(\s*HP[-:\s]*([0-9]{2,3})\s*\)", r"(?i)\b([0-9]{2,3})\s*H[.\s]*P\b", r"(?i)\b([0-9]{2,3})HP\b")
-    found = [F.regexp_extract(text, p, 1).try_cast("int") for p in patterns]
+    found = [F.regexp_extract(text, p, 1).try_cast("int") for p in HP_FORMS]
     return F.coalesce(*(F.when(v.between(lo, hi), v) for v in found))
 
 
@@ -100,12 +103,22 @@ def json_blob(raw: Column) -> Column:
     return F.when((found != "") & level & ~bare.rlike(r"\}\s*[^,}\]\s]") & F.json_object_keys(found).isNotNull(), found)
 
 
-def inr(amount: Column) -> Column:
-    """Rupees with the last three digits and then pairs set apart; a dash for null."""
+def quoted(literal: str) -> str:
+    """A literal as a pattern."""
+    return r"\Q" + literal.replace(r"\E", r"\E\\E\Q") + r"\E"
+
+
+def plain_key(text: Column) -> Column:
+    """White space to single spaces, trimmed, lower case."""
+    return F.lower(F.btrim(F.regexp_replace(text, r"\s+", " ")))
+
+
+def inr(amount: Column, sign: str = "₹") -> Column:
+    """Rupees with the last three digits and then pairs set apart, behind ``sign``; a dash for null."""
     digits = F.abs(amount).cast("string")
     head = F.reverse(F.regexp_replace(F.reverse(F.substring(digits, F.lit(1), F.char_length(digits) - 3)), r"([0-9]{2})(?=[0-9])", "$1,"))
     shown = F.when(F.char_length(digits) <= 3, digits).otherwise(F.concat(head, F.lit(","), F.substring(digits, -3, 3)))
-    return F.when(amount.isNull(), "—").otherwise(F.concat(F.lit("₹"), F.when(amount < 0, "-").otherwise(""), shown))
+    return F.when(amount.isNull(), "—").otherwise(F.concat(F.lit(sign), F.when(amount < 0, "-").otherwise(""), shown))
 
 
 def size_kb(n: Column) -> Column:

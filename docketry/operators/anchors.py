@@ -48,14 +48,20 @@ def with_shingles(tokens: DataFrame, *more: str) -> DataFrame:
 
 
 def hits(field: str) -> Column:
-    """Array of (anchor, precision, seq) that hit a token of ``with_shingles``; ``seq`` is the order of discovery."""
+    """Array of (anchor, precision, seq) that hit a token of ``with_shingles``; ``seq`` is the order of discovery.
+
+    A text that an anchor matches is matched within any longer shingle that ends alike, so one pattern of all anchors on
+    the longest shingle tells most tokens apart.
+    """
 
     def one(k: int, pattern: str, precision: float) -> Column:
         matched = lambda c: F.coalesce(F.col(c).rlike(f"(?i){pattern}"), F.lit(False))
         first = F.when(matched("three"), (F.col("tok_idx") - 2) * 1000 + 300).when(matched("two"), (F.col("tok_idx") - 1) * 1000 + 200).when(matched("text"), F.col("tok_idx") * 1000 + 100)
         return F.when(first.isNotNull(), F.struct(F.lit(k).alias("anchor"), F.lit(precision).alias("precision"), (first + k).cast("long").alias("seq")))
 
-    return F.array_compact(F.array(*(one(k, p, w) for k, (p, w) in enumerate(ANCHORS[field]))))
+    every = "(?i)" + "|".join(f"(?:{p})" for p, _ in ANCHORS[field])
+    found = F.array_compact(F.array(*(one(k, p, w) for k, (p, w) in enumerate(ANCHORS[field]))))
+    return F.when(F.coalesce("three", "two", "text").rlike(every), found).otherwise(F.array().cast("array<struct<anchor: int, precision: double, seq: bigint>>"))
 
 
 def anchor_hits(tokens: DataFrame, field: str) -> DataFrame:

@@ -151,7 +151,7 @@ def harvest_dealers(tokens: DataFrame) -> DataFrame:
 
 def harvest_assets(tokens: DataFrame, brand_names: list[str]) -> DataFrame:
     """Distinct brand, model, full_name: a brand token and up to three more of its row, if the model has a digit."""
-    pattern = r"(?i)\b(" + "|".join(sorted(brand_names)) + r")\b"
+    pattern = r"(?i)\b(" + "|".join(map(T.quoted, sorted(brand_names))) + r")\b"
     canonical = F.create_map(*(F.lit(x) for b in brand_names for x in (b.lower(), b)))
     framed = tokens.withColumn("me", F.struct("tok_idx", "text", "x1", "y1", "x2", "y2")).withColumn("ahead", F.collect_list("me").over(reading().rowsBetween(1, 3)))
     model = F.btrim(F.concat_ws(" ", F.transform(F.filter("ahead", lambda t: same_row(F.col("me"), t)), lambda t: t["text"])))

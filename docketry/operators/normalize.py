@@ -122,22 +122,31 @@ def merge_second_tier(first: DataFrame, second: DataFrame, grounded: Column) ->
 
 
 def in_text(value: Column, text: Column) -> Column:
-    """The verbatim part of the grounding guard: a value's key occurs in the text's key."""
-    return (T.match_key(value) != "") & F.contains(T.match_key(text), T.match_key(value))
+    """The verbatim part of the grounding guard: a value occurs in the text, but for case and white space."""
+    return (T.plain_key(value) != "") & F.contains(T.plain_key(text), T.plain_key(value))
 
 
 def grounded(value: Column, text: Column) -> Column:
     """The whole guard: verbatim, or a partial ratio of at least 85."""
-    return in_text(value, text) | ((T.match_key(value) != "") & (udfs()["partial"](T.match_key(value), T.match_key(text)) >= 85))
+    loose = F.when(in_text(value, text), None).otherwise(T.plain_key(value))  # what is there verbatim is not compared
+    return in_text(value, text) | ((loose != "") & (T.plain_key(text) != "") & (udfs()["partial"](loose, T.plain_key(text)) >= 85))
 
 
 def sanitize_second_tier(values: Column) -> Column:
-    """Range and type gates on a struct of strings from a language model."""
-    hp, cost = T.to_int(values["horse_power"]), T.to_int(values["asset_cost"])
-    text = lambda k: F.when(F.btrim(values[k]) != "", F.btrim(values[k])).alias(k)
+    """Type and range gates on a struct of a language model's answers, each a JSON literal or null."""
+    hp, cost = T.coerce_int(values["horse_power"]), T.coerce_int(values["asset_cost"])
+    said = lambda k: F.btrim(F.get_json_object(F.concat(F.lit('{"v":'), values[k], F.lit("}")), "$.v"))
+    text = lambda k: F.when(F.btrim(values[k]).startswith('"') & (said(k) != ""), said(k)).alias(k)
     return F.struct(text("dealer_name"), text("model_name"), F.when(hp.between(*T.HP_RANGE), hp).alias("horse_power"), F.when(cost.between(*T.COST_RANGE), cost).alias("asset_cost"))
 
 
+def with_answer(field: Column, answer: Column, allowed: Column | None = None) -> Column:
+    """A field struct (value, confidence, source, evidence), overwritten at confidence 0.7 if it is weak and answered."""
+    take = (field["value"].isNull() | (field["confidence"] < THRESHOLD)) & answer.isNotNull()
+    take = F.coalesce(take if allowed is None else take & allowed, F.lit(False))
+    return F.struct(F.when(take, answer).otherwise(field["value"]).alias("value"), F.when(take, 0.7).otherwise(field["confidence"]).alias("confidence"), F.when(take, "tier2").otherwise(field["source"]).alias("source"), field["evidence"].alias("evidence"))
+
+
 def derive_horse_power(rows: DataFrame) -> DataFrame:
     """hp, hp_conf filled from the model name, then from the whole text, where hp is null or below 0.3."""
     weak = lambda v, c: v.isNull() | (c < 0.3)

@@ -1,6 +1,8 @@
 """Horse power and asset cost: candidates around anchors, scored, best first.
 
-Candidates are (value, score, seq, evidence); ``seq`` is the order of generation and breaks ties.
+Candidates are (value, score, seq, evidence); ``seq`` is the order of generation and breaks ties. One pass over the tokens
+of a document serves both fields: only tokens that hold a number enter an anchor's frame, a token's candidates are
+arrays, and the best of a document is a maximum, so that no candidate is a row unless asked for.
 """
 
 from __future__ import annotations
@@ -10,90 +12,143 @@ from pyspark.sql import functions as F
 
 from docketry.functions import text as T
 from docketry.functions.geometry import distance, same_row, same_row_or_after
-from docketry.operators.anchors import reading, with_hits, with_shingles
+from docketry.operators.anchors import hits, reading, with_shingles
 
 CANDIDATE = "array<struct<value: bigint, score: double, seq: bigint, evidence: array<int>>>"
+RANKED = "struct<score: double, before: bigint, value: bigint, evidence: array<int>>"
+FIELDS = ("horse_power", "asset_cost")
+BACK, AHEAD = 3, 6  # the widest frame of the fields
 
 
 def _candidate(value: Column, score: Column, seq: Column, *evidence: Column) -> Column:
     return F.struct(value.cast("bigint").alias("value"), score.alias("score"), seq.cast("bigint").alias("seq"), F.array(*evidence).alias("evidence"))
 
 
-def _framed(tokens: DataFrame, back: int, ahead: int, *more: str) -> DataFrame:
-    return with_shingles(tokens, *more).withColumn("near", F.collect_list("me").over(reading().rowsBetween(-back, ahead)))
+def _numbered(tokens: DataFrame) -> DataFrame:
+    """``tokens`` with shingles, what numbers each reads as, and ``near``, the tokens with numbers around it."""
+    amounts = F.transform(F.regexp_extract_all("text", F.lit(r"[0-9]{1,3}(?:,[0-9]{2,3})+|[0-9]{4,}"), F.lit(0)), T.to_int)
+    digits = F.translate("text", T.NATIVE_DIGITS, T.PLAIN_DIGITS).rlike("[0-9]")
+    raw = F.when(digits, T.first_number(F.col("text")))
+    read = tokens.withColumns({"raw": raw, "number": F.when(digits, F.coalesce(raw, T.first_number(T.digit_repair(F.col("text"))))), "amounts": F.when(digits, amounts).otherwise(F.array().cast("array<bigint>"))})
+    framed = F.when(F.col("number").isNotNull() | (F.size("amounts") > 0), F.struct("tok_idx", "x1", "y1", "x2", "y2", "conf", "number", "amounts"))
+    return with_shingles(read).withColumn("near", F.collect_list(framed).over(reading().rowsBetween(-BACK, AHEAD)))
 
 
-def horse_power_candidates(tokens: DataFrame) -> DataFrame:
-    """The value in the anchor token, as read or repaired, and numbers up to three tokens away on its row."""
+def _horse_power(found: Column) -> Column:
+    """Candidates of a token's hits: the value in the token, as read or repaired, and numbers up to three tokens away on its row."""
     lo, hi = T.HP_RANGE
-    read = tokens.withColumn("raw", T.first_number(F.col("text"))).withColumn("number", F.coalesce("raw", T.first_number(T.digit_repair(F.col("text")))))
-    hit = with_hits(_framed(read, 3, 3, "number"), "horse_power").withColumn("fixed", T.first_number(T.digit_repair_loose(F.col("text"))))
-    base, order = F.col("precision") * F.col("conf") * 1.0, F.col("seq") * 10_000
-    plain, repaired = _candidate(F.col("raw"), base * 1.0, order, F.col("tok_idx")), _candidate(F.col("fixed"), base * 1.0 * 0.85, order, F.col("tok_idx"))
-    inside = F.when(F.col("raw").between(lo, hi), plain).when(F.col("fixed").between(lo, hi), repaired)
+    fixed = T.first_number(T.digit_repair_loose(F.col("text")))
 
-    def beside(t: Column) -> Column:
-        offset = t["tok_idx"] - F.col("tok_idx")
-        sane = T.sanity(t["number"], lo, hi)
-        score = F.col("precision") * F.least(F.col("conf"), t["conf"]) * T.proximity(distance(F.col("me"), t)) * sane * 0.9
-        ok = (offset != 0) & same_row(F.col("me"), t) & t["number"].isNotNull() & (sane > 0)
-        return F.when(ok, _candidate(t["number"], score, order + F.when(offset < 0, offset + 4).otherwise(offset + 3), F.col("tok_idx"), t["tok_idx"]))
+    def of(h: Column) -> Column:
+        base, order = h["precision"] * F.col("conf") * 1.0, h["seq"] * 10_000
+        plain, repaired = _candidate(F.col("raw"), base * 1.0, order, F.col("tok_idx")), _candidate(fixed, base * 1.0 * 0.85, order, F.col("tok_idx"))
+        inside = F.when(F.col("raw").between(lo, hi), plain).when(fixed.between(lo, hi), repaired)
 
-    made = F.concat(F.array(inside).cast(CANDIDATE), F.transform("near", beside).cast(CANDIDATE))
-    return hit.select("doc_id", F.inline_outer(made)).where("seq is not null")
+        def beside(t: Column) -> Column:
+            offset = t["tok_idx"] - F.col("tok_idx")
+            sane = T.sanity(t["number"], lo, hi)
+            score = h["precision"] * F.least(F.col("conf"), t["conf"]) * T.proximity(distance(F.col("me"), t)) * sane * 0.9
+            ok = (offset != 0) & (offset <= BACK) & same_row(F.col("me"), t) & t["number"].isNotNull() & (sane > 0)
+            return F.when(ok, _candidate(t["number"], score, order + F.when(offset < 0, offset + 4).otherwise(offset + 3), F.col("tok_idx"), t["tok_idx"]))
 
+        return F.concat(F.array(inside).cast(CANDIDATE), F.transform("near", beside).cast(CANDIDATE))
 
-def asset_cost_candidates(tokens: DataFrame) -> DataFrame:
-    """Anchored candidates; where a document has none, rupee-shaped numbers in its lower 70 per cent."""
+    return F.array_compact(F.flatten(F.transform(found, of)))
+
+
+def _asset_cost(found: Column) -> Column:
+    """Candidates of a token's hits: rupee amounts from the token before to six behind, on its row or below."""
     lo, hi = T.COST_RANGE
-    numbers = F.transform(F.regexp_extract_all("text", F.lit(r"[0-9]{1,3}(?:,[0-9]{2,3})+|[0-9]{4,}"), F.lit(0)), T.to_int)
-    hit = with_hits(_framed(tokens.withColumn("numbers", numbers), 1, 6, "numbers"), "asset_cost")
 
-    def around(t: Column) -> Column:
-        offset = t["tok_idx"] - F.col("tok_idx")
-        px = F.when(offset == 0, F.lit(0.0)).otherwise(distance(F.col("me"), t))
-        evidence = F.when(offset == 0, F.array("tok_idx")).otherwise(F.array(F.col("tok_idx"), t["tok_idx"]))
+    def of(h: Column) -> Column:
+        def around(t: Column) -> Column:
+            offset = t["tok_idx"] - F.col("tok_idx")
+            px = F.when(offset == 0, F.lit(0.0)).otherwise(distance(F.col("me"), t))
+            evidence = F.when(offset == 0, F.array("tok_idx")).otherwise(F.array(F.col("tok_idx"), t["tok_idx"]))
 
-        def scored(value: Column, k: Column) -> Column:
-            sane = T.sanity(value, lo, hi)
-            score = F.col("precision") * F.least(F.col("conf"), t["conf"]) * T.proximity(px) * sane
-            made = F.struct(value.alias("value"), score.alias("score"), (F.col("seq") * 10_000 + (offset + 1) * 100 + k).cast("bigint").alias("seq"), evidence.alias("evidence"))
-            return F.when(value.isNotNull() & (sane > 0), made)
+            def scored(value: Column, k: Column) -> Column:
+                sane = T.sanity(value, lo, hi)
+                score = h["precision"] * F.least(F.col("conf"), t["conf"]) * T.proximity(px) * sane
+                made = F.struct(value.alias("value"), score.alias("score"), (h["seq"] * 10_000 + (offset + 1) * 100 + k).cast("bigint").alias("seq"), evidence.alias("evidence"))
+                return F.when(value.isNotNull() & (sane > 0), made)
 
-        return F.when((offset == 0) | same_row_or_after(F.col("me"), t), F.transform(t["numbers"], scored)).otherwise(F.array().cast(CANDIDATE))
+            reached = (offset >= -1) & ((offset == 0) | same_row_or_after(F.col("me"), t))
+            return F.when(reached, F.transform(t["amounts"], scored)).otherwise(F.array().cast(CANDIDATE))
 
-    made = F.flatten(F.transform("near", around)).cast(CANDIDATE)
-    anchored = hit.select("doc_id", F.inline_outer(made)).where("seq is not null")
-    page = Window.partitionBy("doc_id")
-    rest = tokens.join(anchored.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("lowest", F.max("y2").over(page)).where(F.col("y1") >= F.col("lowest") * 0.30)
+        return F.flatten(F.transform("near", around))
+
+    return F.array_compact(F.flatten(F.transform(found, of))).cast(CANDIDATE)
+
+
+def _shaped(pattern: str, weight: float, kind: int) -> Column:
+    """Candidates of a token's own numbers of a shape, without any anchor."""
+    lo, hi = T.COST_RANGE
+
+    def one(text: Column, k: Column) -> Column:
+        value = T.to_int(text)
+        ok = value.between(lo, hi)
+        if kind == 3:
+            ok = ok & ~text.rlike("^[789][0-9]{6}$")
+        return F.when(ok, _candidate(value, F.lit(weight) * F.col("conf"), F.col("tok_idx") * 1000 + kind * 100 + k, F.col("tok_idx")))
 
-    def shaped(pattern: str, weight: float, kind: int) -> Column:
-        def one(text: Column, k: Column) -> Column:
-            value = T.to_int(text)
-            ok = value.between(lo, hi)
-            if kind == 3:
-                ok = ok & ~text.rlike("^[789][0-9]{6}$")
-            return F.when(ok, _candidate(value, F.lit(weight) * F.col("conf"), F.col("tok_idx") * 1000 + kind * 100 + k, F.col("tok_idx")))
+    return F.array_compact(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), one)).cast(CANDIDATE)
 
-        return F.array_compact(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), one)).cast(CANDIDATE)
 
-    formatted = F.concat(shaped(r"[0-9]{1,3}(?:,[0-9]{2,3})+", 0.55, 1), shaped(r"[0-9]{1,3}(?:[.,\s][0-9]{2,3}){2,}", 0.50, 2))
-    rest = rest.withColumn("formatted", formatted).withColumn("plain", shaped(r"\b[0-9]{6,7}\b", 0.40, 3))
+def _unanchored(tokens: DataFrame) -> DataFrame:
+    """``formatted`` and ``plain`` candidates of tokens in the lower 70 per cent of their page."""
+    low = F.col("y1") >= F.max("y2").over(Window.partitionBy("doc_id")) * 0.30
+    none = F.array().cast(CANDIDATE)
+    on = low & F.col("text").rlike("[0-9]")
+    formatted = F.concat(_shaped(r"[0-9]{1,3}(?:,[0-9]{2,3})+", 0.55, 1), _shaped(r"[0-9]{1,3}(?:[.,\s][0-9]{2,3}){2,}", 0.50, 2))
+    return tokens.withColumn("low", on).withColumn("formatted", F.when(F.col("low"), formatted).otherwise(none)).withColumn("plain", F.when(F.col("low"), _shaped(r"\b[0-9]{6,7}\b", 0.40, 3)).otherwise(none))
+
+
+def horse_power_candidates(tokens: DataFrame) -> DataFrame:
+    return _numbered(tokens).withColumn("found", hits("horse_power")).select("doc_id", F.inline_outer(_horse_power(F.col("found")))).where("seq is not null")
+
+
+def asset_cost_candidates(tokens: DataFrame) -> DataFrame:
+    """Anchored candidates; where a document has none, rupee-shaped numbers in its lower 70 per cent."""
+    page = Window.partitionBy("doc_id")
+    made = _unanchored(_numbered(tokens).withColumn("found", hits("asset_cost")).withColumn("anchored", _asset_cost(F.col("found"))))
     # of plain numbers the lowest on the page counts, the first of equals
-    rank = F.row_number().over(page.orderBy((F.size("plain") > 0).desc(), F.desc("y1"), "tok_idx"))
-    rest = rest.withColumn("any_formatted", F.max((F.size("formatted") > 0).cast("int")).over(page)).withColumn("rank", rank)
-    chosen = F.when(F.col("any_formatted") == 1, F.col("formatted")).when(F.col("rank") == 1, F.slice("plain", 1, 1))
-    return anchored.unionByName(rest.select("doc_id", F.inline_outer(chosen)).where("seq is not null"))
+    lowest = F.max(F.when(F.size("plain") > 0, F.struct("y1", -F.col("tok_idx")))).over(page) == F.struct("y1", -F.col("tok_idx"))
+    some = lambda c: F.max(F.size(c)).over(page) > 0
+    chosen = F.when(some("anchored"), F.col("anchored")).when(some("formatted"), F.col("formatted")).when(lowest, F.slice("plain", 1, 1))
+    return made.withColumn("chosen", chosen).select("doc_id", F.inline_outer("chosen")).where("seq is not null")
+
+
+def _ranked(candidates: Column) -> Column:
+    """The best of an array of candidates in an order that a maximum keeps."""
+    ranked = lambda c: F.struct(c["score"].alias("score"), (-c["seq"]).alias("before"), c["value"].alias("value"), c["evidence"].alias("evidence"))
+    return F.array_max(F.transform(candidates, ranked)).cast(RANKED)
+
+
+def best_fields(tokens: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """doc_id and for each of ``fields`` a struct (value, confidence, source, evidence), of all documents, in one pass."""
+    made, tops = _numbered(tokens), []
+    if "horse_power" in fields:
+        made = made.withColumn("hp_found", hits("horse_power"))
+        tops.append(F.max(_ranked(_horse_power(F.col("hp_found")))).alias("horse_power"))
+    if "asset_cost" in fields:
+        made = _unanchored(made.withColumn("cost_found", hits("asset_cost")))
+        plain = F.max(F.struct(F.when(F.size("plain") > 0, F.col("y1")).alias("y"), -F.col("tok_idx"), _ranked(F.slice("plain", 1, 1)).alias("top")))
+        tops.append(F.coalesce(F.max(_ranked(_asset_cost(F.col("cost_found")))), F.max(_ranked(F.col("formatted"))), plain["top"]).alias("asset_cost"))
+    found = made.groupBy("doc_id").agg(*tops)
+    return found.select("doc_id", *(_field(F.col(f)).alias(f) for f in FIELDS if f in fields))
+
+
+def _field(top: Column) -> Column:
+    return F.struct(
+        top["value"].alias("value"),
+        F.coalesce(T.unit(top["score"]), F.lit(0.0)).alias("confidence"),
+        F.when(top.isNull(), "none").otherwise("tier1").alias("source"),
+        F.coalesce(top["evidence"], F.array().cast("array<int>")).alias("evidence"),
+    )
 
 
 def best(candidates: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """doc_id, value, confidence, source and evidence of the best candidate; documents of ``docs`` without one get a null."""
-    top = candidates.groupBy("doc_id").agg(F.max_by(F.struct("value", "score", "evidence"), F.struct("score", -F.col("seq"))).alias("top"))
+    top = candidates.groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("seq")).alias("before"), "value", "evidence")).cast(RANKED).alias("top"))
     rows = docs.select("doc_id").join(top, "doc_id", "left") if docs is not None else top
-    return rows.select(
-        "doc_id",
-        F.col("top.value").alias("value"),
-        F.coalesce(T.unit(F.col("top.score")), F.lit(0.0)).alias("confidence"),
-        F.when(F.col("top").isNull(), "none").otherwise("tier1").alias("source"),
-        F.coalesce("top.evidence", F.array().cast("array<int>")).alias("evidence"),
-    )
+    return rows.select("doc_id", F.inline(F.array(_field(F.col("top")))))

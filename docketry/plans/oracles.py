@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
-from docketry.functions.text import RELEVANCE
-from docketry.operators.anchors import ANCHORS
+import re
+
+from docketry.operators import text_fields as X
+
+# Fixed values, written here once more, so that a slip in the operators' tables shows: anchor patterns, page keywords
+ANCHORS = {
+    "horse_power": ((r"\bH\.?P\.?\b", 0.95), (r"(?<=[0-9])\s*H\.?P\.?\b", 0.95), (r"\bhp\b", 0.92), (r"(?<=[0-9])\s*hp\b", 0.92), (r"HP\b", 0.85), (r"horse\s*power", 0.95), ("एचपी", 0.92), ("बल", 0.85), ("બળ", 0.85)),
+    "asset_cost": ((r"grand\s*total", 0.97), (r"net\s*amount", 0.95), (r"net\s*total", 0.94), (r"total\s*cost", 0.94), (r"total\s*amount", 0.92), (r"\btotal\b", 0.78), ("रकम", 0.85), ("कुल", 0.85), ("કુલ", 0.85), ("₹", 0.7), (r"\bRs\.?\b", 0.7), (r"\bINR\b", 0.78)),
+    "dealer_name": ((r"authorized\s+dealer", 0.95), (r"authorised\s+dealer", 0.95), (r"\bdealer\s*[:\-]", 0.85), (r"\bM/s\.?\b", 0.9), ("मेसर्स", 0.85)),
+    "model_name": ((r"tractor\s*model", 0.95), (r"\bmodel\s*[:\-]", 0.92), (r"\bmodel\s+name\b", 0.94), (r"asset\s*model", 0.92)),
+}
+RELEVANCE = (
+    ("total", 2.0), ("grand total", 3.0), ("net amount", 2.0), ("net total", 2.0), ("invoice", 2.5), ("quotation", 3.0), ("proforma", 2.5), ("रू", 1.5), ("कुल", 2.0), ("रकम", 1.5), ("કુલ", 2.0), ("model", 1.5), ("tractor", 2.5), ("hp", 1.5), ("h.p", 1.5), ("बल", 1.0), ("एचपी", 1.5), ("બળ", 1.0), ("dealer", 1.5), ("m/s", 1.0), ("authorized dealer", 2.0), ("₹", 1.5), ("rs.", 1.5), ("rs ", 0.8), ("inr", 1.0),
+)
 
 QUOTES = """quotes as (
   select o_orderkey as doc_id, n_name, c_mktsegment as segment, p_size + 500 as model, cast(15 + 2 * p_size as bigint) as hp,
@@ -24,20 +36,22 @@ _CELLS = [
 _LIST = ", ".join(f"{{'y': {y}, 'p': {p}, 't': {t}}}" for y, row in _CELLS for p, t in enumerate(row))
 TOKENS = f"""{QUOTES}, cells as (select doc_id, unnest([{_LIST}]) as c from quotes),
 placed as (select doc_id, row_number() over (partition by doc_id order by c.y, c.p) - 1 as tok_idx, c.t as text, c.y as y, 60 + 110 * c.p as x from cells where c.t is not null),
-tokens as (select doc_id, tok_idx, text, x as x1, y as y1, x + 100 as x2, y + 20 as y2, y + 10.0 as cy, x + 50.0 as cx,
+tokens as materialized (select doc_id, tok_idx, text, x as x1, y as y1, x + 100 as x2, y + 20 as y2, y + 10.0 as cy, x + 50.0 as cx,
   0.6::double + ((doc_id * 31 + tok_idx * 7) % 40) / 100.0::double as conf from placed),
-shingles as (select *, case when abs(lag(cy, 1) over w - cy) <= 30 then lag(text, 1) over w || ' ' || text end as two,
+shingles as materialized (select *, case when abs(lag(cy, 1) over w - cy) <= 30 then lag(text, 1) over w || ' ' || text end as two,
   case when abs(lag(cy, 2) over w - lag(cy, 1) over w) <= 30 and abs(lag(cy, 2) over w - cy) <= 30 then lag(text, 2) over w || ' ' || lag(text, 1) over w || ' ' || text end as three
   from tokens window w as (partition by doc_id order by tok_idx))"""
 
 
 def _hits(field: str, name: str = "hits") -> str:
-    # this engine's patterns have no look-behind; for a search, the digit itself serves
-    rows = ", ".join("({}, '{}', {}::double)".format(k, "(?i)" + p.replace("(?<=[0-9])", "[0-9]"), w) for k, (p, w) in enumerate(ANCHORS[field]))
-    return f"""{name}_a(anchor, pattern, prec) as (values {rows}),
-{name} as (select s.*, anchor, prec, case when coalesce(regexp_matches(three, pattern), false) then (tok_idx - 2) * 1000 + 300 when coalesce(regexp_matches(two, pattern), false) then (tok_idx - 1) * 1000 + 200
-  when regexp_matches(text, pattern) then tok_idx * 1000 + 100 end + anchor as seq
-  from shingles s, {name}_a where regexp_matches(coalesce(three, ''), pattern) or regexp_matches(coalesce(two, ''), pattern) or regexp_matches(text, pattern))"""
+    """A branch for each anchor, so that its pattern is a constant."""
+    branches = []
+    for k, (p, w) in enumerate(ANCHORS[field]):
+        # this engine's patterns have no look-behind; for a search, the digit itself serves
+        has = lambda c, p=p: f"regexp_matches(coalesce({c}, ''), '(?i){p.replace('(?<=[0-9])', '[0-9]')}')"
+        first = f"case when {has('three')} then (tok_idx - 2) * 1000 + 300 when {has('two')} then (tok_idx - 1) * 1000 + 200 else tok_idx * 1000 + 100 end + {k}"
+        branches.append(f"select *, {k} as anchor, {w}::double as prec, {first} as seq from shingles where {has('three')} or {has('two')} or {has('text')}")
+    return f"{name} as materialized ({' union all '.join(branches)})"
 
 
 def _int(text: str) -> str:
@@ -61,10 +75,10 @@ _LOOSE = "translate(text, 'qQoOlIzZsSbBgG', '99001122558899')"
 _PX = "round_even(sqrt((h.cx - t.cx) * (h.cx - t.cx) + (h.cy - t.cy) * (h.cy - t.cy)), 0)"
 HP = f"""{TOKENS}, {_hits('horse_power')},
 numbers as (select *, {_first('text')} as raw, coalesce({_first('text')}, {_first(_STRICT)}) as num, {_first(_LOOSE)} as fixed from tokens),
-hp_inside as (select h.doc_id, case when n.raw between 15 and 150 then n.raw else n.fixed end as value,
+hp_inside as materialized (select h.doc_id, case when n.raw between 15 and 150 then n.raw else n.fixed end as value,
   h.prec * h.conf * case when n.raw between 15 and 150 then 1.0::double else 0.85::double end as score, h.seq * 10000 as seq
   from hits h join numbers n on h.doc_id = n.doc_id and h.tok_idx = n.tok_idx where n.raw between 15 and 150 or n.fixed between 15 and 150),
-hp_beside as (select h.doc_id, t.num as value, h.prec * least(h.conf, t.conf) * {_near(_PX)} * {_sane('t.num', 15, 150)} * 0.9::double as score,
+hp_beside as materialized (select h.doc_id, t.num as value, h.prec * least(h.conf, t.conf) * {_near(_PX)} * {_sane('t.num', 15, 150)} * 0.9::double as score,
   h.seq * 10000 + case when t.tok_idx < h.tok_idx then t.tok_idx - h.tok_idx + 4 else t.tok_idx - h.tok_idx + 3 end as seq
   from hits h join numbers t on h.doc_id = t.doc_id and t.tok_idx between h.tok_idx - 3 and h.tok_idx + 3 and t.tok_idx <> h.tok_idx and abs(t.cy - h.cy) <= 30
   where t.num is not null and {_sane('t.num', 15, 150)} > 0),
@@ -74,18 +88,18 @@ hp_gate as (select doc_id, case when value between 15 and 150 then value end as
   case when value not between 15 and 150 then 'hp_out_of_range' end as note from hp_best)"""
 
 _COST_CTES = f"""{_hits('asset_cost', 'chits')},
-cost_near as (select h.doc_id, h.prec, h.conf as hconf, h.seq, t.tok_idx - h.tok_idx as off, t.conf as tconf, case when t.tok_idx = h.tok_idx then 0 else {_PX} end as px,
+cost_near as materialized (select h.doc_id, h.prec, h.conf as hconf, h.seq, t.tok_idx - h.tok_idx as off, t.conf as tconf, case when t.tok_idx = h.tok_idx then 0 else {_PX} end as px,
   unnest(regexp_extract_all(t.text, '[0-9]{{1,3}}(,[0-9]{{2,3}})+|[0-9]{{4,}}')) as num
   from chits h join tokens t on h.doc_id = t.doc_id and t.tok_idx between h.tok_idx - 1 and h.tok_idx + 6
   where t.tok_idx = h.tok_idx or (abs(t.cy - h.cy) <= 30 and t.x1 >= h.x1 - 5) or (abs(t.cy - h.cy) > 30 and t.cy > h.cy)),
 cost_valued as (select *, {_int('num')} as value from cost_near),
-cost_anchored as (select doc_id, value, prec * least(hconf, tconf) * {_near('px')} * {_sane('value', 100000, 5000000)} as score, seq * 10000 + (off + 1) * 100 as seq from cost_valued where {_sane('value', 100000, 5000000)} > 0),
+cost_anchored as materialized (select doc_id, value, prec * least(hconf, tconf) * {_near('px')} * {_sane('value', 100000, 5000000)} as score, seq * 10000 + (off + 1) * 100 as seq from cost_valued where {_sane('value', 100000, 5000000)} > 0),
 cost_low as (select * from (select *, max(y2) over (partition by doc_id) as lowest from tokens where doc_id not in (select doc_id from cost_anchored)) where y1 >= lowest * 0.3),
-cost_shaped as (
+cost_shaped as materialized (
   select doc_id, {_int('num')} as value, 0.55::double * conf as score, tok_idx * 1000 + 100 as seq, y1 from (select *, unnest(regexp_extract_all(text, '[0-9]{{1,3}}(,[0-9]{{2,3}})+')) as num from cost_low)
   union all select doc_id, {_int('num')}, 0.50::double * conf, tok_idx * 1000 + 200, y1 from (select *, unnest(regexp_extract_all(text, '[0-9]{{1,3}}([.,\\s][0-9]{{2,3}}){{2,}}')) as num from cost_low)),
 cost_formatted as (select * from cost_shaped where value between 100000 and 5000000),
-cost_plain as (select doc_id, {_int('num')} as value, 0.40::double * conf as score, tok_idx * 1000 + 300 as seq, y1
+cost_plain as materialized (select doc_id, {_int('num')} as value, 0.40::double * conf as score, tok_idx * 1000 + 300 as seq, y1
   from (select *, unnest(regexp_extract_all(text, '\\b[0-9]{{6,7}}\\b')) as num from cost_low) where not regexp_matches(num, '^[789][0-9]{{6}}$') and {_int('num')} between 100000 and 5000000),
 cost_all as (select doc_id, value, score, seq from cost_anchored union all select doc_id, value, score, seq from cost_formatted
   union all select doc_id, value, score, seq from (select *, row_number() over (partition by doc_id order by y1 desc, seq) as n from cost_plain where doc_id not in (select doc_id from cost_formatted)) where n = 1),
@@ -113,12 +127,89 @@ STORE = """store as (select 'doc-' || event_id as id, 'file_' || (event_id % 997
 WORDS = "words as (select doc_id, unnest(string_split_regex(text, '[ \\n]')) as w from documents)"
 LINES = "lines as (select doc_id, unnest(string_split(text, chr(10))) as txt, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents)"
 DOC_TOKENS = f"""{LINES}, line_words as (select doc_id, line, list_filter(string_split(txt, ' '), lambda w: w <> '') as ws from lines),
-doc_tokens as (select doc_id, line, unnest(ws) as text, generate_subscripts(ws, 1) - 1 as pos from line_words)"""
+doc_tokens as materialized (select doc_id, line, unnest(ws) as text, generate_subscripts(ws, 1) - 1 as pos from line_words)"""
 NAMES = """names as (select c_custkey as seq, (case when c_custkey % 4 = 0 then substr(n_name, 1, 2) || 'Z' || substr(n_name, 4, 30) else n_name end) || ' ' || c_mktsegment || ' MOTORS' as name
   from customer join nation on c_nationkey = n_nationkey)"""
 _KEY = "lower(trim(regexp_replace(regexp_replace({}, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')))"
 
 
+def _alternatives(words: object) -> str:
+    """A pattern of literal words, as SQL text."""
+    return "|".join(re.sub(r"([.()\[\]{}*+?|^$/])", r"\\\1", w) for w in sorted(words)).replace("'", "''")
+
+
+def _listed(words: object) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in sorted(words)) + ")"
+
+
+_FOLLOWS = "(case when abs(t.cy - h.cy) <= 30 then t.x1 >= h.x1 - 5 else t.cy > h.cy end)"
+_PLAIN_WORD = "trim(lower(t.text), '.,:;-')"
+_LETTERS, _DIGITS = "length(regexp_replace({0}, '[^\\p{{L}}]', '', 'g'))", "length(regexp_replace({0}, '[^0-9]', '', 'g'))"
+LETTERHEAD = f"""page as (select *, max(y2) over (partition by doc_id) as height from tokens),
+top_tokens as (select *, y1 // 30 as line from page where y1 < floor(height * 0.30) and length(text) >= 3 and {_LETTERS.format('text')} > 0 and not regexp_full_match(text, '[0-9]+|[A-Z0-9]{{10,}}')
+  and not ({_DIGITS.format('text')} > {_LETTERS.format('text')} and {_DIGITS.format('text')} >= 4)),
+lines as (select doc_id, line, string_agg(text, ' ' order by tok_idx) as text, list({{'t': text, 'c': conf}} order by x1, tok_idx) as ts from top_tokens group by doc_id, line),
+judged as (select *, not regexp_matches(lower(text), '{_alternatives(X.LINE_WORDS)}') and not regexp_matches(text, '(?i){"|".join(X.LINE_PATTERNS)}')
+  and len(regexp_extract_all(text, '[A-Za-z]{{4,}}')) >= 2 and {_LETTERS.format('text')} >= 8 as ok from lines)"""
+DEALER = f"""{TOKENS}, {_hits('dealer_name', 'dhits')}, {LETTERHEAD},
+led as (select *, list_position(sizes, list_max(sizes)) as place from (select *, list_transform(ts, lambda t: length(t.t)) as sizes from judged where ok)),
+split as (select *, trim(ts[place].t, ' .,:-') as lead, array_to_string(list_transform(ts, lambda t: t.t), ' ') as whole from led),
+named as (select *, case when length(lead) >= 4 then array_to_string(list_prepend(lead, list_filter(list_transform(range(1, len(ts) + 1), lambda i: case when i <> place then trim(ts[i].t, ' .,:-') else '' end), lambda w: w <> '' and not contains(lower(lead), lower(w)))), ' ')
+  else trim(whole, ' .,:-') end as name from split),
+letterhead as (select doc_id, name, (case when {_LETTERS.format('whole')} >= 6 and length(regexp_replace(whole, '[^\\p{{Lu}}]', '', 'g')) / {_LETTERS.format('whole')} >= 0.7 then 0.95 else 0.80 end)::double * list_avg(list_transform(ts, lambda t: t.c)) as score
+  from (select *, row_number() over (partition by doc_id order by line) as n from named where length(name) between 4 and 80) where n = 1 and not regexp_matches(lower(whole), 'quotation|invoice|bill of|performa')),
+dframes as (select h.doc_id, h.text as own, h.conf, h.prec, h.seq, list({{'t': t.text, 'c': t.conf, 'kind': case when not {_FOLLOWS} or regexp_full_match(replace(t.text, ',', ''), '[0-9]+(\\.[0-9]+)?') or {_PLAIN_WORD} in {_listed(X.DEALER_END)} then 's'
+  when {_PLAIN_WORD} in {_listed(X.BRIDGE)} then 'b' when {_PLAIN_WORD} in {_listed(X.DEALER_CLOSE)} then 'c' else 'w' end}} order by t.tok_idx) as ahead
+  from dhits h join tokens t on h.doc_id = t.doc_id and t.tok_idx between h.tok_idx + 1 and h.tok_idx + 7 group by all),
+dshapes as (select *, array_to_string(list_transform(ahead, lambda x: x.kind), '') as kinds from dframes),
+dspans as (select *, length(regexp_extract(kinds, '^b*')) as skipped, length(regexp_extract(kinds, '^b*((w{{0,5}}c)|(w{{1,6}}))', 1)) as n from dshapes),
+dnamed as (select *, trim(array_to_string(list_transform(ahead[skipped + 1 : skipped + n], lambda x: x.t), ' '), ' .,:-') as name,
+  (case when regexp_matches(lower(own), 'authori[sz]') then 0.55::double else prec end) * list_avg(list_prepend(conf, list_transform(ahead[1 : skipped + n], lambda x: x.c))) as score from dspans where n > 0),
+dealers as (select doc_id, name, score, 0 as first, 0 as seq from letterhead union all select doc_id, name, score, 1, seq from dnamed where length(name) between 4 and 80),
+dealer_top as (select * from (select *, row_number() over (partition by doc_id order by score desc, first, seq) as n from dealers) where n = 1)"""
+_STRIPPED = """trim(array_to_string(ws[1 : coalesce(list_max(list_transform(range(1, len(ws) + 1), lambda i: case when regexp_matches(ws[i], '[A-Za-z0-9]') and length(ws[i]) > 1 and not regexp_matches(ws[i], '[\\x{0900}-\\x{097F}\\x{0A80}-\\x{0AFF}]')
+  and not regexp_full_match(ws[i], '[hH][pP][^\\p{L}\\p{N}_]*|[^\\p{L}\\p{N}_]+[0-9]+[^\\p{L}\\p{N}_]*') then i end)), 0)], ' '), ' .,:-')"""
+_BRANDED = "regexp_matches(h.text, '(?i)\\b(Mahindra|Sonalika)\\b')"
+MODEL = f"""{TOKENS}, {_hits('model_name', 'mhits')},
+mframes as (select h.doc_id, h.tok_idx, h.conf, list({{'t': t.text, 'c': t.conf, 'kind': case when not {_FOLLOWS} then 's' when trim(lower(t.text), '.,:;-()') in {_listed(X.MODEL_END)} or regexp_full_match(trim(t.text), '(?i)Mahindra|Sonalika') then 'e' else 'w' end}} order by t.tok_idx) as ahead
+  from tokens h join tokens t on h.doc_id = t.doc_id and t.tok_idx between h.tok_idx + 1 and h.tok_idx + 6 where {_BRANDED} or (h.doc_id, h.tok_idx) in (select (doc_id, tok_idx) from mhits) group by all),
+mshapes as (select *, array_to_string(list_transform(ahead, lambda x: x.kind), '') as kinds from mframes),
+anchored as (select f.*, h.prec, h.seq, ahead[1 : least(4, length(regexp_extract(kinds, '^[we]*')))] as run from mshapes f join mhits h on f.doc_id = h.doc_id and f.tok_idx = h.tok_idx),
+anchored_words as (select *, list_filter(string_split(trim(array_to_string(list_transform(run, lambda x: x.t), ' '), ' .,:-'), ' '), lambda w: w <> '') as ws from anchored),
+branded as (select h.text, f.*, list_prepend({{'t': h.text, 'c': h.conf, 'kind': 'w'}}, ahead[1 : least(5, length(regexp_extract(kinds, '^w*')))]) as used from mshapes f join tokens h on f.doc_id = h.doc_id and f.tok_idx = h.tok_idx where {_BRANDED}),
+branded_words as (select *, list_filter(string_split(trim(array_to_string(list_transform(used, lambda x: x.t), ' '), ' .,:-'), ' '), lambda w: w <> '') as ws from branded),
+branded_names as (select *, {_STRIPPED} as name from branded_words),
+models as (select doc_id, {_STRIPPED} as name, prec * list_avg(list_prepend(conf, list_transform(run, lambda x: x.c))) as score, 0 as first, seq from anchored_words where length({_STRIPPED}) >= 3 and regexp_matches({_STRIPPED}, '[0-9]')
+  union all select doc_id, name, (case when regexp_matches(name, '[0-9]') then 0.85 else 0.40 end)::double * list_avg(list_transform(used, lambda x: x.c)), 1, tok_idx from branded_names where length(name) >= 3
+    and case when regexp_matches(name, '[0-9]') then not regexp_matches(lower(name), '{_alternatives(X.MODEL_BANNED)}') else not regexp_matches(array_to_string(list_transform(used, lambda x: x.t), ' '), '[0-9]') end),
+model_top as (select * from (select *, row_number() over (partition by doc_id order by score desc, first, seq) as n from models) where n = 1)"""
+
+
+def _best_sql(ctes: str, top: str) -> str:
+    return f"""with {ctes}, docs as (select distinct doc_id from tokens) select d.doc_id, name as value, round(coalesce(greatest(0, least(1, score)), 0), 6)::double as confidence,
+      case when name is null then 'none' else 'tier1' end as source from docs d left join {top} t on d.doc_id = t.doc_id"""
+
+
+def _common_sql(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two columns of up to 61 characters."""
+    mask = f"coalesce(list_sum(list_transform(range(1, length({a}) + 1), lambda k: case when unicode(substr({a}, k, 1)) = ch then (1::bigint << (k - 1)) else 0::bigint end)), 0)::bigint"
+    full, chars = f"((1::bigint << length({a})) - 1)", f"list_transform(range(1, length({b}) + 1), lambda j: unicode(substr({b}, j, 1))::bigint)"
+    return f"(length({a}) - bit_count(list_reduce({chars}, lambda row, ch: (((row + (row & {mask})) | (row - (row & {mask}))) & {full}), {full})))"
+
+
+_REST = "array_to_string(list_sort(list_filter({0}, lambda w: not list_contains({1}, w))), ' ')"
+FUZZY = f"""nations as (select n_nationkey as seq, n_name || ' AUTOMOBILES' as canonical, n_name || ' TRACTORS' as alias from nation),
+spelt as (select seq, 0 as k, canonical, canonical as form from nations union all select seq, 1, canonical, alias from nations),
+forms as (select form, min((seq, k)) as rank, arg_max(canonical, (seq, k)) as canonical from spelt group by form),
+said as (select c_custkey, (case when c_custkey % 3 = 0 then substr(n_name, 1, 3) || 'X' || substr(n_name, 5, 30) else n_name end) || ' ' || (case when c_custkey % 2 = 0 then 'TRACTORS' else c_mktsegment end) as value from customer join nation on c_nationkey = n_nationkey),
+pairs as (select value, form, canonical, rank, list_distinct(string_split(value, ' ')) as x, list_distinct(string_split(form, ' ')) as y from (select distinct value from said), forms),
+parted as materialized (select *, length(array_to_string(list_intersect(x, y), ' ')) as s, {_REST.format('x', 'y')} as dx, {_REST.format('y', 'x')} as dy from pairs),
+measured as materialized (select *, s + cast(s > 0 as int) + length(dx) as la, s + cast(s > 0 as int) + length(dy) as lb, {_common_sql('dx', 'dy')} as c from parted),
+ratios as (select *, case when s > 0 and (dx = '' or dy = '') then 100.0::double else greatest(0.0, 100.0::double - 100.0::double * (length(dx) + length(dy) - 2 * c) / (la + lb), case when s > 0 then 100.0::double - 100.0::double * (1 + length(dx)) / (s + la) end,
+  case when s > 0 then 100.0::double - 100.0::double * (1 + length(dy)) / (s + lb) end) end as score from measured),
+nearest as (select * from (select *, row_number() over (partition by value order by score desc, rank) as n from ratios) where n = 1)"""
+
+
 def _anchor_sql(field: str) -> str:
     return f"with {TOKENS}, {_hits(field)} select doc_id, tok_idx, cast(anchor as bigint) as anchor, prec as precision, seq from hits"
 
@@ -137,12 +228,20 @@ SQL: dict[str, str] = {
     "hp_best": f"with {HP} select o_orderkey as doc_id, value, round(coalesce(confidence, 0.0::double), 6) as confidence, case when b.doc_id is null then 'none' else 'tier1' end as source from orders left join hp_best b on o_orderkey = b.doc_id",
     "cost_candidates": f"with {COST} select doc_id, value, round(score, 6) as score, seq from cost_all",
     "cost_best": f"with {COST} select doc_id, value, round(confidence, 6) as confidence, 'tier1' as source from cost_best",
+    "dealer_best": _best_sql(DEALER, "dealer_top"),
+    "model_best": _best_sql(MODEL, "model_top"),
+    "letterhead_lines": f"with {TOKENS}, {LETTERHEAD} select doc_id, cast(line as bigint) as line, text, ok from judged",
+    "dealer_fuzzy_match": f"""with {FUZZY} select c_custkey, s.value, case when score >= 90 then canonical else s.value end as norm_value,
+      round(case when score >= 90 then 0.7::double + 0.10::double when score >= 70 then 0.7::double * 0.85::double else 0.7::double * 0.5::double end, 6) as confidence, round(score, 6) as score from said s join nearest n on s.value = n.value""",
     "digit_repair": f"""with {WORDS}, made as (select case when regexp_matches(w, '[0-9]') then translate(w, 'qQoOlIzZsSbBgGtT', '9900112255889977') else w end as strict, translate(w, 'qQoOlIzZsSbBgG', '99001122558899') as loose from words where w <> '')
       select length(loose) as length, count(*) as words, count(*) filter (strict = loose) as same, cast(sum(length(regexp_replace(loose, '[^0-9]', '', 'g'))) as bigint) as digits, max(strict) as largest from made group by 1""",
     "int_coerce": f"select o_orderkey, {_int(chr(39) + 'Rs. ' + chr(39) + ' || printf(' + chr(39) + '%.2f' + chr(39) + ', o_totalprice) || ' + chr(39) + '/-' + chr(39))} as value from orders",
     "proximity_and_sanity": f"""with {BOXES}, d as (select seq, round_even(sqrt(((x1 + x2) / 2.0::double - 50) * ((x1 + x2) / 2.0::double - 50) + ((y1 + y2) / 2.0::double - 10) * ((y1 + y2) / 2.0::double - 10)), 0) as distance from boxes)
       select seq, distance, round({_near('distance')}, 6) as proximity, {_sane('(seq % 250)', 15, 150)} as sanity from d""",
-    "derive_hp": f"with {QUOTES} select doc_id, case when doc_id % 5 < 4 and hp between 15 and 150 then hp end as hp from quotes",
+    "derive_hp": f"""with {QUOTES}, spelt as (select doc_id, case doc_id % 5 when 0 then 'YUVO 405 DI (HP-' || hp || ')' when 1 then 'Tech 405 D1 HP. ' || hp || '!' when 2 then 'MF 245 DI ' || hp || ' HP' when 3 then '3805P+ ' || hp || 'HP' else 'PT-4' || hp end as name from quotes),
+      read as (select doc_id, try_cast(regexp_extract(name, '(?i)\\bH[.\\s]*P[.\\-:\\s]+([0-9]{{2,3}})\\b', 1) as bigint) as a, try_cast(regexp_extract(name, '(?i)\\(\\s*HP[-:\\s]*([0-9]{{2,3}})\\s*\\)', 1) as bigint) as b,
+        try_cast(regexp_extract(name, '(?i)\\b([0-9]{{2,3}})\\s*H[.\\s]*P\\b', 1) as bigint) as c, try_cast(regexp_extract(name, '(?i)\\b([0-9]{{2,3}})HP\\b', 1) as bigint) as d from spelt)
+      select doc_id, coalesce(case when a between 15 and 150 then a end, case when b between 15 and 150 then b end, case when c between 15 and 150 then c end, case when d between 15 and 150 then d end) as hp from read""",
     "normalize_cross_field": f"""with {BOTH}, checked as (select *, coalesce(hp > 0 and not (cost / hp between 6000 and 20000), false) as odd from gated)
       select doc_id, hp, cost, round(case when odd then cost_conf * 0.8::double else cost_conf end, 6) as cost_confidence, concat_ws(',', hp_note, cost_note, case when odd then 'hp_cost_inconsistent' end) as notes from checked""",
     "model_exact_match": f"""with masters as (select {_KEY.format('p_name')} as key, arg_min(p_name, p_partkey) as master from part where p_partkey % 3 <> 0 group by 1),
@@ -153,7 +252,9 @@ SQL: dict[str, str] = {
     "asset_union": """with rows_ as (select p_brand as brand, p_type as model, case when p_partkey % 2 = 0 then p_brand || ' ' || p_type else lower(p_brand || ' ' || p_type) end as full_name, p_partkey % 2 as rank, p_partkey as seq from part)
       select brand, model, full_name from (select *, row_number() over (partition by lower(trim(full_name)) order by rank, seq) as n from rows_) where n = 1""",
     "brand_list": "select distinct p_brand as brand from part where p_brand <> ''",
-    "asset_harvest": f"with {QUOTES} select distinct 'Mahindra' as brand, model || ' DI' as model, 'Mahindra ' || model || ' DI' as full_name from quotes",
+    "asset_harvest": f"""with {TOKENS}, found as (select b.doc_id, b.tok_idx, regexp_extract(b.text, '(?i)\\b(Mahindra|Sonalika)\\b', 1) as said, trim(coalesce(string_agg(t.text, ' ' order by t.tok_idx), '')) as model
+        from tokens b left join tokens t on b.doc_id = t.doc_id and t.tok_idx between b.tok_idx + 1 and b.tok_idx + 3 and abs(t.cy - b.cy) <= 30 where regexp_matches(b.text, '(?i)\\b(Mahindra|Sonalika)\\b') group by all),
+      kept as (select case lower(said) when 'mahindra' then 'Mahindra' else 'Sonalika' end as brand, model from found where regexp_matches(model, '[0-9]') and length(model) between 2 and 40) select distinct brand, model, brand || ' ' || model as full_name from kept""",
     "doc_confidence": f"""with {BOTH}, {BOXES}, {BEST_BOX}, fields as (select doc_id, 0.15::double as w, hp_conf as c from gated union all select doc_id, 0.20::double, cost_conf from gated
       union all select doc_id, 0.125::double, conf from best_box where cls in ('signature', 'stamp') and doc_id in (select doc_id from gated)),
       summed as (select doc_id, coalesce(sum(case when c > 0 then w * c end) / sum(case when c > 0 then w end), 0) as confidence from fields group by doc_id)
@@ -178,14 +279,19 @@ SQL: dict[str, str] = {
     "eval_confusion": """with r as (select regexp_matches(lower(text), 'idiot|moron|stupid|clown') as p, toxic = 1 as t from labels join documents using (doc_id))
       select count(*) filter (p and t) as tp, count(*) filter (p and not t) as fp, count(*) filter (not p and not t) as tn, count(*) filter (not p and t) as fn from r""",
     "eval_latency": "select count(value) as n, round(quantile_cont(value, 0.5), 6) as p50, round(list_sort(list(value))[least(cast(floor(0.95::double * count(value)) as bigint), count(value) - 1) + 1], 6) as p95, round(max(value), 6) as max from events",
-    "eval_model_plain": f"with {QUOTES} select doc_id, doc_id % 4 in (0, 2) as hit from quotes",
+    "eval_model_plain": f"""with {QUOTES}, both_names as (select doc_id, 'Mahindra ' || model || ' DI' as truth, case doc_id % 4 when 0 then upper('Mahindra ' || model || ' DI') when 1 then 'mahindra ' || (model + 1) when 2 then model || '-DI, MAHINDRA tractor' end as got from quotes),
+      keyed as (select doc_id, {_KEY.format('got')} as p, {_KEY.format('truth')} as g from both_names),
+      cut as (select doc_id, p, g, regexp_extract_all(g, '[0-9]+') as numbers, list_filter(string_split(p, ' '), lambda w: regexp_full_match(w, '\\p{{L}}{{3,}}')) as pw, list_filter(string_split(g, ' '), lambda w: regexp_full_match(w, '\\p{{L}}{{3,}}')) as gw from keyed)
+      select doc_id, coalesce(p <> '' and g <> '' and (p = g or (list_has_any(pw, gw) and ((len(numbers) > 0 and len(list_filter(numbers, lambda n: not contains(p, n))) = 0) or len(list_filter(numbers, lambda n: length(n) >= 3 and contains(p, n))) > 0))), false) as hit from cut""",
     "below_threshold": f"""with {BOTH}, long as (select 'horse_power' as field, hp_conf as c from gated union all select 'asset_cost', cost_conf from gated)
       select field, count(*) as n, round(max(c), 6) as most from long where c < 0.55::double group by field""",
     "tier2_merge": f"""with {COST} select b.doc_id, case when weak and q.doc_id % 3 <> 0 and not (q.doc_id % 5 = 1) then cast(q.cost as varchar) else cast(b.value as varchar) end as value,
         round(case when weak and q.doc_id % 3 <> 0 and not (q.doc_id % 5 = 1) then 0.7::double else b.confidence end, 6) as confidence, case when weak and q.doc_id % 3 <> 0 and not (q.doc_id % 5 = 1) then 'tier2' else 'tier1' end as source
       from (select *, confidence < 0.55::double as weak from cost_best) b join quotes q on b.doc_id = q.doc_id where q.doc_id % 3 <> 0 or not weak or not contains(cast(q.cost as varchar), '999')
       union all select b.doc_id, '999', 0.7::double, 'tier2' from (select *, confidence < 0.55::double as weak from cost_best) b join quotes q on b.doc_id = q.doc_id where q.doc_id % 3 = 0 and weak and contains(cast(q.cost as varchar), '999')""",
-    "json_blob_parse": "select event_id, case when event_id % 10 > 0 then cast(json_extract(props, '$.k') as bigint) end as k, event_id % 10 > 0 as parsed from events",
+    "json_blob_parse": """with r as (select event_id, 'Answer: ' || props || case when event_id % 10 = 0 then '} trailing' else ' ok' end as raw from events),
+      b as (select event_id, regexp_extract(raw, '(?s)\\{.*\\}') as blob from r), v as (select event_id, blob, blob <> '' and json_valid(blob) as parsed from b)
+      select event_id, case when parsed then cast(json_extract(blob, '$.k') as bigint) end as k, parsed from v""",
     "inr_format": f"""with a as (select o_orderkey, case when o_orderkey % 50 <> 0 then cast(floor(o_totalprice * (o_orderkey % 7) * (o_orderkey % 5)) as bigint) end as v from orders), b as (select *, cast(v as varchar) as d from a)
       select o_orderkey, case when v is null then '—' when length(d) <= 3 then '₹' || d else '₹' || ltrim({_GROUPED}, ',') || ',' || right(d, 3) end as shown, printf('%.2f KB', o_orderkey / 1024.0::double) as size from b""",
     "dash_kpis": f"""with {STORE} select count(*) as total, count(*) filter (status = 'completed') as completed, round(100.0::double * count(*) filter (status = 'completed') / count(*), 6) as completion_pct,
@@ -208,7 +314,8 @@ SQL: dict[str, str] = {
     "yolo_verify": f"""with {BOXES}, b as (select *, seq % 11 = 0 as odd, seq % 13 = 0 and seq % 11 <> 0 as six, greatest(abs((x1 + x2) / 1024.0::double), abs((y1 + y2) / 1400.0::double)) > 1.0000005 as far from boxes where cls <> 'logo')
       select count(*) as lines, count(*) filter (cls = 'signature' and not odd and not six and not far) as signatures, count(*) filter (cls = 'stamp' and not odd and not six and not far) as stamps, count(*) filter (six) as malformed, count(*) filter (odd) as bad_class, count(*) filter (far and not six) as bad_range from b""",
     "size_histogram": "with h as (select max(n_chars) + 1 as hi from documents) select cast(floor(n_chars * 20.0::double / hi) + 1 as bigint) as bin, count(*) as docs, round(quantile_cont(n_chars, 0.5), 6) as median from documents, h group by 1",
-    "filename_buckets": "select case event_id % 4 when 0 then 'android' when 1 then 'others' when 2 then 'numeric' else 'named' end as bucket, count(*) as n from events group by 1",
+    "filename_buckets": """with f as (select case event_id % 4 when 0 then 'Android_' || event_id when 1 then 'others-' || event_id when 2 then cast(event_id + 1000000000 as varchar) else 'scan ' || event_id end as stem from events)
+      select case when lower(stem) like 'android%' then 'android' when lower(stem) like 'others%' then 'others' when regexp_full_match(stem, '[0-9]{9,}') then 'numeric' else 'named' end as bucket, count(*) as n from f group by 1""",
     "brand_document_frequency": "select p_brand as brand, count(distinct l_orderkey) as docs from lineitem join part on l_partkey = p_partkey group by 1",
     "pseudo_labels": f"with {BOTH} select count(*) as docs, count(*) filter (hp_conf >= 0.85 and cost_conf >= 0.85) as sure, round(cast(count(*) filter (hp_conf >= 0.85 and cost_conf >= 0.85) as double) / count(*), 6) as share from gated",
     "cache_misses": "with d as (select doc_id, substr(sha256(text), 1, 16) as hash from documents) select doc_id, hash from d where hash not in (select hash from d where doc_id % 3 = 0)",

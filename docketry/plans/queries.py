@@ -33,8 +33,8 @@ def big(c: Column | str) -> Column:
 def flagship_hp_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors, candidates, best, range gate, truth: the share of quotations whose horse power is right."""
     truth = S.quotes(spark, sf_dir)
-    best = numeric_fields.best(numeric_fields.horse_power_candidates(S.quote_tokens(spark, sf_dir, truth)))
-    gated = best.select("doc_id", normalize.gate_horse_power(F.col("value"), F.col("confidence")).alias("g"))
+    best = numeric_fields.best_fields(S.quote_tokens(spark, sf_dir, truth), ("horse_power",))
+    gated = best.select("doc_id", normalize.gate_horse_power(F.col("horse_power.value"), F.col("horse_power.confidence")).alias("g"))
     joined = truth.select("doc_id", "hp").join(gated, "doc_id", "left").select("hp", F.col("g.value").alias("got"), F.coalesce("g.confidence", F.lit(0.0)).alias("c"))
     hit = evaluate.match_numeric(F.col("got"), F.col("hp"))
     return joined.agg(big(F.count("*")).alias("docs"), big(F.count("got")).alias("found"), big(F.count_if(hit)).alias("correct"), six(F.avg("c")).alias("mean_confidence"))
@@ -71,8 +71,8 @@ def hp_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hp_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = S.quote_tokens(spark, sf_dir)
-    return numeric_fields.best(numeric_fields.horse_power_candidates(tokens), S.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))).select("doc_id", "value", six("confidence").alias("confidence"), "source")
+    found = numeric_fields.best_fields(S.quote_tokens(spark, sf_dir), ("horse_power",)).select("doc_id", "horse_power.*")
+    return found.select("doc_id", "value", six("confidence").alias("confidence"), "source")
 
 
 @query
@@ -82,7 +82,8 @@ def cost_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cost_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numeric_fields.best(numeric_fields.asset_cost_candidates(S.quote_tokens(spark, sf_dir))).select("doc_id", "value", six("confidence").alias("confidence"), "source")
+    found = numeric_fields.best_fields(S.quote_tokens(spark, sf_dir), ("asset_cost",)).select("doc_id", "asset_cost.*")
+    return found.where("source <> 'none'").select("doc_id", "value", six("confidence").alias("confidence"), "source")
 
 
 def _text_best(spark: SparkSession, sf_dir: str, field: str) -> DataFrame:
@@ -100,6 +101,11 @@ def model_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text_best(spark, sf_dir, "model_name")
 
 
+@query
+def letterhead_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_fields.letterhead_lines(S.quote_tokens(spark, sf_dir)).select("doc_id", big("line").alias("line"), "text", "ok")
+
+
 @query
 def digit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = S.read(spark, sf_dir, "documents").select(F.explode(F.split("text", "[ \n]")).alias("w")).where("w <> ''")
@@ -130,11 +136,10 @@ def derive_hp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, gated horse power and cost of each quotation."""
-    tokens = S.quote_tokens(spark, sf_dir)
-    hp = numeric_fields.best(numeric_fields.horse_power_candidates(tokens)).select("doc_id", normalize.gate_horse_power(F.col("value"), F.col("confidence")).alias("hp"))
-    cost = numeric_fields.best(numeric_fields.asset_cost_candidates(tokens)).select("doc_id", normalize.gate_asset_cost(F.col("value"), F.col("confidence")).alias("cost"))
-    return hp.join(cost, "doc_id", "full_outer")
+    """doc_id, gated horse power and cost of each quotation that has either, null without a candidate; one pass over the tokens."""
+    found = numeric_fields.best_fields(S.quote_tokens(spark, sf_dir)).where("horse_power.source <> 'none' or asset_cost.source <> 'none'")
+    gated = lambda f, gate: F.when(F.col(f"{f}.source") != "none", gate(F.col(f"{f}.value"), F.col(f"{f}.confidence")))
+    return found.select("doc_id", gated("horse_power", normalize.gate_horse_power).alias("hp"), gated("asset_cost", normalize.gate_asset_cost).alias("cost"))
 
 
 @query

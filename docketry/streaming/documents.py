@@ -16,9 +16,9 @@ def token_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def extract_batch(tokens: DataFrame) -> DataFrame:
     """Gated horse power and cost of each document of one micro-batch; a document's tokens arrive together."""
-    hp = numeric_fields.best(numeric_fields.horse_power_candidates(tokens)).select("doc_id", gate_horse_power(F.col("value"), F.col("confidence")).alias("horse_power"))
-    cost = numeric_fields.best(numeric_fields.asset_cost_candidates(tokens)).select("doc_id", gate_asset_cost(F.col("value"), F.col("confidence")).alias("asset_cost"))
-    return hp.join(cost, "doc_id", "full_outer")
+    found = numeric_fields.best_fields(tokens)
+    gated = lambda f, gate: F.when(F.col(f"{f}.source") != "none", gate(F.col(f"{f}.value"), F.col(f"{f}.confidence"))).alias(f)
+    return found.select("doc_id", gated("horse_power", gate_horse_power), gated("asset_cost", gate_asset_cost))
 
 
 def run_extraction(tokens: DataFrame, target: str, checkpoint: str) -> StreamingQuery:

@@ -66,8 +66,34 @@ def test_similarity():
     assert similarity.token_set("MADHU PAWAN AUTOMOBILES", "MADHU PAVAN AUTOMOBILES") == pytest.approx(95.652174)
     assert similarity.token_set("a b", "a b c") == 100 and similarity.token_set("", "a") == 0
     assert similarity.partial("abc", "xxabcyy") == 100 and similarity.ratio("abcd", "abxd") == 75
-    assert similarity.drop_echoes("A B C A B C") == "A B C" and similarity.drop_echoes("XYZ LTD LtD") == "XYZ LTD" and similarity.drop_echoes("one") == "one"
-    assert text_fields.strip_trailers("575 DI HP. !39") == "575 DI"
+
+
+def test_similarity_columns(spark):
+    """The column forms against the plain ones, and repeated words against a plain loop."""
+    rng = random.Random(12)
+    words = ["", "a", "ab", "मोटर", "x" * 70, "y" + "x" * 69, *("".join(rng.choice("abcd") for _ in range(rng.randint(1, 12))) for _ in range(60))]
+    pairs = [(rng.choice(words), rng.choice(words)) for _ in range(300)] + [("x" * 70, "y" + "x" * 69)]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", similarity.letters_in_common(F.col("a"), F.col("b")).alias("n"), similarity.resembles(F.col("a"), F.col("b"), 80).alias("r")).collect()
+    assert all(r.n == similarity.common(r.a, r.b) and r.r == (similarity.ratio(r.a, r.b) >= 80) for r in rows)
+
+    def tails(w):
+        while k := next((k for k in range(len(w) // 2, 0, -1) if w[-k:] == w[-2 * k : -k]), 0):
+            w = w[:-k]
+        return w
+
+    def echoes(w):
+        while len(w) > 1:
+            w = tails(w)
+            p = [x.lower().strip(".,:;-") for x in w]
+            if len(w) < 2 or not p[-1] or not any(x and similarity.ratio(p[-1], x) >= 80 for x in p[:-1]):
+                break
+            w = w[:-1]
+        return w
+
+    lists = [["A", "B", "C", "A", "B", "C"], ["XYZ", "LTD", "LtD"], ["one"], [], ["-", "-"], ["a", "a", "a", "b", "a", "a", "b"], ["SONS", "Motors", "Motor.", "MOTORS"], *([rng.choice(["A", "B", "Motors", "MOTOR", "ltd", "."]) for _ in range(rng.randint(1, 9))] for _ in range(120))]
+    rows = spark.createDataFrame([(w,) for w in lists], "w array<string>").select("w", similarity.without_repeated_tail(F.col("w")).alias("t"), similarity.without_echoes(F.col("w")).alias("e")).collect()
+    assert all(r.t == tails(r.w) and r.e == echoes(r.w) for r in rows)
+    assert column(spark, ["575 DI HP. !39", "! - x", "", "DI 575 एचपी (39)", "Sonalika 35"], text_fields.strip_trailers) == ["575 DI", "", "", "DI 575", "Sonalika 35"]
 
 
 def test_horse_power(spark):
