@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,3 +92,54 @@ def annotation_summary(detections: DataFrame) -> DataFrame:
 
 def pixels(parsed: DataFrame, width: int, height: int) -> DataFrame:
     return parsed.where(F.size("issues") == 0).withColumn("box", from_yolo(*map(F.col, ("cx", "cy", "w", "h")), F.lit(float(width)), F.lit(float(height))))
+
+
+def by_confidence(detections: DataFrame) -> DataFrame:
+    """``detections`` with ``place`` on their page, from 1, the most confident first, the earlier (by ``seq``) of equals."""
+    return detections.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("conf"), "seq")))
+
+
+def _padded(contours: DataFrame, cls: str, score: Column, pad: int) -> DataFrame:
+    box = [F.greatest(F.lit(0), F.col("x") - pad), F.greatest(F.lit(0), F.col("y") - pad), F.least(F.col("page_w"), F.col("x") + F.col("w") + pad), F.least(F.col("page_h"), F.col("y") + F.col("h") + pad)]
+    return contours.select("doc_id", "seq", F.lit(cls).alias("cls"), *(v.cast("int").alias(c) for v, c in zip(box, BOX, strict=True)), F.least(F.lit(1.0), score).alias("conf"))
+
+
+def stamp_shapes(contours: DataFrame) -> DataFrame:
+    """Detections from outlines (doc_id, seq, x, y, w, h, area, arc, page_w, page_h) that look like a stamp: of middling
+    size, about as wide as high, and well filled; the better of them the rounder and larger."""
+    page, ratio = F.col("page_w") * F.col("page_h"), F.col("w") / F.col("h")
+    fits = F.col("area").between(0.0008 * page, 0.05 * page) & (F.col("w") >= 20) & (F.col("h") >= 20) & ratio.between(0.4, 2.5) & (F.col("area") / (F.col("w") * F.col("h") + 1e-9) >= 0.25)
+    roundness = F.lit(4 * math.pi) * F.col("area") / (F.col("arc") * F.col("arc") + 1e-9)
+    return _padded(contours.where(fits), "stamp", 0.4 + 0.3 * roundness + 0.3 * F.least(F.col("area") / (0.01 * page), F.lit(1.0)), 6)
+
+
+def signature_shapes(contours: DataFrame, stamps: DataFrame) -> DataFrame:
+    """Detections from outlines with ``density``, the share of ink, that look like a signature and lie on no stamp: wide,
+    not too dense; the better of them the denser and longer."""
+    page, ratio = F.col("page_w") * F.col("page_h"), F.col("w") / F.col("h")
+    fits = F.col("area").between(0.0015 * page, 0.04 * page) & (F.col("w") >= 60) & (F.col("h") >= 15) & ratio.between(1.2, 12) & F.col("density").between(0.04, 0.45)
+    boxed = contours.where(fits).withColumns({"x1": F.col("x").cast("int"), "y1": F.col("y").cast("int"), "x2": (F.col("x") + F.col("w")).cast("int"), "y2": (F.col("y") + F.col("h")).cast("int")})
+    score = 0.3 + 0.4 * F.least(F.col("density") / 0.2, F.lit(1.0)) + 0.3 * F.least(ratio / 4.0, F.lit(1.0))
+    return _padded(without_overlap(boxed, stamps), "signature", score, 8)
+
+
+def detector_settings(text: str | None) -> dict[str, float]:
+    """Thresholds by class and the overlap of equal detections, from a detector's YAML text; its defaults without one."""
+    found = {"signature": 0.35, "stamp": 0.40, "nms_iou": 0.45}
+    inside = ""
+    for line in (text or "").splitlines():
+        name, _, value = line.partition("#")[0].rstrip().partition(":")
+        inside = inside if name[:1] == " " else name.strip()
+        name, value = name.strip(), value.strip()
+        if value and (name == "nms_iou" or (inside == "confidence_thresholds" and name in CLASSES)):
+            found[name] = float(value)
+    return found
+
+
+def issue_head(parsed: DataFrame, most: int = 20) -> DataFrame:
+    """The first issues by image and line number, and how many more there are: place, image, issue; place ``most`` + 1 has the rest's number."""
+    issues = parsed.select("image", "number", F.explode("issues").alias("issue"))
+    first = issues.orderBy("image", "number", "issue").limit(most)
+    placed = first.withColumn("place", F.row_number().over(Window.orderBy("image", "number", "issue")))  # ``most`` rows
+    rest = issues.agg((F.count("*") - most).alias("n")).where("n > 0").select(F.lit(None).cast("string").alias("image"), F.col("n").cast("string").alias("issue"), F.lit(most + 1).alias("place"))
+    return placed.select("place", "image", "issue").unionByName(rest.select("place", "image", "issue"))

@@ -43,6 +43,47 @@ def match_model(predicted: Column, truth: Column) -> Column:
     return match_model_plain(predicted, truth) | _null_rule(predicted, truth, alike & (p != "") & (g != ""))
 
 
+SIX = ("dealer_name", "model_name", "horse_power", "asset_cost", "signature", "stamp")
+
+
+def score_documents(labels: DataFrame, results: DataFrame) -> DataFrame:
+    """doc_id, error and a boolean for each of the six fields, of the labelled documents.
+
+    ``labels``: doc_id, the four values, signature_present and stamp_present; rows without a doc_id are skipped.
+    ``results``: flat results (``assemble.legacy``). A document without a result has the error ``missing`` and no hit.
+    """
+    truth = labels.where("doc_id is not null and doc_id <> ''").select("doc_id", *(F.col(c).alias(f"true_{c}") for c in (*SIX[:4], "signature_present", "stamp_present")))
+    rows = truth.join(results.withColumn("_there", F.lit(True)), "doc_id", "left")
+    is_there = F.col("_there").isNotNull()
+    rules = {
+        "dealer_name": match_dealer(F.col("dealer_name"), F.col("true_dealer_name")),
+        "model_name": match_model(F.col("model_name"), F.col("true_model_name")),
+        **{c: match_numeric(F.col(c), F.col(f"true_{c}")) for c in SIX[2:4]},
+        **{c: F.coalesce(f"{c}_present", F.lit(False)) == F.coalesce(f"true_{c}_present", F.lit(False)) for c in SIX[4:]},
+    }
+    return rows.select("doc_id", F.when(is_there, F.col("error")).otherwise("missing").alias("error"), *((is_there & rule).alias(f"{c}_hit") for c, rule in rules.items()), *(F.coalesce(f"{c}_present", F.lit(False)).alias(f"{c}_got") for c in SIX[4:]), *(F.coalesce(f"true_{c}_present", F.lit(False)).alias(f"{c}_true") for c in SIX[4:]), F.col("processing_time_sec").alias("seconds"))
+
+
+def report(scored: DataFrame) -> DataFrame:
+    """One row: totals, share of documents with all six fields, accuracy by field, confusion of the visual fields, latencies."""
+    every = F.lit(True)
+    for c in SIX:
+        every = every & F.col(f"{c}_hit")
+    counts = [F.count_if(F.col(f"{c}_hit")).alias(f"{c}_correct") for c in SIX]
+    tables = [F.count_if(p & t).alias(f"{c}_{n}") for c in SIX[4:] for n, p, t in (("tp", F.col(f"{c}_got"), F.col(f"{c}_true")), ("fp", F.col(f"{c}_got"), ~F.col(f"{c}_true")), ("tn", ~F.col(f"{c}_got"), ~F.col(f"{c}_true")), ("fn", ~F.col(f"{c}_got"), F.col(f"{c}_true")))]
+    sums = scored.agg(F.count("*").alias("docs_total"), F.count_if(every).alias("docs_correct"), F.count_if(F.col("error").isNotNull()).alias("errors"), *counts, *tables)
+    dla = F.coalesce(F.try_divide("docs_correct", "docs_total"), F.lit(0.0)).alias("dla")
+    accuracy = [F.coalesce(F.try_divide(f"{c}_correct", "docs_total"), F.lit(0.0)).alias(f"{c}_accuracy") for c in SIX]
+    times = latency(scored, "seconds").select(*(F.col(c).alias(f"seconds_{c}") for c in ("p50", "p95", "max")))
+    return sums.select("*", dla, *accuracy).join(times, F.lit(True), "left")
+
+
+def report_summary(report: DataFrame) -> DataFrame:
+    """field, correct, total and accuracy lines of a report, as its reader shows them."""
+    rows = F.array(*(F.struct(F.lit(c).alias("field"), F.concat_ws("/", f"{c}_correct", "docs_total").alias("shown"), F.col(f"{c}_accuracy").alias("accuracy")) for c in SIX))
+    return report.select(F.inline(rows))
+
+
 def field_accuracy(scored: DataFrame, hits: list[str]) -> DataFrame:
     """field, correct, total and accuracy of boolean columns, and the share of rows with all of them."""
     every = F.lit(True)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import text as T
 from docketry.functions.geometry import same_row
-from docketry.functions.similarity import token_set, udfs
+from docketry.functions.similarity import token_set
 from docketry.operators.anchors import hits, reading, with_shingles
 
 SIMILAR = 85
@@ -159,7 +159,8 @@ def harvest_assets(tokens: DataFrame, brand_names: list[str]) -> DataFrame:
     return found.where(F.col("model").rlike("[0-9]") & F.char_length("model").between(2, 40)).select("brand", "model", F.concat_ws(" ", "brand", "model").alias("full_name")).distinct()
 
 
-def similar_names(names: DataFrame, forms: DataFrame) -> DataFrame:
-    """Token-set ratio of each (name, form) pair that shares its first word's key."""
-    key = lambda c: F.split(T.match_key(F.col(c)), " ")[0]
-    return names.withColumn("key", key("name")).join(forms.withColumn("key", key("form")), "key").select("name", "form", udfs()["token_set"]("name", "form").alias("score"))
+def most_common(names: DataFrame) -> DataFrame:
+    """name, n and place: the most frequent first, of equals the first seen (by ``seq``)."""
+    counts = names.groupBy("name").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    # a place for each distinct name of a vocabulary, not for each row
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "first"))).select("name", "n", "place")

@@ -35,8 +35,9 @@ def split(df: DataFrame, key: Column, ties: list[str], parts: dict[str, float],
     return inner.join(before, "_b").withColumn("part", label).drop("_k", "_b", "_r", "_before")
 
 
-def uniform(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+def uniform(df: DataFrame, key: str, n: int, seed: int = 0, order: Column | None = None) -> DataFrame:
+    """``n`` rows, the first in ``order``, by default that of a hash of ``key`` and ``seed``."""
+    return df.orderBy(order if order is not None else F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
 
 
 def missing(required: DataFrame, present: DataFrame, key: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.functions.text import inr, size_kb
 from docketry.operators.normalize import latest
 
 
@@ -46,9 +47,33 @@ def public(store: DataFrame) -> DataFrame:
     return store.select(*(c for c in store.columns if not c.startswith("_")))
 
 
+def extracted_fields(results: DataFrame) -> Column:
+    """What the store shows of nested results: dashes for what is missing, rupees set apart, boxes in whole pixels."""
+    f = lambda name, part="value": F.col(f"fields.{name}.{part}")
+    shown = lambda name: F.coalesce(F.nullif(f(name), F.lit("")), F.lit("—"))
+    whole = lambda name: F.transform(f(name, "bbox"), lambda c: F.rint(c.cast("double")).cast("int"))
+    power = F.coalesce(F.concat(f("horse_power").cast("string"), F.lit(" HP")), F.lit("—"))
+    return F.struct(
+        shown("dealer_name").alias("dealerName"), shown("model_name").alias("modelName"), power.alias("horsePower"), inr(f("asset_cost"), "₹ ").alias("assetCost"),
+        F.coalesce(f("signature", "present"), F.lit(False)).alias("signatureDetected"), F.coalesce(f("stamp", "present"), F.lit(False)).alias("stampDetected"),
+        whole("signature").alias("signatureBbox"), whole("stamp").alias("stampBbox"),
+    )
+
+
 def record(results: DataFrame) -> DataFrame:
-    """Store fields of results: confidence in whole per cent and seconds with one digit."""
-    return results.withColumn("confidence", F.bround(F.col("confidence") * 100).cast("int")).withColumn("processingTime", F.format_string("%.1fs", "processing_time_sec"))
+    """The store's record of nested results with fileName, bytes, mimeType and uploadedAt."""
+    kind = F.lower(F.regexp_extract("fileName", r"\.([^.]*)$", 1))
+    return results.select(
+        F.col("doc_id").alias("id"), "fileName", size_kb(F.col("bytes")).alias("fileSize"), F.when(kind != "", kind).otherwise("unknown").alias("fileType"),
+        F.coalesce(F.nullif("mimeType", F.lit("")), F.lit("application/octet-stream")).alias("mimeType"), F.lit("completed").alias("status"),
+        F.rint(F.coalesce("confidence", F.lit(0.0)) * 100).cast("int").alias("confidence"), F.format_string("%.1fs", F.coalesce("processing_time_sec", F.lit(0.0))).alias("processingTime"),
+        F.lit("English").alias("language"), F.lit("Tractor Quotation").alias("documentType"), extracted_fields(results).alias("extractedFields"), "uploadedAt",
+    )
+
+
+def remove(store: DataFrame, id: str) -> tuple[DataFrame, bool]:
+    """The store without a document, and whether it was there."""
+    return store.where(F.col("id") != id), not store.where(F.col("id") == id).isEmpty()
 
 
 def kpis(store: DataFrame) -> DataFrame:

@@ -321,4 +321,42 @@ SQL: dict[str, str] = {
     "cache_misses": "with d as (select doc_id, substr(sha256(text), 1, 16) as hash from documents) select doc_id, hash from d where hash not in (select hash from d where doc_id % 3 = 0)",
     "evidence_text": f"with {TOKENS} select doc_id, string_agg(text, ' ' order by tok_idx) as text from tokens group by doc_id",
     "row_text": f"with {TOKENS} select doc_id, cast(y1 // 25 as bigint) as line, string_agg(text, ' ' order by x1, text) as text from tokens group by doc_id, y1 // 25",
+    "coerce_ints": """select event_id, case event_id % 6 when 1 then event_id when 2 then event_id when 3 then cast(event_id || '000' as bigint) when 5 then -event_id end as value from events""",
+    "manual_ints": "select o_orderkey, case when o_orderkey % 4 = 2 then null else cast(floor(o_totalprice) as bigint) end as value from orders",
+    "evaluation_keys": f"""with n as (select c_custkey, 'M/s. ' || c_name || case when c_custkey % 2 = 0 then '&Sons' else ' & Co.' end as name from customer) select c_custkey, {_KEY.format("replace(name, '&', ' and ')")} as key from n""",
+    "prompts": """select c_custkey, 'Text of the page:' || chr(10) || c_name || chr(10) || chr(10) || 'Answer with a JSON object of these fields: ['
+      || array_to_string(list_filter([case when c_custkey % 2 = 0 then '"asset_cost"' end, case when c_custkey % 3 = 0 then '"dealer_name"' end], lambda f: f is not null), ',') || ']' as prompt from customer""",
+    "quad_boxes": """with q as (select event_id, event_id % 300 - 20.5::double as x, event_id * 7 % 200 - 9.5::double as y, event_id % 9 as w, event_id % 5 as h from events),
+      p as (select event_id, list_transform([x, x + w, x + w - 0.5::double, x - 1.0::double], lambda v: cast(round_even(v, 0) as bigint)) as xs, list_transform([y, y + 1.25::double, y + h, y + h - 0.25::double], lambda v: cast(round_even(v, 0) as bigint)) as ys from q),
+      b as (select event_id, list_min(xs) as x1, list_min(ys) as y1, list_max(xs) as x2, list_max(ys) as y2 from p)
+      select event_id, case when x2 > x1 and y2 > y1 then greatest(0, x1) end as x1, case when x2 > x1 and y2 > y1 then greatest(0, y1) end as y1, case when x2 > x1 and y2 > y1 then greatest(0, x2) end as x2, case when x2 > x1 and y2 > y1 then greatest(0, y2) end as y2 from b""",
+    "schema_faults": f"with {BOXES} select count(*) filter (seq % 17 = 0 or x1 >= x2 or y1 >= y2) as bad_boxes, count(*) filter (seq % 23 = 0) as bad_confidences from boxes",
+    "detections_by_confidence": f"with {BOXES} select doc_id, seq, row_number() over (partition by doc_id order by conf desc, seq) as place from boxes",
+    "stamp_shapes": """with outlines as (select user_id as doc_id, event_id as seq, event_id * 13 % 800 as x, event_id * 29 % 1100 as y, 12 + event_id % 190 as w, 10 + event_id * 3 % 90 as h, (event_id % 60) / 100.0::double as density, 2.0::double * (22 + event_id % 190 + event_id * 3 % 90) + event_id % 40 as arc, event_id from events), sized as (select *, w * h * (20 + event_id % 70) / 100.0::double as area, 1400000 as page from outlines),
+  stamps as (select *, greatest(0, x - 6) as x1, greatest(0, y - 6) as y1, least(1000, x + w + 6) as x2, least(1400, y + h + 6) as y2, least(1.0::double, 0.4::double + 0.3::double * (4 * pi() * area / (arc * arc + 1e-9::double)) + 0.3::double * least(area / (0.01::double * page), 1.0::double)) as conf from sized
+    where area between 0.0008::double * page and 0.05::double * page and w >= 20 and h >= 20 and w / h between 0.4::double and 2.5::double and area / (w * h + 1e-9::double) >= 0.25::double),
+  best_stamps as (select * from (select *, row_number() over (partition by doc_id order by conf desc, seq) as n from stamps) where n <= 2) select doc_id, seq, x1, y1, x2, y2, round(conf, 6) as conf from best_stamps""",
+    "signature_shapes": """with outlines as (select user_id as doc_id, event_id as seq, event_id * 13 % 800 as x, event_id * 29 % 1100 as y, 12 + event_id % 190 as w, 10 + event_id * 3 % 90 as h, (event_id % 60) / 100.0::double as density, 2.0::double * (22 + event_id % 190 + event_id * 3 % 90) + event_id % 40 as arc, event_id from events), sized as (select *, w * h * (20 + event_id % 70) / 100.0::double as area, 1400000 as page from outlines),
+  stamps as (select *, greatest(0, x - 6) as x1, greatest(0, y - 6) as y1, least(1000, x + w + 6) as x2, least(1400, y + h + 6) as y2, least(1.0::double, 0.4::double + 0.3::double * (4 * pi() * area / (arc * arc + 1e-9::double)) + 0.3::double * least(area / (0.01::double * page), 1.0::double)) as conf from sized
+    where area between 0.0008::double * page and 0.05::double * page and w >= 20 and h >= 20 and w / h between 0.4::double and 2.5::double and area / (w * h + 1e-9::double) >= 0.25::double),
+  best_stamps as (select * from (select *, row_number() over (partition by doc_id order by conf desc, seq) as n from stamps) where n <= 2),
+      wide as (select * from sized where area between 0.0015::double * page and 0.04::double * page and w >= 60 and h >= 15 and w / h between 1.2::double and 12 and density between 0.04::double and 0.45::double),
+      hit as (select a.doc_id, a.seq from (select wide.*, greatest(0, least(x + wide.w, s.x2) - greatest(x, s.x1)) * greatest(0, least(y + wide.h, s.y2) - greatest(y, s.y1)) as i, wide.w * wide.h + (s.x2 - s.x1) * (s.y2 - s.y1) as u
+        from wide join (select doc_id as d, x1, y1, x2, y2 from best_stamps) s on wide.doc_id = s.d) a where i / greatest(1, u - i) > 0.3::double),
+      free as (select *, least(1.0::double, 0.3::double + 0.4::double * least(density / 0.2::double, 1.0::double) + 0.3::double * least(w / h / 4.0::double, 1.0::double)) as conf from wide where (doc_id, seq) not in (select (doc_id, seq) from hit))
+      select doc_id, seq, greatest(0, x - 8) as x1, greatest(0, y - 8) as y1, least(1000, x + w + 8) as x2, least(1400, y + h + 8) as y2, round(conf, 6) as conf from (select *, row_number() over (partition by doc_id order by conf desc, seq) as n from free) where n = 1""",
+    "cached_results": "select cast(l.doc_id as varchar) as doc_id, l.doc_id || '::a' || (l.doc_id % 7) as key, n_chars + 97 as size from labels l join documents d on l.doc_id = d.doc_id",
+    "detection_cache_misses": """with d as (select doc_id, substr(sha256(text), 1, 16) as hash from documents), k as (select distinct doc_id, hash from d where doc_id % 3 = 0)
+      select 'recognition' as side, doc_id, hash from d where (doc_id, hash) not in (select (doc_id, hash) from k where doc_id % 2 = 1) union all select 'detection', doc_id, hash from d where (doc_id, hash) not in (select (doc_id, hash) from k)""",
+    "image_label_pairs": "select '/data/images/scan.' || event_id || '.png' as path, 'labels/scan.' || event_id || '.txt' as label_path from events where event_id % 3 = 0",
+    "most_common": "select event_type as name, count(*) as n, row_number() over (order by count(*) desc, min(event_id)) as place from events group by 1",
+    "issue_head": f"""with {BOXES}, b as (select *, greatest(abs((x1 + x2) / 1024.0::double), abs((y1 + y2) / 1400.0::double)) > 1.0000005 as far from boxes where cls <> 'logo'),
+      i as (select printf('%08d', seq) as image, 'class' as issue from b where seq % 11 = 0 union all select printf('%08d', seq), 'range' from b where far), r as (select *, row_number() over (order by image, issue) as place, count(*) over () as total from i)
+      select place, image, issue from r where place <= 20 union all select distinct 21, cast(null as varchar), cast(total - 20 as varchar) from r where total > 20""",
+    "uniform_sample": "select doc_id, lang from documents order by doc_id * 7919 % 10007, doc_id limit 40",
+    "newest_documents": """select 'doc-' || event_id as id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as uploadedAt, event_id as seq from events order by 2 desc, 3 desc limit 50""",
+    "store_records": f"""with {BOXES}, m as (select *, case when seq % 5 > 0 then cast(seq * 137 as varchar) end as d from boxes)
+      select cast(seq as varchar) as id, printf('%.2f KB', seq * 31 / 1024.0::double) as fileSize, case when seq % 6 = 0 then 'unknown' else 'pdf' end as fileType, 'application/octet-stream' as mimeType, cast(round_even(conf * 100, 0) as bigint) as confidence,
+        case when seq % 3 > 0 then 'Dealer ' || doc_id else '—' end as dealerName, '—' as modelName, case when seq % 4 > 0 then (15 + seq % 100) || ' HP' else '—' end as horsePower,
+        case when d is null then '—' when length(d) <= 3 then '₹ ' || d else '₹ ' || ltrim({_GROUPED}, ',') || ',' || right(d, 3) end as assetCost, cls = 'signature' as signatureDetected, false as stampDetected, case when cls = 'signature' then concat_ws(',', x1, y1, x2, y2) else '' end as signatureBbox from m""",
 }

@@ -479,3 +479,132 @@ def extract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     assets = sizes.select(F.lit("Mahindra").alias("brand"), F.concat_ws(" ", "m", F.lit("DI")).alias("model"), F.concat_ws(" ", F.lit("Mahindra"), "m", F.lit("DI")).alias("full_name"), F.col("m").alias("seq"))
     flat = assemble.legacy(extract(S.quote_tokens(spark, sf_dir), S.boxes(spark, sf_dir), dealers, assets))
     return flat.select("doc_id", "dealer_name", "model_name", big("horse_power").alias("horse_power"), "asset_cost", "signature_present", "stamp_present", six("confidence").alias("confidence"))
+
+
+@query
+def coerce_ints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, k = F.col("event_id"), F.col("event_id") % 6
+    literal = F.when(k == 0, "true").when(k == 1, e.cast("string")).when(k == 2, F.concat(e, F.lit(".75"))).when(k == 3, F.concat(F.lit('"Rs. '), e, F.lit(',000"'))).when(k == 4, "null").otherwise(F.concat(F.lit("-"), e))
+    return S.read(spark, sf_dir, "events").select("event_id", T.coerce_int(literal).alias("value"))
+
+
+@query
+def manual_ints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    typed = F.when(k == 0, F.concat(F.lit("₹"), F.format_number(F.floor("o_totalprice"), 0))).when(k == 1, F.concat(F.lit("Rs. "), F.floor("o_totalprice"))).when(k == 2, F.concat(F.floor("o_totalprice"), F.lit(" only"))).otherwise(F.concat(F.lit(" "), F.floor("o_totalprice"), F.lit(" ")))
+    return S.read(spark, sf_dir, "orders").select("o_orderkey", T.manual_int(typed).alias("value"))
+
+
+@query
+def evaluation_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("M/s. "), F.col("c_name"), F.when(F.col("c_custkey") % 2 == 0, "&Sons").otherwise(" & Co."))
+    return S.read(spark, sf_dir, "customer").select("c_custkey", T.evaluation_key(name).alias("key"))
+
+
+@query
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = F.filter(F.array(F.lit("stamp"), F.when(F.col("c_custkey") % 2 == 0, "asset_cost"), F.when(F.col("c_custkey") % 3 == 0, "dealer_name")), lambda f: f.isNotNull())
+    return S.read(spark, sf_dir, "customer").select("c_custkey", T.prompt(F.col("c_name"), fields).alias("prompt"))
+
+
+@query
+def quad_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y = e % 300 - 20.5, e * 7 % 200 - 9.5
+    quad = F.array(point(x, y), point(x + e % 9, y + 1.25), point(x + e % 9 - 0.5, y + e % 5), point(x - 1.0, y + e % 5 - 0.25))
+    return S.read(spark, sf_dir, "events").select("event_id", G.quad_box(quad).alias("b")).select("event_id", *(big(f"b.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+@query
+def schema_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = S.boxes(spark, sf_dir).withColumn("x2", F.when(F.col("seq") % 17 == 0, F.col("x1")).otherwise(F.col("x2"))).withColumn("conf", F.when(F.col("seq") % 23 == 0, 1.5).otherwise(F.col("conf")))
+    return boxes.agg(big(F.count_if(~G.well_formed(detections.box()))).alias("bad_boxes"), big(F.count_if(~F.col("conf").between(0, 1))).alias("bad_confidences"))
+
+
+@query
+def detections_by_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detections.by_confidence(S.boxes(spark, sf_dir)).select("doc_id", "seq", big("place").alias("place"))
+
+
+def _outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    w, h = 12 + e % 190, 10 + e * 3 % 90
+    return S.read(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), e.alias("seq"), (e * 13 % 800).alias("x"), (e * 29 % 1100).alias("y"), w.alias("w"), h.alias("h"), (w * h * (20 + e % 70) / F.lit(100.0)).alias("area"), (2.0 * (w + h) + e % 40).alias("arc"), (e % 60 / F.lit(100.0)).alias("density"), F.lit(1000).alias("page_w"), F.lit(1400).alias("page_h"))
+
+
+@query
+def stamp_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detections.stamp_shapes(_outlines(spark, sf_dir))
+    return detections.top_per_class(found, {"stamp": 2}).select("doc_id", "seq", *(big(c).alias(c) for c in detections.BOX), six("conf").alias("conf"))
+
+
+@query
+def signature_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outlines = _outlines(spark, sf_dir)
+    stamps = detections.top_per_class(detections.stamp_shapes(outlines), {"stamp": 2})
+    found = detections.top_per_class(detections.signature_shapes(outlines, stamps), {"signature": 1})
+    return found.select("doc_id", "seq", *(big(c).alias(c) for c in detections.BOX), six("conf").alias("conf"))
+
+
+@query
+def cached_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.sources.files import cached
+
+    docs = S.read(spark, sf_dir, "documents")
+    cache = docs.select(F.explode(F.array(F.lit("b"), F.lit("a"))).alias("h"), "doc_id", "n_chars").select(F.concat("doc_id", F.lit("::"), "h", F.col("doc_id") % 7).alias("key"), (F.col("n_chars") + F.ascii("h")).alias("size"))
+    return cached(S.read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("doc_id")), cache).select("doc_id", "key", big("size").alias("size"))
+
+
+@query
+def detection_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.sources.files import cache_misses as lacking
+
+    docs = S.read(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 16).alias("hash"))
+    stored = docs.where("doc_id % 3 = 0").withColumn("tokens", F.when(F.col("doc_id") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("t"))))
+    sides = ((lacking(docs, stored), "recognition"), (lacking(docs, stored, None), "detection"))
+    return sides[0][0].withColumn("side", F.lit(sides[0][1])).unionByName(sides[1][0].withColumn("side", F.lit(sides[1][1]))).select("side", "doc_id", "hash")
+
+
+@query
+def image_label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.sources.files import image_labels
+
+    e = F.col("event_id")
+    rows = S.read(spark, sf_dir, "events")
+    return image_labels(rows.select(F.concat(F.lit("/data/images/scan."), e, F.lit(".png")).alias("path")), rows.where(e % 3 == 0).select(F.concat(F.lit("labels/scan."), e, F.lit(".txt")).alias("path"))).select("path", "label_path")
+
+
+@query
+def most_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masters.most_common(S.read(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("event_id").alias("seq"))).select("name", big("n").alias("n"), big("place").alias("place"))
+
+
+@query
+def issue_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = detections.yolo_lines(S.boxes(spark, sf_dir), 512, 700).select(F.format_string("%08d", "seq").alias("image"), F.lit(1).alias("number"), F.when(F.col("seq") % 11 == 0, F.concat(F.lit("7"), F.substring("line", 2, 100))).otherwise(F.col("line")).alias("line"))
+    return detections.issue_head(detections.parse_yolo(lines)).select(big("place").alias("place"), "image", "issue")
+
+
+@query
+def uniform_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.uniform(S.read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 40, order=F.col("doc_id") * 7919 % 10007)
+
+
+@query
+def newest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.newest_first(store.public(S.store(spark, sf_dir).withColumn("_file", F.lit("x")))).limit(50).select("id", "uploadedAt", "seq")
+
+
+@query
+def store_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, none = F.col("seq"), F.lit(None).cast("string")
+    rows = S.boxes(spark, sf_dir).select(
+        e.cast("string").alias("doc_id"), F.when(e % 3 > 0, F.concat(F.lit("Dealer "), "doc_id")).otherwise(none).alias("dealer_name"), F.lit(0.5).alias("dealer_conf"), none.alias("model_name"), F.lit(0.0).alias("model_conf"),
+        F.when(e % 4 > 0, 15 + e % 100).cast("int").alias("horse_power"), F.lit(0.9).alias("hp_conf"), F.when(e % 5 > 0, e * 137).cast("bigint").alias("asset_cost"), F.lit(0.9).alias("cost_conf"),
+        F.when(F.col("cls") == "signature", F.array(*detections.BOX)).alias("signature_box"), F.col("conf").alias("signature_conf"), F.lit(None).cast("array<int>").alias("stamp_box"), F.lit(0.0).alias("stamp_conf"),
+        F.col("conf").alias("confidence"), (e % 97 / F.lit(8.0)).alias("processing_time_sec"), F.lit(0.0).alias("cost_estimate_usd"),
+    )
+    named = assemble.nested(rows).withColumn("fileName", F.concat(F.lit("scan "), "doc_id", F.when(F.col("doc_id").cast("long") % 6 == 0, "").otherwise(".PDF"))).withColumns({"bytes": F.col("doc_id").cast("long") * 31, "mimeType": none, "uploadedAt": F.lit("2024-01-01T00:00:00")})
+    r = store.record(named)
+    return r.select("id", "fileSize", "fileType", "mimeType", big("confidence").alias("confidence"), *(F.col(f"extractedFields.{c}").alias(c) for c in ("dealerName", "modelName", "horsePower", "assetCost", "signatureDetected", "stampDetected")), F.concat_ws(",", "extractedFields.signatureBbox").alias("signatureBbox"))

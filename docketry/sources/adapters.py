@@ -7,19 +7,23 @@ fails a job.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 Model = Callable[[dict], list[dict]]
 
 
 def apply_model(docs: DataFrame, load: Callable[[], Model], key: str, schema: str) -> DataFrame:
-    """``key``, the fields of ``schema`` and ``error`` for each row that ``load()`` makes of a document."""
-    whole = StructType([docs.schema[key], *StructType.fromDDL(schema).fields, StructField("error", StringType())])
+    """``key``, the fields of ``schema``, ``error`` and ``seconds`` for each row that ``load()`` makes of a document.
+
+    A document of which it makes none is one row of nulls, so that its time is kept.
+    """
+    whole = StructType([docs.schema[key], *StructType.fromDDL(schema).fields, StructField("error", StringType()), StructField("seconds", DoubleType())])
     arrow = to_arrow_schema(whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -27,10 +31,13 @@ def apply_model(docs: DataFrame, load: Callable[[], Model], key: str, schema: st
         for batch in batches:
             rows = []
             for record in batch.to_pylist():
+                began = time.perf_counter()
                 try:
-                    rows += [{key: record[key], "error": None, **row} for row in model(record)]
+                    made = [{key: record[key], "error": None, **row} for row in model(record)] or [{key: record[key], "error": None}]
                 except Exception as problem:  # the contract: an error column, never a failed task
-                    rows.append({key: record[key], "error": f"{type(problem).__name__}: {problem}"})
+                    made = [{key: record[key], "error": f"{type(problem).__name__}: {problem}"}]
+                spent = time.perf_counter() - began
+                rows += [row | {"seconds": spent} for row in made]
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return docs.mapInArrow(run, whole)
@@ -47,3 +54,9 @@ def text_recogniser() -> Model:
         return out
 
     return read
+
+
+def page_reader() -> Model:
+    """A stand-in for decoding and recognition: the file's bytes are the page's text."""
+    words = text_recogniser()
+    return lambda record: words({"text": bytes(record["content"]).decode()})

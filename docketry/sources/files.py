@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +19,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def supported(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1)).isin(*EXTENSIONS)
+
+
+def all_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path, name, length, content and hash of the files of a folder."""
+    rows = spark.read.format("binaryFile").load(folder)
+    return rows.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length", "content", content_hash(F.col("content")).alias("hash"))
+
+
 def document_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, name, length, content and hash of the supported files of a folder; listing order is that of the path."""
-    files = spark.read.format("binaryFile").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*EXTENSIONS)).select("path", name.alias("name"), "length", "content", content_hash(F.col("content")).alias("hash"))
+    """``all_files`` of the supported kinds, in the order of their paths."""
+    return all_files(spark, folder).where(supported(F.col("path"))).orderBy("path")
 
 
 def content_hash(content: Column) -> Column:
@@ -31,7 +40,7 @@ def content_hash(content: Column) -> Column:
 
 def checked(paths: DataFrame, known: DataFrame) -> DataFrame:
     """``paths`` (path) with ``error``: unsupported_format, corrupt_input (not among ``known`` paths) or null."""
-    ok = F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*EXTENSIONS)
+    ok = supported(F.col("path"))
     found = paths.join(known.select("path").distinct().withColumn("seen", F.lit(True)), "path", "left")
     return found.withColumn("error", F.when(~ok, "unsupported_format").when(F.col("seen").isNull(), "corrupt_input")).drop("seen")
 
@@ -67,13 +76,50 @@ def yolo_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A Parquet table, or no rows where it is missing or unreadable."""
+    """A Parquet table, or no rows where it is missing or a file of it cannot be read: what is corrupt counts as absent."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
     try:
-        return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
-    except AnalysisException:
+        rows = spark.read.schema(schema).parquet(path)
+        rows.agg(*(F.count(F.struct(c)) for c in rows.columns)).collect()  # a corrupt file shows only when it is read
+        return rows
+    except (AnalysisException, Py4JJavaError, PySparkException):
         return spark.createDataFrame([], schema)
 
 
-def cache_misses(docs: DataFrame, cache: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (doc_id, hash) that the cache lacks; a cached result without tokens counts as lacking."""
-    return docs.join(cache.where(F.size("tokens") > 0).select("doc_id", "hash").distinct(), ["doc_id", "hash"], "left_anti")
+def cache_misses(docs: DataFrame, cache: DataFrame, results: str | None = "tokens") -> DataFrame:
+    """Rows of ``docs`` (doc_id, hash) that the cache lacks.
+
+    A cached array ``results`` that is empty counts as lacking (so for recognition); with None any cached row counts (so
+    for detection, which may find nothing).
+    """
+    known = cache if results is None else cache.where(F.size(results) > 0)
+    return docs.join(known.select("doc_id", "hash").distinct(), ["doc_id", "hash"], "left_anti")
+
+
+def cached(labels: DataFrame, cache: DataFrame) -> DataFrame:
+    """``labels`` (doc_id, …) with the first entry of ``cache`` (key ``doc::hash``, …) of its document."""
+    entries = cache.withColumn("doc_id", F.split_part("key", F.lit("::"), F.lit(1)))
+    first = entries.groupBy("doc_id").agg(F.min_by(F.struct(*cache.columns), "key").alias("entry"))
+    return labels.join(first, "doc_id").select(*labels.columns, "entry.*")
+
+
+def mining_cache(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """filename, page_height and tokens of the ``docs`` of a mining cache, the first ``limit`` of them; none where it is missing."""
+    token = "struct<text: string, bbox: array<int>, confidence: double, script: string>"
+    schema = f"docs array<struct<filename: string, tokens: array<{token}>, page_height: int>>"
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema).select(F.inline("docs"))
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("docs").alias("seq", "d"))
+    return (rows if limit is None else rows.where(F.col("seq") < limit)).select("d.*")
+
+
+def masters(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The dealer and the asset master of a folder."""
+    return dealer_master(spark, f"{folder}/dealer_master.json"), asset_master(spark, f"{folder}/asset_master.json")
+
+
+def image_labels(images: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of image (path) and label file (path, …) of the same stem."""
+    stem = lambda c: F.regexp_extract(c, r"([^/]*?)(?:\.[^./]*)?$", 1)
+    return images.withColumn("stem", stem("path")).join(labels.select(stem("path").alias("stem"), F.col("path").alias("label_path")), "stem")
