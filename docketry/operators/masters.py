@@ -28,9 +28,12 @@ def candidate_counts(names: DataFrame, least: int = 4) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the shared folder where one is set."""
-    spark = df.sparkSession
-    return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    """``df`` computed once, in the folder that the cluster shares; where none is named, in one of the warehouse."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/docketry-shared")
+    return df.checkpoint()
 
 
 def similar_pairs(ranked: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:

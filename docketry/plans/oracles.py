@@ -359,4 +359,16 @@ SQL: dict[str, str] = {
       select cast(seq as varchar) as id, printf('%.2f KB', seq * 31 / 1024.0::double) as fileSize, case when seq % 6 = 0 then 'unknown' else 'pdf' end as fileType, 'application/octet-stream' as mimeType, cast(round_even(conf * 100, 0) as bigint) as confidence,
         case when seq % 3 > 0 then 'Dealer ' || doc_id else '—' end as dealerName, '—' as modelName, case when seq % 4 > 0 then (15 + seq % 100) || ' HP' else '—' end as horsePower,
         case when d is null then '—' when length(d) <= 3 then '₹ ' || d else '₹ ' || ltrim({_GROUPED}, ',') || ',' || right(d, 3) end as assetCost, cls = 'signature' as signatureDetected, false as stampDetected, case when cls = 'signature' then concat_ws(',', x1, y1, x2, y2) else '' end as signatureBbox from m""",
+    "dealer_harvest": f"""with {TOKENS}, {_hits('dealer_name', 'dhits')}, page as (select *, max(y2) over (partition by doc_id) as height from tokens),
+      rows12 as (select doc_id, y1 // 30 as line, string_agg(text, ' ' order by x1, tok_idx) as text, count(*) as n from page where y1 < height * 0.12 group by 1, 2),
+      bold as (select doc_id, upper(trim(text)) as name from (select *, row_number() over (partition by doc_id order by length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) + 2 * n desc, line) as r from rows12) where r = 1),
+      heads as (select distinct doc_id, tok_idx, cy from dhits),
+      ahead as (select h.doc_id, h.tok_idx, list({{'t': t.text, 's': regexp_full_match(t.text, '[0-9][0-9,]*(\\.[0-9]+)?') or abs(t.cy - h.cy) > 30}} order by t.tok_idx) as a from heads h join tokens t on h.doc_id = t.doc_id and t.tok_idx between h.tok_idx + 1 and h.tok_idx + 5 group by 1, 2),
+      cut as (select doc_id, a, coalesce(list_position(list_transform(a, lambda x: x.s), true), len(a) + 1) as stop from ahead),
+      anchored as (select doc_id, array_to_string(list_transform(a[1 : stop - 1], lambda x: x.t), ' ') as name from cut)
+      select * from (select * from bold union all select * from anchored) where length(name) between 4 and 80 and regexp_matches(name, '\\p{{L}}')""",
+    "iou_keep_first": f"""with {BOXES}, pages_ as (select doc_id, list({{'seq': seq, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} order by seq) as bs from boxes group by doc_id),
+      kept as (select doc_id, list_reduce(bs, lambda acc, b: case when len(list_filter(acc, lambda k: greatest(0, least(k.x2, b.x2) - greatest(k.x1, b.x1)) * greatest(0, least(k.y2, b.y2) - greatest(k.y1, b.y1))
+        > 0.7::double * greatest(1, (k.x2 - k.x1) * (k.y2 - k.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(0, least(k.x2, b.x2) - greatest(k.x1, b.x1)) * greatest(0, least(k.y2, b.y2) - greatest(k.y1, b.y1))))) > 0 then acc else list_append(acc, b) end, bs[1 : 0]) as ks from pages_)
+      select doc_id, unnest(list_transform(ks, lambda k: k.seq)) as seq from kept""",
 }

@@ -24,7 +24,7 @@ def supported(path: Column) -> Column:
 
 
 def all_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, name, length, content and hash of the files of a folder."""
+    """path, name, length, content and hash of the files of a folder; Spark lists no file without bytes."""
     rows = spark.read.format("binaryFile").load(folder)
     return rows.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length", "content", content_hash(F.col("content")).alias("hash"))
 

@@ -248,6 +248,107 @@ def test_results_and_sources(spark, tmp_path):
     assert best(numeric_fields.asset_cost_candidates(tokens.where("error is null")))[1].value == 525000
 
 
+def test_folder_to_lines(spark, tmp_path):
+    from docketry.plans.batch import folder_to_lines
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.pdf").write_text("SHREE GANESH MOTORCO\nTractor Model : Mahindra 575 DI\nHorse Power : 50 HP\nGrand Total : 525000")
+    (folder / "b.PNG").write_bytes(b"\xff\xfe broken")
+    (folder / "c.txt").write_text("Grand Total 525000")
+    (folder / "d.jpg").write_text(" ")
+    dealers = spark.createDataFrame([(0, "SHREE GANESH MOTORCO", [])], "seq long, canonical string, aliases array<string>")
+    assets = spark.createDataFrame([(0, "Mahindra", "575 DI", "Mahindra 575 DI")], "seq long, brand string, model string, full_name string")
+    sign = lambda: lambda record: [{"seq": 0, "cls": "stamp", "x1": 1, "y1": 1, "x2": 9, "y2": 9, "conf": 0.9}] if record["doc_id"] == "a.pdf" else []
+    ask = lambda missing: missing.where("doc_id = 'a.pdf'").selectExpr("doc_id", "named_struct('dealer_name', '\"ZYZ MOTORS\"', 'model_name', cast(null as string), 'horse_power', '\"52\"', 'asset_cost', '99') as answer")
+    got = {r.doc_id: r for r in folder_to_lines(spark, str(folder), str(tmp_path / "out"), dealers, assets, detector=sign, second_tier=ask).collect()}
+    assert set(got) == {"a.pdf", "b.PNG", "c.txt", "d.jpg"}
+    a = got["a.pdf"].fields
+    assert (a.model_name.value, a.horse_power.value, a.asset_cost.value, a.stamp.bbox, a.signature.present) == ("Mahindra 575 DI", 50, 525000, [1, 1, 9, 9], False)
+    assert got["a.pdf"].error is None and got["a.pdf"].confidence > 0.5 and got["a.pdf"].processing_time_sec >= 0
+    assert got["b.PNG"].error.startswith("corrupt_input") and got["c.txt"].error.startswith("unsupported_format") and got["d.jpg"].error is None and got["d.jpg"].confidence == 0
+    flat = folder_to_lines(spark, str(folder), str(tmp_path / "flat"), dealers, assets, flat=True).collect()
+    assert [r.doc_id for r in flat] == ["a.pdf", "b.PNG", "c.txt", "d.jpg"] and flat[0].horse_power == 50
+
+
+def test_second_tier_of_all_fields(spark):
+    from docketry.plans.pipeline import missing_fields, tier_one, with_second_tier
+
+    fields = tier_one(page(spark, line("XYZ Limited page"), line("Grand Total : 525000"), [("HP", 60, 100, 0.2), ("50", 170, 100, 0.2)]), ["Mahindra"])
+    assert {r.doc_id: len(r.fields) for r in missing_fields(fields).collect()} == {0: 4, 1: 3, 2: 4}
+    answers = [(0, '"XYZ Limited"', '"Invented 99"', '"45 HP"', "525000.9"), (1, None, '""', "12", "600000"), (2, '"PQR"', None, "true", '"5,25,000"')]
+    table = spark.createDataFrame(answers, "doc_id long, dealer_name string, model_name string, horse_power string, asset_cost string").selectExpr("doc_id", "struct(dealer_name, model_name, horse_power, asset_cost) as answer")
+    got = {r.doc_id: r for r in with_second_tier(fields, table).collect()}
+    value = lambda d: [(got[d][f].value, got[d][f].source) for f in ("dealer_name", "model_name", "horse_power", "asset_cost")]
+    assert value(0) == [("XYZ Limited", "tier2"), (None, "none"), (45, "tier2"), (525000, "tier2")]
+    assert value(1) == [(None, "none"), (None, "none"), (None, "none"), (525000, "tier1")]
+    assert value(2) == [(None, "none"), (None, "none"), (50, "tier1"), (525000, "tier2")] and got[0].dealer_name.confidence == 0.7
+
+
+def test_evaluation_of_six_fields(spark):
+    labels = spark.createDataFrame([("a", "Nimar Motors", "Mahindra 575 DI", 50, 525000, True, False), ("b", "Other", "M 1", 40, 1, True, True), ("c", "X", "Y", 1, 1, False, False), (None, "X", "Y", 1, 1, False, False)], "doc_id string, dealer_name string, model_name string, horse_power int, asset_cost long, signature_present boolean, stamp_present boolean")
+    results = spark.createDataFrame([("a", "M/s Nimar Motors", "mahindra 575", 51, 525000, True, False, None, 2.0), ("b", None, "M 1", None, 1, False, True, None, 4.0)], "doc_id string, dealer_name string, model_name string, horse_power int, asset_cost long, signature_present boolean, stamp_present boolean, error string, processing_time_sec double")
+    scored = evaluate.score_documents(labels, results)
+    assert {r.doc_id: r.error for r in scored.collect()} == {"a": None, "b": None, "c": "missing"}
+    r = evaluate.report(scored).first()
+    assert (r.docs_total, r.docs_correct, r.errors, r.dealer_name_correct, r.model_name_correct, r.stamp_correct, r.signature_fn, r.stamp_tp, r.seconds_max) == (3, 1, 1, 1, 2, 2, 1, 1, 4.0)
+    assert {x.field: x.shown for x in evaluate.report_summary(evaluate.report(scored)).collect()}["model_name"] == "2/3"
+
+
+def test_readers_and_writers(spark, tmp_path):
+    from docketry.sources import files, sinks
+
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    for name in ("b.pdf", "a.JPEG", "x.doc"):
+        (folder / name).write_bytes(name.encode())
+    assert [r.name for r in files.document_files(spark, str(folder)).collect()] == ["a.JPEG", "b.pdf"]
+    paths = spark.createDataFrame([("a.pdf",), ("b.pdf",), ("c.txt",)], "path string")
+    assert {r.path: r.error for r in files.checked(paths, paths.where("path = 'a.pdf'")).collect()} == {"a.pdf": None, "b.pdf": "corrupt_input", "c.txt": "unsupported_format"}
+    assets = spark.createDataFrame([("B", "2", "B 2"), ("A", "9", "A 9")], "brand string, model string, full_name string")
+    sinks.asset_master(assets, str(tmp_path / "asset_master.json"))
+    sinks.dealer_master(spark.createDataFrame([("D", ["d"], 1)], "canonical string, aliases array<string>, frequency int"), str(tmp_path / "dealer_master.json"))
+    dealers, back = files.masters(spark, str(tmp_path))
+    assert [r.full_name for r in back.orderBy("seq").collect()] == ["A 9", "B 2"] and dealers.first().aliases == ["d"]
+    (tmp_path / "labels.json").write_text(json.dumps({"documents": [{"doc_id": f"d{k}", "fields": {"horse_power": k}} for k in range(3)]}))
+    assert [(r.doc_id, r.horse_power) for r in files.labels(spark, str(tmp_path / "labels.json"), 2).collect()] == [("d0", 0), ("d1", 1)]
+    (tmp_path / "cache.json").write_text(json.dumps({"docs": [{"filename": f"f{k}", "tokens": [{"text": "t", "bbox": [0, 0, 1, 1], "confidence": 0.5, "script": "en"}], "page_height": 9} for k in range(3)]}))
+    assert [r.filename for r in files.mining_cache(spark, str(tmp_path / "cache.json"), 2).collect()] == ["f0", "f1"] and files.mining_cache(spark, str(tmp_path / "no.json")).count() == 0
+    lines = spark.createDataFrame([("i1", "0 0.5 0.5 0.1 0.1"), ("i1", "bad"), ("i2", "1 0.5 0.5 0.2 0.2")], "image string, line string")
+    sinks.yolo_files(lines, str(tmp_path / "yolo"))
+    assert spark.read.text(str(tmp_path / "yolo")).count() == 3
+    boxes = detections.pixels(detections.parse_yolo(lines), 100, 200).collect()
+    assert {tuple(r.box) for r in boxes} == {(45, 90, 55, 110), (40, 80, 60, 120)}
+    (tmp_path / "txt").mkdir()
+    (tmp_path / "txt" / "i9.txt").write_text("0 1 2 3 4\n\n1 1 1 1 1\n")
+    assert {(r.image, r.line) for r in files.yolo_files(spark, str(tmp_path / "txt")).collect()} == {("i9", "0 1 2 3 4"), ("i9", "1 1 1 1 1")}
+    rows = spark.createDataFrame([("a", "ab12", ["t"]), ("b", "cd34", [])], "doc_id string, hash string, tokens array<string>")
+    sinks.cache_append(rows, str(tmp_path / "cache"))
+    cache = files.table_or_empty(spark, str(tmp_path / "cache"), "doc_id string, hash string, tokens array<string>")
+    assert {r.doc_id for r in files.cache_misses(rows, cache).collect()} == {"b"} and files.cache_misses(rows, cache, None).count() == 0
+    broken = tmp_path / "broken.parquet"
+    broken.write_bytes(b"no parquet at all")
+    assert files.table_or_empty(spark, str(broken), "id string").count() == 0 and files.table_or_empty(spark, str(tmp_path / "none"), "id string").count() == 0
+    sinks.pseudo_labels(spark.createDataFrame([("a", 0.87654)], "doc_id string, hp_conf double"), str(tmp_path / "pseudo"))
+    assert spark.read.json(str(tmp_path / "pseudo")).first().hp_conf == 0.877
+    sinks.json_per_document(spark.createDataFrame([("a", 1), ("b", 2)], "doc_id string, v int"), str(tmp_path / "each"))
+    assert (tmp_path / "each" / "doc_id=a").is_dir()
+    assert detections.detector_settings("confidence_thresholds:\n  signature: 0.20  # low\n  stamp: 0.25\nnms_iou: 0.5\n") == {"signature": 0.2, "stamp": 0.25, "nms_iou": 0.5}
+    assert detections.detector_settings(None) == {"signature": 0.35, "stamp": 0.4, "nms_iou": 0.45}
+
+
+def test_brands_are_literals(spark):
+    tokens = page(spark, [*line("M(&M 575"), *line("Mahindra 575 DI", 400)])
+    assert {r.brand for r in masters.harvest_assets(tokens, ["M(&M", "Mahindra"]).collect()} <= {"M(&M", "Mahindra"}
+    assert text_fields.text_fields(tokens, ["M(&M", "Mahindra"]).where("field = 'model_name'").first().value == "M(&M 575"
+
+
+def test_store_removal(spark):
+    s = spark.createDataFrame([("a",), ("b",)], "id string")
+    left, there = store.remove(s, "a")
+    assert there and [r.id for r in left.collect()] == ["b"] and not store.remove(s, "z")[1]
+
+
 def test_streams(spark, tmp_path):
     from docketry.streaming.documents import daily_volume, run_extraction, token_stream
 
