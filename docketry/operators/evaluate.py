@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import text as T
@@ -99,28 +99,35 @@ def confusion(scored: DataFrame, predicted: Column, truth: Column) -> DataFrame:
     return scored.agg(F.count_if(predicted & truth).alias("tp"), F.count_if(predicted & ~truth).alias("fp"), F.count_if(~predicted & ~truth).alias("tn"), F.count_if(~predicted & truth).alias("fn"))
 
 
-def latency(rows: DataFrame, value: str) -> DataFrame:
-    """n, p50 (the median), p95 (the value at rank int(0.95 n), counted from 0) and max, without gathering the values.
+BANDS = 4096  # ranges of equal width that values are counted in
 
-    The rank comes from the counts of distinct values, summed by a range-partitioned pre-aggregation.
-    """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    n = rows.agg(F.count(value).alias("n"), F.percentile(value, 0.5).alias("p50"), F.max(value).alias("max"))
-    return n.join(percentile_rank(counts, 0.95), F.lit(True)).select("n", "p50", "p95", "max")
 
+def latency(rows: DataFrame, value: str) -> DataFrame:
+    """n, p50 (the median), p95 (the value at rank int(0.95 n), counted from 0) and max, without gathering the values."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    n = F.col("n")
+    wanted = {"p95": F.least(F.floor(n * 0.95), n - 1), "low": F.floor((n - 1) / 2), "high": F.floor(n / 2)}
+    found = values_at(counts, wanted)
+    picked = found.agg(*(F.max(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in wanted))
+    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.max("v").alias("max"))
+    return sums.join(picked, F.lit(True)).select("n", ((F.col("low") + F.col("high")) / 2).alias("p50"), "p95", "max")
 
-def percentile_rank(counts: DataFrame, share: float) -> DataFrame:
-    """The value at rank int(share n) of a table of values and counts: two levels of prefix sums over value bands."""
-    from pyspark.sql import Window
 
-    bands = counts.withColumn("band", F.floor("v"))
+def values_at(counts: DataFrame, ranks: dict[str, Column]) -> DataFrame:
+    """name and v, the value at each of ``ranks`` (from 0, in terms of the number ``n`` of values), of a table of values ``v`` and counts ``c``.
+
+    Prefix sums over ``BANDS`` ranges of values find the band of a rank, and those inside that band its value, so no task
+    sorts more than one band.
+    """
+    ends = counts.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("c").alias("n"))
+    width = F.greatest((F.col("high") - F.col("low")) / BANDS, F.lit(1e-300))
+    bands = counts.join(F.broadcast(ends), F.lit(True)).withColumn("band", F.floor((F.col("v") - F.col("low")) / width))
     sums = bands.groupBy("band").agg(F.sum("c").alias("s"))
-    total = sums.agg(F.sum("s").alias("total"))
-    rank = F.least(F.floor(F.col("total") * share), F.col("total") - 1)
-    before = sums.withColumn("before", F.sum("s").over(Window.orderBy("band")) - F.col("s")).join(total, F.lit(True)).withColumn("rank", rank)
-    band = before.where("before <= rank and rank < before + s").select("band", "before", "rank")
-    inner = bands.join(F.broadcast(band), "band").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("band").orderBy("v")))
-    return inner.where("upto > rank").agg(F.min("v").alias("p95"))
+    before = sums.withColumn("before", F.sum("s").over(Window.orderBy("band")) - F.col("s"))  # at most BANDS + 1 rows
+    asked = ends.select(F.inline(F.array(*(F.struct(F.lit(k).alias("name"), r.cast("bigint").alias("rank")) for k, r in ranks.items()))))
+    at = before.join(F.broadcast(asked), (F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("s"))).select("band", "before", "name", "rank")
+    inner = bands.join(F.broadcast(at), "band").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("name").orderBy("v")))
+    return inner.where("upto > rank").groupBy("name").agg(F.min("v").alias("v"))
 
 
 def hit_histogram(scored: DataFrame, hits: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import random
+import statistics
 
 import pytest
 from docketry.functions import geometry as G
@@ -159,6 +160,10 @@ def test_latency(spark):
     values = [float(v) for v in range(1, 101)]
     r = evaluate.latency(spark.createDataFrame([(v,) for v in values], "v double"), "v").first()
     assert (r.n, r.p50, r.p95, r.max) == (100, 50.5, 96.0, 100.0)
+    for some in ([3.5], [2.0, 2.0, 2.0], [-4.0, 1e9, 7.0, 7.5, 7.25, 1e9]):
+        r = evaluate.latency(spark.createDataFrame([(v,) for v in [*some, None]], "v double"), "v").first()
+        assert (r.n, r.p50, r.p95, r.max) == (len(some), statistics.median(some), sorted(some)[min(int(0.95 * len(some)), len(some) - 1)], max(some))
+    assert evaluate.latency(spark.createDataFrame([], "v double"), "v").first().n == 0
 
 
 def test_masters(spark):
