@@ -94,10 +94,15 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
                         }
                     )
 
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The buckets alone, to count their rows."""
+        for batch in sign(batches):
+            yield batch.select(["label", "width", "table", "code"])
+
     key = ["label", "width", "table", "code"]
     signed = classes.mapInArrow(sign, "label string, width int, table int, code int, node long, weight long, vec binary, codes binary")
     large = (
-        classes.mapInArrow(sign, "label string, width int, table int, code int, node long, weight long, vec binary, codes binary")
+        classes.mapInArrow(buckets, "label string, width int, table int, code int")
         .groupBy(*key).count().where(F.col("count") > part_rows).select(*key, F.ceil(F.col("count") / part_rows).cast("int").alias("parts"))
     )
     split = signed.join(written(large, "large-buckets"), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))

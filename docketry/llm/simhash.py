@@ -14,7 +14,8 @@ small leaves. Exact copies are one node, and a shard returns a forest, never all
 
 Nulls: a null text has no words; without words the fingerprint is zero, and zeros link like others. A
 row with null ``doc_id`` links nothing; it gets the group of its fingerprint where another row has it,
-else null. Other columns of the input are ignored, whatever their names.
+else null. Other columns of the input are ignored, whatever their names. Texts are read whole and hashed some at a
+time; a very long one needs memory for itself only.
 
 The pipeline's stage decides by similarity: fingerprints only find candidates, and a link needs a Jaccard
 similarity of the distinct shingles of ``SIMILAR`` and more. The sets lie in files in the shared folder, where
