@@ -185,6 +185,13 @@ models as (select doc_id, {_STRIPPED} as name, prec * list_avg(list_prepend(conf
 model_top as (select * from (select *, row_number() over (partition by doc_id order by score desc, first, seq) as n from models) where n = 1)"""
 
 
+def _forms_hp(text: str) -> str:
+    """Horse power inside a text: the first of four forms whose value is in range."""
+    forms = (r"(?i)\bH[.\s]*P[.\-:\s]+([0-9]{2,3})\b", r"(?i)\(\s*HP[-:\s]*([0-9]{2,3})\s*\)", r"(?i)\b([0-9]{2,3})\s*H[.\s]*P\b", r"(?i)\b([0-9]{2,3})HP\b")
+    tried = [f"try_cast(nullif(regexp_extract({text}, '{f}', 1), '') as bigint)" for f in forms]
+    return "coalesce(" + ", ".join(f"case when {t} between 15 and 150 then {t} end" for t in tried) + ")"
+
+
 def _best_sql(ctes: str, top: str) -> str:
     return f"""with {ctes}, docs as (select distinct doc_id from tokens) select d.doc_id, name as value, round(coalesce(greatest(0, least(1, score)), 0), 6)::double as confidence,
       case when name is null then 'none' else 'tier1' end as source from docs d left join {top} t on d.doc_id = t.doc_id"""
@@ -359,6 +366,27 @@ SQL: dict[str, str] = {
       select cast(seq as varchar) as id, printf('%.2f KB', seq * 31 / 1024.0::double) as fileSize, case when seq % 6 = 0 then 'unknown' else 'pdf' end as fileType, 'application/octet-stream' as mimeType, cast(round_even(conf * 100, 0) as bigint) as confidence,
         case when seq % 3 > 0 then 'Dealer ' || doc_id else '—' end as dealerName, '—' as modelName, case when seq % 4 > 0 then (15 + seq % 100) || ' HP' else '—' end as horsePower,
         case when d is null then '—' when length(d) <= 3 then '₹ ' || d else '₹ ' || ltrim({_GROUPED}, ',') || ',' || right(d, 3) end as assetCost, cls = 'signature' as signatureDetected, false as stampDetected, case when cls = 'signature' then concat_ws(',', x1, y1, x2, y2) else '' end as signatureBbox from m""",
+    "extract_documents": f"""with {HP}, {_COST_CTES}, {DEALER[len(TOKENS) + 2:]}, {MODEL[len(TOKENS) + 2:]}, {BOXES}, {BEST_BOX},
+      full_texts as (select doc_id, string_agg(text, ' ' order by tok_idx) as full_text from tokens group by doc_id),
+      forms as (select n_nationkey as rank, n_name || ' AUTOMOBILE TRACTORS' as canonical, n_name || ' AUTOMOBILE TRACTORS' as form from nation),
+      pairs as (select value, form, canonical, rank, list_distinct(string_split(value, ' ')) as x, list_distinct(string_split(form, ' ')) as y from (select distinct name as value from dealer_top), forms),
+      {FUZZY[FUZZY.index('parted as'):]},
+      dealer_done as (select d.doc_id, case when n.score >= 90 then canonical else d.name end as dealer_name, case when n.score >= 90 then least(1.0::double, d.c + 0.10::double) when n.score >= 70 then d.c * 0.85::double else d.c * 0.5::double end as dealer_conf
+        from (select doc_id, name, greatest(0.0::double, least(1.0::double, score)) as c from dealer_top) d join nearest n on d.name = n.value),
+      assets as (select distinct 'Mahindra ' || (p_size + 500) || ' DI' as full_name from part where (p_size + 500) % 2 = 0),
+      model_done as (select m.doc_id, m.name as raw, m.c as raw_conf, coalesce(full_name, m.name) as model_name, case when full_name is null then m.c * 0.7::double else least(1.0::double, m.c + 0.05::double) end as model_conf
+        from (select doc_id, name, greatest(0.0::double, least(1.0::double, score)) as c from model_top) m left join assets on {_KEY.format('m.name')} = {_KEY.format('full_name')}),
+      wide as (select f.doc_id, dealer_name, coalesce(dealer_conf, 0) as dealer_conf, model_name, coalesce(model_conf, 0) as model_conf, raw_conf, h.value as hp0, coalesce(h.confidence, 0) as hp_conf0, {_forms_hp('raw')} as of_model, {_forms_hp('full_text')} as of_text, c.value as cost0, coalesce(c.confidence, 0) as cost_conf0
+        from full_texts f left join dealer_done d on f.doc_id = d.doc_id left join model_done m on f.doc_id = m.doc_id left join hp_best h on f.doc_id = h.doc_id left join cost_best c on f.doc_id = c.doc_id),
+      powered as (select *, (hp0 is null or hp_conf0 < 0.3) as weak from wide),
+      derived as (select *, case when weak then coalesce(of_model, of_text, hp0) else hp0 end as hp1, case when weak and of_model is not null then greatest(0.6::double, least(0.85::double, coalesce(raw_conf, 0))) when weak and of_text is not null then 0.55::double else hp_conf0 end as hp_conf1 from powered),
+      gated_all as (select *, case when hp1 between 15 and 150 then hp1 end as hp, case when hp1 between 15 and 150 then hp_conf1 else 0.0::double end as hp_conf, case when cost0 between 100000 and 5000000 then cost0 end as cost, case when cost0 between 100000 and 5000000 then cost_conf0 else 0.0::double end as cost_conf1 from derived),
+      checked as (select *, case when coalesce(hp > 0 and not (cost / hp between 6000 and 20000), false) then cost_conf1 * 0.8::double else cost_conf1 end as cost_conf from gated_all),
+      seen as (select doc_id, max(case when cls = 'signature' then conf end) as sig, max(case when cls = 'stamp' then conf end) as st from best_box group by doc_id),
+      parts_ as (select c.*, s.sig, s.st, [{{'w': 0.20::double, 'c': dealer_conf}}, {{'w': 0.20::double, 'c': model_conf}}, {{'w': 0.15::double, 'c': hp_conf}}, {{'w': 0.20::double, 'c': cost_conf}}, {{'w': 0.125::double, 'c': coalesce(s.sig, 0)}}, {{'w': 0.125::double, 'c': coalesce(s.st, 0)}}] as ps
+        from checked c left join seen s on c.doc_id = s.doc_id)
+      select cast(doc_id as varchar) as doc_id, dealer_name, model_name, hp as horse_power, cost as asset_cost, sig is not null as signature_present, st is not null as stamp_present,
+        round(coalesce(list_sum(list_transform(list_filter(ps, lambda p: p.c > 0), lambda p: p.w * p.c)) / list_sum(list_transform(list_filter(ps, lambda p: p.c > 0), lambda p: p.w)), 0), 6) as confidence from parts_""",
     "dealer_harvest": f"""with {TOKENS}, {_hits('dealer_name', 'dhits')}, page as (select *, max(y2) over (partition by doc_id) as height from tokens),
       rows12 as (select doc_id, y1 // 30 as line, string_agg(text, ' ' order by x1, tok_idx) as text, count(*) as n from page where y1 < height * 0.12 group by 1, 2),
       bold as (select doc_id, upper(trim(text)) as name from (select *, row_number() over (partition by doc_id order by length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) + 2 * n desc, line) as r from rows12) where r = 1),
