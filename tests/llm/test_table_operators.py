@@ -279,7 +279,8 @@ def test_classifier_on_odd_rows(spark):
     """An ``n_chars`` that is no number, very long texts, one labelled row of a class, and one class only."""
     docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "bad!! ##") * (40_000 if i < 2 else 3), "en", "s", "many") for i in range(12)], "doc_id long, text string, lang string, source string, n_chars string")
     for labels in ([(i, i % 2, 0) for i in range(8)], [(1, 1, 0), (2, 0, 0)], [(1, 1, 1)]):
-        got = classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+        models = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), passes=(4, 2))
+        got = quality.score(docs, models).collect()
         assert len(got) == 12 and all(0 <= r.quality <= 1 and 0 <= r.toxicity <= 1 for r in got)
 
 
