@@ -122,8 +122,13 @@ class Problem:
 SLICES = 8
 
 
-def summed(rows: DataFrame, vector: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
-    """The sum over all batches of ``rows`` of ``vector(batch)``: a task sums its own, tasks meet slice by slice."""
+def summed(rows: DataFrame, vector: Callable[[pa.RecordBatch], np.ndarray], few: bool = False) -> np.ndarray:
+    """The sum over all batches of ``rows`` of ``vector(batch)``: a task sums its own, tasks meet slice by slice.
+
+    With ``few``, for long vectors, files are read by two tasks a core, so that vectors grow with the cores, not the files.
+    """
+    if few:
+        rows = rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -216,7 +221,7 @@ def fit(rows: DataFrame, problems: list[Problem], models: list[Linear], passes:
                         own[p.classes + 2 * p.width :] += bags.spread(truth, np.ones(len(bags.key))).ravel()
         return np.concatenate(out)
 
-    found, at = summed(rows, statistics), 0
+    found, at = summed(rows, statistics, few=True), 0
     if not len(found):
         return models
     counts, ratios, made, descents = [], [], [], []
@@ -270,7 +275,7 @@ def fit(rows: DataFrame, problems: list[Problem], models: list[Linear], passes:
                     own[1 + size[0] :] += (model.columns(x).T @ error).ravel()
             return np.concatenate(out)
 
-        found, at = summed(rows, slopes), 0
+        found, at = summed(rows, slopes, few=True), 0
         held.destroy()
         for p, n, ratio, size, d in zip(problems, counts, ratios, sizes, descents, strict=True):
             own, at = found[at : at + 1 + sum(size)] / n, at + 1 + sum(size)
