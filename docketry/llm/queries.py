@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import table
+from docketry.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,9 +80,27 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted_digests(turns.unionAll(added))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.resample import importance
+
+    return importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.tiff import features, media
+
+    return features(written(media(table(spark, sf_dir, "documents")), "media"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.whiten import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_quality_cotraining, op3_soft_mixing, op4_warc_revisits, op5_html_main_text, op6_backoff_lm, op7_benchmark_decontamination, op8_flow_reshard, op9_embedding_near_dedup, op10_chat_format)
+    for f in (op1_simhash_near_dedup, op2_quality_cotraining, op3_soft_mixing, op4_warc_revisits, op5_html_main_text, op6_backoff_lm, op7_benchmark_decontamination, op8_flow_reshard, op9_embedding_near_dedup, op10_chat_format, op11_importance_resampling, op12_tiff_media, op13_embedding_whitening)
 }
 
 _CONTROL = r"<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\[ANS\]|<<ROLE>>|<<TEXT>>|␛"
@@ -100,4 +118,18 @@ SQL: dict[str, str] = {
       r as (select *, length(regexp_replace(text, '{_CONTROL}', '12', 'g')) + case role when 'user' then 13 when 'system' then 15 else 9 end as shown from t)
       select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256, cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
         sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256, cast(3 + sum(shown) as bigint) as formatted_chars from r group by conv_id""",
+    "op11_importance_resampling": r"""with recursive crc_table(k, c) as (select k, list_reduce([k] || range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1))) from range(256) r(k)),
+      t as materialized (select list(c order by k) as tab from crc_table),
+      texts as (select 0 as side, doc_id as id, row_number() over () as row, text from documents union all select 1, item_id, -row_number() over (), text from benchmark),
+      w as materialized (select side, id, row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from texts),
+      f as materialized (select side, row, unnest(list_concat(words, list_transform(range(1, greatest(len(words), 1)), lambda i: array_to_string(words[i : i + 1], ' ')), list_transform(range(1, greatest(len(words) - 1, 1)), lambda i: array_to_string(words[i : i + 2], ' ')))) as feature from w),
+      h as (select feature, hex(encode(feature)) as x from (select distinct feature from f)),
+      b as materialized (select feature, xor(4294967295, list_reduce([4294967295] || list_transform(range(length(x) // 2), lambda i: cast('0x' || substr(x, 2 * i + 1, 2) as bigint)), lambda c, d: xor(c >> 8, tab[(xor(c, d) & 255) + 1]))) % 10000 as bucket from h, t),
+      n as materialized (select side, row, bucket, count(*) as c from f join b using (feature) group by all),
+      g as (select bucket, floor(1000 * ln((coalesce(sum(c) filter (side = 1), 0) + 1)::double * ((select coalesce(sum(c), 0) from n where side = 0) + 10000)::double / ((coalesce(sum(c) filter (side = 0), 0) + 1)::double * ((select coalesce(sum(c), 0) from n where side = 1) + 10000)::double))) as gain from n group by bucket),
+      d as (select row, sum(c) as n_features, sum(c * gain) as weight from n join g using (bucket) where side = 0 group by row),
+      s as (select id as doc_id, len(words) as n_words, cast(coalesce(n_features, 0) as bigint) as n_features, cast(coalesce(weight, 0) as bigint) as weight, cast('0x' || substr(sha256('42:' || id), 1, 8) as bigint) as hash from w left join d using (row) where side = 0),
+      z as (select *, weight + cast(floor(-1000 * ln(-ln((hash + 0.5::double) / 4294967296))) as bigint) as score from s),
+      r as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place from z)
+      select doc_id, n_features, weight, score, case when n_words >= 20 and place <= (select count(*) from s where n_words >= 20) * 5 // 100 then place end as rank from r""",
 }
