@@ -11,6 +11,7 @@ from docketry.functions import text as T
 from docketry.functions.geometry import same_row
 from docketry.functions.similarity import token_set
 from docketry.operators.anchors import hits, reading, with_shingles
+from docketry.sources.shared import kept
 
 SIMILAR = 85
 NEAREST = 5
@@ -27,15 +28,6 @@ def candidate_counts(names: DataFrame, least: int = 4) -> DataFrame:
     return names.select(F.btrim("name").alias("name"), "seq").where(F.char_length("name") >= least).groupBy("name").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the folder that the cluster shares; where none is named, in one of the warehouse."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/docketry-shared")
-    return df.checkpoint()
-
-
 def similar_pairs(ranked: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """(a, b, score) of all pairs of ``ranked`` (place, name) of token-set ratio ``SIMILAR`` and more, each both ways.
 

@@ -400,3 +400,18 @@ SQL: dict[str, str] = {
         > 0.7::double * greatest(1, (k.x2 - k.x1) * (k.y2 - k.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(0, least(k.x2, b.x2) - greatest(k.x1, b.x1)) * greatest(0, least(k.y2, b.y2) - greatest(k.y1, b.y1))))) > 0 then acc else list_append(acc, b) end, bs[1 : 0]) as ks from pages_)
       select doc_id, unnest(list_transform(ks, lambda k: k.seq)) as seq from kept""",
 }
+
+_SCANS = """plans as (select c_custkey as k, 240 + 16 * (c_custkey % 5) as width, 180 + 20 * (c_custkey % 3) as height, 20 + c_custkey % 60 as x, 15 + c_custkey % 40 as y, 24 + c_custkey % 9 as w, 22 + c_custkey % 7 as h,
+  case when c_custkey % 7 = 3 then [120, 120, 120] when c_custkey % 3 = 0 then [200, 40, 50] else [30, 40, 160] end as ink, c_custkey % 25 = 7 as cut, c_custkey % 2 = 1 as many from customer),
+scans as (select *, 'scan-' || k || case when many then '.ppm' else '.png' end as name, unnest(case when not many then [0] when cut then [0, 1] else [0, 1, 2] end) as page from plans),
+whole as (select * from scans where not cut or (many and page = 0))"""
+
+SQL["page_images"] = f"""with {_SCANS} select name, cast(page as int) as page_index, cast(case when cut and not many then null when cut or not many then 1 else 3 end as int) as page_count,
+  cast(case when cut and (not many or page = 1) then null else width end as int) as width, cast(case when cut and (not many or page = 1) then null else height end as int) as height,
+  cast(case when cut and (not many or page = 1) then null else 3 * width * height end as bigint) as n_bytes,
+  case when not cut then null when not many then 'a chunk beyond the end' when page = 1 then 'too few bytes of pixels' end as error from scans"""
+SQL["page_levels"] = f"""with {_SCANS} select name, cast(page as int) as page_index, cast(255 * (width * height - w * h) + ink[1] * w * h as bigint) as red, cast(255 * (width * height - w * h) + ink[2] * w * h as bigint) as green,
+  cast(255 * (width * height - w * h) + ink[3] * w * h as bigint) as blue, cast((4899 * ink[1] + 9617 * ink[2] + 1868 * ink[3] + 8192) // 16384 as int) as threshold, 0.0::double as skew from whole"""
+SQL["page_stamps"] = f"""with {_SCANS} select name || '#' || page as doc_id, 'stamp' as cls, cast(x + 5 * page - 6 as int) as x1, cast(y - 6 as int) as y1, cast(x + 5 * page + w + 6 as int) as x2, cast(y + h + 6 as int) as y2,
+  round(least(1.0::double, 0.4::double + 0.3::double * 4 * pi() * (w - 1) * (h - 1) / (power(2 * (w + h - 2), 2) + 1e-9) + 0.3::double * least((w - 1) * (h - 1) / (0.01::double * width * height), 1.0::double)), 6) as conf
+  from whole where k % 7 <> 3"""

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from docketry.functions import geometry as G
 from docketry.functions import text as T
-from docketry.operators import anchors, assemble, detections, evaluate, masters, normalize, numeric_fields, pages, sampling, store, text_fields
+from docketry.operators import anchors, assemble, detections, evaluate, imaging, masters, normalize, numeric_fields, pages, sampling, store, text_fields
 from docketry.plans import surrogates as S
+from docketry.sources.images import page_images as read_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -608,3 +609,23 @@ def store_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = assemble.nested(rows).withColumn("fileName", F.concat(F.lit("scan "), "doc_id", F.when(F.col("doc_id").cast("long") % 6 == 0, "").otherwise(".PDF"))).withColumns({"bytes": F.col("doc_id").cast("long") * 31, "mimeType": none, "uploadedAt": F.lit("2024-01-01T00:00:00")})
     r = store.record(named)
     return r.select("id", "fileSize", "fileType", "mimeType", big("confidence").alias("confidence"), *(F.col(f"extractedFields.{c}").alias(c) for c in ("dealerName", "modelName", "horsePower", "assetCost", "signatureDetected", "stampDetected")), F.concat_ws(",", "extractedFields.signatureBbox").alias("signatureBbox"))
+
+
+@query
+def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page of a folder of image files, broken files as errors."""
+    pages = read_pages(spark, S.scans(spark, sf_dir))
+    return pages.select("name", "page_index", "page_count", "width", "height", big(F.length("pixels")).alias("n_bytes"), "error")
+
+
+@query
+def page_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the decoded samples, the threshold of dark and light, and the skew of each page."""
+    return imaging.levels(read_pages(spark, S.scans(spark, sf_dir))).select("name", "page_index", "red", "green", "blue", "threshold", six("skew").alias("skew"))
+
+
+@query
+def page_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stamps by the outlines of coloured ink."""
+    found = detections.top_per_class(detections.stamp_shapes(imaging.stamp_outlines(read_pages(spark, S.scans(spark, sf_dir)))), {"stamp": 2})
+    return found.select("doc_id", "cls", "x1", "y1", "x2", "y2", six("conf").alias("conf"))
