@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import text as T
 from docketry.functions.similarity import udfs
+from docketry.sources.shared import written
 
 TOLERANCE = 0.05
 
@@ -66,15 +67,24 @@ def score_documents(labels: DataFrame, results: DataFrame) -> DataFrame:
 
 def report(scored: DataFrame) -> DataFrame:
     """One row: totals, share of documents with all six fields, accuracy by field, confusion of the visual fields, latencies."""
+    return report_of(report_sums(scored), latency(scored, "seconds"))
+
+
+def report_sums(scored: DataFrame) -> DataFrame:
+    """The counts of a report, one row; counts of parts add up to those of the whole."""
     every = F.lit(True)
     for c in SIX:
         every = every & F.col(f"{c}_hit")
     counts = [F.count_if(F.col(f"{c}_hit")).alias(f"{c}_correct") for c in SIX]
     tables = [F.count_if(p & t).alias(f"{c}_{n}") for c in SIX[4:] for n, p, t in (("tp", F.col(f"{c}_got"), F.col(f"{c}_true")), ("fp", F.col(f"{c}_got"), ~F.col(f"{c}_true")), ("tn", ~F.col(f"{c}_got"), ~F.col(f"{c}_true")), ("fn", ~F.col(f"{c}_got"), F.col(f"{c}_true")))]
-    sums = scored.agg(F.count("*").alias("docs_total"), F.count_if(every).alias("docs_correct"), F.count_if(F.col("error").isNotNull()).alias("errors"), *counts, *tables)
+    return scored.agg(F.count("*").alias("docs_total"), F.count_if(every).alias("docs_correct"), F.count_if(F.col("error").isNotNull()).alias("errors"), *counts, *tables)
+
+
+def report_of(sums: DataFrame, latencies: DataFrame) -> DataFrame:
+    """The report of a row of counts and one of latencies."""
     dla = F.coalesce(F.try_divide("docs_correct", "docs_total"), F.lit(0.0)).alias("dla")
     accuracy = [F.coalesce(F.try_divide(f"{c}_correct", "docs_total"), F.lit(0.0)).alias(f"{c}_accuracy") for c in SIX]
-    times = latency(scored, "seconds").select(*(F.col(c).alias(f"seconds_{c}") for c in ("p50", "p95", "max")))
+    times = latencies.select(*(F.col(c).alias(f"seconds_{c}") for c in ("p50", "p95", "max")))
     return sums.select("*", dla, *accuracy).join(times, F.lit(True), "left")
 
 
@@ -99,12 +109,13 @@ def confusion(scored: DataFrame, predicted: Column, truth: Column) -> DataFrame:
     return scored.agg(F.count_if(predicted & truth).alias("tp"), F.count_if(predicted & ~truth).alias("fp"), F.count_if(~predicted & ~truth).alias("tn"), F.count_if(~predicted & truth).alias("fn"))
 
 
-BANDS = 4096  # ranges of equal width that values are counted in
-
-
 def latency(rows: DataFrame, value: str) -> DataFrame:
     """n, p50 (the median), p95 (the value at rank int(0.95 n), counted from 0) and max, without gathering the values."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    return latency_of(rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c")))
+
+
+def latency_of(counts: DataFrame) -> DataFrame:
+    """``latency`` of a table of values ``v`` and their counts ``c``."""
     n = F.col("n")
     wanted = {"p95": F.least(F.floor(n * 0.95), n - 1), "low": F.floor((n - 1) / 2), "high": F.floor(n / 2)}
     found = values_at(counts, wanted)
@@ -114,17 +125,17 @@ def latency(rows: DataFrame, value: str) -> DataFrame:
 
 
 def values_at(counts: DataFrame, ranks: dict[str, Column]) -> DataFrame:
-    """name and v, the value at each of ``ranks`` (from 0, in terms of the number ``n`` of values), of a table of values ``v`` and counts ``c``.
+    """name and v, the value at each of ``ranks`` (from 0, in terms of the number ``n`` of values), of a table of distinct
+    values ``v`` and counts ``c``.
 
-    Prefix sums over ``BANDS`` ranges of values find the band of a rank, and those inside that band its value, so no task
-    sorts more than one band.
+    Values are dealt to bands by sampled quantiles. Prefix sums over the bands find that of a rank, and those inside it its
+    value, so no task sorts more than a band, however the values lie.
     """
-    ends = counts.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("c").alias("n"))
-    width = F.greatest((F.col("high") - F.col("low")) / BANDS, F.lit(1e-300))
-    bands = counts.join(F.broadcast(ends), F.lit(True)).withColumn("band", F.floor((F.col("v") - F.col("low")) / width))
+    parts = max(8, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bands = written(counts.repartitionByRange(parts, "v").withColumn("band", F.spark_partition_id()), "bands")
     sums = bands.groupBy("band").agg(F.sum("c").alias("s"))
-    before = sums.withColumn("before", F.sum("s").over(Window.orderBy("band")) - F.col("s"))  # at most BANDS + 1 rows
-    asked = ends.select(F.inline(F.array(*(F.struct(F.lit(k).alias("name"), r.cast("bigint").alias("rank")) for k, r in ranks.items()))))
+    before = sums.withColumn("before", F.sum("s").over(Window.orderBy("band")) - F.col("s"))  # a row for each band
+    asked = sums.agg(F.sum("s").alias("n")).select(F.inline(F.array(*(F.struct(F.lit(k).alias("name"), r.cast("bigint").alias("rank")) for k, r in ranks.items()))))
     at = before.join(F.broadcast(asked), (F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("s"))).select("band", "before", "name", "rank")
     inner = bands.join(F.broadcast(at), "band").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("name").orderBy("v")))
     return inner.where("upto > rank").groupBy("name").agg(F.min("v").alias("v"))

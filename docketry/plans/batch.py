@@ -10,35 +10,33 @@ from pyspark.sql import functions as F
 from docketry import schemas
 from docketry.operators import assemble
 from docketry.plans.pipeline import extract
-from docketry.sources import adapters, files, sinks
+from docketry.sources import adapters, files, shared, sinks
+from docketry.sources.cache import StageCache
 
 TOKEN = "tok_idx int, text string, x1 int, y1 int, x2 int, y2 int, conf double"
 BOX = "seq long, cls string, x1 int, y1 int, x2 int, y2 int, conf double"
 
 
-def run_folder(spark: SparkSession, folder: str, dealers: DataFrame, assets: DataFrame, recogniser: Callable[[], adapters.Model] = adapters.page_reader, detector: Callable[[], adapters.Model] | None = None, second_tier: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def run_folder(spark: SparkSession, folder: str, dealers: DataFrame, assets: DataFrame, recogniser: Callable[[], adapters.Model] = adapters.page_reader, detector: Callable[[], adapters.Model] | None = None, second_tier: Callable[[DataFrame], DataFrame] | None = None, cache: StageCache | None = None) -> DataFrame:
     """A nested result for each file of ``folder``, named by the file.
 
-    Files of other kinds get ``unsupported_format``, files on which the recogniser fails ``corrupt_input``; a page without
-    tokens gives an empty result. A detector that fails leaves a document without boxes, as one that finds none does.
-    ``second_tier`` answers (doc_id, answer) for the fields (doc_id, full_text, fields) that are missing.
+    Each model reads each file once: what it says goes to ``cache`` (without one, to a cache of this run in the shared
+    folder), and files that the cache knows by name and content are not read at all. Files of other kinds get
+    ``unsupported_format``, files on which the recogniser fails ``corrupt_input``; a page without tokens gives an empty
+    result. A detector that fails leaves a document without boxes, as one that finds none does. ``second_tier`` answers
+    (doc_id, answer) for the fields (doc_id, full_text, fields) that are missing, and is asked once.
     """
+    cache = cache or StageCache(spark, shared.new_path(spark, "models"))
     every = files.all_files(spark, folder)
-    known = every.where(files.supported(F.col("path"))).select(F.col("name").alias("doc_id"), "content")
-    read = adapters.apply_model(known, recogniser, "doc_id", TOKEN)
-    tokens = read.where("error is null and tok_idx is not null").drop("error")
-    seconds = read.groupBy("doc_id").agg(F.max("seconds").alias("processing_time_sec"))
-    boxes = adapters.apply_model(known, detector, "doc_id", BOX).where("error is null") if detector else spark.createDataFrame([], f"doc_id string, {BOX}")
-    answers = None
-    if second_tier is not None:
-        from docketry.plans.pipeline import missing_fields, tier_one
-
-        brands = [r.brand for r in assets.select("brand").distinct().collect()]  # a dimension of a catalogue's size
-        answers = second_tier(missing_fields(tier_one(tokens, brands)))
-    found = extract(tokens.drop("seconds"), boxes, dealers, assets, answers, seconds)
+    known = every.where(files.supported(F.col("path"))).select(F.col("name").alias("doc_id"), "hash", "content")
+    read = cache.fill("ocr", known, recogniser, TOKEN, empty_counts=False)
+    tokens = read.where("error is null").select("doc_id", F.inline("items"))
+    seconds = read.select("doc_id", F.col("seconds").alias("processing_time_sec"))
+    boxes = cache.fill("detections", known, detector, BOX, empty_counts=True).where("error is null").select("doc_id", F.inline("items")) if detector else spark.createDataFrame([], f"doc_id string, {BOX}")
+    found = extract(tokens, boxes, dealers, assets, second_tier, seconds)
     broken = read.where("error is not null").select("doc_id", F.concat(F.lit("corrupt_input: "), "error").alias("error"))
     other = every.where(~files.supported(F.col("path"))).select(F.col("name").alias("doc_id"), F.concat(F.lit("unsupported_format: "), "name").alias("error"))
-    blank = known.select("doc_id").join(tokens.select("doc_id").distinct(), "doc_id", "left_anti").join(broken.select("doc_id"), "doc_id", "left_anti").withColumn("error", F.lit(None).cast("string"))
+    blank = read.where("error is null and size(items) = 0").select("doc_id", F.lit(None).cast("string").alias("error"))
     return found.unionByName(assemble.failed(broken.unionByName(other).unionByName(blank)))
 
 

@@ -401,8 +401,8 @@ SQL: dict[str, str] = {
       select doc_id, unnest(list_transform(ks, lambda k: k.seq)) as seq from kept""",
 }
 
-_SCANS = """plans as (select c_custkey as k, 240 + 16 * (c_custkey % 5) as width, 180 + 20 * (c_custkey % 3) as height, 20 + c_custkey % 60 as x, 15 + c_custkey % 40 as y, 24 + c_custkey % 9 as w, 22 + c_custkey % 7 as h,
-  case when c_custkey % 7 = 3 then [120, 120, 120] when c_custkey % 3 = 0 then [200, 40, 50] else [30, 40, 160] end as ink, c_custkey % 25 = 7 as cut, c_custkey % 2 = 1 as many from customer),
+_SCANS = """plans as (select c_custkey as k, 140 + 8 * (c_custkey % 5) as width, 100 + 10 * (c_custkey % 3) as height, 14 + c_custkey % 30 as x, 12 + c_custkey % 20 as y, 24 + c_custkey % 9 as w, 22 + c_custkey % 7 as h,
+  case when c_custkey % 7 = 3 then [120, 120, 120] when c_custkey % 3 = 0 then [200, 40, 50] else [30, 40, 160] end as ink, c_custkey % 25 = 7 or c_custkey % 100 = 41 as cut, c_custkey % 10 = 1 as many from customer),
 scans as (select *, 'scan-' || k || case when many then '.ppm' else '.png' end as name, unnest(case when not many then [0] when cut then [0, 1] else [0, 1, 2] end) as page from plans),
 whole as (select * from scans where not cut or (many and page = 0))"""
 
@@ -414,4 +414,4 @@ SQL["page_levels"] = f"""with {_SCANS} select name, cast(page as int) as page_in
   cast(255 * (width * height - w * h) + ink[3] * w * h as bigint) as blue, cast((4899 * ink[1] + 9617 * ink[2] + 1868 * ink[3] + 8192) // 16384 as int) as threshold, 0.0::double as skew from whole"""
 SQL["page_stamps"] = f"""with {_SCANS} select name || '#' || page as doc_id, 'stamp' as cls, cast(x + 5 * page - 6 as int) as x1, cast(y - 6 as int) as y1, cast(x + 5 * page + w + 6 as int) as x2, cast(y + h + 6 as int) as y2,
   round(least(1.0::double, 0.4::double + 0.3::double * 4 * pi() * (w - 1) * (h - 1) / (power(2 * (w + h - 2), 2) + 1e-9) + 0.3::double * least((w - 1) * (h - 1) / (0.01::double * width * height), 1.0::double)), 6) as conf
-  from whole where k % 7 <> 3"""
+  from whole where k % 7 <> 3 and (w - 1) * (h - 1) between 0.0008 * width * height and 0.05 * width * height"""

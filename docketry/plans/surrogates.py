@@ -92,11 +92,11 @@ def store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scans(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with an image file for each customer: a patch of ink on white paper, blue, red or grey. Even keys are PNG
-    files, odd ones anymaps of three pages, on which the patch wanders; of some files the second half is lost."""
+    """A folder with an image file for each customer: a patch of ink on white paper, blue, red or grey. A tenth are
+    anymaps of three pages, on which the patch wanders, the others PNG files; of some files the second half is lost."""
     k = F.col("c_custkey")
     ink = F.when(k % 7 == 3, F.array(*map(F.lit, (120, 120, 120)))).when(k % 3 == 0, F.array(*map(F.lit, (200, 40, 50)))).otherwise(F.array(*map(F.lit, (30, 40, 160))))
-    cells = {"width": 240 + 16 * (k % 5), "height": 180 + 20 * (k % 3), "x": 20 + k % 60, "y": 15 + k % 40, "w": 24 + k % 9, "h": 22 + k % 7}
+    cells = {"width": 140 + 8 * (k % 5), "height": 100 + 10 * (k % 3), "x": 14 + k % 30, "y": 12 + k % 20, "w": 24 + k % 9, "h": 22 + k % 7}
     plans = read(spark, sf_dir, "customer").select("c_custkey", *(v.cast("int").alias(c) for c, v in cells.items()), ink.alias("ink"))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,13 +104,13 @@ def scans(spark: SparkSession, sf_dir: str) -> str:
             names, contents = [], []
             for r in batch.to_pylist():
                 pages = []
-                for page in range(1 + 2 * (r["c_custkey"] % 2)):
+                for page in range(3 if r["c_custkey"] % 10 == 1 else 1):
                     image = np.full((r["height"], r["width"], 3), 255, np.uint8)
                     image[r["y"] : r["y"] + r["h"], r["x"] + 5 * page : r["x"] + 5 * page + r["w"]] = r["ink"]
                     pages.append(image)
                 content = images.as_png(pages[0]) if len(pages) == 1 else b"".join(map(images.as_anymap, pages))
                 names.append(f"scan-{r['c_custkey']}.{'png' if len(pages) == 1 else 'ppm'}")
-                contents.append(content[: len(content) // 2] if r["c_custkey"] % 25 == 7 else content)
+                contents.append(content[: len(content) // 2] if r["c_custkey"] % 25 == 7 or r["c_custkey"] % 100 == 41 else content)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(contents, pa.binary())], ["name", "content"])
 
     folder = new_path(spark, "scans")

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 Model = Callable[[dict], list[dict]]
 
@@ -43,6 +43,29 @@ def apply_model(docs: DataFrame, load: Callable[[], Model], key: str, schema: st
     return docs.mapInArrow(run, whole)
 
 
+def items_of(docs: DataFrame, load: Callable[[], Model], keys: list[str], schema: str) -> DataFrame:
+    """A row for each document: ``keys``, ``items`` (an array of ``schema``), ``seconds`` and ``error``."""
+    item = StructType.fromDDL(schema)
+    whole = StructType([*(docs.schema[k] for k in keys), StructField("items", ArrayType(item)), StructField("seconds", DoubleType()), StructField("error", StringType())])
+    arrow = to_arrow_schema(whole)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load()
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):  # one document at a time: a page may be large
+                record = batch.slice(i, 1).to_pylist()[0]
+                began = time.perf_counter()
+                try:
+                    made = {"items": [{**dict.fromkeys(item.names), **row} for row in model(record)], "error": None}
+                except Exception as problem:  # the contract: an error column, never a failed task
+                    made = {"items": [], "error": f"{type(problem).__name__}: {problem}"}
+                rows.append({k: record[k] for k in keys} | made | {"seconds": time.perf_counter() - began})
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return docs.mapInArrow(run, whole)
+
+
 def text_recogniser() -> Model:
     """A stand-in for recognition: words of the ``text`` field at fixed places."""
 

@@ -1,8 +1,10 @@
 """Text, geometry and similarity functions and the extraction operators on small token fixtures."""
 
+import collections
 import json
 import random
 import statistics
+import uuid
 
 import pytest
 from docketry.functions import geometry as G
@@ -276,6 +278,67 @@ def test_folder_to_lines(spark, tmp_path):
     assert [r.doc_id for r in flat] == ["a.pdf", "b.PNG", "c.txt", "d.jpg"] and flat[0].horse_power == 50
 
 
+def test_models_read_each_file_once(spark, tmp_path):
+    from docketry.plans.batch import TOKEN, run_folder
+    from docketry.sources import adapters, files
+    from docketry.sources.cache import StageCache, mining_documents
+
+    folder, log, seen = tmp_path / "in", tmp_path / "calls", tmp_path / "boxes"
+    for p in (folder, log, seen):
+        p.mkdir()
+    texts = {"a.pdf": "Horse Power : 50 HP\nGrand Total : 525000", "b.png": "Grand Total : 300000", "e.jpg": " "}
+    for name, text in texts.items():
+        (folder / name).write_text(text)
+    (folder / "bad.png").write_bytes(b"\xff\xfe")
+
+    def counted(model, where):
+        def load():
+            read = model()
+
+            def run(record):
+                (where / f"{record['doc_id']}-{uuid.uuid4().hex}").touch()
+                return read(record)
+
+            return run
+
+        return load
+
+    calls = lambda where: collections.Counter(p.name.rsplit("-", 1)[0] for p in where.iterdir())
+    dealers = spark.createDataFrame([], "seq long, canonical string, aliases array<string>")
+    assets = spark.createDataFrame([], "seq long, brand string, model string, full_name string")
+    cache = StageCache(spark, str(tmp_path / "cache"))
+    asked = []
+    second = lambda missing: asked.append(missing) or missing.selectExpr("doc_id", "named_struct('dealer_name', cast(null as string), 'model_name', cast(null as string), 'horse_power', '45', 'asset_cost', cast(null as string)) as answer")
+    models = dict(recogniser=counted(adapters.page_reader, log), detector=counted(lambda: lambda r: [], seen), second_tier=second)
+    first = run_folder(spark, str(folder), dealers, assets, cache=cache, **models).orderBy("doc_id").collect()
+    assert calls(log) == calls(seen) == dict.fromkeys(["a.pdf", "b.png", "bad.png", "e.jpg"], 1) and len(asked) == 1
+    assert [(r.doc_id, r.fields.horse_power.value, r.fields.asset_cost.value) for r in first[:2]] == [("a.pdf", 50, 525000), ("b.png", 45, 300000)]
+    again = run_folder(spark, str(folder), dealers, assets, cache=StageCache(spark, str(tmp_path / "cache")), **models).orderBy("doc_id").collect()
+    # what was read is not read again; faults and empty pages are, by the recogniser alone
+    assert again[:2] == first[:2] and calls(log) == {"a.pdf": 1, "b.png": 1, "bad.png": 2, "e.jpg": 2} and set(calls(seen).values()) == {1}
+    (folder / "b.png").write_text("Grand Total : 310000")
+    changed = run_folder(spark, str(folder), dealers, assets, cache=cache, **models).orderBy("doc_id").collect()
+    assert changed[1].fields.asset_cost.value == 310000 and calls(log)["b.png"] == 2 and calls(log)["a.pdf"] == 1
+    # appends at the same time both stay, and one entry counts
+    docs = files.all_files(spark, str(folder)).selectExpr("name as doc_id", "hash", "content").where("doc_id = 'a.pdf'")
+    made = adapters.items_of(docs, adapters.page_reader, ["doc_id", "hash"], TOKEN)
+    before = cache.entries("ocr", TOKEN).count()
+    cache.append("ocr", made)
+    cache.append("ocr", made.withColumn("doc_id", F.lit("z.pdf")))
+    assert cache.entries("ocr", TOKEN).count() == before + 1
+    cache.compact("ocr", TOKEN)
+    assert len(cache._live("ocr")) == 1 and cache.entries("ocr", TOKEN).count() == before + 1
+    # data without its record, and a record that cannot be read, do not count
+    made.withColumn("doc_id", F.lit("half")).write.parquet(f"{cache.folder}/ocr/half")
+    (tmp_path / "cache" / "ocr" / "_commits" / "torn.json").write_text("{")
+    assert cache.entries("ocr", TOKEN).where("doc_id = 'half'").count() == 0
+    (folder / "b.png").write_text("one two")
+    mined = lambda **k: sorted((r.filename, len(r.tokens)) for r in mining_documents(cache, files.all_files(spark, str(folder)), counted(adapters.page_reader, log), TOKEN, **k).collect())
+    n = sum(calls(log).values())
+    assert mined(limit=1) == [("b.png", 2)] and mined(limit=1) == [("b.png", 2)] and sum(calls(log).values()) == n + 1
+    assert mined(use_cache=False) == [("b.png", 2)] and sum(calls(log).values()) == n + 3
+
+
 def test_second_tier_of_all_fields(spark):
     from docketry.plans.pipeline import missing_fields, tier_one, with_second_tier
 
