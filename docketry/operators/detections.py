@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.geometry import from_yolo, iou, to_yolo
+from docketry.sources.shared import written
 
 THRESHOLDS = {"signature": 0.20, "stamp": 0.25}
 BOX = ("x1", "y1", "x2", "y2")
@@ -50,13 +53,82 @@ def without_overlap(left: DataFrame, right: DataFrame, most: float = 0.3, cell:
     return left.join(covered, ["doc_id", "seq"], "left_anti")
 
 
-def keep_first(boxes: DataFrame, most: float = 0.7) -> DataFrame:
-    """In order of ``seq``, rows that overlap no earlier kept row of their document by more than ``most``."""
-    item = F.struct("seq", *BOX, "conf")
-    rows = boxes.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    none = F.array().cast(f"array<struct<seq: bigint, {', '.join(f'{c}: int' for c in BOX)}, conf: double>>")
-    kept = F.aggregate("all", none, lambda acc, x: F.when(F.exists(acc, lambda k: iou(k, x) > most), acc).otherwise(F.array_append(acc, x)))
-    return rows.select("doc_id", F.inline(kept))
+KEEP_ROUNDS = 6  # rounds in which all pages are thinned out at once; chains of boxes longer than that go page by page
+
+
+def keep_first(boxes: DataFrame, most: float = 0.7, valid: Column | None = None, rounds: int = KEEP_ROUNDS) -> DataFrame:
+    """doc_id, seq, box and conf of the rows that, in order of ``seq``, overlap no earlier kept row of their document by more
+    than ``most``. Rows that are not ``valid`` are kept or left out as any other and push out later ones, but are not returned.
+
+    A round keeps all undecided boxes that no earlier undecided one overlaps, and leaves out those that a kept one
+    overlaps. Boxes that overlap so much are nearly of one size and place: they meet by size class and grid cell.
+    """
+    is_valid = F.coalesce(valid, F.lit(False)) if valid is not None else F.lit(True)
+    rows = boxes.select("doc_id", "seq", *BOX, "conf", is_valid.alias("ok"))
+    flat = (F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1"))
+    # equal boxes: the first stands for all
+    left = rows.where(~flat).groupBy("doc_id", *BOX).agg(F.min_by(F.struct("seq", "conf", "ok"), "seq").alias("r")).select("doc_id", "r.*", *BOX)
+    left, done = written(left, "boxes"), [rows.where(flat).select("doc_id", "seq", *BOX, "conf", "ok")]
+    level = lambda size: F.floor(F.log2(size))  # noqa: E731  the class of a side
+    reach = (1 - most) / most  # two left or upper edges are at most so far apart, in sides
+
+    def home(df: DataFrame, name: str) -> DataFrame:
+        w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+        cell = lambda at, size: F.floor(at / F.pow(F.lit(2.0), level(size) + 1))
+        return df.select("doc_id", F.struct(level(w), level(h), cell(F.col("x1"), w), cell(F.col("y1"), h)).alias("cell"), F.struct("seq", *BOX).alias(name))
+
+    def around(df: DataFrame, name: str) -> DataFrame:
+        def axis(at: str, to: str) -> Column:
+            size = F.col(to) - F.col(at)
+            classes = F.sequence(level(size * most), level(size / most))
+            cells = lambda c: F.transform(F.sequence(F.floor((F.col(at) - reach * size) / F.pow(F.lit(2.0), c + 1)), F.floor((F.col(at) + reach * size) / F.pow(F.lit(2.0), c + 1))), lambda k: F.struct(c.alias("c"), k.alias("k")))
+            return F.flatten(F.transform(classes, cells))
+
+        spots = df.select("doc_id", F.struct("seq", *BOX).alias(name), F.explode(axis("x1", "x2")).alias("x"), axis("y1", "y2").alias("ys"))
+        spots = spots.select("doc_id", name, "x", F.explode("ys").alias("y"))
+        return spots.select("doc_id", F.struct("x.c", "y.c", "x.k", "y.k").alias("cell"), name)
+
+    for _ in range(rounds):
+        if left.isEmpty():
+            break
+        meet = (F.col("h.doc_id") == F.col("a.doc_id")) & (F.col("h.cell") == F.col("a.cell")) & (iou(F.col("one"), F.col("other")) > most)
+        late = home(left, "one").alias("h").join(around(left, "other").alias("a"), meet & (F.col("other.seq") < F.col("one.seq")), "left_semi").select("doc_id", "one.seq")
+        first = written(left.join(late, ["doc_id", "seq"], "left_anti"), "kept")
+        done.append(first.select(*done[0].columns))
+        out = home(left, "one").alias("h").join(around(first, "other").alias("a"), meet, "left_semi").select("doc_id", "one.seq")
+        left = written(left.join(out, ["doc_id", "seq"], "left_anti"), "boxes")
+    found = done[0]
+    for part in done[1:]:
+        found = found.unionByName(part)
+    if not left.isEmpty():
+        def thin(page: pd.DataFrame) -> pd.DataFrame:
+            return page.sort_values("seq").iloc[first_boxes(page.sort_values("seq")[list(BOX)].to_numpy(), most)]
+
+        found = found.unionByName(left.select(*found.columns).groupBy("doc_id").applyInPandas(thin, found.schema))
+    return found.where("ok").drop("ok")
+
+
+def first_boxes(boxes: np.ndarray, most: float) -> list[int]:
+    """Places of the boxes (x1, y1, x2, y2, in order) that overlap no earlier kept one by more than ``most``: each kept box is
+    in one cell of a grid for its size class, and a box looks only where one of about its size and place can be."""
+    grid: dict[tuple, list[tuple]] = {}
+    kept, reach = [], (1 - most) / most
+    level = lambda size: math.floor(math.log2(size))
+    for k, (x1, y1, x2, y2) in enumerate(boxes.tolist()):
+        w, h, near = x2 - x1, y2 - y1, False
+        for a in range(level(w * most), level(w / most) + 1):
+            for b in range(level(h * most), level(h / most) + 1):
+                p, q = 2.0 ** (a + 1), 2.0 ** (b + 1)
+                for i in range(math.floor((x1 - reach * w) / p), math.floor((x1 + reach * w) / p) + 1):
+                    for j in range(math.floor((y1 - reach * h) / q), math.floor((y1 + reach * h) / q) + 1):
+                        for u1, v1, u2, v2 in grid.get((a, b, i, j), ()):
+                            shared = max(0, min(x2, u2) - max(x1, u1)) * max(0, min(y2, v2) - max(y1, v1))
+                            near = near or shared / max(1, w * h + (u2 - u1) * (v2 - v1) - shared) > most
+        if not near:
+            kept.append(k)
+            a, b = level(w), level(h)
+            grid.setdefault((a, b, math.floor(x1 / 2.0 ** (a + 1)), math.floor(y1 / 2.0 ** (b + 1))), []).append((x1, y1, x2, y2))
+    return kept
 
 
 def yolo_lines(detections: DataFrame, width: int, height: int) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException, PySparkException
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry import schemas
+from docketry.sources.images import file_system
+from docketry.sources.shared import kept
 
 EXTENSIONS = ("pdf", "png", "jpg", "jpeg")
 HASH_DIGITS = 16
@@ -75,16 +79,43 @@ def yolo_files(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where(F.btrim("line") != "").select(F.regexp_replace("file", r"\.txt$", "").alias("image"), "line")
 
 
-def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A Parquet table, or no rows where it is missing or a file of it cannot be read: what is corrupt counts as absent."""
+def readable(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of the whole Parquet files of a folder, and (path, error) of the files that are not whole.
+
+    A file is whole if its footer can be read and all rows that it speaks of can be decoded. No other file is given up for
+    a broken one. Files are judged in tasks; Spark lists no file without bytes.
+    """
+    kinds = spark.createDataFrame([], schema).schema
     if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    try:
-        rows = spark.read.schema(schema).parquet(path)
-        rows.agg(*(F.count(F.struct(c)) for c in rows.columns)).collect()  # a corrupt file shows only when it is read
-        return rows
-    except (AnalysisException, Py4JJavaError, PySparkException):
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], kinds), spark.createDataFrame([], "path string, error string")
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for at in batch.column(0).to_pylist():
+                try:
+                    files, inside = file_system(at)
+                    with files.open_input_file(inside) as source:
+                        found.append((at, pq.ParquetFile(source).metadata.num_rows, None))
+                except (OSError, pa.ArrowException) as fault:
+                    found.append((at, None, f"{type(fault).__name__}: {fault}"[:200]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string()))], ["path", "n", "error"])
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("path")
+    told = listed.mapInArrow(footers, "path string, n long, error string")
+    rows = spark.read.schema(kinds).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path).withColumn("_file", F.col("_metadata.file_path"))
+    read = rows.groupBy(F.col("_file").alias("path")).agg(F.count("*").alias("read"), *(F.count(F.col(c)).alias(f"_{k}") for k, c in enumerate(kinds.names)))  # columns are decoded
+    whole = F.col("read") + F.least(F.lit(0), *(F.col(f"_{k}") for k in range(len(kinds))))  # the counts are never below zero
+    judged = told.join(read.select("path", whole.alias("read")), "path", "left")
+    short = F.coalesce("read", F.lit(0)) < F.col("n")
+    bad = judged.withColumn("error", F.coalesce("error", F.when(short, F.concat(F.lit("only "), F.coalesce("read", F.lit(0)), F.lit(" of "), "n", F.lit(" rows can be read")))))
+    bad = kept(bad.where("error is not null").select("path", "error"))
+    return rows.join(bad.select(F.col("path").alias("_file")), "_file", "left_anti").select(*kinds.names), bad
+
+
+def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of the whole files of a Parquet table, none where it is missing: what is corrupt counts as absent."""
+    return readable(spark, path, schema)[0]
 
 
 def cache_misses(docs: DataFrame, cache: DataFrame, results: str | None = "tokens") -> DataFrame:

@@ -212,6 +212,52 @@ def test_detections(spark):
     assert lines[0] == "0 0.050000 0.050000 0.100000 0.100000" and len(lines) == 4
 
 
+def test_ordered_suppression_equals_the_fold(spark):
+    rng = random.Random(6)
+    boxes, seq = [], 0
+    for doc in range(4):
+        for _ in range(90):
+            x, y, w, h = rng.randint(-30, 60), rng.randint(0, 40), rng.choice([0, 1, 2, 9, 10, 11, 40]), rng.choice([1, 7, 8, 9])
+            boxes.append((doc, seq := seq + 1, x, y, x + w, y + h, 0.5, rng.random() < 0.8))
+    boxes += [(9, k, 2 * k, 0, 2 * k + 20, 10, 0.5, True) for k in range(60)] + [(9, 100 + k, 0, 0, 20, 10, 0.5, True) for k in range(50)]  # a chain, and copies
+    rng.shuffle(boxes)
+
+    def overlap(a, b):
+        shared = max(0, min(a[4], b[4]) - max(a[2], b[2])) * max(0, min(a[5], b[5]) - max(a[3], b[3]))
+        return shared / max(1, sum(max(0, c[4] - c[2]) * max(0, c[5] - c[3]) for c in (a, b)) - shared)
+
+    held = []
+    for b in sorted(boxes):
+        if not any(k[0] == b[0] and overlap(k, b) > 0.7 for k in held):
+            held.append(b)
+    table = spark.createDataFrame(boxes, "doc_id long, seq long, x1 int, y1 int, x2 int, y2 int, conf double, fine boolean").repartition(5)
+    for rounds in (0, 1, 3, 50):
+        got = detections.keep_first(table, valid=F.col("fine"), rounds=rounds)
+        assert sorted((r.doc_id, r.seq) for r in got.collect()) == sorted(b[:2] for b in held if b[7]), rounds
+    assert len(held) < 400 and detections.keep_first(table.limit(0)).count() == 0
+
+
+def test_tolerant_reads_list_the_broken_files(spark, tmp_path):
+    from docketry.sources import files
+
+    folder = tmp_path / "t"
+    for k in range(3):
+        spark.range(10 * k, 10 * k + 10).selectExpr("cast(id as string) id", "repeat(cast(id as string), 500) as body").coalesce(1).write.mode("append").parquet(str(folder))
+    parts = sorted(folder.glob("part-*.parquet"))
+    (folder / "junk.parquet").write_bytes(b"not a table")
+    body = bytearray(parts[0].read_bytes())
+    body[8:200] = b"\xff" * 192  # the footer stays whole, the pages do not
+    parts[0].write_bytes(bytes(body))
+    for crc in folder.glob(".*.crc"):
+        crc.unlink()
+    rows, bad = files.readable(spark, str(folder), "id string, body string")
+    assert rows.count() == 20 and rows.where("length(body) < 500").count() == 0
+    found = {r.path.rsplit("/", 1)[-1]: r.error for r in bad.collect()}
+    assert set(found) == {"junk.parquet", parts[0].name} and all(found.values())
+    assert files.table_or_empty(spark, str(folder), "id string").count() in (20, 30)  # only what is asked for must be whole
+    assert files.readable(spark, str(tmp_path / "none"), "id string")[1].count() == 0
+
+
 def test_store(spark):
     rows = [("a", "f1.pdf", "D", "M", "completed", 95, "2.0s", "2024-01-02T00:00:00", 1), ("b", "f2.pdf", "E", "N", "processing", 0, None, "2024-01-03T00:00:00", 2)]
     s = spark.createDataFrame(rows, "id string, fileName string, dealerName string, modelName string, status string, confidence int, processingTime string, uploadedAt string, seq long")
