@@ -71,24 +71,105 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _chars(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
+def _masks(x: Column) -> Column:
+    """For each letter of ``x`` (an array of at most 61) a long whose bits say where it stands."""
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    places = lambda c: F.aggregate(F.transform(x, lambda v, k: F.when(v == c, bit(k)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda m, v: m.bitwiseOR(v))
+    return F.map_from_entries(F.transform(F.array_distinct(x), lambda c: F.struct(c, places(c))))
+
+
+def _narrow(n: Column, masks: Column, y: Column) -> Column:
+    """Letters in common of a text of ``n`` letters, by its ``masks``, and ``y``: bit by bit in a long."""
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1
+    of = lambda ch: F.coalesce(F.try_element_at(masks, ch), F.lit(0).cast("long"))
+    step = lambda row, ch: let(row.bitwiseAND(of(ch)), lambda hit: (row + hit).bitwiseOR(row - hit).bitwiseAND(full))
+    return n - F.bit_count(F.aggregate(y, full, step))
+
+
+def _wide(x: Column, y: Column) -> Column:
+    """The same for longer texts, row by row."""
+    cell = lambda last, row, ch, k: F.when(F.get(x, k - 1) == ch, F.get(last, k - 1) + 1).otherwise(F.greatest(F.get(last, k), F.get(row, k - 1)))
+    line = lambda last, ch: F.aggregate(F.sequence(F.lit(1), F.size(x)), F.array(F.lit(0)), lambda row, k: F.array_append(row, cell(last, row, ch, k)))
+    return F.element_at(F.aggregate(y, F.array_repeat(F.lit(0), F.size(x) + 1), line), -1)
+
+
 def letters_in_common(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence: bit by bit in a long, for more than 61 letters row by row."""
-    chars = lambda t: F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
+    found = let(F.struct(_chars(a).alias("x"), _chars(b).alias("y")), lambda s: F.when(F.size(s["x"]) <= 61, _narrow(F.size(s["x"]), _masks(s["x"]), s["y"])).otherwise(_wide(s["x"], s["y"])))
+    return F.when((a == "") | (b == ""), 0).otherwise(found)
 
-    def narrow(x: Column, y: Column) -> Column:
-        n = F.size(x)
-        full = F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1
-        mask = lambda ch: F.aggregate(F.transform(x, lambda c, k: F.when(c == ch, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda m, v: m.bitwiseOR(v))
-        step = lambda row, ch: let(row.bitwiseAND(mask(ch)), lambda hit: (row + hit).bitwiseOR(row - hit).bitwiseAND(full))
-        return n - F.bit_count(F.aggregate(y, full, step))
 
-    def wide(x: Column, y: Column) -> Column:
-        cell = lambda last, row, ch, k: F.when(F.get(x, k - 1) == ch, F.get(last, k - 1) + 1).otherwise(F.greatest(F.get(last, k), F.get(row, k - 1)))
-        line = lambda last, ch: F.aggregate(F.sequence(F.lit(1), F.size(x)), F.array(F.lit(0)), lambda row, k: F.array_append(row, cell(last, row, ch, k)))
-        return F.element_at(F.aggregate(y, F.array_repeat(F.lit(0), F.size(x) + 1), line), -1)
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """``token_set`` as a column expression."""
+    words = lambda t: F.filter(F.array_distinct(F.split(t, r"(?U)\s+")), lambda w: w != "")
+    text = lambda ws: F.concat_ws(" ", F.array_sort(ws))
 
-    found = let(F.struct(chars(a).alias("x"), chars(b).alias("y")), lambda s: F.when(F.size(s["x"]) <= 61, narrow(s["x"], s["y"])).otherwise(wide(s["x"], s["y"])))
-    return F.when((a == "") | (b == ""), 0).otherwise(found)
+    def score(p: Column) -> Column:
+        s, nl, nr = F.char_length(p["both"]), F.char_length(p["left"]), F.char_length(p["right"])
+        la, lb = s + F.when(s > 0, 1).otherwise(0) + nl, s + F.when(s > 0, 1).otherwise(0) + nr
+        hundred = F.lit(100.0)
+        whole = hundred - hundred * (nl + nr - 2 * letters_in_common(p["left"], p["right"])) / (la + lb)
+        side = lambda n, length: F.when(s > 0, hundred - hundred * (1 + n) / (s + length))
+        return F.when((s > 0) & ((nl == 0) | (nr == 0)), hundred).otherwise(F.greatest(F.lit(0.0), whole, side(nl, la), side(nr, lb)))
+
+    parted = lambda w: F.struct(text(F.array_intersect(w["x"], w["y"])).alias("both"), text(F.array_except(w["x"], w["y"])).alias("left"), text(F.array_except(w["y"], w["x"])).alias("right"))
+    found = let(F.struct(words(a).alias("x"), words(b).alias("y")), lambda w: F.when((F.size(w["x"]) == 0) | (F.size(w["y"]) == 0), 0.0).otherwise(let(parted(w), score)))
+    return F.when(a.isNotNull() & b.isNotNull(), found)
+
+
+BLOCK = 256  # letters of a block of a long text
+
+
+def partial_reaches(a: Column, b: Column, least: int) -> Column:
+    """Whether ``partial`` is at least ``least`` (60 and more), as a column expression.
+
+    A window that reaches it misses or adds at most ``d`` letters, so of ``d`` + 1 pieces of the shorter text one stands in it
+    unbroken. Only windows around such places are compared, and the few shorter ones at the edges.
+    """
+    if least < 60:
+        raise ValueError("partial_reaches needs a ratio of 60 or more")
+
+    def search(p: Column) -> Column:
+        short, long, n, m = (p[c] for c in ("short", "long", "n", "m"))
+        d, e = F.floor(2 * n * (100 - least) / 100).cast("int"), F.floor(n * (100 - least) / 100).cast("int")
+
+        def common(window: Column) -> Column:
+            return F.when(n <= 61, _narrow(n, p["masks"], _chars(window))).otherwise(letters_in_common(short, window))
+
+        edge = lambda k: (200 * common(F.substring(long, 1, k)) >= least * (n + k)) | (200 * common(F.substring(long, m - k + 1, k)) >= least * (n + k))
+        shortest = F.ceil(n * least / (200.0 - least)).cast("int")
+        edges = F.when(shortest < n, F.exists(F.sequence(shortest, F.greatest(shortest, n - 1)), edge)).otherwise(False)
+
+        def starts(k: Column) -> Column:
+            """Where windows may begin that hold piece ``k``."""
+            first, end = F.floor(k * n / (d + 1)).cast("int"), F.floor((k + 1) * n / (d + 1)).cast("int")
+            piece = F.substring(short, first + 1, end - first)
+            quoted = F.concat(F.lit(r"(?=\Q"), F.replace(piece, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+            parts = F.split(long, quoted, -1)  # each part but the first begins with the piece
+            ends = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(F.lit(0)), lambda acc, t: F.array_append(acc, F.element_at(acc, -1) + F.char_length(t)))
+            found = F.when(F.startswith(long, piece), ends).otherwise(F.slice(ends, F.lit(2), F.size(ends) - 1))
+            return F.flatten(F.transform(found, lambda z: F.sequence(z - first - e, z - first + e)))
+
+        near = F.array_distinct(F.filter(F.flatten(F.transform(F.sequence(F.lit(0), d), starts)), lambda i: (i >= 0) & (i <= m - n)))
+        strange = lambda w: F.char_length(F.call_function("translate", w, short, F.lit("")))  # noqa: E731  letters that the short text lacks
+        cut = lambda i: F.substring(F.get(p["blocks"], F.floor(i / BLOCK).cast("int")), i % BLOCK + 1, n)
+        full = F.exists(near, lambda i: let(cut(i), lambda w: F.when(strange(w) <= e, 100 * common(w) >= least * n).otherwise(False)))
+        return F.when(n == 0, m == 0).when(F.contains(long, short), True).otherwise(edges | full)
+
+    def ordered(x: Column, y: Column) -> Column:
+        first = F.char_length(x) <= F.char_length(y)
+        return F.struct(F.when(first, x).otherwise(y).alias("short"), F.when(first, y).otherwise(x).alias("long"))
+
+    def with_masks(p: Column) -> Column:
+        n, m = F.char_length(p["short"]), F.char_length(p["long"])
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(m / BLOCK).cast("int")), lambda k: F.substring(p["long"], k * BLOCK + 1, n + BLOCK))  # a letter is found by counting from the start
+        return F.struct(p["short"], p["long"], n.alias("n"), m.alias("m"), F.when(n <= 61, _masks(_chars(p["short"]))).alias("masks"), blocks.alias("blocks"))
+
+    return F.when(a.isNotNull() & b.isNotNull(), let(ordered(a, b), lambda p: let(with_masks(p), search)))
 
 
 def resembles(a: Column, b: Column, least: int) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import text as T
-from docketry.functions.similarity import udfs
+from docketry.functions.similarity import partial_reaches, token_set_ratio
 from docketry.sources.shared import written
 
 TOLERANCE = 0.05
@@ -21,9 +21,9 @@ def match_numeric(predicted: Column, truth: Column, tolerance: float = TOLERANCE
 
 
 def match_dealer(predicted: Column, truth: Column, least: float = 90) -> Column:
-    p, g, u = T.evaluation_key(predicted), T.evaluation_key(truth), udfs()
+    p, g = T.evaluation_key(predicted), T.evaluation_key(truth)
     long_enough = F.char_length(p) >= F.greatest(F.lit(8), F.floor(F.char_length(g) / 2))
-    return _null_rule(predicted, truth, (u["token_set"](p, g) >= least) | ((u["partial"](p, g) >= 95) & long_enough))
+    return _null_rule(predicted, truth, (token_set_ratio(p, g) >= least) | (long_enough & partial_reaches(p, g, 95)))
 
 
 def match_model_plain(predicted: Column, truth: Column) -> Column:
@@ -38,9 +38,9 @@ def match_model_plain(predicted: Column, truth: Column) -> Column:
 
 
 def match_model(predicted: Column, truth: Column) -> Column:
-    p, g, u = T.match_key(predicted), T.match_key(truth), udfs()
+    p, g = T.match_key(predicted), T.match_key(truth)
     words = lambda t: F.filter(F.split(t, " "), lambda w: w.rlike(r"^\p{L}{3,}$"))
-    alike = F.arrays_overlap(words(p), words(g)) & ((u["token_set"](p, g) >= 60) | (u["partial"](p, g) >= 80))
+    alike = F.arrays_overlap(words(p), words(g)) & ((token_set_ratio(p, g) >= 60) | partial_reaches(p, g, 80))
     return match_model_plain(predicted, truth) | _null_rule(predicted, truth, alike & (p != "") & (g != ""))
 
 

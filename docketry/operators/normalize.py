@@ -6,18 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import text as T
-from docketry.functions.similarity import udfs
+from docketry.functions.similarity import partial_reaches, token_set_ratio
 
 THRESHOLD = 0.55
 REVIEW = 0.70
 COST_PER_HP = (6000, 20000)
 # Weights of the fields in a document's confidence
 WEIGHTS = {"dealer_name": 0.20, "model_name": 0.20, "horse_power": 0.15, "asset_cost": 0.20, "signature": 0.125, "stamp": 0.125}
-SMALL_ROWS = 200_000  # a dimension of at most so many rows is broadcast
+SMALL_BYTES = 32 << 20  # a dimension of at most so many bytes is broadcast
+BLOCK_FORMS = 512  # forms that a value is compared with in one row
 
 
 def _dimension(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+    texts = [F.coalesce(F.octet_length(F.to_json(F.struct(c)) if kind.startswith(("array", "struct")) else F.col(c).cast("string")), F.lit(0)) for c, kind in df.dtypes]
+    size = df.agg(F.sum(sum(texts, F.lit(64)))).first()[0] or 0
+    return F.broadcast(df) if size <= SMALL_BYTES else df
 
 
 def _note(condition: Column, code: str) -> Column:
@@ -74,18 +77,22 @@ def match_dealers(fields: DataFrame, dealers: DataFrame) -> DataFrame:
     """``fields`` (value, confidence) with the dealer form of the highest token-set ratio, the first of equals.
 
     ``dealers``: canonical, aliases, seq. A form that several dealers share stands for the last of them.
-    Distinct values only are compared, in a broadcast loop over the (small) dimension.
+    Distinct values are compared with blocks of forms, a row for each value and block; blocks are broadcast within
+    ``SMALL_BYTES``, else values and blocks are shuffled by block.
     """
     forms = dealers.select("seq", "canonical", F.posexplode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("k", "form"))
     forms = forms.groupBy("form").agg(F.min(F.struct("seq", "k")).alias("rank"), F.max_by("canonical", F.struct("seq", "k")).alias("canonical"))
-    if dealers.isEmpty():
+    known = forms.count()
+    if not known:
         none = F.btrim("value").isNull() | (F.btrim("value") == "")
         notes = F.when(none, F.array().cast("array<string>")).otherwise(F.array(F.lit("no_dealer_master_loaded")))
         return fields.select(*fields.columns, F.when(~none, F.btrim("value")).alias("norm_value"), F.when(none, 0.0).otherwise(F.col("confidence")).alias("norm_confidence"), F.lit(None).cast("double").alias("match_score"), notes.alias("notes"))
-    ratio = udfs()["token_set"]
+    count = -(-known // BLOCK_FORMS)
+    blocks = forms.groupBy(F.pmod(F.xxhash64("form"), F.lit(count)).alias("block")).agg(F.collect_list(F.struct("form", "rank", "canonical")).alias("forms"))  # about BLOCK_FORMS a row
     values = fields.select(F.btrim("value").alias("raw")).where("raw <> ''").distinct()
-    scored = values.join(_dimension(forms), F.lit(True)).withColumn("score", ratio("raw", "form"))
-    best = scored.groupBy("raw").agg(F.max_by(F.struct("canonical", "score"), F.struct("score", -F.col("rank.seq"), -F.col("rank.k"))).alias("best"))
+    dealt = values.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
+    scored = F.transform("forms", lambda f: F.struct(token_set_ratio(F.col("raw"), f["form"]).alias("score"), (-f["rank"]["seq"]).alias("seq"), (-f["rank"]["k"]).alias("k"), f["canonical"].alias("canonical")))
+    best = dealt.join(_dimension(blocks), "block").select("raw", F.array_max(scored).alias("best")).groupBy("raw").agg(F.max("best").alias("best"))
     score, confidence = F.col("best.score"), F.col("confidence")
     joined = fields.withColumn("raw", F.btrim("value")).join(best, "raw", "left")
     return joined.select(
@@ -129,7 +136,7 @@ def in_text(value: Column, text: Column) -> Column:
 def grounded(value: Column, text: Column) -> Column:
     """The whole guard: verbatim, or a partial ratio of at least 85."""
     loose = F.when(in_text(value, text), None).otherwise(T.plain_key(value))  # what is there verbatim is not compared
-    return in_text(value, text) | ((loose != "") & (T.plain_key(text) != "") & (udfs()["partial"](loose, T.plain_key(text)) >= 85))
+    return in_text(value, text) | ((loose != "") & (T.plain_key(text) != "") & partial_reaches(loose, T.plain_key(text), 85))
 
 
 def sanitize_second_tier(values: Column) -> Column:

@@ -415,3 +415,51 @@ SQL["page_levels"] = f"""with {_SCANS} select name, cast(page as int) as page_in
 SQL["page_stamps"] = f"""with {_SCANS} select name || '#' || page as doc_id, 'stamp' as cls, cast(x + 5 * page - 6 as int) as x1, cast(y - 6 as int) as y1, cast(x + 5 * page + w + 6 as int) as x2, cast(y + h + 6 as int) as y2,
   round(least(1.0::double, 0.4::double + 0.3::double * 4 * pi() * (w - 1) * (h - 1) / (power(2 * (w + h - 2), 2) + 1e-9) + 0.3::double * least((w - 1) * (h - 1) / (0.01::double * width * height), 1.0::double)), 6) as conf
   from whole where k % 7 <> 3 and (w - 1) * (h - 1) between 0.0008 * width * height and 0.05 * width * height"""
+
+
+def _token_set_sql(pairs: str, name: str) -> str:
+    """CTEs that end in ``name`` (a, b, score) over the distinct rows of ``pairs`` (a, b)."""
+    return f"""{name}_w as (select a, b, list_distinct(string_split(a, ' ')) as x, list_distinct(string_split(b, ' ')) as y from (select distinct a, b from {pairs} where a <> '' and b <> '')),
+{name}_p as materialized (select *, length(array_to_string(list_intersect(x, y), ' ')) as s, {_REST.format('x', 'y')} as dx, {_REST.format('y', 'x')} as dy from {name}_w),
+{name}_m as materialized (select *, s + cast(s > 0 as int) + length(dx) as la, s + cast(s > 0 as int) + length(dy) as lb, {_common_sql('dx', 'dy')} as c from {name}_p),
+{name} as (select a, b, case when s > 0 and (dx = '' or dy = '') then 100.0::double else greatest(0.0, 100.0::double - 100.0::double * (length(dx) + length(dy) - 2 * c) / (la + lb), case when s > 0 then 100.0::double - 100.0::double * (1 + length(dx)) / (s + la) end,
+  case when s > 0 then 100.0::double - 100.0::double * (1 + length(dy)) / (s + lb) end) end as score from {name}_m)"""
+
+
+def _partial_sql(pairs: str, name: str) -> str:
+    """CTEs that end in ``name`` (a, b, score): the best ratio of the shorter text with any window of the longer."""
+    return f"""{name}_o as (select a, b, case when length(a) <= length(b) then a else b end as short, case when length(a) <= length(b) then b else a end as long from (select distinct a, b from {pairs} where a <> '' and b <> '')),
+{name}_s as (select *, length(short) as n, length(long) as m from {name}_o),
+{name}_x as materialized (select a, b, short, n, w from (select a, b, short, n, unnest(list_distinct(list_concat(list_transform(range(m - n + 1), lambda i: substr(long, i + 1, n)), list_transform(range(1, n), lambda k: substr(long, 1, k)), list_transform(range(1, n), lambda k: substr(long, m - k + 1, k))))) as w from {name}_s)),
+{name}_c as (select a, b, n, w, {_common_sql('short', 'w')} as c from {name}_x),
+{name} as (select a, b, max(100.0::double * 2 * c / (n + length(w))) as score from {name}_c group by a, b)"""
+
+
+_SIX = f"""people as (select c_custkey as k, n_name, c_mktsegment as seg, n_name || ' ' || c_mktsegment || ' MOTORS' as dealer, 'Mahindra ' || (500 + c_custkey % 97) || ' DI' as model, 15 + 2 * (c_custkey % 40) as hp, 100000 + 13 * c_custkey as cost
+  from customer join nation on c_nationkey = n_nationkey),
+said as (select *, k % 31 <> 3 as there, case k % 6 when 0 then dealer when 1 then 'M/s. ' || lower(dealer) || ' & Sons' when 2 then substr(n_name, 1, 3) || 'X' || substr(n_name, 5, 30) || ' ' || seg || ' MOTOR' when 3 then n_name when 4 then 'the' || dealer || 'hall' end as p_dealer,
+  case k % 5 when 0 then upper(model) when 1 then 'mahindra ' || (501 + k % 97) when 2 then (500 + k % 97) || '-DI, MAHINDRA tractor' when 3 then 'Mahindra DI model ' || (k % 7) end as p_model from people),
+keys as materialized (select *, {_KEY.format("replace(p_dealer, '&', ' and ')")} as dp, {_KEY.format("replace(dealer, '&', ' and ')")} as dg, {_KEY.format('p_model')} as mp, {_KEY.format('model')} as mg from said),
+dpairs as (select dp as a, dg as b from keys where dp is not null), mpairs as (select mp as a, mg as b from keys where mp is not null),
+{_token_set_sql('dpairs', 'dset')},
+{_partial_sql('dpairs', 'dpart')},
+{_token_set_sql('mpairs', 'mset')},
+{_partial_sql('mpairs', 'mpart')},
+cut as (select mp as a, mg as b, regexp_extract_all(mg, '[0-9]+') as numbers, list_filter(string_split(mp, ' '), lambda w: regexp_full_match(w, '\\p{{L}}{{3,}}')) as pw, list_filter(string_split(mg, ' '), lambda w: regexp_full_match(w, '\\p{{L}}{{3,}}')) as gw from (select distinct mp, mg from keys where mp is not null)),
+mrule as (select c.a, c.b, c.a = c.b or (list_has_any(pw, gw) and ((len(numbers) > 0 and len(list_filter(numbers, lambda n: not contains(c.a, n))) = 0) or len(list_filter(numbers, lambda n: length(n) >= 3 and contains(c.a, n))) > 0 or mset.score >= 60 or mpart.score >= 80)) as ok
+  from cut c join mset on mset.a = c.a and mset.b = c.b join mpart on mpart.a = c.a and mpart.b = c.b),
+judged as materialized (select 'doc-' || keys.k as doc_id, keys.*, case when there and k % 29 = 5 then 'corrupt_input: x' when not there then 'missing' end as error, (k % 300) / 10.0::double as seconds,
+  coalesce(dset.score >= 90 or (dpart.score >= 95 and length(dp) >= greatest(8, length(dg) // 2)), false) as dealer_ok, coalesce(mrule.ok, false) as model_ok, abs(case when k % 7 = 0 then 9 else 0 end) / hp::double <= 0.05::double as hp_ok, k % 11 <> 0 as cost_ok,
+  (there and k % 4 = 0) as sig, (there and k % 3 = 0) as stamp, k % 2 = 0 as sig_true, k % 3 = 0 as stamp_true
+  from keys left join dset on dset.a = dp and dset.b = dg left join dpart on dpart.a = dp and dpart.b = dg left join mrule on mrule.a = mp and mrule.b = mg),
+hits as (select *, there and dealer_ok as h1, there and model_ok as h2, there and hp_ok as h3, there and cost_ok as h4, there and sig = sig_true as h5, there and stamp = stamp_true as h6 from judged),
+sums as (select count(*) as docs_total, count(*) filter (h1 and h2 and h3 and h4 and h5 and h6) as docs_correct, count(*) filter (error is not null) as errors, count(*) filter (h1) as dealer_name_correct, count(*) filter (h2) as model_name_correct, count(*) filter (h3) as horse_power_correct,
+  count(*) filter (h4) as asset_cost_correct, count(*) filter (h5) as signature_correct, count(*) filter (h6) as stamp_correct, count(*) filter (sig and sig_true) as signature_tp, count(*) filter (sig and not sig_true) as signature_fp, count(*) filter (not sig and not sig_true) as signature_tn,
+  count(*) filter (not sig and sig_true) as signature_fn, count(*) filter (stamp and stamp_true) as stamp_tp, count(*) filter (stamp and not stamp_true) as stamp_fp, count(*) filter (not stamp and not stamp_true) as stamp_tn, count(*) filter (not stamp and stamp_true) as stamp_fn from hits)"""
+_FIELDS = ("dealer_name", "model_name", "horse_power", "asset_cost", "signature", "stamp")
+
+SQL["eval_dealer"] = f"with {_SIX} select doc_id, dealer_ok as hit from judged where there"
+SQL["eval_model"] = f"with {_SIX} select doc_id, model_ok as hit from judged where there"
+SQL["eval_report"] = f"""with {_SIX}, times as (select median(seconds) as p50, list_sort(list(seconds))[least(cast(floor(0.95::double * count(*)) as bigint), count(*) - 1) + 1] as p95, max(seconds) as top from hits where there)
+  select sums.*, round(docs_correct / docs_total, 6) as dla, {', '.join(f'round({c}_correct / docs_total, 6) as {c}_accuracy' for c in _FIELDS)}, round(p50, 6) as seconds_p50, round(p95, 6) as seconds_p95, round(top, 6) as seconds_max from sums, times"""
+SQL["eval_report_summary"] = f"with {_SIX} " + " union all ".join(f"select '{c}' as field, {c}_correct || '/' || docs_total as shown, round({c}_correct / docs_total, 6) as accuracy from sums" for c in _FIELDS)

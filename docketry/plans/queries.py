@@ -629,3 +629,35 @@ def page_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stamps by the outlines of coloured ink."""
     found = detections.top_per_class(detections.stamp_shapes(imaging.stamp_outlines(read_pages(spark, S.scans(spark, sf_dir)))), {"stamp": 2})
     return found.select("doc_id", "cls", "x1", "y1", "x2", "y2", six("conf").alias("conf"))
+
+
+@query
+def eval_dealer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dealer rule: equal sets of words, or a part of the name that is long enough."""
+    labels, results = S.six_fields(spark, sf_dir)
+    both = labels.select("doc_id", F.col("dealer_name").alias("truth")).join(results.select("doc_id", "dealer_name"), "doc_id")
+    return both.select("doc_id", evaluate.match_dealer(F.col("dealer_name"), F.col("truth")).alias("hit"))
+
+
+@query
+def eval_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model rule with its similarity legs."""
+    labels, results = S.six_fields(spark, sf_dir)
+    both = labels.select("doc_id", F.col("model_name").alias("truth")).join(results.select("doc_id", "model_name"), "doc_id")
+    return both.select("doc_id", evaluate.match_model(F.col("model_name"), F.col("truth")).alias("hit"))
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.report(evaluate.score_documents(*S.six_fields(spark, sf_dir)))
+
+
+@query
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six fields: the whole report, one row."""
+    made = _report(spark, sf_dir)
+    return made.select(*(big(c).alias(c) if kind in ("bigint", "int") else six(c).alias(c) for c, kind in made.dtypes))
+
+
+@query
+def eval_report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.report_summary(_report(spark, sf_dir)).select("field", "shown", six("accuracy").alias("accuracy"))

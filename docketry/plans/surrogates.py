@@ -116,3 +116,19 @@ def scans(spark: SparkSession, sf_dir: str) -> str:
     folder = new_path(spark, "scans")
     images.write_files(plans.mapInArrow(draw, "name string, content binary"), folder)
     return folder
+
+
+def six_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Labels and flat results of a document for each customer, with the usual slips by key; some results are missing."""
+    k = F.col("c_custkey")
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.col("c_nationkey").alias("n_nationkey")).join(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey")
+    dealer, model = F.concat_ws(" ", "n_name", "c_mktsegment", F.lit("MOTORS")), F.concat(F.lit("Mahindra "), 500 + k % 97, F.lit(" DI"))
+    hp, cost = (15 + 2 * (k % 40)).cast("int"), (100_000 + 13 * k).cast("long")
+    labels = rows.select(F.concat(F.lit("doc-"), k).alias("doc_id"), dealer.alias("dealer_name"), model.alias("model_name"), hp.alias("horse_power"), cost.alias("asset_cost"), (k % 2 == 0).alias("signature_present"), (k % 3 == 0).alias("stamp_present"))
+    said = F.when(k % 6 == 0, dealer).when(k % 6 == 1, F.concat(F.lit("M/s. "), F.lower(dealer), F.lit(" & Sons"))).when(k % 6 == 2, F.concat(F.substring("n_name", 1, 3), F.lit("X"), F.substring("n_name", 5, 30), F.lit(" "), F.col("c_mktsegment"), F.lit(" MOTOR"))).when(k % 6 == 3, F.col("n_name")).when(k % 6 == 4, F.concat(F.lit("the"), dealer, F.lit("hall")))
+    named = F.when(k % 5 == 0, F.upper(model)).when(k % 5 == 1, F.concat(F.lit("mahindra "), 501 + k % 97)).when(k % 5 == 2, F.concat(500 + k % 97, F.lit("-DI, MAHINDRA tractor"))).when(k % 5 == 3, F.concat(F.lit("Mahindra DI model "), k % 7))
+    results = rows.where(k % 31 != 3).select(
+        F.concat(F.lit("doc-"), k).alias("doc_id"), said.alias("dealer_name"), named.alias("model_name"), F.when(k % 7 == 0, hp + 9).otherwise(hp).alias("horse_power"), F.when(k % 11 != 0, cost).alias("asset_cost"),
+        (k % 4 == 0).alias("signature_present"), (k % 3 == 0).alias("stamp_present"), F.when(k % 29 == 5, "corrupt_input: x").alias("error"), (k % 300 / F.lit(10.0)).alias("processing_time_sec"),
+    )
+    return labels, results

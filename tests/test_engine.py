@@ -71,6 +71,25 @@ def test_similarity():
     assert similarity.partial("abc", "xxabcyy") == 100 and similarity.ratio("abcd", "abxd") == 75
 
 
+def test_partial_and_token_set_columns(spark):
+    rng, rows = random.Random(1), [("", ""), ("", "a"), ("x" * 70 + "yz", "q" * 30 + "x" * 69 + "yzw"), ("aab", "aaab"), (r"a\\Eb", r"zz a\\Eb z")]
+    for _ in range(500):
+        letters = rng.choice(["ab", "abc ", "abcdefgh ij"])
+        a, b = ("".join(rng.choices(letters, k=rng.randint(0, most))) for most in (14, 40))
+        if rng.random() < 0.6 and len(a) > 2:
+            k, at = rng.randrange(len(a)), rng.randint(0, len(b))
+            b = b[:at] + a[:k] + rng.choice(["", "z", a[k]]) + a[k + 1 :] + b[at:]
+        rows.append((a, b))
+    table = spark.createDataFrame([*rows, (None, "a"), ("a", None)], "a string, b string")
+    for least in (60, 80, 85, 95):
+        got = table.select("a", "b", similarity.partial_reaches(F.col("a"), F.col("b"), least).alias("p"), similarity.token_set_ratio(F.col("a"), F.col("b")).alias("t")).collect()
+        for r in got:
+            known = r.a is not None and r.b is not None
+            assert r.p == (similarity.partial(r.a, r.b) >= least if known else None) and r.t == (similarity.token_set(r.a, r.b) if known else None)
+    plan = table.where(similarity.partial_reaches(F.col("a"), F.col("b"), 85))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
 def test_similarity_columns(spark):
     """The column forms against the plain ones, and repeated words against a plain loop."""
     rng = random.Random(12)
