@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,14 +11,14 @@ from pyspark.sql import functions as F
 
 from docketry.functions import text as T
 from docketry.functions.geometry import same_row
-from docketry.functions.similarity import token_set
+from docketry.functions.similarity import token_set, token_set_ratio
 from docketry.operators.anchors import hits, reading, with_shingles
 from docketry.sources.shared import kept
 
 SIMILAR = 85
 NEAREST = 5
 LEAST_COUNT = 2
-PART_ROWS = 1000  # names of a part, of which pairs are compared
+PART_ROWS = 4000  # names of a part, of which pairs are compared
 
 
 def brands(assets: DataFrame) -> DataFrame:
@@ -31,47 +33,57 @@ def candidate_counts(names: DataFrame, least: int = 4) -> DataFrame:
 def similar_pairs(ranked: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """(a, b, score) of all pairs of ``ranked`` (place, name) of token-set ratio ``SIMILAR`` and more, each both ways.
 
-    Every name is compared with every other, in pairs of parts. Without common words the letters of two names must
-    nearly agree, and with them the rest of one side must be short beside them; only such pairs are scored.
+    A pair gets there in one of two ways. Its common words make up most of one side: then one of that side's rarest words,
+    without which the others would not be enough, is common, and names meet by such words. Or what is left on both sides
+    nearly agrees: then the names are of nearly one length and have nearly the same letters, and names of like length are
+    compared letter count by letter count, a block of pairs at a time. Neither loses a pair; only pairs that are left are
+    scored.
     """
-
-    def letters(words: list[set[str]]) -> np.ndarray:
-        bags = np.zeros((len(words), 64), dtype=np.int16)
-        for k, own in enumerate(words):
-            for ch in "".join(own):
-                bags[k, ord(ch) % 64] += 1
+    split = F.filter(F.array_distinct(F.split("name", r"(?U)\s+")), lambda w: w != "")
+    joined = lambda words: F.aggregate(words, F.lit(-1), lambda n, w: n + 1 + F.char_length(w))
+    named = kept(ranked.select("place", "name", split.alias("words")).where(F.size("words") > 0).withColumn("size", joined(F.col("words"))))
+
+    spread = named.select("place", "size", F.explode("words").alias("word"))
+    counted = spread.join(spread.groupBy("word").agg(F.count("*").alias("n")), "word")
+    rare = counted.groupBy("place", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("words"))  # the words of one name
+    enough = F.filter(F.sequence(F.lit(1), F.size("words")), lambda t: (200 - SIMILAR) * joined(F.slice("words", t + 1, F.size("words"))) < SIMILAR * F.col("size"))
+    probes = rare.select(F.col("place").alias("a"), F.explode(F.slice("words", F.lit(1), F.array_min(enough))).alias("word"))
+    met = probes.join(spread.select(F.col("place").alias("b"), "word"), "word").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    names = named.select("place", "name")
+    both = met.join(names.select(F.col("place").alias("a"), F.col("name").alias("one")), "a").join(names.select(F.col("place").alias("b"), F.col("name").alias("two")), "b")
+    by_words = both.select("a", "b", token_set_ratio(F.col("one"), F.col("two")).alias("score")).where(F.col("score") >= SIMILAR)
+
+    def letters(texts: list[str]) -> np.ndarray:
+        bags = np.zeros((len(texts), 64), dtype=np.int16)
+        for k, text in enumerate(texts):
+            np.add.at(bags[k], np.frombuffer(text.encode("utf-32-le"), np.uint32) % 64, 1)
         return bags
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group[group.part == group.one], group[group.part == group.two]
-        one, two = [set(x.split()) for x in left.name], [set(x.split()) for x in right.name]
-        size = [np.array([len(" ".join(w)) for w in words]) for words in (one, two)]
-        bags, others = letters(one), letters(two)
-        made = []
-        for i, (place, name) in enumerate(zip(left.place, left.name, strict=True)):
-            apart = np.abs(others - bags[i]).sum(axis=1)
-            near = 100 * apart <= (100 - SIMILAR) * (size[0][i] + size[1])
-            for j, (to, other) in enumerate(zip(right.place, right.name, strict=True)):
-                if place == to or (group.one.iloc[0] == group.two.iloc[0] and place > to):
-                    continue
-                if not near[j]:
-                    both = one[i] & two[j]
-                    if not both:
-                        continue
-                    s = len(" ".join(both))
-                    rest = min(size[0][i], size[1][j]) - s
-                    if rest * 100 > (100 - SIMILAR) * (2 * s + rest):
-                        continue
-                score = token_set(name, other)
-                if score >= SIMILAR:
-                    made += [(place, to, score), (to, place, score)]
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = group[group.own == group.one], group[group.own == group.two]
+        same, made = group.one.iloc[0] == group.two.iloc[0], []
+        bags = [letters(["".join(dict.fromkeys(n.split())) for n in side.name]) for side in (left, right)]
+        size, place, text = right["size"].to_numpy(), right.place.to_numpy(), right.name.to_numpy()
+        for k, (at, name, length) in enumerate(zip(left.place, left.name, left["size"], strict=True)):
+            near = 100 * np.abs(bags[1] - bags[0][k]).sum(axis=1, dtype=np.int32) <= (100 - SIMILAR) * (size + length)
+            near &= place > at if same else True
+            made += [(min(at, place[j]), max(at, place[j]), score) for j in np.flatnonzero(near) if (score := token_set(name, text[j])) >= SIMILAR]
         return pd.DataFrame(made, columns=["a", "b", "score"])
 
-    parts = max(1, -(-ranked.count() // part_rows))
-    own = ranked.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(parts)))
-    dealt = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
-    dealt = dealt.select("place", "name", "part", F.least("part", "with").alias("one"), F.greatest("part", "with").alias("two"))
-    return dealt.groupBy("one", "two").applyInPandas(run, "a long, b long, score double")
+    # a length class is so wide that similar names are of one or of neighbouring ones
+    sized = named.select("place", "name", "size", F.floor(F.log(F.col("size")) / (math.log((200 - SIMILAR) / SIMILAR) * (1 + 1e-9))).cast("int").alias("band"))
+    bands = {r["band"]: -(-r["n"] // part_rows) for r in sized.groupBy("band").agg(F.count("*").alias("n")).collect()}  # one for each class of lengths
+    parts = F.create_map(*(F.lit(x).cast("int") for pair in (bands or {0: 1}).items() for x in pair))
+    of = lambda band: F.coalesce(F.try_element_at(parts, band), F.lit(0))
+    own = sized.withColumn("own", F.struct("band", F.pmod(F.xxhash64("place"), of(F.col("band"))).cast("int").alias("part")))
+    others = F.flatten(F.transform(F.sequence(F.col("band") - 1, F.col("band") + 1), lambda c: F.when(of(c) > 0, F.transform(F.sequence(F.lit(0), of(c) - 1), lambda p: F.struct(c.alias("band"), p.alias("part")))).otherwise(F.array().cast("array<struct<band: int, part: int>>"))))
+    dealt = own.withColumn("other", F.explode(others))
+    text = lambda c: F.concat_ws(":", f"{c}.band", f"{c}.part")
+    dealt = dealt.select("place", "name", "size", text("own").alias("own"), F.least(text("own"), text("other")).alias("one"), F.greatest(text("own"), text("other")).alias("two"))
+    by_letters = dealt.groupBy("one", "two").applyInPandas(compare, "a long, b long, score double")
+
+    found = by_words.unionByName(by_letters).dropDuplicates(["a", "b"])
+    return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
 
 
 def reached(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -220,6 +220,28 @@ def test_clusters_compare_all_names(spark):
     assert masters.star_clusters(counts.limit(0)).count() == 0
 
 
+def test_similar_pairs_loses_none(spark):
+    """Against all pairs of 2,000 names: spelling slips, other word orders, subsets, frequent words, repeated words, spaces."""
+    rng = random.Random(11)
+    syllables = ["MA", "DHU", "SHRI", "GA", "NESH", "PA", "TEL", "KI", "SAN", "RA", "JA", "OM", "É", "द"]
+    stock = ["".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(150)] + ["MOTORS", "TRACTORS", "AGRO", "AND", "CO"]
+    names = {"MOTORS", "A", "  ", "MOTORS MOTORS", " SHRI\tMOTORS  "}
+    while len(names) < 2000:
+        words = [rng.choice(stock[:150]) for _ in range(rng.randint(1, 3))] + rng.choices(stock[150:], k=rng.randint(0, 2))
+        rng.shuffle(words)
+        text = list(" ".join(words))
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            text[rng.randrange(len(text))] = rng.choice(["", "X", " ", "A"])
+        names.add("".join(text))
+    names = sorted(names)
+    want = {(i, j) for i in range(len(names)) for j in range(i + 1, len(names)) if similarity.token_set(names[i], names[j]) >= 85}
+    table = spark.createDataFrame(list(enumerate(names)), "place long, name string")
+    got = masters.similar_pairs(table, 300).collect()
+    assert len(want) > 500 and {(r.a, r.b) for r in got} == want | {(j, i) for i, j in want} and len(got) == 2 * len(want)
+    assert all(r.score == similarity.token_set(names[r.a], names[r.b]) for r in got)
+    assert masters.similar_pairs(table.limit(0)).count() == 0
+
+
 def test_detections(spark):
     rows = spark.createDataFrame([(0, 0, "signature", 0, 0, 10, 10, 0.6), (0, 1, "signature", 5, 5, 20, 20, 0.95), (0, 2, "stamp", 6, 6, 20, 20, 0.3), (0, 3, "stamp", 400, 400, 420, 420, 0.1)], "doc_id long, seq long, cls string, x1 int, y1 int, x2 int, y2 int, conf double")
     assert {(r.cls, r.seq) for r in detections.best_per_class(detections.confident(rows)).collect()} == {("signature", 1), ("stamp", 2)}
