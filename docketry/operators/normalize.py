@@ -119,6 +119,17 @@ def below_threshold(fields: DataFrame, threshold: float = THRESHOLD) -> DataFram
     return fields.where(F.col("confidence") < threshold)
 
 
+SURE = 0.85
+
+
+def sure_fields(fields: DataFrame, least: float = SURE, names: tuple[str, ...] = ("dealer_name", "model_name", "horse_power", "asset_cost")) -> DataFrame:
+    """``fields`` (a struct with confidence for each name) of the documents that are sure of every one: labels by the rules."""
+    every = F.lit(True)
+    for name in names:
+        every = every & (F.coalesce(F.col(f"{name}.confidence"), F.lit(0.0)) >= least)
+    return fields.where(every)
+
+
 def merge_second_tier(first: DataFrame, second: DataFrame, grounded: Column) -> DataFrame:
     """(doc_id, field) rows of ``first`` (value, confidence, source, text), overwritten where weak and ``second``
     (value2) has a grounded value; such fields get confidence 0.7."""

@@ -5,34 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def stratified(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
-    """From each group its share of ``n``, rounded half to even, one at least; first in ``order``."""
-    total = df.count()
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    sizes = df.groupBy(group).agg(F.count("*").alias("_size"))
-    share = F.greatest(F.lit(1), F.rint(F.lit(float(n)) * F.col("_size") / F.lit(max(total, 1))).cast("int"))
-    return df.withColumn("_rank", rank).join(sizes, group).where(F.col("_rank") <= share).drop("_rank", "_size")
+from docketry.sources.shared import written
 
 
-def split(df: DataFrame, key: Column, ties: list[str], parts: dict[str, float], width: int) -> DataFrame:
-    """``df`` with ``part``: the first rounded share of rows by the whole number ``key``, then the next.
+def ranked(df: DataFrame, order: list[Column], group: Column | None = None) -> DataFrame:
+    """``df`` with ``_rank``, the place of a row in ``order`` (from 1) within its ``group`` or over all rows.
 
-    Ranks come from the counts of key bands of ``width`` and ranks inside a band, so no task sorts all rows.
+    Rows are dealt to tasks by ranges of (group, order), so a large group is spread over many; ranks within a range go on
+    where the ranges before it ended in that group.
     """
-    banded = df.withColumn("_k", key).withColumn("_b", F.floor(F.col("_k") / width))
-    inner = banded.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_k", *ties)))
-    sizes = banded.groupBy("_b").agg(F.count("*").alias("_n"))
-    # one row a band: the prefix sum over bands is a single small task
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).drop("_n")
+    keyed = df.withColumn("_g", group if group is not None else F.lit(0)).withColumns({f"_o{k}": c for k, c in enumerate(order)})
+    by = ["_g", *(f"_o{k}" for k in range(len(order)))]
+    parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = written(keyed.repartitionByRange(parts, *by).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("_g", "_p").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("_g").orderBy("_p")) - F.col("_n")).drop("_n")  # a row for each range and group in it
+    inner = F.row_number().over(Window.partitionBy("_p", "_g").orderBy(*by[1:]))
+    met = ranges.withColumn("_i", inner).join(before.withColumnsRenamed({"_g": "_h", "_p": "_q"}), F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_p") == F.col("_q")))
+    return met.withColumn("_rank", F.col("_i") + F.col("_before")).select(*df.columns, "_rank")
+
+
+def stratified(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
+    """From each group its share of ``n``, rounded half to even, one at least; first in ``order``. Rows without a group are one."""
+    sizes = written(df.groupBy(F.col(group).alias("_h")).agg(F.count("*").alias("_size")), "sizes")
+    total = sizes.agg(F.sum("_size")).first()[0] or 1
+    share = F.greatest(F.lit(1), F.rint(F.lit(float(n)) * F.col("_size") / F.lit(total)).cast("int"))
+    met = ranked(df, order, F.col(group)).join(sizes, F.col(group).eqNullSafe(F.col("_h")))
+    return met.where(F.col("_rank") <= share).select(*df.columns)
+
+
+def split(df: DataFrame, order: list[Column], parts: dict[str, float]) -> DataFrame:
+    """``df`` with ``part``: the first rounded share of rows in ``order``, then the next; the last part takes the rest."""
     total, upto, label = df.count(), 0, F.lit(list(parts)[-1])
-    rank, cuts = F.col("_r") + F.col("_before"), []
+    cuts = []
     for name in list(parts)[:-1]:
         upto += round(total * parts[name])
         cuts.append((upto, name))
     for cut, name in reversed(cuts):
-        label = F.when(rank <= cut, name).otherwise(label)
-    return inner.join(before, "_b").withColumn("part", label).drop("_k", "_b", "_r", "_before")
+        label = F.when(F.col("_rank") <= cut, name).otherwise(label)
+    return ranked(df, order).withColumn("part", label).drop("_rank")
 
 
 def uniform(df: DataFrame, key: str, n: int, seed: int = 0, order: Column | None = None) -> DataFrame:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import re
 
-from docketry.operators import text_fields as X
-
 # Fixed values, written here once more, so that a slip in the operators' tables shows: anchor patterns, page keywords
 ANCHORS = {
     "horse_power": ((r"\bH\.?P\.?\b", 0.95), (r"(?<=[0-9])\s*H\.?P\.?\b", 0.95), (r"\bhp\b", 0.92), (r"(?<=[0-9])\s*hp\b", 0.92), (r"HP\b", 0.85), (r"horse\s*power", 0.95), ("एचपी", 0.92), ("बल", 0.85), ("બળ", 0.85)),
@@ -16,6 +14,26 @@ ANCHORS = {
 RELEVANCE = (
     ("total", 2.0), ("grand total", 3.0), ("net amount", 2.0), ("net total", 2.0), ("invoice", 2.5), ("quotation", 3.0), ("proforma", 2.5), ("रू", 1.5), ("कुल", 2.0), ("रकम", 1.5), ("કુલ", 2.0), ("model", 1.5), ("tractor", 2.5), ("hp", 1.5), ("h.p", 1.5), ("बल", 1.0), ("एचपी", 1.5), ("બળ", 1.0), ("dealer", 1.5), ("m/s", 1.0), ("authorized dealer", 2.0), ("₹", 1.5), ("rs.", 1.5), ("rs ", 0.8), ("inr", 1.0),
 )
+# and the words of names and letterheads
+BRIDGE = frozenset("authorised authorized dealer dealers for".split())
+DEALER_END = frozenset("implement implements spares spare parts service services sales division branch gstin gstino gst pan pano address phone mob mobile tel tin cin subject to jurisdiction".split())
+DEALER_CLOSE = frozenset("ltd ltd. limited pvt pvt. private co. company".split())
+MODEL_END = frozenset(
+    "dist dist. district tractors tractor implement implements spares spare parts service services sales division branch office ltd ltd. limited pvt pvt. "
+    "private agro industries corporation authorised authorized dealer dealers for address phone mob mobile tel gstin gstino pan tin cin subject to "
+    "jurisdiction h.p. hp horsepower engine accessories".split()
+)
+MODEL_BANNED = ("dist.", "ahmedabad", "spares", "implement")
+LINE_WORDS = (
+    "quotation invoice performa proforma bill challan delivery order estimate receipt ouotation ouotaton guotation qoutation estimation office branch dist. "
+    "district village market address ouotation/estimate authorised authorized auth.dealer auth-dealer road near behind opposite main stand bus barhalganj "
+    "barhalgan barhalgan, pin pin- phone phone: mobile mobile: mob mob. tel telephone fax email e-mail website"
+).split()
+LINE_PATTERNS = (
+    r"\bGSTIN", r"\bPAN\b", r"\bMob[ile.]*\s*[:\-]", r"\bPh[one.]*\s*[:\-]", r"\bTel[ephone.]*\s*[:\-]", r"\bemail", r"\bWebsite", r"\bAddress", r"\bSubject\s*to",
+    r"Sub[ej]ec[lt]?\s+[lt]o", r"[JI][un][rni][nri]sdiction", r"\d{6}", r"\d{4,}-\d{4,}", r"Off[il]ce", r"Estimate", r"\bPin[\s\-,.]?\d",
+    r"\b(?:Road|Street|Lane|Bazar|Bazaar|Nagar|Marg|Pin|City)\b", r"\bDealer[\s\-:]*",
+)
 
 QUOTES = """quotes as (
   select o_orderkey as doc_id, n_name, c_mktsegment as segment, p_size + 500 as model, cast(15 + 2 * p_size as bigint) as hp,
@@ -149,7 +167,7 @@ LETTERHEAD = f"""page as (select *, max(y2) over (partition by doc_id) as height
 top_tokens as (select *, y1 // 30 as line from page where y1 < floor(height * 0.30) and length(text) >= 3 and {_LETTERS.format('text')} > 0 and not regexp_full_match(text, '[0-9]+|[A-Z0-9]{{10,}}')
   and not ({_DIGITS.format('text')} > {_LETTERS.format('text')} and {_DIGITS.format('text')} >= 4)),
 lines as (select doc_id, line, string_agg(text, ' ' order by tok_idx) as text, list({{'t': text, 'c': conf}} order by x1, tok_idx) as ts from top_tokens group by doc_id, line),
-judged as (select *, not regexp_matches(lower(text), '{_alternatives(X.LINE_WORDS)}') and not regexp_matches(text, '(?i){"|".join(X.LINE_PATTERNS)}')
+judged as (select *, not regexp_matches(lower(text), '{_alternatives(LINE_WORDS)}') and not regexp_matches(text, '(?i){"|".join(LINE_PATTERNS)}')
   and len(regexp_extract_all(text, '[A-Za-z]{{4,}}')) >= 2 and {_LETTERS.format('text')} >= 8 as ok from lines)"""
 DEALER = f"""{TOKENS}, {_hits('dealer_name', 'dhits')}, {LETTERHEAD},
 led as (select *, list_position(sizes, list_max(sizes)) as place from (select *, list_transform(ts, lambda t: length(t.t)) as sizes from judged where ok)),
@@ -158,8 +176,8 @@ named as (select *, case when length(lead) >= 4 then array_to_string(list_prepen
   else trim(whole, ' .,:-') end as name from split),
 letterhead as (select doc_id, name, (case when {_LETTERS.format('whole')} >= 6 and length(regexp_replace(whole, '[^\\p{{Lu}}]', '', 'g')) / {_LETTERS.format('whole')} >= 0.7 then 0.95 else 0.80 end)::double * list_avg(list_transform(ts, lambda t: t.c)) as score
   from (select *, row_number() over (partition by doc_id order by line) as n from named where length(name) between 4 and 80) where n = 1 and not regexp_matches(lower(whole), 'quotation|invoice|bill of|performa')),
-dframes as (select h.doc_id, h.text as own, h.conf, h.prec, h.seq, list({{'t': t.text, 'c': t.conf, 'kind': case when not {_FOLLOWS} or regexp_full_match(replace(t.text, ',', ''), '[0-9]+(\\.[0-9]+)?') or {_PLAIN_WORD} in {_listed(X.DEALER_END)} then 's'
-  when {_PLAIN_WORD} in {_listed(X.BRIDGE)} then 'b' when {_PLAIN_WORD} in {_listed(X.DEALER_CLOSE)} then 'c' else 'w' end}} order by t.tok_idx) as ahead
+dframes as (select h.doc_id, h.text as own, h.conf, h.prec, h.seq, list({{'t': t.text, 'c': t.conf, 'kind': case when not {_FOLLOWS} or regexp_full_match(replace(t.text, ',', ''), '[0-9]+(\\.[0-9]+)?') or {_PLAIN_WORD} in {_listed(DEALER_END)} then 's'
+  when {_PLAIN_WORD} in {_listed(BRIDGE)} then 'b' when {_PLAIN_WORD} in {_listed(DEALER_CLOSE)} then 'c' else 'w' end}} order by t.tok_idx) as ahead
   from dhits h join tokens t on h.doc_id = t.doc_id and t.tok_idx between h.tok_idx + 1 and h.tok_idx + 7 group by all),
 dshapes as (select *, array_to_string(list_transform(ahead, lambda x: x.kind), '') as kinds from dframes),
 dspans as (select *, length(regexp_extract(kinds, '^b*')) as skipped, length(regexp_extract(kinds, '^b*((w{{0,5}}c)|(w{{1,6}}))', 1)) as n from dshapes),
@@ -171,7 +189,7 @@ _STRIPPED = """trim(array_to_string(ws[1 : coalesce(list_max(list_transform(rang
   and not regexp_full_match(ws[i], '[hH][pP][^\\p{L}\\p{N}_]*|[^\\p{L}\\p{N}_]+[0-9]+[^\\p{L}\\p{N}_]*') then i end)), 0)], ' '), ' .,:-')"""
 _BRANDED = "regexp_matches(h.text, '(?i)\\b(Mahindra|Sonalika)\\b')"
 MODEL = f"""{TOKENS}, {_hits('model_name', 'mhits')},
-mframes as (select h.doc_id, h.tok_idx, h.conf, list({{'t': t.text, 'c': t.conf, 'kind': case when not {_FOLLOWS} then 's' when trim(lower(t.text), '.,:;-()') in {_listed(X.MODEL_END)} or regexp_full_match(trim(t.text), '(?i)Mahindra|Sonalika') then 'e' else 'w' end}} order by t.tok_idx) as ahead
+mframes as (select h.doc_id, h.tok_idx, h.conf, list({{'t': t.text, 'c': t.conf, 'kind': case when not {_FOLLOWS} then 's' when trim(lower(t.text), '.,:;-()') in {_listed(MODEL_END)} or regexp_full_match(trim(t.text), '(?i)Mahindra|Sonalika') then 'e' else 'w' end}} order by t.tok_idx) as ahead
   from tokens h join tokens t on h.doc_id = t.doc_id and t.tok_idx between h.tok_idx + 1 and h.tok_idx + 6 where {_BRANDED} or (h.doc_id, h.tok_idx) in (select (doc_id, tok_idx) from mhits) group by all),
 mshapes as (select *, array_to_string(list_transform(ahead, lambda x: x.kind), '') as kinds from mframes),
 anchored as (select f.*, h.prec, h.seq, ahead[1 : least(4, length(regexp_extract(kinds, '^[we]*')))] as run from mshapes f join mhits h on f.doc_id = h.doc_id and f.tok_idx = h.tok_idx),
@@ -181,7 +199,7 @@ branded_words as (select *, list_filter(string_split(trim(array_to_string(list_t
 branded_names as (select *, {_STRIPPED} as name from branded_words),
 models as (select doc_id, {_STRIPPED} as name, prec * list_avg(list_prepend(conf, list_transform(run, lambda x: x.c))) as score, 0 as first, seq from anchored_words where length({_STRIPPED}) >= 3 and regexp_matches({_STRIPPED}, '[0-9]')
   union all select doc_id, name, (case when regexp_matches(name, '[0-9]') then 0.85 else 0.40 end)::double * list_avg(list_transform(used, lambda x: x.c)), 1, tok_idx from branded_names where length(name) >= 3
-    and case when regexp_matches(name, '[0-9]') then not regexp_matches(lower(name), '{_alternatives(X.MODEL_BANNED)}') else not regexp_matches(array_to_string(list_transform(used, lambda x: x.t), ' '), '[0-9]') end),
+    and case when regexp_matches(name, '[0-9]') then not regexp_matches(lower(name), '{_alternatives(MODEL_BANNED)}') else not regexp_matches(array_to_string(list_transform(used, lambda x: x.t), ' '), '[0-9]') end),
 model_top as (select * from (select *, row_number() over (partition by doc_id order by score desc, first, seq) as n from models) where n = 1)"""
 
 
@@ -463,3 +481,17 @@ SQL["eval_model"] = f"with {_SIX} select doc_id, model_ok as hit from judged whe
 SQL["eval_report"] = f"""with {_SIX}, times as (select median(seconds) as p50, list_sort(list(seconds))[least(cast(floor(0.95::double * count(*)) as bigint), count(*) - 1) + 1] as p95, max(seconds) as top from hits where there)
   select sums.*, round(docs_correct / docs_total, 6) as dla, {', '.join(f'round({c}_correct / docs_total, 6) as {c}_accuracy' for c in _FIELDS)}, round(p50, 6) as seconds_p50, round(p95, 6) as seconds_p95, round(top, 6) as seconds_max from sums, times"""
 SQL["eval_report_summary"] = f"with {_SIX} " + " union all ".join(f"select '{c}' as field, {c}_correct || '/' || docs_total as shown, round({c}_correct / docs_total, 6) as accuracy from sums" for c in _FIELDS)
+
+SQL["sure_documents"] = f"""with {HP}, {_COST_CTES}, {DEALER[len(TOKENS) + 2:]}, {MODEL[len(TOKENS) + 2:]}
+  select d.doc_id, d.name as dealer_name, m.name as model_name, cast(h.value as bigint) as horse_power, cast(c.value as bigint) as asset_cost from dealer_top d join model_top m on d.doc_id = m.doc_id join hp_best h on d.doc_id = h.doc_id join cost_best c on d.doc_id = c.doc_id
+  where least(d.score, m.score, h.confidence, c.confidence) >= 0.6::double"""
+SQL["record_faults"] = """select event_id as doc_id, case when event_id % 19 = 0 then 'unreadable' else array_to_string(list_filter([case when event_id % 17 = 0 then 'extra:note,extra:zeal' end, case when event_id % 11 = 0 then 'extra:fields.signature.ink' end,
+  case when event_id % 7 in (1, 2) then 'confidence:dealer_name' end, case when event_id % 3 = 0 then 'value:horse_power' end, case when event_id % 5 in (1, 2, 3) then 'bbox:signature' end, case when event_id % 13 = 0 then 'missing:stamp' end], lambda x: x is not null), ',') end as faults from events"""
+_STUTTERED = """recursive parts as (select p_partkey, string_split(p_type || ' ' || p_brand, ' ') as w from part),
+said as (select p_partkey, list_concat(w, case p_partkey % 6 when 1 then [w[-1], w[-1]] when 2 then w[len(w) - 1 : len(w)] when 3 then [lower(w[1]) || '.'] when 4 then [w[1] || 'Y', '-'] when 5 then list_concat(w, w) else w[1 : 0] end) as ws from parts)"""
+_TAIL = "list_filter(range(cast(len(ws) // 2 as bigint), 0, -1), lambda w: ws[len(ws) - w + 1 : len(ws)] = ws[len(ws) - 2 * w + 1 : len(ws) - w])[1]"
+_LAST = "select p_partkey, array_to_string(arg_min(ws, len(ws)), ' ') as name from steps group by p_partkey"
+SQL["repeated_tails"] = f"with {_STUTTERED}, steps as (select * from said union all select p_partkey, ws[1 : len(ws) - {_TAIL}] from steps where {_TAIL} is not null) {_LAST}"
+SQL["echoed_words"] = f"""with {_STUTTERED}, plain as materialized (select distinct trim(lower(unnest(ws)), '.,:;-') as w from said), kin as (select a.w as a, b.w as b, {_common_sql('a.w', 'b.w')} as c from plain a, plain b where a.w <> '' and b.w <> ''),
+  alike as materialized (select list(a || '|' || b) as pairs from kin where 100.0::double * 2 * c / (length(a) + length(b)) >= 80),
+  steps as (select * from said union all select p_partkey, ws[1 : len(ws) - coalesce({_TAIL}, 1)] from steps, alike where len(ws) > 1 and ({_TAIL} is not null or len(list_filter(ws[1 : len(ws) - 1], lambda v: list_contains(pairs, trim(lower(ws[-1]), '.,:;-') || '|' || trim(lower(v), '.,:;-')))) > 0)) {_LAST}"""

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions import geometry as G
+from docketry.functions import similarity
 from docketry.functions import text as T
-from docketry.operators import anchors, assemble, detections, evaluate, imaging, masters, normalize, numeric_fields, pages, sampling, store, text_fields
+from docketry.operators import anchors, assemble, detections, evaluate, imaging, masters, normalize, numeric_fields, pages, sampling, store, text_fields, validate
 from docketry.plans import surrogates as S
 from docketry.sources.images import page_images as read_pages
 
@@ -88,8 +89,8 @@ def cost_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _text_best(spark: SparkSession, sf_dir: str, field: str) -> DataFrame:
-    found = text_fields.text_fields(S.quote_tokens(spark, sf_dir), ["Mahindra", "Sonalika"])
-    return found.where(F.col("field") == field).select("doc_id", "value", six("confidence").alias("confidence"), "source")
+    found = text_fields.text_bests(S.quote_tokens(spark, sf_dir), ["Mahindra", "Sonalika"], fields=(field,))
+    return found.select("doc_id", f"{field}.value", six(f"{field}.confidence").alias("confidence"), f"{field}.source")
 
 
 @query
@@ -403,7 +404,7 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def split_70_15_15(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = S.read(spark, sf_dir, "documents").select("doc_id")
-    return sampling.split(docs, F.col("doc_id") * 7919 % 10007, ["doc_id"], {"train": 0.7, "val": 0.15, "test": 0.15}, 500).select("doc_id", "part")
+    return sampling.split(docs, [F.col("doc_id") * 7919 % 10007, F.col("doc_id")], {"train": 0.7, "val": 0.15, "test": 0.15}).select("doc_id", "part")
 
 
 @query
@@ -661,3 +662,28 @@ def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def eval_report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.report_summary(_report(spark, sf_dir)).select("field", "shown", six("accuracy").alias("accuracy"))
+
+
+@query
+def sure_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotations that are sure of all four fields, as labels."""
+    from docketry.plans.pipeline import tier_one
+
+    sure = normalize.sure_fields(tier_one(S.quote_tokens(spark, sf_dir), ["Mahindra", "Sonalika"]), 0.6)
+    return sure.select("doc_id", F.col("dealer_name.value").alias("dealer_name"), F.col("model_name.value").alias("model_name"), big("horse_power.value").alias("horse_power"), big("asset_cost.value").alias("asset_cost"))
+
+
+@query
+def record_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result lines with planted faults against the schema."""
+    return validate.faults(S.result_lines(spark, sf_dir)).select("doc_id", F.concat_ws(",", "faults").alias("faults"))
+
+
+@query
+def repeated_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.stuttered(spark, sf_dir).select("p_partkey", F.array_join(similarity.without_repeated_tail(F.col("words")), " ").alias("name"))
+
+
+@query
+def echoed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.stuttered(spark, sf_dir).select("p_partkey", F.array_join(similarity.without_echoes(F.col("words")), " ").alias("name"))

@@ -132,3 +132,28 @@ def six_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         (k % 4 == 0).alias("signature_present"), (k % 3 == 0).alias("stamp_present"), F.when(k % 29 == 5, "corrupt_input: x").alias("error"), (k % 300 / F.lit(10.0)).alias("processing_time_sec"),
     )
     return labels, results
+
+
+def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON line for each event, by key sound or with one fault or more."""
+    e = F.col("event_id")
+    conf = F.when(e % 7 == 1, "1.5").when(e % 7 == 2, "null").otherwise("0.5")
+    box = F.when(e % 5 == 0, "null").when(e % 5 == 1, "[9,1,3,4]").when(e % 5 == 2, "[1,2,3]").when(e % 5 == 3, "[1,2,3.5,4]").otherwise("[1,2,3,4]")
+    hp = F.when(e % 3 == 0, '"fifty"').otherwise("50")
+    text = lambda value, c: F.concat(F.lit('{"value":'), value, F.lit(',"confidence":'), c, F.lit("}"))
+    sign = F.concat(F.lit('{"present":true,"bbox":'), box, F.when(e % 11 == 0, ',"ink":"blue"').otherwise(""), F.lit(',"confidence":0.25}'))
+    fields = F.concat(
+        F.lit('{"dealer_name":'), text(F.lit('"A"'), conf), F.lit(',"model_name":'), text(F.lit("null"), F.lit("0")), F.lit(',"horse_power":'), text(hp, F.lit("1")), F.lit(',"asset_cost":'), text(F.lit("1"), F.lit("0.1")),
+        F.lit(',"signature":'), sign, F.when(e % 13 == 0, "").otherwise(',"stamp":{"present":false,"bbox":null,"confidence":0}'), F.lit("}"),
+    )
+    line = F.concat(F.lit('{"doc_id":"'), e, F.lit('","fields":'), fields, F.when(e % 17 == 0, ',"zeal":1,"note":2').otherwise(""), F.lit(',"confidence":0.5}'))
+    return read(spark, sf_dir, "events").select(e.alias("doc_id"), F.when(e % 19 == 0, F.substring(line, 1, 40)).otherwise(line).alias("value"))
+
+
+def stuttered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each part's type and brand, by key with words that come again, alike or nearly so."""
+    k = F.col("p_partkey")
+    words, n = F.split(F.concat_ws(" ", "p_type", "p_brand"), " "), F.size("words")
+    last, first = F.element_at("words", -1), F.element_at("words", 1)
+    tail = F.when(k % 6 == 1, F.array(last, last)).when(k % 6 == 2, F.slice("words", n - 1, 2)).when(k % 6 == 3, F.array(F.concat(F.lower(first), F.lit(".")))).when(k % 6 == 4, F.array(F.concat(first, F.lit("Y")), F.lit("-"))).when(k % 6 == 5, F.concat(F.col("words"), F.col("words")))
+    return read(spark, sf_dir, "part").select("p_partkey", words.alias("words")).select("p_partkey", F.concat("words", F.coalesce(tail, F.array().cast("array<string>"))).alias("words"))

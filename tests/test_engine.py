@@ -317,11 +317,34 @@ def test_samples(spark):
     df = spark.range(100).withColumn("g", F.when(F.col("id") < 90, "big").otherwise("small"))
     got = sampling.stratified(df, "g", [F.col("id")], 10).groupBy("g").count().collect()
     assert {r.g: r["count"] for r in got} == {"big": 9, "small": 1}
-    parts = sampling.split(df, F.col("id") * 7 % 101, ["id"], {"train": 0.7, "val": 0.15, "test": 0.15}, 10).groupBy("part").count().collect()
+    parts = sampling.split(df, [F.col("id") * 7 % 101, F.col("id")], {"train": 0.7, "val": 0.15, "test": 0.15}).groupBy("part").count().collect()
     assert {r.part: r["count"] for r in parts} == {"train": 70, "val": 15, "test": 15}
     assert sampling.uniform(df, "id", 5).collect() == sampling.uniform(df, "id", 5).collect()
 
 
+def test_ranks_within_groups_of_any_size(spark):
+    rows = [(i, "hot" if i % 3 else f"g{i % 40}" if i % 2 else None, i * 37 % 101) for i in range(900)]
+    table = spark.createDataFrame(rows, "id long, g string, k int").repartition(7)
+    got = {r.id: r._rank for r in sampling.ranked(table, [F.col("k"), F.col("id")], F.col("g")).collect()}
+    for g in {r[1] for r in rows}:
+        mine = sorted((r[2], r[0]) for r in rows if r[1] == g)
+        assert [got[i] for _, i in mine] == list(range(1, len(mine) + 1))
+    whole = sorted((r[2], r[0]) for r in rows)
+    assert [r.id for r in sampling.ranked(table, [F.col("k"), F.col("id")]).orderBy("_rank").collect()] == [i for _, i in whole]
+    assert sampling.stratified(table, "g", [F.col("id")], 90).where("g is null").count() == round(90 * sum(r[1] is None for r in rows) / 900)
+    assert sampling.ranked(table.limit(0), [F.col("k")]).count() == 0 and sampling.stratified(table.limit(0), "g", [F.col("id")], 9).count() == 0
+
+
+def test_record_faults(spark):
+    from docketry.operators import validate
+
+    good = assemble.failed(spark.createDataFrame([("a", "x")], "doc_id string, error string")).select(F.to_json(F.struct("doc_id", "fields", "confidence"), {"ignoreNullFields": "false"}).alias("value"))
+    assert [r.faults for r in validate.faults(good).collect()] == [[]]
+    odd = spark.createDataFrame([(None,), ("",), ("[1]",), ('{"fields":{}}',), ('{"fields":3}',)], "value string")
+    got = [r.faults for r in validate.faults(odd).collect()]
+    assert got[0] == got[1] == got[2] == ["unreadable"] and len(got[3]) == 6 and all(f.startswith("missing:") for f in got[3])
+
+
 def test_results_and_sources(spark, tmp_path):
     from docketry.sources import adapters, files, sinks
 
