@@ -114,6 +114,7 @@ def scans(spark: SparkSession, sf_dir: str) -> str:
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(contents, pa.binary())], ["name", "content"])
 
     folder = new_path(spark, "scans")
+    plans = plans.repartition(spark.sparkContext.defaultParallelism, "c_custkey")  # a row is a whole image to draw
     images.write_files(plans.mapInArrow(draw, "name string, content binary"), folder)
     return folder
 

@@ -23,6 +23,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SCHEMA = "path string, name string, page_index int, page_count int, width int, height int, pixels binary, error string"
 TASK_BYTES = 32 << 20
 MOST_PIXELS = 1 << 28
+SMALL = 1 << 20  # bytes of rows of the two filters that need all neighbours, below which rows are done one by one
+OPEN_BYTES = 1 << 19  # what opening a file weighs
+BATCH_BYTES = 1 << 22
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}  # of PNG's colour types
 PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))  # of interlaced PNG: x, y, steps
@@ -32,20 +35,37 @@ class BadImage(ValueError):
     """What is wrong with a file."""
 
 
+def _row_by_row(raw: np.ndarray, kinds: np.ndarray, step: int) -> np.ndarray:
+    out = raw.copy()
+    above = np.zeros(raw.shape[1], np.uint8)
+    for row, kind in zip(out, kinds):
+        if kind == 1:
+            cells = row.reshape(-1, step)
+            cells[:] = np.cumsum(cells, axis=0, dtype=np.uint8)
+        elif kind == 2:
+            row += above
+        elif kind > 2:
+            made, up = bytearray(row.tobytes()), above.tobytes()
+            for x, byte in enumerate(made):
+                left, corner = (made[x - step], up[x - step]) if x >= step else (0, 0)
+                if kind == 3:
+                    made[x] = (byte + (left + up[x] >> 1)) & 255
+                    continue
+                a, b, c = abs(up[x] - corner), abs(left - corner), abs(left + up[x] - 2 * corner)
+                made[x] = (byte + (left if a <= b and a <= c else up[x] if b <= c else corner)) & 255
+            row[:] = np.frombuffer(made, np.uint8)
+        above = row
+    return out
+
+
 def unfiltered(raw: np.ndarray, kinds: np.ndarray, step: int) -> np.ndarray:
     """Undo PNG's five row filters. A byte needs its left, upper and upper left neighbours, ``step`` bytes away, so the
     cells of one diagonal are independent: they are done together, each by its own row's filter."""
     height, line = raw.shape
     if not np.isin(kinds, (0, 1, 2, 3, 4)).all():
         raise BadImage("an unknown row filter")
-    if not np.isin(kinds, (3, 4)).any():  # no row needs two neighbours: row by row is fewer steps
-        out = raw.reshape(height, -1, step).copy()
-        for y in range(height):
-            if kinds[y] == 1:
-                out[y] = np.cumsum(out[y], axis=0, dtype=np.uint8)
-            elif kinds[y] == 2 and y:
-                out[y] += out[y - 1]
-        return out.reshape(height, line)
+    if line * np.isin(kinds, (3, 4)).sum() < SMALL:  # a small image has more diagonals than it is worth: row by row
+        return _row_by_row(raw, kinds, step)
     width = line // step
     y, x = np.arange(height), np.arange(width)
     skew = np.zeros((height + width + 1, height + 1, step), np.int16)  # two empty diagonals before, an empty row before
@@ -230,24 +250,42 @@ class PageReader(DataSourceReader):
                 parts = -(-info.size // self.task_bytes)
                 found += [Files([info.path], part, parts) for part in range(parts)]
                 continue
-            if small and held + info.size > self.task_bytes:
+            weight = info.size + OPEN_BYTES
+            if small and held + weight > self.task_bytes:
                 found.append(Files(small))
                 small, held = [], 0
-            small, held = [*small, info.path], held + info.size
+            small.append(info.path)
+            held += weight
         return [*found, Files(small)] if small or not found else found
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         files, _ = file_system(self.folder)
-        for path in partition.paths:
-            with files.open_input_file(path) as source:
-                yield from page_rows(path, source.read(), partition.part, partition.parts)
+
+        def contents() -> Iterator[tuple[str, bytes]]:
+            for path in partition.paths:
+                with files.open_input_file(path) as source:
+                    yield path, source.read()
+
+        yield from page_rows(contents(), partition.part, partition.parts)
+
+
+def page_rows(contents: Iterator[tuple[str, bytes | None]], part: int = 0, parts: int = 1) -> Iterator[pa.RecordBatch]:
+    """The pages of files (path, bytes), about ``BATCH_BYTES`` of pixels at a time."""
+    rows, held = [], 0
+    for path, content in contents:
+        for page, pages, image, error in decoded(content, part, parts):
+            height, width = image.shape[:2] if image is not None else (None, None)
+            rows.append((path, path.rsplit("/", 1)[-1], page, pages, width, height, image.tobytes() if image is not None else None, error))
+            held += 1024 + (image.size if image is not None else 0)
+            if held >= BATCH_BYTES:
+                yield _batch(rows)
+                rows, held = [], 0
+    if rows:
+        yield _batch(rows)
 
 
-def page_rows(path: str, content: bytes | None, part: int = 0, parts: int = 1) -> Iterator[pa.RecordBatch]:
-    for page, pages, image, error in decoded(content, part, parts):
-        height, width = image.shape[:2] if image is not None else (None, None)
-        values = (path, path.rsplit("/", 1)[-1], page, pages, width, height, image.tobytes() if image is not None else None, error)
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, _KINDS)], _NAMES)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_KINDS)], _NAMES)
 
 
 _KINDS = [pa.string(), pa.string(), *[pa.int32()] * 4, pa.binary(), pa.string()]
@@ -279,8 +317,7 @@ def pages_of(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield from page_rows(path, content.as_py())
+            yield from page_rows((path, content.as_py()) for path, content in zip(batch.column(0).to_pylist(), batch.column(1)))
 
     return files.select("path", F.col("content")).mapInArrow(run, SCHEMA)
 

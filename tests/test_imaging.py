@@ -27,7 +27,9 @@ def plain_unfilter(raw, kinds, step):
 
 
 @pytest.mark.parametrize("step", [1, 2, 3, 4, 6, 8])
-def test_row_filters(step):
+@pytest.mark.parametrize("small", [0, 1 << 20])  # by diagonals, row by row
+def test_row_filters(step, small, monkeypatch):
+    monkeypatch.setattr(images, "SMALL", small)
     rng = np.random.default_rng(step)
     for height, width, most in ((1, 1, 4), (7, 5, 4), (5, 9, 4), (12, 4, 2)):
         raw = rng.integers(0, 256, (height, width * step)).astype(np.uint8)
