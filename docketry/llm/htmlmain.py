@@ -1,10 +1,17 @@
 """Main-text extraction from HTML by two passes of block rules.
 
 A page is cut into blocks at block-level tags. The first pass decides a block by the element it stands in
-(menus, headers, footers, sidebars, notices, adverts, forms and reader comments are out), then by link
-density, length and the density of stop words. Blocks too short to decide are left open. The second pass
-gives an open block the label of its nearest decided neighbour (on a tie the one before it, for a heading
-the one after it; out where the page has none).
+(menus, headers, footers, hidden parts, dialogs and the like are out), then by link density, length and the
+density of stop words. A page in another language than the four of the stop words is told by having hardly
+any; there a sentence's end stands in for them, and letters of scripts without spaces count as words by
+pairs. Blocks too short to decide are left open. The second pass gives an open block the label of its
+nearest decided neighbour in its container (on a tie the one before it, for a heading the one after it),
+without one there that of its nearest on the page. Where no block is in, the open blocks of the container
+that has most of them are.
+
+Class and id names that speak of menus, adverts, sidebars or comments, and forms, put an element out by a weight: it
+stays in if it holds nine tenths of the text around it (a frame of the whole page) and some of it is long, for names of comments if there is
+no other text at all.
 
 An article or main element shifts these rules and replaces none: where it holds text that is in by itself,
 text outside must be longer to be in. An open block inside stays in unless the decided blocks on both sides
@@ -22,6 +29,7 @@ import re
 from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,9 +41,10 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary "
     "table tbody tfoot thead tr ul caption title".split()
 )
-SILENT = frozenset("head title nav footer aside form menu select button textarea datalist dialog iframe object audio video canvas svg template noscript search fieldset".split())
+FORMS = frozenset(["form", "fieldset"])
+SILENT = frozenset("head title nav footer aside menu select button textarea datalist dialog iframe object audio video canvas svg template noscript search".split())
 RAW = "script style xmp noembed noframes"
-FRAME = BLOCK - {"p", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "option", "caption", "legend", "summary"} | SILENT
+FRAME = BLOCK - {"p", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "option", "caption", "legend", "summary"} | SILENT | FORMS
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 # Words in class and id names that mark what is not the article
 MARKS = frozenset(
@@ -44,6 +53,8 @@ MARKS = frozenset(
     "disqus respond reply replies discussion related recommended recommendations share sharing social newsletter subscribe subscription signup "
     "login pagination pager widget toolbar skip".split()
 )
+TALK = frozenset("comment comments disqus respond reply replies discussion".split())
+HOMES = frozenset("html body main article section div center header td th details".split())
 # Frequent function words of English, German, French and Spanish
 STOP = frozenset(
     "the of and to in a is that it for was on are as with his they at be this from have or by one had not but what all were when we there can an your "
@@ -64,65 +75,114 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HEADING = re.compile(r"h[1-6]\Z")
 
 
-def _marked(names: str) -> bool:
-    """Whether one of the class or id names is that of something else than an article."""
+def _marked(names: str) -> set[str]:
+    """Words of class or id names that are those of something else than an article."""
+    found = set()
     for name in names.split():
         parts = [p.lower() for p in _PART.findall(name)]
-        if parts and parts[0] not in HAS and not MARKS.isdisjoint(parts):
-            return True
-    return False
+        if parts and parts[0] not in HAS:
+            found |= MARKS.intersection(parts)
+    return found
 
 
-def _silent(name: str, attributes: str) -> bool:
-    """Whether the element's own attributes mark it as not part of an article."""
+def _says(attributes: str) -> tuple[bool, set[str]]:
+    """Whether the element's own attributes hide it or give it another role, and the marks among its names."""
+    hard, marks = False, set()
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "")
-        if key == "hidden" or (key in ("class", "id") and _marked(value)) or (key == "style" and _LOUD.search(value)):
-            return True
-        if (key == "role" and value.lower() in ROLES) or (key == "aria-hidden" and value.lower() == "true"):
-            return True
-    return False
+        if key in ("class", "id"):
+            marks |= _marked(value)
+        hard |= key == "hidden" or bool(key == "style" and _LOUD.search(value)) or (key == "role" and value.lower() in ROLES) or (key == "aria-hidden" and value.lower() == "true")
+    return hard, marks
+
+
+class _Marks:
+    """Marked elements as a tree: parent (-1: none around), and whether the names are of comments."""
+
+    def __init__(self):
+        self.parent, self.talk = [], []
+
+    def add(self, parent: int, words: set[str]) -> int:
+        self.parent.append(parent)
+        self.talk.append(not TALK.isdisjoint(words))
+        return len(self.parent) - 1
+
+    def lifted(self, made: list[_Block]) -> list[bool]:
+        """For each marked element whether it is but a frame: nine tenths of the text around it, long and all, are in it."""
+        long, any_text = [0] * (len(self.parent) + 1), [0] * (len(self.parent) + 1)  # the last is the page
+        for b in made:
+            if not b.out and b.linked <= 0.2 * b.size:
+                any_text[b.mark] += b.size
+                long[b.mark] += b.size if b.size >= LONG else 0
+        for k in reversed(range(len(self.parent))):
+            long[self.parent[k]] += long[k]
+            any_text[self.parent[k]] += any_text[k]
+        found: list[bool] = []
+        for k, parent in enumerate(self.parent):
+            most = any_text[k] == any_text[parent] if self.talk[k] else min(10 * long[k] - 9 * long[parent], 10 * any_text[k] - 9 * any_text[parent]) >= 0
+            found.append((parent < 0 or found[parent]) and long[k] > 0 and most)
+        return found
 
 
 class _Block:
-    __slots__ = ("heading", "inside", "linked", "out", "parts")
+    __slots__ = ("heading", "home", "inside", "linked", "mark", "out", "parts", "size", "text")
+
+    def __init__(self, inside: bool, out: bool, heading: bool, home: int, mark: int):
+        self.parts, self.linked, self.inside, self.out, self.heading, self.home, self.mark = [], 0, inside, out, heading, home, mark
+
+
+class Found(NamedTuple):
+    """A block that has text; ``home`` numbers its container."""
 
-    def __init__(self, inside: bool, out: bool, heading: bool):
-        self.parts, self.linked, self.inside, self.out, self.heading = [], 0, inside, out, heading
+    text: str
+    linked: float  # share of letters in links
+    inside: bool  # an article
+    out: bool  # by the element that it stands in
+    heading: bool
+    home: int
 
 
 class _Frame:
     """An open element, with what it and the elements around it say about text inside."""
 
-    __slots__ = ("article", "hushed", "kinds", "name", "other", "soft")
+    __slots__ = ("article", "hard", "home", "kinds", "mark", "name", "other", "strict", "strong")
 
-    def __init__(self, name: str, attributes: str, around: _Frame | None):
-        marked = name not in ("html", "body") and bool(attributes) and _silent(name, attributes)
+    def __init__(self, name: str, attributes: str, around: _Frame | None, marks: _Marks, number: int):
+        hard, words = _says(attributes) if name not in ("html", "body") and attributes else (False, set())
         own = name in ("article", "main")
         self.name = name
         self.article = own or (around is not None and around.article)
-        # an article inside a marked element is not hushed by it, only by marks of articles and those inside
-        self.hushed = (marked and own) or (around is not None and around.hushed)
-        self.soft = marked or self.hushed or (around is not None and around.soft and not own)
+        # an article inside a marked element is not put out by it, only by marks of articles and those inside
+        self.strict = (hard and own) or (around is not None and around.strict)
+        self.hard = hard or self.strict or (around is not None and around.hard and not own)
+        outer = -1 if around is None else around.strong if own else around.mark
+        self.mark = marks.add(outer, words) if words or name in FORMS else outer
+        self.strong = self.mark if own and words else -1 if around is None else around.strong
         kind = name in SILENT or name == "header"
         self.kinds = kind or (around is not None and around.kinds)
         self.other = (kind and name != "header") or (around is not None and around.other)
+        self.home = number if name in HOMES or around is None else around.home
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
-    """(text, link density, in an article, in a silent element, heading) of each block that has text."""
+LONG = 60  # letters of a text that weighs in the judgement of a marked element
+
+
+def blocks(page: str) -> list[Found]:
+    """Each block that has text."""
     made: list[_Block] = []
     stack: list[_Frame] = []
     opened: Counter[str] = Counter()  # how many elements of a name are open
-    links, heading, hushed, fresh, at = 0, False, False, True, 0
+    marks, frames = _Marks(), 0
+    links, heading, own, fresh, at = 0, False, (False, set()), True, 0
 
     def text(piece: str) -> None:
         nonlocal fresh
         if fresh:
             top = stack[-1] if stack else None
-            inside, soft, hard = (top.article, top.soft, top.kinds) if top else (False, False, False)
-            lead = heading and inside and not soft and hard and not top.other
-            made.append(_Block(inside, (hard and not lead) or soft or hushed, heading))
+            inside, hard, kinds, mark = (top.article, top.hard, top.kinds, top.mark) if top else (False, False, False, -1)
+            lead = heading and inside and not hard and mark < 0 and kinds and not top.other
+            mark = marks.add(mark, own[1]) if own[1] else mark
+            made.append(_Block(inside, (kinds and not lead) or hard or own[0], heading, top.home if top else -1, mark))
             fresh = False
         piece = htmllib.unescape(piece)
         made[-1].parts.append(piece)
@@ -140,15 +200,16 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
         if name in BLOCK:
             fresh, links = True, links if name in ("li", "ul", "ol") else 0
             heading = bool(_HEADING.match(name)) and not closing
-            hushed = not closing and name not in FRAME and bool(m[4]) and _silent(name, m[4])
+            own = _says(m[4]) if not closing and name not in FRAME and m[4] else (False, set())
         elif name in ("br", "td", "th", "img") and not fresh:
             made[-1].parts.append(" ")
         elif name == "a":
             links = 0 if closing else 1
-        if name in FRAME or (not closing and name == "span" and _silent(name, m[4])):
+        if name in FRAME or (not closing and name == "span" and m[4] and any(_says(m[4]))):
             if not closing:
                 if not m[4].endswith("/") or name in BLOCK:
-                    stack.append(_Frame(name, m[4], stack[-1] if stack else None))
+                    frames += 1
+                    stack.append(_Frame(name, m[4], stack[-1] if stack else None, marks, frames))
                     opened[name] += 1
                     fresh = True
             elif opened[name]:
@@ -161,12 +222,12 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             fresh = True
     if at < len(page):
         text(page[at:])
-    found = []
     for b in made:
-        whole = " ".join("".join(b.parts).split())
-        if whole:
-            found.append((whole, min(1.0, b.linked / len(whole)), b.inside, b.out, b.heading))
-    return found
+        b.text = " ".join("".join(b.parts).split())
+        b.size = len(b.text)
+    made = [b for b in made if b.size]
+    lifted = marks.lifted(made)
+    return [Found(b.text, min(1.0, b.linked / b.size), b.inside, b.out or (b.mark >= 0 and not lifted[b.mark]), b.heading, b.home) for b in made]
 
 
 IN, OUT, OPEN = 1, 0, -1
@@ -174,29 +235,59 @@ IN, OUT, OPEN = 1, 0, -1
 
 LEAST_WORDS, SURE_WORDS = 10, 40
 OUTSIDE_WORDS = 20  # in place of LEAST_WORDS for a block outside an article that has text
-
-
-def first_pass(found: list[tuple[str, float, bool, bool, bool]]) -> list[int]:
-    labels, long = [], []
-    for whole, linked, inside, out, heading in found:
-        words = whole.lower().split()
-        dense = sum(w.strip(".,;:!?\"'()") in STOP for w in words) / len(words)
-        long.append(len(words) >= OUTSIDE_WORDS)
-        if out:
+FOREIGN = 0.08  # a page with a smaller share of stop words is in none of their languages
+_CLOSE = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")  # scripts without spaces: Thai, kana, Han
+_SENTENCE = re.compile("[.!?…。！？।؟]")
+
+
+def first_pass(found: list[Found]) -> list[int]:
+    measured = []
+    for b in found:
+        words = b.text.lower().split()
+        stops = sum(w.strip(".,;:!?\"'()") in STOP for w in words)
+        measured.append((len(words) + len(_CLOSE.findall(b.text)) // 2, len(words), stops))
+    told = [m for m, b in zip(measured, found, strict=True) if not b.out and m[0] >= LEAST_WORDS]
+    foreign = sum(m[2] for m in told) < FOREIGN * sum(m[1] for m in told)
+    labels, unsure = [], []
+    for k, ((n, words, stops), b) in enumerate(zip(measured, found, strict=True)):
+        dense = stops / words
+        if b.out:
             labels.append(OUT)
-        elif (linked > 0.5 or (linked > 0.2 and len(words) < LEAST_WORDS)) and not (inside and heading):
+        elif (b.linked > 0.5 or (b.linked > 0.2 and n < LEAST_WORDS)) and not (b.inside and b.heading):
             labels.append(OUT)
-        elif len(words) >= LEAST_WORDS and (dense >= 0.2 or len(words) >= SURE_WORDS):
+        elif n >= LEAST_WORDS and (dense >= 0.2 or n >= SURE_WORDS or (foreign and not b.inside and _SENTENCE.search(b.text))):
             labels.append(IN)
-        elif not inside and (whole[0] in "©|" or (len(words) >= LEAST_WORDS and dense < 0.05 and not heading)):
-            labels.append(OUT)
         else:
+            if not b.inside and (b.text[0] in "©|" or (n >= LEAST_WORDS and dense < 0.05 and not b.heading)):
+                unsure.append(k)
             labels.append(OPEN)
-    if any(v == IN and b[2] for v, b in zip(labels, found, strict=True)):
-        labels = [OPEN if v == IN and not b[2] and not enough else v for v, b, enough in zip(labels, found, long, strict=True)]
+    homes = {b.home for b, v in zip(found, labels, strict=True) if v == IN}
+    for k in unsure:  # hardly prose: out where nothing around it is in
+        labels[k] = OPEN if found[k].home in homes else OUT
+    if any(v == IN and b.inside for v, b in zip(labels, found, strict=True)):
+        labels = [OPEN if v == IN and not b.inside and m[0] < OUTSIDE_WORDS else v for v, b, m in zip(labels, found, measured, strict=True)]
     return labels
 
 
+def contained_pass(found: list[Found], labels: list[int]) -> list[int]:
+    """The second pass of a page without an article: open blocks look in their container first."""
+    homes: dict[int, list[int]] = {}
+    for i, b in enumerate(found):
+        if not b.out:
+            homes.setdefault(b.home, []).append(i)
+    if IN not in labels:
+        most = max(homes.values(), key=lambda rows: sum(len(found[i].text) for i in rows if labels[i] == OPEN), default=[])
+        chosen = set(most)
+        return [IN if v == OPEN and i in chosen else OUT for i, v in enumerate(labels)]
+    done = list(labels)
+    for rows in homes.values():
+        mine = [labels[i] for i in rows]
+        if IN in mine or OUT in mine:
+            for i, v in zip(rows, second_pass(mine, [found[i].heading for i in rows]), strict=True):
+                done[i] = v
+    return second_pass(done, [b.heading for b in found])
+
+
 def second_pass(labels: list[int], headings: list[bool]) -> list[int]:
     """Open labels take that of the nearest decided block; on a tie the earlier one, for a heading the later."""
     done = list(labels)
@@ -208,7 +299,7 @@ def second_pass(labels: list[int], headings: list[bool]) -> list[int]:
     return done
 
 
-def framed_pass(found: list[tuple[str, float, bool, bool, bool]], labels: list[int]) -> list[int]:
+def framed_pass(found: list[Found], labels: list[int]) -> list[int]:
     """The second pass of a page with an article: open blocks inside and outside are decided apart."""
     done = list(labels)
     outside = [i for i, b in enumerate(found) if not b[2]]
@@ -229,9 +320,9 @@ def framed_pass(found: list[tuple[str, float, bool, bool, bool]], labels: list[i
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     labels = first_pass(found)
-    framed = any(inside and not out for _, _, inside, out, _ in found)
-    keep = framed_pass(found, labels) if framed else second_pass(labels, [b[4] for b in found])
-    return "\n\n".join(b[0] for b, k in zip(found, keep, strict=True) if k == IN)
+    framed = any(b.inside and not b.out for b in found)
+    keep = framed_pass(found, labels) if framed else contained_pass(found, labels)
+    return "\n\n".join(b.text for b, k in zip(found, keep, strict=True) if k == IN)
 
 
 def extract(pages: DataFrame, html: str = "html", keys: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
