@@ -108,19 +108,23 @@ class _Marks:
         return len(self.parent) - 1
 
     def lifted(self, made: list[_Block]) -> list[bool]:
-        """For each marked element whether it is but a frame: nine tenths of the text around it, long and all, are in it."""
-        long, any_text = [0] * (len(self.parent) + 1), [0] * (len(self.parent) + 1)  # the last is the page
+        """For each marked element whether it is but a frame: nine tenths of the text around it, long and all, are in it, and no
+        article is beside it."""
+        long, any_text, framed = ([0] * (len(self.parent) + 1) for _ in range(3))  # the last is the page
         for b in made:
             if not b.out and b.linked <= 0.2 * b.size:
                 any_text[b.mark] += b.size
                 long[b.mark] += b.size if b.size >= LONG else 0
+                framed[b.mark] += b.inside
         for k in reversed(range(len(self.parent))):
             long[self.parent[k]] += long[k]
             any_text[self.parent[k]] += any_text[k]
+            framed[self.parent[k]] += framed[k]
         found: list[bool] = []
         for k, parent in enumerate(self.parent):
             most = any_text[k] == any_text[parent] if self.talk[k] else min(10 * long[k] - 9 * long[parent], 10 * any_text[k] - 9 * any_text[parent]) >= 0
-            found.append((parent < 0 or found[parent]) and long[k] > 0 and most)
+            beside = framed[parent] > 0 and not framed[k]  # an article is elsewhere
+            found.append((parent < 0 or found[parent]) and long[k] > 0 and most and not beside)
         return found
 
 
