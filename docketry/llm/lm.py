@@ -281,6 +281,10 @@ def score(docs: DataFrame, held_out: str, mu: tuple[float, float] = MU, stable:
                         if (grams, bucket) not in made:
                             made[grams, bucket] = unpacked(blob, n).astype(np.int64)
         added = [[made[k] for k in sorted(made) if k[0] == order] for order in (1, 2, 3)]
+        for order, (keys, more) in enumerate(zip(chunk.grams, added, strict=True), 1):
+            asked, told = np.unique(keys >> shift).tolist(), sorted(bucket for grams, bucket in made if grams == order)
+            if asked != told or len(keys) != sum(map(len, more)):
+                raise RuntimeError(f"{len(told)} answers of {len(asked)} for a chunk: its rows came in another order than before; pass stable=False")
         return [own + np.concatenate(more) if more else own for own, more in zip(chunk.counts, added, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

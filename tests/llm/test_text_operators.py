@@ -72,6 +72,14 @@ def test_lm_equals_brute_force(spark):
     same_scores(score(docs, HELD, stable=False).collect(), want, rows)
 
 
+def test_lm_says_when_its_rows_come_in_another_order(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{j * k % 17}" for j in range(20))) for k in range(60)], "doc_id long, text string").coalesce(1)
+    dealt = docs.mapInPandas(lambda frames: (f.sample(frac=1) for f in frames), docs.schema)  # another order each time it runs
+    assert score(dealt, HELD, stable=False).count() == 60
+    with pytest.raises(Exception, match="stable=False"):
+        score(dealt, HELD).collect()
+
+
 def test_lm_of_odd_tables(spark):
     schema = "doc_id long, text string"
     assert score(spark.createDataFrame([], schema), "doc_id = 1").count() == 0
