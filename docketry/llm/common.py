@@ -14,10 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, with its scheme: ``spark.checkpoint.dir``, or where that is unset a
-    folder of the warehouse."""
+    """The folder that driver and executors share, with its scheme: ``spark.checkpoint.dir``; where that is unset, a folder of
+    the warehouse on one machine, and an error on a cluster, whose executors do not see the driver's disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/docketry-shared"
         spark.sparkContext.setCheckpointDir(found)
     return qualified(spark, found)

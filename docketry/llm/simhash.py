@@ -42,7 +42,7 @@ SHARD_ROWS = 12_000  # rows a shard should have
 LEAF_ROWS = 256  # below this a leaf is compared row by row
 WIDE_SHARD_ROWS = 48_000  # the same for the stage, which has more views
 SIMILAR = (4, 5)  # least share of common shingles of a link in the stage
-PLACE_BITS = 39  # of a node number: the place in its file, in words of 8 bytes; the bits above number the file
+PLACE_BITS = 33  # of a node number: the place in its file, in words of 8 bytes (64 GB); the 30 bits above number the file
 CACHED = 1 << 23  # shingles and verdicts that a shard holds at most before it reads or compares again
 
 
@@ -100,6 +100,8 @@ def shingle_sets(docs: DataFrame, scheme: Scheme, folder: str) -> DataFrame:
         files, top = file_system(folder)
         files.create_dir(top, recursive=True)
         number, at = TaskContext.get().taskAttemptId(), 0
+        if number >> (63 - PLACE_BITS):
+            raise OverflowError("more tasks in this application than node numbers have room for")
         with files.open_output_stream(f"{top}/{number}") as out:
             for batch in batches:
                 data, offsets = vec.flat(batch.column(2))
@@ -118,6 +120,8 @@ def shingle_sets(docs: DataFrame, scheme: Scheme, folder: str) -> DataFrame:
                     stored = np.insert(h, rows[:-1], np.diff(rows).astype(np.uint64)).astype("<u8")
                     out.write(stored.tobytes())
                     at += len(stored)
+                    if at >> PLACE_BITS:
+                        raise OverflowError("more shingles in a task than node numbers have room for")
                 node += number << PLACE_BITS
                 fixed = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * x.shape[1]), batch.num_rows, [None, pa.py_buffer(x.tobytes())]).cast(pa.binary()) for x in (key, fp)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *fixed, pa.array(node)], ["doc_id", "mark", "key", "fp", "node"])
