@@ -495,3 +495,5 @@ SQL["repeated_tails"] = f"with {_STUTTERED}, steps as (select * from said union
 SQL["echoed_words"] = f"""with {_STUTTERED}, plain as materialized (select distinct trim(lower(unnest(ws)), '.,:;-') as w from said), kin as (select a.w as a, b.w as b, {_common_sql('a.w', 'b.w')} as c from plain a, plain b where a.w <> '' and b.w <> ''),
   alike as materialized (select list(a || '|' || b) as pairs from kin where 100.0::double * 2 * c / (length(a) + length(b)) >= 80),
   steps as (select * from said union all select p_partkey, ws[1 : len(ws) - coalesce({_TAIL}, 1)] from steps, alike where len(ws) > 1 and ({_TAIL} is not null or len(list_filter(ws[1 : len(ws) - 1], lambda v: list_contains(pairs, trim(lower(ws[-1]), '.,:;-') || '|' || trim(lower(v), '.,:;-')))) > 0)) {_LAST}"""
+SQL["folder_records"] = """select 'paper-' || s_suppkey || case when s_suppkey % 10 = 3 then '.txt' when s_suppkey % 2 = 0 then '.PNG' else '.pdf' end as doc_id, case when s_suppkey % 10 not in (3, 4, 6) then 15 + s_suppkey % 100 end as horse_power,
+  case when s_suppkey % 10 not in (3, 4, 6) then 100000 + 137 * s_suppkey end as asset_cost, case s_suppkey % 10 when 3 then 'unsupported_format' when 4 then 'corrupt_input' end as error from supplier"""

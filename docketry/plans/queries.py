@@ -687,3 +687,14 @@ def repeated_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def echoed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.stuttered(spark, sf_dir).select("p_partkey", F.array_join(similarity.without_echoes(F.col("words")), " ").alias("name"))
+
+
+@query
+def folder_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a folder of files to records: each model once a file, error codes for what cannot be read."""
+    from docketry.plans.batch import run_folder
+
+    dealers = spark.createDataFrame([], "seq long, canonical string, aliases array<string>")
+    assets = spark.createDataFrame([], "seq long, brand string, model string, full_name string")
+    done = run_folder(spark, S.papers(spark, sf_dir), dealers, assets)
+    return done.select("doc_id", big("fields.horse_power.value").alias("horse_power"), big("fields.asset_cost.value").alias("asset_cost"), F.substring_index("error", ":", 1).alias("error"))

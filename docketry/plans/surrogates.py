@@ -158,3 +158,14 @@ def stuttered(spark: SparkSession, sf_dir: str) -> DataFrame:
     last, first = F.element_at("words", -1), F.element_at("words", 1)
     tail = F.when(k % 6 == 1, F.array(last, last)).when(k % 6 == 2, F.slice("words", n - 1, 2)).when(k % 6 == 3, F.array(F.concat(F.lower(first), F.lit(".")))).when(k % 6 == 4, F.array(F.concat(first, F.lit("Y")), F.lit("-"))).when(k % 6 == 5, F.concat(F.col("words"), F.col("words")))
     return read(spark, sf_dir, "part").select("p_partkey", words.alias("words")).select("p_partkey", F.concat("words", F.coalesce(tail, F.array().cast("array<string>"))).alias("words"))
+
+
+def papers(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a file for each supplier: a few lines of a quotation, by key of another kind or unreadable."""
+    k = F.col("s_suppkey")
+    text = F.concat(F.lit("Horse Power : "), 15 + k % 100, F.lit(" HP\nGrand Total : "), 100_000 + 137 * k)
+    content = F.when(k % 10 == 4, F.unhex(F.lit("FFFE00"))).when(k % 10 == 6, F.encode(F.lit(" "), "utf-8")).otherwise(F.encode(text, "utf-8"))
+    name = F.concat(F.lit("paper-"), k, F.when(k % 10 == 3, ".txt").when(k % 2 == 0, ".PNG").otherwise(".pdf"))
+    folder = new_path(spark, "papers")
+    images.write_files(read(spark, sf_dir, "supplier").select(name.alias("name"), content.alias("content")), folder)
+    return folder
