@@ -497,3 +497,10 @@ SQL["echoed_words"] = f"""with {_STUTTERED}, plain as materialized (select disti
   steps as (select * from said union all select p_partkey, ws[1 : len(ws) - coalesce({_TAIL}, 1)] from steps, alike where len(ws) > 1 and ({_TAIL} is not null or len(list_filter(ws[1 : len(ws) - 1], lambda v: list_contains(pairs, trim(lower(ws[-1]), '.,:;-') || '|' || trim(lower(v), '.,:;-')))) > 0)) {_LAST}"""
 SQL["folder_records"] = """select 'paper-' || s_suppkey || case when s_suppkey % 10 = 3 then '.txt' when s_suppkey % 2 = 0 then '.PNG' else '.pdf' end as doc_id, case when s_suppkey % 10 not in (3, 4, 6) then 15 + s_suppkey % 100 end as horse_power,
   case when s_suppkey % 10 not in (3, 4, 6) then 100000 + 137 * s_suppkey end as asset_cost, case s_suppkey % 10 when 3 then 'unsupported_format' when 4 then 'corrupt_input' end as error from supplier"""
+
+_PACKETS = """plans as (select s_suppkey as k, s_name as said, 1 + s_suppkey % 4 as n, s_suppkey % 3 as place, 20 + s_suppkey % 7 as w from supplier),
+packets as (select *, unnest(range(n)) as page from plans),
+sheets as (select *, 'packet-' || k || '.pdf' as name, case when page = place then 'Quotation' else 'Terms' end || ' of ' || said || ' (' || page || ')' || case when page = place then chr(10) || 'Grand Total: ' || (100000 + k) else '' end as text from packets)"""
+SQL["pdf_pages"] = f"""with {_PACKETS} select name, cast(page as int) as page_index, cast(n as int) as page_count, text, cast(case when page % 2 = 0 then w end as int) as width, cast(case when page % 2 = 0 then 10 end as int) as height, cast(null as varchar) as error from sheets"""
+SQL["pdf_best_page"] = f"""with {_PACKETS}, low as (select *, lower(text) as low from sheets), scored as (select *, {_SCORE} + 0.5::double * least(6, len(regexp_extract_all(low, '\\b[0-9]{{4,8}}\\b'))) as score from low)
+  select name as doc, cast(page as int) as page_index, round(score, 6) as relevance_score, text from (select *, row_number() over (partition by name order by score desc, page) as r from scored) where r = 1"""

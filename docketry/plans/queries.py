@@ -698,3 +698,17 @@ def folder_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     assets = spark.createDataFrame([], "seq long, brand string, model string, full_name string")
     done = run_folder(spark, S.papers(spark, sf_dir), dealers, assets)
     return done.select("doc_id", big("fields.horse_power.value").alias("horse_power"), big("fields.asset_cost.value").alias("asset_cost"), F.substring_index("error", ":", 1).alias("error"))
+
+
+@query
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page of a folder of PDF files: its text layer and the size of the scan that fills it."""
+    return read_pages(spark, S.packets(spark, sf_dir)).select("name", "page_index", "page_count", "text", "width", "height", "error")
+
+
+@query
+def pdf_best_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most relevant page of each PDF file, among those looked at, and what it says."""
+    seen = pages.scored(pages.sampled(read_pages(spark, S.packets(spark, sf_dir)).withColumn("doc", F.col("name"))))
+    best = pages.best(seen)
+    return best.join(seen.select("doc", "page_index", "text"), ["doc", "page_index"]).select("doc", "page_index", six("relevance_score").alias("relevance_score"), "text")

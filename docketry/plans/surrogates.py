@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.sources import images
+from docketry.sources import images, pdf
 from docketry.sources.shared import new_path
 
 
@@ -169,3 +169,20 @@ def papers(spark: SparkSession, sf_dir: str) -> str:
     folder = new_path(spark, "papers")
     images.write_files(read(spark, sf_dir, "supplier").select(name.alias("name"), content.alias("content")), folder)
     return folder
+
+
+def packets(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a PDF file of one to four pages for each supplier: on one of them a quotation, on even ones a scan."""
+    k = F.col("s_suppkey")
+    plans = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", (1 + k % 4).cast("int").alias("n"), (k % 3).cast("int").alias("at"), (20 + k % 7).cast("int").alias("width"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            texts = [[f"{'Quotation' if page == r['at'] else 'Terms'} of {r['s_name']} ({page})\nGrand Total: {100000 + r['s_suppkey']}" if page == r["at"] else f"Terms of {r['s_name']} ({page})" for page in range(r["n"])] for r in rows]
+            files = [pdf.write([(text, np.full((10, r["width"], 3), page, np.uint8) if page % 2 == 0 else None) for page, text in enumerate(own)]) for r, own in zip(rows, texts)]
+            yield pa.RecordBatch.from_arrays([pa.array([f"packet-{r['s_suppkey']}.pdf" for r in rows]), pa.array(files, pa.binary())], ["name", "content"])
+
+    folder = new_path(spark, "packets")
+    images.write_files(plans.mapInArrow(draw, "name string, content binary"), folder)
+    return folder

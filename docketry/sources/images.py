@@ -1,8 +1,8 @@
-"""Page images: portable anymaps and PNG, as a data source with a row for each page, and a writer.
+"""Page images: portable anymaps, PNG and PDF, as a data source with a row for each page, and a writer.
 
 ``spark.dataSource.register(PageImages)`` gives the format ``page_images``. A task reads some small files whole, or every
 n-th page of a large file of several pages, so neither many files nor one large one meet in a task. Pages come as RGB
-samples of 8 bits. A file that cannot be read, or of which a page is broken, gives a row with ``error`` there; the
+samples of 8 bits, those of PDF files with their text layer, and without samples where no scan fills them. A file that cannot be read, or of which a page is broken, gives a row with ``error`` there; the
 pages before it stay.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "path string, name string, page_index int, page_count int, width int, height int, pixels binary, error string"
+SCHEMA = "path string, name string, page_index int, page_count int, width int, height int, pixels binary, text string, error string"
 TASK_BYTES = 32 << 20
 MOST_PIXELS = 1 << 28
 SMALL = 1 << 20  # bytes of rows of the two filters that need all neighbours, below which rows are done one by one
@@ -183,31 +183,40 @@ def _anymap(data: bytes, channels: int, width: int, height: int, top: int, at: i
     return np.repeat(scaled, 3, axis=2) if channels == 1 else scaled
 
 
-def decoded(data: bytes | None, part: int = 0, parts: int = 1) -> Iterator[tuple[int, int | None, np.ndarray | None, str | None]]:
-    """(page, pages, RGB, error) of every ``parts``-th page of a file, from ``part`` on. A fault ends the file."""
+def decoded(data: bytes | None, part: int = 0, parts: int = 1) -> Iterator[tuple[int, int | None, np.ndarray | None, str | None, str | None]]:
+    """(page, pages, RGB, text layer, error) of every ``parts``-th page of a file, from ``part`` on. A fault ends the file,
+    but that of a page of a PDF file is its own."""
     page, places = 0, []
     try:
         if data is None:
             raise BadImage("no file")
         if data.startswith(SIGNATURE):
             if part == 0:
-                yield 0, 1, png(data), None
+                yield 0, 1, png(data), None, None
+            return
+        if data.startswith(b"%PDF"):
+            from docketry.sources import pdf
+
+            found = pdf.read(data)
+            for page in range(part, len(found), parts):
+                text, image, error = found[page]
+                yield page, len(found), image, text, error
             return
         if not data.startswith((b"P5", b"P6")):
-            raise BadImage("neither PNG nor a raw anymap")
+            raise BadImage("neither PNG, PDF nor a raw anymap")
         fault = None
         try:
             places += anymap_pages(data)
         except BadImage as problem:
             places, fault = _before(data), problem
         for page in range(part, len(places), parts):
-            yield page, len(places), _anymap(data, *places[page]), None
+            yield page, len(places), _anymap(data, *places[page]), None, None
         if fault and part == 0:
             page = len(places)
             raise fault
-    except (BadImage, zlib.error, struct.error) as problem:
+    except (BadImage, zlib.error, struct.error, ValueError, TypeError, RecursionError) as problem:  # whatever is in the bytes
         if part == 0:
-            yield page, len(places) or None, None, str(problem)
+            yield page, len(places) or None, None, None, str(problem)
 
 
 def _before(data: bytes) -> list[tuple[int, int, int, int, int]]:
@@ -273,9 +282,9 @@ def page_rows(contents: Iterator[tuple[str, bytes | None]], part: int = 0, parts
     """The pages of files (path, bytes), about ``BATCH_BYTES`` of pixels at a time."""
     rows, held = [], 0
     for path, content in contents:
-        for page, pages, image, error in decoded(content, part, parts):
+        for page, pages, image, text, error in decoded(content, part, parts):
             height, width = image.shape[:2] if image is not None else (None, None)
-            rows.append((path, path.rsplit("/", 1)[-1], page, pages, width, height, image.tobytes() if image is not None else None, error))
+            rows.append((path, path.rsplit("/", 1)[-1], page, pages, width, height, image.tobytes() if image is not None else None, text, error))
             held += 1024 + (image.size if image is not None else 0)
             if held >= BATCH_BYTES:
                 yield _batch(rows)
@@ -288,7 +297,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_KINDS)], _NAMES)
 
 
-_KINDS = [pa.string(), pa.string(), *[pa.int32()] * 4, pa.binary(), pa.string()]
+_KINDS = [pa.string(), pa.string(), *[pa.int32()] * 4, pa.binary(), pa.string(), pa.string()]
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 

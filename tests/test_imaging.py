@@ -69,10 +69,10 @@ def test_kinds_of_pixels():
 def test_damaged_files():
     rgb = np.zeros((4, 4, 3), np.uint8)
     good, three = as_png(rgb), as_anymap(rgb) * 3
-    assert [(p, n, e) for p, n, _, e in decoded(three)] == [(0, 3, None), (1, 3, None), (2, 3, None)]
+    assert [(p, n, e) for p, n, _, _, e in decoded(three)] == [(0, 3, None), (1, 3, None), (2, 3, None)]
     assert [p for k in range(2) for p, *_ in decoded(three, k, 2)] == [0, 2, 1]
-    assert [(p, e) for p, _, _, e in decoded(three[:-1])] == [(0, None), (1, None), (2, "too few bytes of pixels")]
-    assert [e for *_, e in decoded(None)] == ["no file"] and [e for *_, e in decoded(b"%PDF")] == ["neither PNG nor a raw anymap"]
+    assert [(p, e) for p, _, _, _, e in decoded(three[:-1])] == [(0, None), (1, None), (2, "too few bytes of pixels")]
+    assert [e for *_, e in decoded(None)] == ["no file"] and [e for *_, e in decoded(b"GIF8")] == ["neither PNG, PDF nor a raw anymap"]
     wide = b"P5 # a remark\n2 2\n1023\n" + np.array([0, 511, 512, 1023], ">u2").tobytes()
     assert next(decoded(wide))[2][..., 0].tolist() == [[0, 127], [128, 255]]
     rng = random.Random(3)
@@ -83,6 +83,41 @@ def test_damaged_files():
             list(decoded(bytes(spoilt[: rng.randrange(1, len(file))])))
 
 
+def test_pdf_pages():
+    from docketry.sources import pdf
+
+    rng = np.random.default_rng(12)
+    scan = rng.integers(0, 256, (6, 5, 3)).astype(np.uint8)
+    file = pdf.write([("Tractor (new) \\ model\nTotal: 5", scan), ("second", None), ("", scan[:3])])
+    got = list(decoded(file))
+    assert [(p, n, t, e) for p, n, _, t, e in got] == [(0, 3, "Tractor (new) \\ model\nTotal: 5", None), (1, 3, "second", None), (2, 3, None, None)]
+    assert (got[0][2] == scan).all() and got[1][2] is None and (got[2][2] == scan[:3]).all()
+    assert [p for k in range(2) for p, *_ in decoded(file, k, 2)] == [0, 2, 1]
+    # by hand: objects in a packed stream, inherited resources, a row-filtered grey scan, text in arrays, hex and octal
+    line = np.concatenate([np.array([[2], [2]], np.uint8), np.array([[9, 8, 7], [1, 1, 1]], np.uint8)], axis=1)
+    inner = [b"<< /Type /Catalog /Pages 11 0 R >>", b"<< /Type /Pages /Kids [12 0 R] /Resources << /XObject << /A 5 0 R >> >> >>", b"<< /Type /Page /Parent 11 0 R /Contents [4 0 R] >>"]
+    heads, body = b"", b""
+    for k, part in enumerate(inner):
+        heads += b"%d %d " % (10 + k, len(body))
+        body += part + b" "
+    stream = lambda head, data: b"<< %s /Length %d /Filter /FlateDecode >> stream\r\n" % (head, len(zlib.compress(data))) + zlib.compress(data) + b"\nendstream"
+    objects = {3: stream(b"/Type /ObjStm /N 3 /First %d" % len(heads), heads + body), 4: stream(b"", b"BT [(Gr\\141nd) -20 ( T) <6F74>] TJ (al) Tj ET % remark\nBT (50 \\(HP\\)) Tj ET"), 5: stream(b"/Subtype /Image /Width 3 /Height 2 /BitsPerComponent 8 /ColorSpace /DeviceGray /DecodeParms << /Predictor 15 /Columns 3 >>", line.tobytes())}
+    hand = b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n" % n + o + b"\nendobj\n" for n, o in objects.items())
+    ((_, pages, image, text, error),) = decoded(hand)
+    assert (pages, text, error) == (1, "Grand Total\n50 (HP)", None) and image[..., 0].tolist() == [[9, 8, 7], [10, 9, 8]]
+    photo = file.replace(b"/Filter /FlateDecode", b"/Filter /DCTDecode  ")
+    assert all(e and "DCT" in e for *_, e in decoded(photo))
+    assert [e for *_, e in decoded(b"%PDF-1.4 junk")] == ["no objects"] and [e for *_, e in decoded(file.replace(b"/Root 1 0 R", b"/Encrypt 9 0 R"))] == ["an encrypted file"]
+    spin = random.Random(5)
+    for whole in (file, hand):
+        for _ in range(300):
+            spoilt = bytearray(whole)
+            for _ in range(3):
+                spoilt[spin.randrange(len(whole))] = spin.randrange(256)
+            list(decoded(bytes(spoilt[: spin.randrange(8, len(whole) + 1)])))
+    assert list(decoded(b"%PDF 1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 2 0 obj << /Kids [2 0 R] >> endobj"))[0][4] == "no pages"
+
+
 def test_data_source(spark, tmp_path):
     rng = np.random.default_rng(2)
     pages = [rng.integers(0, 256, (10, 8, 3)).astype(np.uint8) for _ in range(7)]
@@ -282,7 +317,7 @@ def test_marks_on_pages(spark):
     for k in range(150):  # a stroke, up and down
         page[700 + int(9 * math.sin(k / 5)) : 704 + int(9 * math.sin(k / 5)), 350 + k] = 20
     blank = np.full((50, 60, 3), 255, np.uint8)
-    rows = [("p", "a", 0, 1, 600, 800, page.tobytes(), None), ("p", "b", 0, 1, 60, 50, blank.tobytes(), None), ("p", "c", 0, 1, None, None, None, "broken")]
+    rows = [("p", "a", 0, 1, 600, 800, page.tobytes(), None, None), ("p", "b", 0, 1, 60, 50, blank.tobytes(), None, None), ("p", "c", 0, 1, None, None, None, None, "broken")]
     pages = spark.createDataFrame(rows, images.SCHEMA)
     found = {r.cls: r for r in imaging.found_marks(pages).collect()}
     assert set(found) == {"stamp", "signature"} and {r.doc_id for r in found.values()} == {"a#0"}
