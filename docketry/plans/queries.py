@@ -712,3 +712,10 @@ def pdf_best_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = pages.scored(pages.sampled(read_pages(spark, S.packets(spark, sf_dir)).withColumn("doc", F.col("name"))))
     best = pages.best(seen)
     return best.join(seen.select("doc", "page_index", "text"), ["doc", "page_index"]).select("doc", "page_index", six("relevance_score").alias("relevance_score"), "text")
+
+
+@query
+def store_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents put beside those that are there; nothing is replaced."""
+    every = S.store(spark, sf_dir)
+    return store.insert(every.where("seq % 3 > 0"), every.where("seq % 2 = 0")).groupBy("status").agg(big(F.count("*")).alias("n"), big(F.countDistinct("id")).alias("ids"))
