@@ -504,4 +504,4 @@ sheets as (select *, 'packet-' || k || '.pdf' as name, case when page = place th
 SQL["pdf_pages"] = f"""with {_PACKETS} select name, cast(page as int) as page_index, cast(n as int) as page_count, text, cast(case when page % 2 = 0 then w end as int) as width, cast(case when page % 2 = 0 then 10 end as int) as height, cast(null as varchar) as error from sheets"""
 SQL["pdf_best_page"] = f"""with {_PACKETS}, low as (select *, lower(text) as low from sheets), scored as (select *, {_SCORE} + 0.5::double * least(6, len(regexp_extract_all(low, '\\b[0-9]{{4,8}}\\b'))) as score from low)
   select name as doc, cast(page as int) as page_index, round(score, 6) as relevance_score, text from (select *, row_number() over (partition by name order by score desc, page) as r from scored) where r = 1"""
-SQL["store_insert"] = f"with {STORE}, both as (select * from store where seq % 3 > 0 union all select * from store where seq % 2 = 0) select status, count(*) as n, count(distinct id) as ids from both group by status"
+SQL["store_insert"] = f"with {STORE}, joined as (select * from store where seq % 3 > 0 union all select * from store where seq % 2 = 0) select status, count(*) as n, count(distinct id) as ids from joined group by status"
