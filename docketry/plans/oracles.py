@@ -505,3 +505,14 @@ SQL["pdf_pages"] = f"""with {_PACKETS} select name, cast(page as int) as page_in
 SQL["pdf_best_page"] = f"""with {_PACKETS}, low as (select *, lower(text) as low from sheets), scored as (select *, {_SCORE} + 0.5::double * least(6, len(regexp_extract_all(low, '\\b[0-9]{{4,8}}\\b'))) as score from low)
   select name as doc, cast(page as int) as page_index, round(score, 6) as relevance_score, text from (select *, row_number() over (partition by name order by score desc, page) as r from scored) where r = 1"""
 SQL["store_insert"] = f"with {STORE}, joined as (select * from store where seq % 3 > 0 union all select * from store where seq % 2 = 0) select status, count(*) as n, count(distinct id) as ids from joined group by status"
+SQL["dealer_clusters"] = f"""with recursive {NAMES}, counted as (select trim(name) as name, count(*) as n, min(seq) as first from names where length(trim(name)) >= 4 group by 1),
+  ranked as materialized (select *, row_number() over (order by first, name) as place from counted), npairs as (select x.name as a, y.name as b from ranked x, ranked y),
+  {_token_set_sql('npairs', 'nset')},
+  claims as (select x.place as place, y.place as other, row_number() over (partition by x.place order by score desc, y.place) as r from nset join ranked x on x.name = a join ranked y on y.name = b where score >= 85),
+  nears as materialized (select place, list(other order by r) as near from claims where r <= 5 group by place),
+  steps as (select 0::bigint as k, cast([] as bigint[]) as taken, cast([] as bigint[]) as mine union all
+    select place, case when list_contains(taken, place) then taken else list_concat(taken, list_prepend(place, list_filter(near, lambda x: x <> place and not list_contains(taken, x)))) end,
+      case when list_contains(taken, place) then cast([] as bigint[]) else list_prepend(place, list_filter(near, lambda x: x <> place and not list_contains(taken, x))) end from steps join nears on place = k + 1),
+  members as (select k, unnest(mine) as place, generate_subscripts(mine, 1) as o from steps),
+  named as (select k, name, n, row_number() over (partition by k order by n desc, length(name) desc, o) as lead, sum(n) over (partition by k) as total from members join ranked using (place))
+  select max(name) filter (lead = 1) as canonical, coalesce(string_agg(name, '|' order by name) filter (lead > 1), '') as aliases, cast(max(total) as bigint) as frequency from named where total >= 2 group by k"""

@@ -182,7 +182,8 @@ def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dealer_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masters.star_clusters(masters.candidate_counts(_names(spark, sf_dir)))
+    made = masters.star_clusters(masters.candidate_counts(_names(spark, sf_dir)))
+    return made.select("canonical", F.concat_ws("|", "aliases").alias("aliases"), big("frequency").alias("frequency"))
 
 
 @query
