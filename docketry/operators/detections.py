@@ -61,7 +61,8 @@ def keep_first(boxes: DataFrame, most: float = 0.7, valid: Column | None = None,
     than ``most``. Rows that are not ``valid`` are kept or left out as any other and push out later ones, but are not returned.
 
     A round keeps all undecided boxes that no earlier undecided one overlaps, and leaves out those that a kept one
-    overlaps. Boxes that overlap so much are nearly of one size and place: they meet by size class and grid cell.
+    overlaps. Boxes that overlap so much are nearly of one size and place: they meet by size class and grid cell. A box is
+    a row in each cell around it, and packed files tell nothing of that: all sides are shuffled, none goes through the driver.
     """
     is_valid = F.coalesce(valid, F.lit(False)) if valid is not None else F.lit(True)
     rows = boxes.select("doc_id", "seq", *BOX, "conf", is_valid.alias("ok"))
@@ -92,10 +93,10 @@ def keep_first(boxes: DataFrame, most: float = 0.7, valid: Column | None = None,
         if left.isEmpty():
             break
         meet = (F.col("h.doc_id") == F.col("a.doc_id")) & (F.col("h.cell") == F.col("a.cell")) & (iou(F.col("one"), F.col("other")) > most)
-        late = home(left, "one").alias("h").join(around(left, "other").alias("a"), meet & (F.col("other.seq") < F.col("one.seq")), "left_semi").select("doc_id", "one.seq")
+        late = home(left, "one").alias("h").join(around(left, "other").hint("merge").alias("a"), meet & (F.col("other.seq") < F.col("one.seq")), "left_semi").select("doc_id", "one.seq").hint("merge")
         first = written(left.join(late, ["doc_id", "seq"], "left_anti"), "kept")
         done.append(first.select(*done[0].columns))
-        out = home(left, "one").alias("h").join(around(first, "other").alias("a"), meet, "left_semi").select("doc_id", "one.seq")
+        out = home(left, "one").alias("h").join(around(first, "other").hint("merge").alias("a"), meet, "left_semi").select("doc_id", "one.seq").hint("merge")
         left = written(left.join(out, ["doc_id", "seq"], "left_anti"), "boxes")
     found = done[0]
     for part in done[1:]:
