@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import imaging as I
 from docketry.operators import detections
+from docketry.sources.images import BATCH_BYTES
 
 KEY = ("path", "name", "page_index")
 OUTLINE = "seq long, x int, y int, w int, h int, area double, arc double, density double, page_w int, page_h int"
@@ -27,11 +28,15 @@ def _by_page(pages: DataFrame, make: Callable[[np.ndarray], list[tuple]], schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, of, seen = [], [], 0
             for i in range(batch.num_rows):
                 width, height, pixels = (batch.column(len(KEY) + k)[i].as_py() for k in range(3))
-                rows = make(np.frombuffer(pixels, np.uint8).reshape(height, width, 3))
-                own = [batch.column(k).take(pa.array([i] * len(rows), pa.int64())) for k in range(len(KEY))]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], [*KEY, *names])
+                made = make(np.frombuffer(pixels, np.uint8).reshape(height, width, 3))
+                rows, of, seen = rows + made, of + [i] * len(made), seen + len(pixels)
+                if seen >= BATCH_BYTES or i + 1 == batch.num_rows:  # a batch of its own costs a small page as much as its work
+                    own = [batch.column(k).take(pa.array(of, pa.int64())) for k in range(len(KEY))]
+                    yield pa.RecordBatch.from_arrays([*own, *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], [*KEY, *names])
+                    rows, of, seen = [], [], 0
 
     whole = pages.where("pixels is not null").select(*KEY, "width", "height", "pixels")
     return whole.mapInArrow(run, f"path string, name string, page_index int, {schema}")
@@ -67,7 +72,8 @@ def stamp_outlines(pages: DataFrame, least_side: int = 20) -> DataFrame:
     number. Patches whose box is narrower than ``least_side`` are no stamp and are not followed."""
 
     def make(rgb: np.ndarray) -> list[tuple]:
-        found = I.outlines(I.closed(I.stamp_ink(rgb), I.ellipse(9), 2), (least_side, least_side))
+        ink = I.stamp_ink(rgb)
+        found = I.outlines(I.closed(ink, I.ellipse(9), 2), (least_side, least_side)) if ink.any() else []
         return [(k, *o, None, rgb.shape[1], rgb.shape[0]) for k, o in enumerate(found)]
 
     return _named(_by_page(pages, make, OUTLINE))
