@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docketry.functions import text as T
 from docketry.functions.geometry import same_row
 from docketry.functions.similarity import token_set, token_set_ratio
-from docketry.operators.anchors import hits, reading, with_shingles
+from docketry.operators.anchors import beside, hits, with_shingles
 from docketry.sources.shared import kept
 
 SIMILAR = 85
@@ -149,7 +149,7 @@ def harvest_dealers(tokens: DataFrame) -> DataFrame:
     capitals = F.char_length(F.regexp_replace(text, r"[^\p{Lu}]", ""))
     scored = rows.select("doc_id", "line", F.upper(F.btrim(text)).alias("name"), (capitals + 2 * F.size("ts")).alias("score"))
     bold = scored.groupBy("doc_id").agg(F.max_by("name", F.struct("score", -F.col("line"))).alias("name"))
-    framed = with_shingles(tokens).withColumn("ahead", F.collect_list("me").over(reading().rowsBetween(1, 5))).where(F.size(hits("dealer_name")) > 0)
+    framed = with_shingles(tokens).withColumn("ahead", beside(F.col("me"), 1, 5)).where(F.size(hits("dealer_name")) > 0)
     stop = F.array_position(F.transform("ahead", lambda t: t["text"].rlike(f"^{T.NUMBER}$") | ~same_row(F.col("me"), t)), F.lit(True))
     run = F.when(stop > 0, F.slice("ahead", F.lit(1), stop.cast("int") - 1)).otherwise(F.col("ahead"))
     named = framed.select("doc_id", F.concat_ws(" ", F.transform(run, lambda t: t["text"])).alias("name"))
@@ -160,7 +160,7 @@ def harvest_assets(tokens: DataFrame, brand_names: list[str]) -> DataFrame:
     """Distinct brand, model, full_name: a brand token and up to three more of its row, if the model has a digit."""
     pattern = r"(?i)\b(" + "|".join(map(T.quoted, sorted(brand_names))) + r")\b"
     canonical = F.create_map(*(F.lit(x) for b in brand_names for x in (b.lower(), b)))
-    framed = tokens.withColumn("me", F.struct("tok_idx", "text", "x1", "y1", "x2", "y2")).withColumn("ahead", F.collect_list("me").over(reading().rowsBetween(1, 3)))
+    framed = tokens.withColumn("me", F.struct("tok_idx", "text", "x1", "y1", "x2", "y2")).withColumn("ahead", beside(F.col("me"), 1, 3))
     model = F.btrim(F.concat_ws(" ", F.transform(F.filter("ahead", lambda t: same_row(F.col("me"), t)), lambda t: t["text"])))
     found = framed.where(F.col("text").rlike(pattern)).select(F.element_at(canonical, F.lower(F.regexp_extract("text", pattern, 1))).alias("brand"), model.alias("model"))
     return found.where(F.col("model").rlike("[0-9]") & F.char_length("model").between(2, 40)).select("brand", "model", F.concat_ws(" ", "brand", "model").alias("full_name")).distinct()
