@@ -110,9 +110,11 @@ def letterhead_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def digit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = S.read(spark, sf_dir, "documents").select(F.explode(F.split("text", "[ \n]")).alias("w")).where("w <> ''")
-    return words.select(T.digit_repair(F.col("w")).alias("strict"), T.digit_repair_loose(F.col("w")).alias("loose")).groupBy(F.char_length("loose").cast("bigint").alias("length")).agg(
-        big(F.count("*")).alias("words"), big(F.count_if(F.col("strict") == F.col("loose"))).alias("same"), big(F.sum(F.char_length(F.regexp_replace("loose", "[^0-9]", "")))).alias("digits"), F.max("strict").alias("largest")
+    every = S.read(spark, sf_dir, "documents").select(F.explode(F.split("text", "[ \n]")).alias("w")).where("w <> ''")
+    words = every.groupBy("w").agg(F.count("*").alias("n"))  # a maximum of texts is sorted for, so each word comes once
+    repaired = words.select("n", T.digit_repair(F.col("w")).alias("strict"), T.digit_repair_loose(F.col("w")).alias("loose"))
+    return repaired.groupBy(F.char_length("loose").cast("bigint").alias("length")).agg(
+        big(F.sum("n")).alias("words"), big(F.sum(F.when(F.col("strict") == F.col("loose"), F.col("n")).otherwise(0))).alias("same"), big(F.sum(F.char_length(F.regexp_replace("loose", "[^0-9]", "")) * F.col("n"))).alias("digits"), F.max("strict").alias("largest")
     )
 
 

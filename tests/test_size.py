@@ -52,3 +52,8 @@ def test_small_images_are_decoded_in_runs():
     for _ in range(100_000):  # what the machine does meanwhile
         abs(began - 1) <= abs(began)
     assert own < (time.process_time() - began) / 2
+
+
+def test_each_word_is_repaired_once(spark):
+    plan = QUERIES["digit_repair"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") == 2 and plan.rindex("SortAggregate") < plan.index("hashpartitioning(w") < plan.index("Generate explode")
