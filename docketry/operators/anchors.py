@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from docketry.functions.geometry import same_row
+from docketry.functions.similarity import let
 
 # Anchor patterns and how far each is trusted, in the order in which they are tried
 ANCHORS: dict[str, tuple[tuple[str, float], ...]] = {
@@ -25,6 +26,8 @@ ANCHORS: dict[str, tuple[tuple[str, float], ...]] = {
     "model_name": ((r"tractor\s*model", 0.95), (r"\bmodel\s*[:\-]", 0.92), (r"\bmodel\s+name\b", 0.94), (r"asset\s*model", 0.92)),
 }
 
+# What a text in lower case holds if any of a field's anchors matches, within one token of it
+NEEDLES = {"horse_power": ("hp", "h.p", "horse", "एचपी", "बल", "બળ"), "asset_cost": ("total", "amount", "रकम", "कुल", "કુલ", "₹", "rs", "inr"), "dealer_name": ("dealer", "m/s", "मेसर्स"), "model_name": ("model",)}
 # What a match of any of a field's anchors can begin with
 BEGINS = {"horse_power": "hएबબ", "asset_cost": "gntriरकક₹", "dealer_name": "admम", "model_name": "tma"}
 
@@ -41,44 +44,80 @@ def reading_order(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("tok_idx", F.row_number().over(order) - 1)
 
 
+def away(token: Column, k: int) -> Column:
+    """``token`` of the row ``k`` places on, or back if negative."""
+    return F.lead(token, k).over(reading()) if k > 0 else F.lag(token, -k).over(reading()) if k < 0 else token
+
+
 def beside(token: Column, first: int, last: int) -> Column:
     """Array of ``token`` of the rows from ``first`` to ``last`` places away, in order, nulls left out. Each place is a look at
     one row, where a moving frame would be gathered anew for every row."""
-    at = lambda k: F.lead(token, k).over(reading()) if k > 0 else F.lag(token, -k).over(reading()) if k < 0 else token
-    return F.array_compact(F.array(*map(at, range(first, last + 1))))
+    return F.array_compact(F.array(*(away(token, k) for k in range(first, last + 1))))
+
+
+def with_signs(tokens: DataFrame, *fields: str) -> DataFrame:
+    """Adds ``sign_`` and the name of each field: whether the token holds a part without which no anchor of the field matches."""
+    low = tokens.withColumn("_low", F.lower("text"))
+    holds = lambda f: F.greatest(*(F.contains("_low", F.lit(n)) for n in NEEDLES[f])) if len(NEEDLES[f]) > 1 else F.contains("_low", F.lit(NEEDLES[f][0]))
+    return low.withColumns({f"sign_{f}": F.coalesce(holds(f), F.lit(False)) for f in fields}).drop("_low")
+
+
+def signed(field: str) -> Column:
+    """Whether the token or one of the two before it has the field's sign: only such a token can have hits."""
+    sign = F.col(f"sign_{field}")
+    return sign | F.lag(sign, 1, False).over(reading()) | F.lag(sign, 2, False).over(reading())
 
 
 def with_shingles(tokens: DataFrame, **more: Column) -> DataFrame:
     """Adds ``me`` (the token), ``two`` and ``three`` (joined texts that end here, null across rows), and ``more`` columns of the
     same pass."""
     before = lambda k: F.lag(F.struct("text", "y1", "y2"), k).over(reading())
-    seen = tokens.withColumn("me", F.struct(*TOKEN)).withColumns({"_p1": before(1), "_p2": before(2), **more})
+    seen = tokens.withColumns({"_p1": before(1), "_p2": before(2), **more}).withColumn("me", F.struct(*TOKEN))
     two = F.when(same_row(F.col("_p1"), F.col("me")), F.concat_ws(" ", "_p1.text", "text"))
     three = F.when(same_row(F.col("_p2"), F.col("_p1")) & same_row(F.col("_p2"), F.col("me")), F.concat_ws(" ", "_p2.text", "_p1.text", "text"))
     return seen.withColumn("two", two).withColumn("three", three).drop("_p1", "_p2")
 
 
+HIT = "struct<anchor: int, precision: double, seq: bigint>"
+
+
+def _hit(k: int, precision: float) -> Column:
+    tok = F.col("tok_idx")
+    first = F.when(F.col("three").isNotNull(), (tok - 2) * 1000 + 300).when(F.col("two").isNotNull(), (tok - 1) * 1000 + 200).otherwise(tok * 1000 + 100)
+    return F.struct(F.lit(k).alias("anchor"), F.lit(precision).alias("precision"), (first + k).cast("long").alias("seq"))
+
+
+def _longest() -> Column:
+    return F.coalesce("three", "two", "text")
+
+
 def hits(field: str) -> Column:
     """Array of (anchor, precision, seq) that hit a token of ``with_shingles``; ``seq`` is the order of discovery.
 
     A text that an anchor matches is matched within any longer shingle that ends alike, so the longest shingle tells alone,
     and one pattern of all anchors on it tells most tokens apart.
     """
-    tok, longest = F.col("tok_idx"), F.coalesce("three", "two", "text")
-    first = F.when(F.col("three").isNotNull(), (tok - 2) * 1000 + 300).when(F.col("two").isNotNull(), (tok - 1) * 1000 + 200).otherwise(tok * 1000 + 100)
+    found = F.array_compact(F.array(*(F.when(_longest().rlike(f"(?i){p}"), _hit(k, w)) for k, (p, w) in enumerate(ANCHORS[field]))))
+    return F.when(has_hits(field), found).otherwise(F.array().cast(f"array<{HIT}>"))
+
+
+def top_hit(field: str) -> Column:
+    """The most trusted of ``hits``, the first of equals, or null: no pattern is tried after it."""
 
-    def one(k: int, pattern: str, precision: float) -> Column:
-        return F.when(longest.rlike(f"(?i){pattern}"), F.struct(F.lit(k).alias("anchor"), F.lit(precision).alias("precision"), (first + k).cast("long").alias("seq")))
+    def first(text: Column) -> Column:
+        found = F
+        for k, (pattern, precision) in sorted(enumerate(ANCHORS[field]), key=lambda a: -a[1][1]):
+            found = found.when(text.rlike(f"(?i){pattern}"), _hit(k, precision))
+        return found
 
-    found = F.array_compact(F.array(*(one(k, p, w) for k, (p, w) in enumerate(ANCHORS[field]))))
-    return F.when(has_hits(field), found).otherwise(F.array().cast("array<struct<anchor: int, precision: double, seq: bigint>>"))
+    return F.when(has_hits(field), let(_longest(), first))  # a lambda, for a stage's code in one piece would be too long to be compiled
 
 
-def has_hits(field: str) -> Column:
-    """Whether any anchor hits the token. A match that begins with white space is one without it, too: only what the
-    field's matches can begin with is looked at."""
-    every = "|".join(f"(?:{p})" for p, _ in ANCHORS[field])
-    return F.coalesce("three", "two", "text").rlike(f"(?i)(?=[{BEGINS[field]}])(?:{every})")
+def has_hits(*fields: str) -> Column:
+    """Whether any anchor of ``fields`` hits the token. A match that begins with white space is one without it, too: only what
+    the fields' matches can begin with is looked at."""
+    every = "|".join(f"(?:{p})" for f in fields for p, _ in ANCHORS[f])
+    return _longest().rlike(f"(?i)(?=[{''.join(BEGINS[f] for f in fields)}])(?:{every})")
 
 
 def anchor_hits(tokens: DataFrame, field: str) -> DataFrame:

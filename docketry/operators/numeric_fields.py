@@ -1,152 +1,194 @@
 """Horse power and asset cost: candidates around anchors, scored, best first.
 
 Candidates are (value, score, seq, evidence); ``seq`` is the order of generation and breaks ties. One pass over the tokens
-of a document serves both fields: only tokens that hold a number enter an anchor's frame, a token's candidates are
-arrays, and the best of a document is a maximum, so that no candidate is a row unless asked for.
+of a document serves both fields: only tokens that can tell are looked at beyond their shingles, only those that hold a
+number enter an anchor's frame, and a document's best is a maximum over the best of each place in a frame, so that no
+candidate is a row unless asked for.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import text as T
 from docketry.functions.geometry import distance, same_row, same_row_or_after
-from docketry.operators.anchors import beside as places, has_hits, hits, reading, with_shingles
+from docketry.operators.anchors import away, hits, reading, signed, top_hit, with_shingles, with_signs
 
 CANDIDATE = "array<struct<value: bigint, score: double, seq: bigint, evidence: array<int>>>"
 RANKED = "struct<score: double, before: bigint, value: bigint, evidence: array<int>>"
 FIELDS = ("horse_power", "asset_cost")
 BACK, AHEAD = 3, 6  # the widest frame of the fields
+ANY_DIGIT = "[0-9०-९૦-૯]"  # of text.NATIVE_DIGITS, too
 
 
-def _candidate(value: Column, score: Column, seq: Column, *evidence: Column) -> Column:
-    return F.struct(value.cast("bigint").alias("value"), score.alias("score"), seq.cast("bigint").alias("seq"), F.array(*evidence).alias("evidence"))
+def _candidate(value: Column, score: Column, seq: Column, evidence: Column) -> Column:
+    return F.struct(value.cast("bigint").alias("value"), score.alias("score"), seq.cast("bigint").alias("seq"), evidence.alias("evidence"))
 
 
-def _numbered(tokens: DataFrame) -> DataFrame:
-    """``tokens`` with shingles, what numbers each reads as, and ``near``, the tokens with numbers around it."""
-    amounts = F.transform(F.regexp_extract_all("text", F.lit(r"[0-9]{1,3}(?:,[0-9]{2,3})+|[0-9]{4,}"), F.lit(0)), T.to_int)
-    digits = F.col("text").rlike(f"[0-9{T.NATIVE_DIGITS}]")
-    raw = F.when(digits, T.first_number(F.col("text")))
-    read = tokens.withColumns({"raw": raw, "number": F.when(digits, F.coalesce(raw, T.first_number(T.digit_repair(F.col("text"))))), "amounts": F.when(digits, amounts).otherwise(F.array().cast("array<bigint>"))})
-    framed = F.when(F.col("number").isNotNull() | (F.size("amounts") > 0), F.struct("tok_idx", "x1", "y1", "x2", "y2", "conf", "number", "amounts"))
-    return with_shingles(read, near=places(framed, -BACK, AHEAD), before=F.lag("tok_idx").over(reading()))
+def _telling(tokens: DataFrame, fields: tuple[str, ...], found: Callable[[str], Column]) -> DataFrame:
+    """The tokens that can have candidates of ``fields`` or be in one, and the first of each document, which stands for it:
+    with what ``found`` says of each field's hits, what numbers each reads as, and in ``near-3`` to ``near6`` the tokens
+    with numbers around it.
 
+    A place in a frame is a place among these tokens, so a token in reach is in the frame, and one out of reach may be, too.
+    """
+    whole = reading().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    more = {"before": F.lag("tok_idx").over(reading())} | {f"may_{f}": signed(f) for f in fields} | ({"height": F.max("y2").over(whole)} if FIELDS[1] in fields else {})
+    seen = with_shingles(with_signs(tokens.withColumn("digits", F.coalesce(F.col("text").rlike(ANY_DIGIT), F.lit(False))), *fields), **more)
+    kept = F.col("before").isNull() | F.col("digits")
+    for f in fields:
+        kept = kept | F.col(f"may_{f}")
+    rows = seen.where(kept).withColumns({f"{f}_hits": F.when(F.col(f"may_{f}"), found(f)) for f in fields})
+    parts, filled = [*TOKEN], F.lit(False)
+    if FIELDS[0] in fields:
+        rows = rows.withColumn("raw", F.when(F.col("digits"), T.first_number(F.col("text"))))
+        fixed = F.when(F.col(f"{FIELDS[0]}_hits").isNotNull(), T.first_number(T.digit_repair_loose(F.col("text"))))
+        rows = rows.withColumns({"number": F.when(F.col("digits"), F.coalesce("raw", T.first_number(T.digit_repair(F.col("text"))))), "fixed": fixed})
+        parts, filled = [*parts, "number"], filled | F.col("number").isNotNull()
+    if FIELDS[1] in fields:
+        amounts = F.transform(F.regexp_extract_all("text", F.lit(r"[0-9]{1,3}(?:,[0-9]{2,3})+|[0-9]{4,}"), F.lit(0)), _grouped)
+        sane = F.filter(F.transform("amounts", lambda v, k: F.struct(T.sanity(v, *T.COST_RANGE).alias("sane"), (-k).alias("k"), v.alias("value"))), lambda a: a["sane"] > 0)
+        rows = rows.withColumn("amounts", F.when(F.col("digits"), amounts)).withColumn("_sane", F.when(F.size("amounts") > 0, sane))
+        rows = rows.withColumn("first", F.get("_sane", F.lit(0))).withColumn("likely", F.array_max("_sane")).drop("_sane")
+        parts, filled = [*parts, "amounts", "first", "likely"], filled | F.col("first").isNotNull()
+    reach = range(-BACK if FIELDS[0] in fields else -1, (AHEAD if FIELDS[1] in fields else BACK) + 1)
+    rows = rows.withColumn("near0", F.when(filled, F.struct(*parts)))
+    return rows.withColumns({f"near{k}": away(F.col("near0"), k) for k in reach if k})
 
-def _horse_power(found: Column) -> Column:
-    """Candidates of a token's hits: the value in the token, as read or repaired, and numbers up to three tokens away on its row."""
-    lo, hi = T.HP_RANGE
-    fixed = T.first_number(T.digit_repair_loose(F.col("text")))
 
-    def of(h: Column) -> Column:
-        base, order = h["precision"] * F.col("conf") * 1.0, h["seq"] * 10_000
-        plain, repaired = _candidate(F.col("raw"), base * 1.0, order, F.col("tok_idx")), _candidate(fixed, base * 1.0 * 0.85, order, F.col("tok_idx"))
-        inside = F.when(F.col("raw").between(lo, hi), plain).when(fixed.between(lo, hi), repaired)
+def _grouped(text: Column) -> Column:
+    """A number of plain digits and commas."""
+    return F.replace(text, F.lit(","), F.lit("")).try_cast("bigint")
 
-        def beside(t: Column) -> Column:
-            offset = t["tok_idx"] - F.col("tok_idx")
-            sane = T.sanity(t["number"], lo, hi)
-            score = h["precision"] * F.least(F.col("conf"), t["conf"]) * T.proximity(distance(F.col("me"), t)) * sane * 0.9
-            ok = (offset != 0) & (offset <= BACK) & same_row(F.col("me"), t) & t["number"].isNotNull() & (sane > 0)
-            return F.when(ok, _candidate(t["number"], score, order + F.when(offset < 0, offset + 4).otherwise(offset + 3), F.col("tok_idx"), t["tok_idx"]))
 
-        return F.concat(F.array(inside).cast(CANDIDATE), F.transform("near", beside).cast(CANDIDATE))
+TOKEN = ("tok_idx", "x1", "y1", "x2", "y2", "conf")
 
-    return F.array_compact(F.flatten(F.transform(found, of)))
 
+def _me() -> Column:
+    return F.struct(*TOKEN)
+
+
+def _horse_power_inside(h: Column) -> Column:
+    """The candidate in the token of hit ``h`` itself, as read or repaired."""
+    lo, hi = T.HP_RANGE
+    base, order = h["precision"] * F.col("conf") * 1.0, h["seq"] * 10_000
+    plain, repaired = (_candidate(F.col(v), s, order, F.array("tok_idx")) for v, s in (("raw", base * 1.0), ("fixed", base * 1.0 * 0.85)))
+    return F.when(F.col("raw").between(lo, hi), plain).when(F.col("fixed").between(lo, hi), repaired)
+
+
+def _horse_power_beside(h: Column, t: Column) -> Column:
+    """The candidate of hit ``h`` in another token up to three away on its row."""
+    offset, sane = t["tok_idx"] - F.col("tok_idx"), T.sanity(t["number"], *T.HP_RANGE)
+    score = h["precision"] * F.least(F.col("conf"), t["conf"]) * T.proximity(distance(_me(), t)) * sane * 0.9
+    ok = t["number"].isNotNull() & (offset != 0) & offset.between(-BACK, BACK) & same_row(_me(), t) & (sane > 0)
+    return F.when(ok, _candidate(t["number"], score, h["seq"] * 10_000 + F.when(offset < 0, offset + 4).otherwise(offset + 3), F.array(F.col("tok_idx"), t["tok_idx"])))
 
-def _asset_cost(found: Column) -> Column:
-    """Candidates of a token's hits: rupee amounts from the token before to six behind, on its row or below."""
-    lo, hi = T.COST_RANGE
 
-    def of(h: Column) -> Column:
-        def around(t: Column) -> Column:
-            offset = t["tok_idx"] - F.col("tok_idx")
-            px = F.when(offset == 0, F.lit(0.0)).otherwise(distance(F.col("me"), t))
-            evidence = F.when(offset == 0, F.array("tok_idx")).otherwise(F.array(F.col("tok_idx"), t["tok_idx"]))
+def _cost_reached(t: Column) -> Column:
+    """Whether a token's amounts are taken: from the token before to six behind, on its row or below."""
+    offset = t["tok_idx"] - F.col("tok_idx")
+    return offset.between(-1, AHEAD) & ((offset == 0) | same_row_or_after(_me(), t))
 
-            def scored(value: Column, k: Column) -> Column:
-                sane = T.sanity(value, lo, hi)
-                score = h["precision"] * F.least(F.col("conf"), t["conf"]) * T.proximity(px) * sane
-                made = F.struct(value.alias("value"), score.alias("score"), (h["seq"] * 10_000 + (offset + 1) * 100 + k).cast("bigint").alias("seq"), evidence.alias("evidence"))
-                return F.when(value.isNotNull() & (sane > 0), made)
 
-            reached = (offset >= -1) & ((offset == 0) | same_row_or_after(F.col("me"), t))
-            return F.when(reached, F.transform(t["amounts"], scored)).otherwise(F.array().cast(CANDIDATE))
+def _asset_cost(h: Column, t: Column, value: Column, k: Column) -> Column:
+    """The candidate of hit ``h`` that is amount ``k`` of token ``t``."""
+    offset, sane = t["tok_idx"] - F.col("tok_idx"), T.sanity(value, *T.COST_RANGE)
+    px = F.when(offset == 0, F.lit(0.0)).otherwise(distance(_me(), t))
+    score = h["precision"] * F.least(F.col("conf"), t["conf"]) * T.proximity(px) * sane
+    return _candidate(value, score, h["seq"] * 10_000 + (offset + 1) * 100 + k, F.when(offset == 0, F.array("tok_idx")).otherwise(F.array(F.col("tok_idx"), t["tok_idx"])))
 
-        return F.flatten(F.transform("near", around))
 
+def _asset_costs(found: Column) -> Column:
+    """Candidates of a token's hits: all sane amounts around it."""
+    near = F.filter(F.array(*(F.col(f"near{k}") for k in range(-1, AHEAD + 1))), lambda t: t["first"].isNotNull() & _cost_reached(t))
+    sane = lambda v: v.isNotNull() & (T.sanity(v, *T.COST_RANGE) > 0)
+    of = lambda h: F.flatten(F.transform(near, lambda t: F.transform(t["amounts"], lambda v, k: F.when(sane(v), _asset_cost(h, t, v, k)))))
     return F.array_compact(F.flatten(F.transform(found, of))).cast(CANDIDATE)
 
 
+def _best(field: str) -> Column:
+    """The best candidate of a token, ranked. Of the hits of one token the most trusted has the best one, and of the amounts of
+    another token the most likely, or the first where confidence makes them equal; so a place in the frame has one candidate."""
+    h = F.col(f"{field}_hits")
+    if field == FIELDS[0]:
+        made = [_horse_power_inside(h), *(_horse_power_beside(h, F.col(f"near{k}")) for k in range(-BACK, BACK + 1) if k)]
+    else:
+        made = []
+        for t in (F.col(f"near{k}") for k in range(-1, AHEAD + 1)):
+            a = lambda part: F.when(F.least(F.col("conf"), t["conf"]) > 0, t["likely"][part]).otherwise(t["first"][part])  # noqa: E731, B023
+            made.append(F.when(t["first"].isNotNull() & _cost_reached(t), _asset_cost(h, t, a("value"), -a("k"))))
+    return F.when(h.isNotNull(), F.greatest(*map(_rank, made))).cast(RANKED)
+
+
 def _shaped(pattern: str, weight: float, kind: int) -> Column:
     """Candidates of a token's own numbers of a shape, without any anchor."""
     lo, hi = T.COST_RANGE
 
     def one(text: Column, k: Column) -> Column:
-        value = T.to_int(text)
+        value = T.to_int(text) if kind == 2 else _grouped(text)
         ok = value.between(lo, hi)
         if kind == 3:
             ok = ok & ~text.rlike("^[789][0-9]{6}$")
-        return F.when(ok, _candidate(value, F.lit(weight) * F.col("conf"), F.col("tok_idx") * 1000 + kind * 100 + k, F.col("tok_idx")))
+        return F.when(ok, _candidate(value, F.lit(weight) * F.col("conf"), F.col("tok_idx") * 1000 + kind * 100 + k, F.array("tok_idx")))
 
     return F.array_compact(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), one)).cast(CANDIDATE)
 
 
-def _with_height(tokens: DataFrame) -> DataFrame:
-    return tokens.withColumn("height", F.max("y2").over(Window.partitionBy("doc_id")))
-
-
-def _telling(numbered: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """The tokens that can have candidates of ``fields``, and the first of each document, which stands for it."""
-    kept = F.col("before").isNull() | F.col("text").rlike("[0-9]")
-    for f in fields:
-        kept = kept | F.coalesce(has_hits(f), F.lit(False))
-    return numbered.where(kept)
-
-
 def _unanchored(tokens: DataFrame) -> DataFrame:
     """``formatted`` and ``plain`` candidates of tokens in the lower 70 per cent of their page."""
     low = F.col("y1") >= F.col("height") * 0.30
     none = F.array().cast(CANDIDATE)
-    on = low & F.col("text").rlike("[0-9]")
     formatted = F.concat(_shaped(r"[0-9]{1,3}(?:,[0-9]{2,3})+", 0.55, 1), _shaped(r"[0-9]{1,3}(?:[.,\s][0-9]{2,3}){2,}", 0.50, 2))
-    return tokens.withColumn("low", on).withColumn("formatted", F.when(F.col("low"), formatted).otherwise(none)).withColumn("plain", F.when(F.col("low"), _shaped(r"\b[0-9]{6,7}\b", 0.40, 3)).otherwise(none))
+    return tokens.withColumns({
+        "formatted": F.when(low & F.col("text").rlike(r"[0-9][.,\s][0-9]"), formatted).otherwise(none),
+        "plain": F.when(low & F.col("text").rlike("[0-9]{6}"), _shaped(r"\b[0-9]{6,7}\b", 0.40, 3)).otherwise(none),
+    })
 
 
 def horse_power_candidates(tokens: DataFrame) -> DataFrame:
-    return _telling(_numbered(tokens), FIELDS[:1]).withColumn("found", hits("horse_power")).select("doc_id", F.inline_outer(_horse_power(F.col("found")))).where("seq is not null")
+    """A row for each candidate. The outer generator keeps the optimizer from evaluating the patterns once more in a filter."""
+    rows = _telling(tokens, FIELDS[:1], hits).withColumn("h", F.explode_outer("horse_power_hits")).where("h is not null")
+    near = F.array(F.lit(None), *(F.col(f"near{k}") for k in range(-BACK, BACK + 1) if k))  # the first stands for the token itself
+    rows = rows.select("doc_id", *TOKEN, "raw", "fixed", "h", F.posexplode(near).alias("at", "t")).where("at = 0 or t is not null")
+    made = F.when(F.col("at") == 0, _horse_power_inside(F.col("h"))).otherwise(_horse_power_beside(F.col("h"), F.col("t")))
+    return rows.select("doc_id", F.inline_outer(F.array(made))).where("seq is not null")
 
 
 def asset_cost_candidates(tokens: DataFrame) -> DataFrame:
     """Anchored candidates; where a document has none, rupee-shaped numbers in its lower 70 per cent."""
     page = Window.partitionBy("doc_id")
-    made = _unanchored(_telling(_with_height(_numbered(tokens)), FIELDS[1:]).withColumn("found", hits("asset_cost")).withColumn("anchored", _asset_cost(F.col("found"))))
+    made = _unanchored(_telling(tokens, FIELDS[1:], hits).withColumnRenamed("asset_cost_hits", "found"))
+    reached = (F.col(f"near{k}") for k in range(-1, AHEAD + 1))
+    anchored = F.coalesce(*(F.when(t["first"].isNotNull() & _cost_reached(t), True) for t in reached))
+    made = made.withColumn("anchored", F.when(F.size("found") > 0, anchored))
     # of plain numbers the lowest on the page counts, the first of equals
     lowest = F.max(F.when(F.size("plain") > 0, F.struct("y1", -F.col("tok_idx")))).over(page) == F.struct("y1", -F.col("tok_idx"))
-    some = lambda c: F.max(F.size(c)).over(page) > 0
-    chosen = F.when(some("anchored"), F.col("anchored")).when(some("formatted"), F.col("formatted")).when(lowest, F.slice("plain", 1, 1))
+    some = lambda c: F.coalesce(F.max(c).over(page), F.lit(False))
+    chosen = F.when(some(F.col("anchored")), F.when(F.col("anchored"), _asset_costs(F.col("found")))).when(some(F.size("formatted") > 0), F.col("formatted")).when(lowest, F.slice("plain", 1, 1))
     return made.withColumn("chosen", chosen).select("doc_id", F.inline_outer("chosen")).where("seq is not null")
 
 
+def _rank(c: Column) -> Column:
+    """A candidate in an order that a maximum keeps."""
+    return F.when(c.isNotNull(), F.struct(c["score"].alias("score"), (-c["seq"]).alias("before"), c["value"].alias("value"), c["evidence"].alias("evidence")))
+
+
 def _ranked(candidates: Column) -> Column:
-    """The best of an array of candidates in an order that a maximum keeps."""
-    ranked = lambda c: F.struct(c["score"].alias("score"), (-c["seq"]).alias("before"), c["value"].alias("value"), c["evidence"].alias("evidence"))
-    return F.array_max(F.transform(candidates, ranked)).cast(RANKED)
+    """The best of an array of candidates."""
+    return F.array_max(F.transform(candidates, _rank)).cast(RANKED)
 
 
 def best_fields(tokens: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """doc_id and for each of ``fields`` a struct (value, confidence, source, evidence), of all documents, in one pass."""
-    made, tops = _numbered(tokens), []
-    made = _telling(_with_height(made) if "asset_cost" in fields else made, fields)
-    if "horse_power" in fields:
-        made = made.withColumn("hp_found", hits("horse_power"))
-        tops.append(F.max(_ranked(_horse_power(F.col("hp_found")))).alias("horse_power"))
-    if "asset_cost" in fields:
-        made = _unanchored(made.withColumn("cost_found", hits("asset_cost")))
+    made = _telling(tokens, fields, top_hit)
+    tops = [F.max(_best(f)).alias(f) for f in fields if f == FIELDS[0]]
+    if FIELDS[1] in fields:
+        made = _unanchored(made)
         plain = F.max(F.struct(F.when(F.size("plain") > 0, F.col("y1")).alias("y"), -F.col("tok_idx"), _ranked(F.slice("plain", 1, 1)).alias("top")))
-        tops.append(F.coalesce(F.max(_ranked(_asset_cost(F.col("cost_found")))), F.max(_ranked(F.col("formatted"))), plain["top"]).alias("asset_cost"))
+        tops.append(F.coalesce(F.max(_best(FIELDS[1])), F.max(_ranked(F.col("formatted"))), plain["top"]).alias("asset_cost"))
     found = made.groupBy("doc_id").agg(*tops)
     return found.select("doc_id", *(_field(F.col(f)).alias(f) for f in FIELDS if f in fields))
 

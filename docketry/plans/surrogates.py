@@ -42,9 +42,10 @@ DOCUMENTS = 50_000  # of a partition, so that its tokens are sorted in memory
 
 
 def by_document(spark: SparkSession, sf_dir: str, base: DataFrame) -> DataFrame:
-    """``base`` dealt by document while a document is one narrow row: its tokens stay where it is and are not shuffled."""
+    """``base`` dealt and ordered by document while a document is one narrow row: its tokens stay where it is, are not shuffled,
+    and come to their sort in order."""
     n = read(spark, sf_dir, "orders").count()  # from the file's footer
-    return base.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // DOCUMENTS)), "doc_id")
+    return base.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // DOCUMENTS)), "doc_id").sortWithinPartitions("doc_id")
 
 
 def quote_tokens(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
@@ -63,9 +64,10 @@ def quote_tokens(spark: SparkSession, sf_dir: str, base: DataFrame | None = None
         (4, 1700, [F.when(off(23, 6), "M/s"), F.when(off(23, 6), F.col("n_name")), F.when(off(23, 6), "MOTORS"), F.when(off(23, 6), "Ltd")]),
         (5, 1900, [F.lit("Thank"), F.lit("you")]),
     ]
-    cells = [F.array(F.struct(F.lit(y).alias("y"), F.lit(p).alias("p"), t.alias("t"))) for _, y, texts in layout for p, t in enumerate(texts)]
-    there = [F.when(c[0]["t"].isNotNull(), c).otherwise(F.slice(c, 1, 0)) for c in cells]  # in generated code, which a filter is not
-    rows = q.select("doc_id", F.posexplode(F.concat(*there)).alias("tok_idx", "c"))
+    cells = F.array(*(F.struct(F.lit(y).alias("y"), F.lit(p).alias("p"), t.alias("t")) for _, y, texts in layout for p, t in enumerate(texts)))
+    # a filter keeps this step out of the tokens' stage, whose code in one piece would be too long to be compiled to machine code
+    there = q.select("doc_id", F.filter(cells, lambda c: c["t"].isNotNull()).alias("cells"))
+    rows = there.select("doc_id", F.posexplode("cells").alias("tok_idx", "c"))
     x, y = 60 + 110 * F.col("c.p"), F.col("c.y")
     conf = F.lit(0.6) + (F.col("doc_id") * 31 + F.col("tok_idx") * 7) % 40 / F.lit(100.0)
     return rows.select("doc_id", "tok_idx", F.col("c.t").alias("text"), x.alias("x1"), y.alias("y1"), (x + 100).alias("x2"), (y + 20).alias("y2"), conf.alias("conf"))

@@ -1,5 +1,6 @@
 """What keeps the queries' figures from growing faster than their input."""
 
+import re
 import sys
 
 import numpy as np
@@ -30,6 +31,18 @@ def test_tokens_stay_with_their_document(spark):
     assert 0 < plan.index("Generate posexplode") < plan.index("Exchange hashpartitioning(doc_id")  # what comes later lies deeper
 
 
+def test_token_code_is_short_enough_to_be_compiled(spark):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # its plans show no code
+    try:
+        for name in ("normalize_cross_field", "hp_candidates", "cost_candidates", "dealer_harvest", "model_best"):
+            code = spark._jvm.PythonSQLUtils.explainString(QUERIES[name](spark, SMALL)._jdf.queryExecution(), "codegen")
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+            assert sizes and max(sizes) < 8000, name  # the JVM interprets longer methods
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def test_small_images_are_decoded_in_runs():
     rng = np.random.default_rng(3)
     flat = np.full((100, 140, 3), 255, np.uint8)
