@@ -141,14 +141,18 @@ def yolo_lines(detections: DataFrame, width: int, height: int) -> DataFrame:
 
 def parse_yolo(lines: DataFrame) -> DataFrame:
     """``lines`` with cls, cx, cy, w, h and an array of issues."""
-    parts = F.split(F.btrim("line"), r"\s+")
-    rows = lines.withColumn("cls", F.get(parts, F.lit(0)).try_cast("int"))
-    for k, name in enumerate(("cx", "cy", "w", "h"), 1):
-        rows = rows.withColumn(name, F.get(parts, F.lit(k)).try_cast("double"))
-    five = (F.size(parts) == 5) & F.col("cls").isNotNull() & F.col("cx").isNotNull() & F.col("cy").isNotNull() & F.col("w").isNotNull() & F.col("h").isNotNull()
-    inside = lambda c: F.col(c).between(0, 1)
-    issues = F.array(F.when(~five, "malformed"), F.when(five & ~F.col("cls").isin(0, 1), "class"), F.when(five & ~(inside("cx") & inside("cy") & inside("w") & inside("h")), "range"))
-    return rows.withColumn("issues", F.array_compact(issues))
+    parts, numbers = F.col("_parts"), ("cx", "cy", "w", "h")
+    rows = lines.withColumn("_parts", F.split(F.btrim("line"), r"\s+"))  # a column of its own, so that a line is split once
+    rows = rows.withColumns({"cls": F.get(parts, F.lit(0)).try_cast("int")} | {name: F.get(parts, F.lit(k)).try_cast("double") for k, name in enumerate(numbers, 1)})
+    five, inside = F.size(parts) == 5, F.lit(True)
+    for c in ("cls", *numbers):
+        five = five & F.col(c).isNotNull()
+    for c in numbers:
+        inside = inside & F.col(c).between(0, 1)
+    rows = rows.withColumns({"_five": five, "_known": F.col("cls").isin(0, 1), "_inside": inside})
+    some = lambda *names: F.array(*map(F.lit, names)).cast("array<string>")
+    issues = F.when(F.coalesce("_five", F.lit(False)), F.when(F.col("_known") & F.col("_inside"), some()).when(F.col("_known"), some("range")).when(F.col("_inside"), some("class")).otherwise(some("class", "range")))
+    return rows.withColumn("issues", issues.otherwise(some("malformed"))).drop("_parts", "_five", "_known", "_inside")
 
 
 def yolo_report(parsed: DataFrame) -> DataFrame:
@@ -211,8 +215,9 @@ def detector_settings(text: str | None) -> dict[str, float]:
 
 def issue_head(parsed: DataFrame, most: int = 20) -> DataFrame:
     """The first issues by image and line number, and how many more there are: place, image, issue; place ``most`` + 1 has the rest's number."""
-    issues = parsed.select("image", "number", F.explode("issues").alias("issue"))
+    # the outer generator keeps the optimizer from working out every line's issues in a filter, each part of a line anew
+    issues = parsed.select("image", "number", F.explode_outer("issues").alias("issue")).where("issue is not null")
     first = issues.orderBy("image", "number", "issue").limit(most)
     placed = first.withColumn("place", F.row_number().over(Window.orderBy("image", "number", "issue")))  # ``most`` rows
-    rest = issues.agg((F.count("*") - most).alias("n")).where("n > 0").select(F.lit(None).cast("string").alias("image"), F.col("n").cast("string").alias("issue"), F.lit(most + 1).alias("place"))
+    rest = parsed.agg((F.sum(F.size("issues")) - most).alias("n")).where("n > 0").select(F.lit(None).cast("string").alias("image"), F.col("n").cast("string").alias("issue"), F.lit(most + 1).alias("place"))
     return placed.select("place", "image", "issue").unionByName(rest.select("place", "image", "issue"))

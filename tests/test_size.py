@@ -74,3 +74,8 @@ def test_small_images_are_decoded_in_runs():
 def test_each_word_is_repaired_once(spark):
     plan = QUERIES["digit_repair"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortAggregate") == 2 and plan.rindex("SortAggregate") < plan.index("hashpartitioning(w") < plan.index("Generate explode")
+
+
+def test_each_label_line_is_split_once(spark):
+    plan = QUERIES["issue_head"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2  # for the first issues and for the number of all
