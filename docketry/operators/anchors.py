@@ -55,6 +55,15 @@ def beside(token: Column, first: int, last: int) -> Column:
     return F.array_compact(F.array(*(away(token, k) for k in range(first, last + 1))))
 
 
+def with_ahead(tokens: DataFrame, most: int) -> DataFrame:
+    """The tokens of ``begins`` with ``ahead``, ``me`` of the up to ``most`` tokens behind each, and the first of each document,
+    which stands for it. Only tokens that one looks ahead to are looked at, and only those that look carry an array."""
+    near = {"_near": F.max("begins").over(reading().rowsBetween(-most, 0)), "_first": F.lag("tok_idx").over(reading()).isNull()}
+    framed = tokens.withColumns(near).where("_near or _first").withColumns({f"_a{k}": away(F.col("me"), k) for k in range(1, most + 1)})
+    made = framed.where("begins or _first").withColumn("ahead", F.array_compact(F.array(*(F.col(f"_a{k}") for k in range(1, most + 1)))))
+    return made.drop("_near", "_first", *(f"_a{k}" for k in range(1, most + 1)))
+
+
 def with_signs(tokens: DataFrame, *fields: str) -> DataFrame:
     """Adds ``sign_`` and the name of each field: whether the token holds a part without which no anchor of the field matches."""
     low = tokens.withColumn("_low", F.lower("text"))

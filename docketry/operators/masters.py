@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docketry.functions import text as T
 from docketry.functions.geometry import same_row
 from docketry.functions.similarity import token_set, token_set_ratio
-from docketry.operators.anchors import beside, hits, with_shingles
+from docketry.operators.anchors import beside, has_hits, signed, with_ahead, with_shingles, with_signs
 from docketry.sources.shared import kept
 
 SIMILAR = 85
@@ -147,9 +147,11 @@ def harvest_dealers(tokens: DataFrame) -> DataFrame:
     rows = top.groupBy("doc_id", F.floor(F.col("y1") / 30).alias("line")).agg(F.array_sort(F.collect_list(F.struct("x1", "tok_idx", "text"))).alias("ts"))
     text = F.concat_ws(" ", F.transform("ts", lambda t: t["text"]))
     capitals = F.char_length(F.regexp_replace(text, r"[^\p{Lu}]", ""))
-    scored = rows.select("doc_id", "line", F.upper(F.btrim(text)).alias("name"), (capitals + 2 * F.size("ts")).alias("score"))
-    bold = scored.groupBy("doc_id").agg(F.max_by("name", F.struct("score", -F.col("line"))).alias("name"))
-    framed = with_shingles(tokens).withColumn("ahead", beside(F.col("me"), 1, 5)).where(F.size(hits("dealer_name")) > 0)
+    scored = rows.select("doc_id", "line", F.btrim(text).alias("name"), (capitals + 2 * F.size("ts")).alias("score"))
+    bold = scored.groupBy("doc_id").agg(F.max_by("name", F.struct("score", -F.col("line"))).alias("name")).select("doc_id", F.upper("name").alias("name"))
+    seen = with_shingles(with_signs(tokens, "dealer_name"), may=signed("dealer_name"))
+    begins = F.coalesce(F.when(F.col("may"), has_hits("dealer_name")), F.lit(False))
+    framed = with_ahead(seen.select("doc_id", "tok_idx", "me", begins.alias("begins")), 5).where("begins")
     stop = F.array_position(F.transform("ahead", lambda t: t["text"].rlike(f"^{T.NUMBER}$") | ~same_row(F.col("me"), t)), F.lit(True))
     run = F.when(stop > 0, F.slice("ahead", F.lit(1), stop.cast("int") - 1)).otherwise(F.col("ahead"))
     named = framed.select("doc_id", F.concat_ws(" ", F.transform(run, lambda t: t["text"])).alias("name"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -50,27 +52,31 @@ def by_document(spark: SparkSession, sf_dir: str, base: DataFrame) -> DataFrame:
 
 def quote_tokens(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """The tokens that recognition would find on each quotation, with its usual faults by ``doc_id``."""
-    q = by_document(spark, sf_dir, quotes(spark, sf_dir) if base is None else base)
     off = lambda k, r: F.col("doc_id") % k == r
     hp, cost = F.col("hp").cast("string"), F.col("cost").cast("string")
     hp_text = F.when(off(17, 4), "250").when(off(7, 1), F.concat(hp, F.lit("HP"))).when(off(13, 3), F.replace(hp, F.lit("0"), F.lit("O"))).otherwise(hp)
     commas = F.concat(F.substring(cost, 1, 1), F.lit(","), F.substring(cost, 2, 2), F.lit(","), F.substring(cost, 4, 3))
     cost_text = F.when(off(5, 1), commas).otherwise(cost)
+    q = by_document(spark, sf_dir, quotes(spark, sf_dir) if base is None else base).withColumns({"hp_text": hp_text, "cost_text": cost_text})
     layout = [
         (0, 40, [F.col("n_name"), F.col("segment"), F.lit("TRACTORS")]),
         (1, 700, [F.lit("Tractor"), F.lit("Model"), F.lit(":"), F.lit("Mahindra"), F.col("model").cast("string"), F.lit("DI")]),
-        (2, 760, [F.when(~off(11, 2), "Horse"), F.when(~off(11, 2), "Power"), F.lit(":"), hp_text, F.when(~off(7, 1) & ~off(11, 2), "HP")]),
-        (3, 1500, [F.when(~off(19, 5), "Grand"), F.when(~off(19, 5), "Total"), F.lit(":"), cost_text]),
+        (2, 760, [F.when(~off(11, 2), "Horse"), F.when(~off(11, 2), "Power"), F.lit(":"), F.col("hp_text"), F.when(~off(7, 1) & ~off(11, 2), "HP")]),
+        (3, 1500, [F.when(~off(19, 5), "Grand"), F.when(~off(19, 5), "Total"), F.lit(":"), F.col("cost_text")]),
         (4, 1700, [F.when(off(23, 6), "M/s"), F.when(off(23, 6), F.col("n_name")), F.when(off(23, 6), "MOTORS"), F.when(off(23, 6), "Ltd")]),
         (5, 1900, [F.lit("Thank"), F.lit("you")]),
     ]
-    cells = F.array(*(F.struct(F.lit(y).alias("y"), F.lit(p).alias("p"), t.alias("t")) for _, y, texts in layout for p, t in enumerate(texts)))
-    # a filter keeps this step out of the tokens' stage, whose code in one piece would be too long to be compiled to machine code
-    there = q.select("doc_id", F.filter(cells, lambda c: c["t"].isNotNull()).alias("cells"))
-    rows = there.select("doc_id", F.posexplode("cells").alias("tok_idx", "c"))
+    texts = [t for _, _, texts in layout for t in texts]
+    places = F.array(*(F.struct(F.lit(y).alias("y"), F.lit(p).alias("p")) for _, y, texts in layout for p in range(len(texts))))
+    # a row for each place, told by its number; an array of a document's texts would be made and thinned out by code that is not compiled
+    lacking = reduce(add, (F.when(t.isNull(), 1 << k).otherwise(0) for k, t in enumerate(texts)))
+    every = q.withColumn("lacking", lacking).select("*", F.posexplode(places).alias("k", "c"))
+    bit = F.call_function("shiftleft", F.lit(1), F.col("k"))
+    there = every.where(F.col("lacking").bitwiseAND(bit) == 0)
+    rows = there.select("doc_id", (F.col("k") - F.bit_count(F.col("lacking").bitwiseAND(bit - 1))).alias("tok_idx"), "c", F.elt(F.col("k") + 1, *texts).alias("text"))
     x, y = 60 + 110 * F.col("c.p"), F.col("c.y")
     conf = F.lit(0.6) + (F.col("doc_id") * 31 + F.col("tok_idx") * 7) % 40 / F.lit(100.0)
-    return rows.select("doc_id", "tok_idx", F.col("c.t").alias("text"), x.alias("x1"), y.alias("y1"), (x + 100).alias("x2"), (y + 20).alias("y2"), conf.alias("conf"))
+    return rows.select("doc_id", "tok_idx", "text", x.alias("x1"), y.alias("y1"), (x + 100).alias("x2"), (y + 20).alias("y2"), conf.alias("conf"))
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import sys
 import numpy as np
 
 from docketry.operators import detections
+from docketry.plans import surrogates
 from docketry.plans.queries import QUERIES
 from docketry.sources import images, shared
 
@@ -79,3 +80,20 @@ def test_each_word_is_repaired_once(spark):
 def test_each_label_line_is_split_once(spark):
     plan = QUERIES["issue_head"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 2  # for the first issues and for the number of all
+
+
+def test_tokens_are_made_by_compiled_code(spark):
+    plan = surrogates.quote_tokens(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "posexplode" in plan
+
+
+def test_only_where_a_name_begins_is_looked_ahead(spark):
+    for name in ("dealer_harvest", "model_best"):
+        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        looks = plan.index("[lead(me")
+        assert plan.rindex("begins", 0, looks) > 0 and plan.index("Filter (_near", looks) > 0, name
+
+
+def test_letterhead_steps_are_not_repeated_in_a_filter(spark):
+    plan = QUERIES["dealer_best"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert max(line.count("lambda") for line in plan.split("\n") if " Filter " in line) < 50
