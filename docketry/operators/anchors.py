@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from docketry.functions.geometry import same_row
-from docketry.functions.similarity import let
 
 # Anchor patterns and how far each is trusted, in the order in which they are tried
 ANCHORS: dict[str, tuple[tuple[str, float], ...]] = {
@@ -27,7 +26,9 @@ ANCHORS: dict[str, tuple[tuple[str, float], ...]] = {
 }
 
 # What a text in lower case holds if any of a field's anchors matches, within one token of it
-NEEDLES = {"horse_power": ("hp", "h.p", "horse", "एचपी", "बल", "બળ"), "asset_cost": ("total", "amount", "रकम", "कुल", "કુલ", "₹", "rs", "inr"), "dealer_name": ("dealer", "m/s", "मेसर्स"), "model_name": ("model",)}
+NEEDLES = {"horse_power": ("hp", "h.p", "horse", "एचपी", "बल", "બળ"), "asset_cost": ("total", "amount", "रकम", "कुल", "કુલ", "₹"), "dealer_name": ("dealer", "m/s", "मेसर्स"), "model_name": ("model",)}
+# What it may hold instead, as a word of its own; as parts of words these are common
+WORDS = {"asset_cost": ("rs", "inr")}
 # What a match of any of a field's anchors can begin with
 BEGINS = {"horse_power": "hएबબ", "asset_cost": "gntriरकક₹", "dealer_name": "admम", "model_name": "tma"}
 
@@ -67,7 +68,12 @@ def with_ahead(tokens: DataFrame, most: int) -> DataFrame:
 def with_signs(tokens: DataFrame, *fields: str) -> DataFrame:
     """Adds ``sign_`` and the name of each field: whether the token holds a part without which no anchor of the field matches."""
     low = tokens.withColumn("_low", F.lower("text"))
-    holds = lambda f: F.greatest(*(F.contains("_low", F.lit(n)) for n in NEEDLES[f])) if len(NEEDLES[f]) > 1 else F.contains("_low", F.lit(NEEDLES[f][0]))
+    some = lambda parts: F.greatest(*(F.contains("_low", F.lit(n)) for n in parts)) if len(parts) > 1 else F.contains("_low", F.lit(parts[0]))
+
+    def holds(f: str) -> Column:
+        words = WORDS.get(f)
+        return some(NEEDLES[f]) | some(words) & F.col("text").rlike(rf"(?i)\b(?:{'|'.join(words)})\b") if words else some(NEEDLES[f])
+
     return low.withColumns({f"sign_{f}": F.coalesce(holds(f), F.lit(False)) for f in fields}).drop("_low")
 
 
@@ -90,10 +96,14 @@ def with_shingles(tokens: DataFrame, **more: Column) -> DataFrame:
 HIT = "struct<anchor: int, precision: double, seq: bigint>"
 
 
-def _hit(k: int, precision: float) -> Column:
+def _hit(k: Column, precision: Column, first: Column) -> Column:
+    return F.struct(k.alias("anchor"), precision.alias("precision"), (first + k).cast("long").alias("seq"))
+
+
+def _first() -> Column:
+    """What the order of discovery of a token's hits begins with."""
     tok = F.col("tok_idx")
-    first = F.when(F.col("three").isNotNull(), (tok - 2) * 1000 + 300).when(F.col("two").isNotNull(), (tok - 1) * 1000 + 200).otherwise(tok * 1000 + 100)
-    return F.struct(F.lit(k).alias("anchor"), F.lit(precision).alias("precision"), (first + k).cast("long").alias("seq"))
+    return F.when(F.col("three").isNotNull(), (tok - 2) * 1000 + 300).when(F.col("two").isNotNull(), (tok - 1) * 1000 + 200).otherwise(tok * 1000 + 100)
 
 
 def _longest() -> Column:
@@ -106,20 +116,42 @@ def hits(field: str) -> Column:
     A text that an anchor matches is matched within any longer shingle that ends alike, so the longest shingle tells alone,
     and one pattern of all anchors on it tells most tokens apart.
     """
-    found = F.array_compact(F.array(*(F.when(_longest().rlike(f"(?i){p}"), _hit(k, w)) for k, (p, w) in enumerate(ANCHORS[field]))))
+    found = F.array_compact(F.array(*(F.when(_longest().rlike(f"(?i){p}"), _hit(F.lit(k), F.lit(w), _first())) for k, (p, w) in enumerate(ANCHORS[field]))))
     return F.when(has_hits(field), found).otherwise(F.array().cast(f"array<{HIT}>"))
 
 
-def top_hit(field: str) -> Column:
-    """The most trusted of ``hits``, the first of equals, or null: no pattern is tried after it."""
+def with_all_hits(shingles: DataFrame, *fields: str) -> DataFrame:
+    """Adds ``hits`` of each field where ``may_`` and its name, as its name and ``_hits``. The patterns give a bit each in
+    compiled code, which a function on arrays would keep them out of."""
 
-    def first(text: Column) -> Column:
-        found = F
-        for k, (pattern, precision) in sorted(enumerate(ANCHORS[field]), key=lambda a: -a[1][1]):
-            found = found.when(text.rlike(f"(?i){pattern}"), _hit(k, precision))
-        return found
+    def bits(field: str) -> Column:
+        found = (F.when(F.col("_longest").rlike(f"(?i){p}"), 1 << k).otherwise(0) for k, (p, _) in enumerate(ANCHORS[field]))
+        return F.when(F.col(f"may_{field}"), F.when(has_hits(field), sum(found, F.lit(0))).otherwise(0))
 
-    return F.when(has_hits(field), let(_longest(), first))  # a lambda, for a stage's code in one piece would be too long to be compiled
+    def told(field: str) -> Column:
+        every = F.array(*(F.struct(F.lit(1 << k).alias("bit"), F.lit(k).alias("k"), F.lit(w).alias("precision")) for k, (_, w) in enumerate(ANCHORS[field])))
+        set_ = F.filter(every, lambda a: F.col(f"_bits_{field}").bitwiseAND(a["bit"]) != 0)
+        some = F.transform(set_, lambda a: _hit(a["k"], a["precision"], F.col("_start")))
+        return F.when(F.col(f"_bits_{field}") > 0, some).when(F.col(f"_bits_{field}") == 0, F.array().cast(f"array<{HIT}>"))
+
+    rows = shingles.withColumns({"_longest": _longest(), "_start": _first()}).withColumns({f"_bits_{f}": bits(f) for f in fields})
+    return rows.withColumns({f"{f}_hits": told(f) for f in fields}).drop("_longest", "_start", *(f"_bits_{f}" for f in fields))
+
+
+def with_top_hit(shingles: DataFrame, *fields: str) -> DataFrame:
+    """As ``with_all_hits``, but the most trusted one, the first of equals, or null: no pattern is tried after it. The patterns
+    give a number only, so that a stage's code for them is short enough to be compiled."""
+
+    def number(field: str) -> Column:
+        found = F
+        for k, (pattern, _) in sorted(enumerate(ANCHORS[field]), key=lambda a: -a[1][1]):
+            found = found.when(F.col("_longest").rlike(f"(?i){pattern}"), k)
+        return F.when(F.col(f"may_{field}") & has_hits(field), found)
+
+    told = shingles.withColumn("_longest", _longest()).withColumns({f"_k_{f}": number(f) for f in fields})
+    trust = lambda f: F.element_at(F.array(*(F.lit(w) for _, w in ANCHORS[f])), F.col(f"_k_{f}") + 1)
+    made = told.withColumns({f"{f}_hits": F.when(F.col(f"_k_{f}").isNotNull(), _hit(F.col(f"_k_{f}"), trust(f), _first())) for f in fields})
+    return made.drop("_longest", *(f"_k_{f}" for f in fields))
 
 
 def has_hits(*fields: str) -> Column:

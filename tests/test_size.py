@@ -5,7 +5,7 @@ import sys
 
 import numpy as np
 
-from docketry.operators import detections
+from docketry.operators import anchors, detections
 from docketry.plans import surrogates
 from docketry.plans.queries import QUERIES
 from docketry.sources import images, shared
@@ -97,3 +97,16 @@ def test_only_where_a_name_begins_is_looked_ahead(spark):
 def test_letterhead_steps_are_not_repeated_in_a_filter(spark):
     plan = QUERIES["dealer_best"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert max(line.count("lambda") for line in plan.split("\n") if " Filter " in line) < 50
+
+
+def test_candidates_are_made_by_compiled_generators(spark):
+    for name in ("cost_candidates", "hp_candidates"):
+        lines = [line for line in QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "SQRT" in line]
+        assert lines and all("Generate" in line and "lambda" not in line for line in lines), name
+
+
+def test_words_that_hold_a_sign_by_chance_are_not_looked_at(spark):
+    texts = ["TRACTORS", "Horse", "inrush", "Rs", "rs.", "Rs.5", "(INR)", "₹5", "subtotal", "12"]
+    rows = spark.createDataFrame([(0, k, t) for k, t in enumerate(texts)], "doc_id long, tok_idx int, text string")
+    seen = anchors.with_signs(rows, "asset_cost").orderBy("tok_idx").collect()
+    assert [r.text for r in seen if r.sign_asset_cost] == ["Rs", "rs.", "Rs.5", "(INR)", "₹5", "subtotal"]
