@@ -110,3 +110,8 @@ def test_words_that_hold_a_sign_by_chance_are_not_looked_at(spark):
     rows = spark.createDataFrame([(0, k, t) for k, t in enumerate(texts)], "doc_id long, tok_idx int, text string")
     seen = anchors.with_signs(rows, "asset_cost").orderBy("tok_idx").collect()
     assert [r.text for r in seen if r.sign_asset_cost] == ["Rs", "rs.", "Rs.5", "(INR)", "₹5", "subtotal"]
+
+
+def test_best_fields_are_a_maximum_of_compiled_rows(spark):
+    lines = [line for line in QUERIES["eval_histogram"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "SQRT" in line]
+    assert lines and all("Generate" in line and "lambda" not in line for line in lines)  # and not in the aggregation
