@@ -47,7 +47,9 @@ def levels(pages: DataFrame) -> DataFrame:
 
     def make(rgb: np.ndarray) -> list[tuple]:
         grey = I.grey(rgb)
-        return [(*(int(s) for s in rgb.sum(axis=(0, 1), dtype=np.int64)), I.otsu(grey), I.skew(grey))]
+        level = I.otsu(grey)
+        sums = rgb.reshape(len(rgb), -1).sum(axis=0, dtype=np.int64).reshape(-1, 3).sum(axis=0)  # rows first: they lie together
+        return [(*(int(s) for s in sums), level, I.skew(grey, level=level))]
 
     return _by_page(pages, make, "red long, green long, blue long, threshold int, skew double")
 
