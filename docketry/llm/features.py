@@ -41,9 +41,16 @@ def token_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 
 def bag(column: pa.Array | pa.ChunkedArray) -> tuple[list[bytes], list[bytes], np.ndarray]:
-    """Each row's distinct buckets, their counts, and statistics; bounded by ``DIMS`` a row."""
+    """Each row's distinct buckets, their counts, and statistics; bounded by ``DIMS`` a row. Texts are worked on in pieces of a
+    batch, so that what is held beside them does not grow with it."""
     data, offsets = vec.flat(column)
-    return bag_of(*token_buckets(data, offsets))
+    keys, counts, stats = [], [], [np.zeros((0, STATS))]
+    for a, b in vec.pieces(offsets, PIECE):
+        own = bag_of(*token_buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+        keys += own[0]
+        counts += own[1]
+        stats.append(own[2])
+    return keys, counts, np.concatenate(stats)
 
 
 def bag_of(ids: np.ndarray, rows: np.ndarray, stats: np.ndarray) -> tuple[list[bytes], list[bytes], np.ndarray]:
@@ -55,6 +62,7 @@ def bag_of(ids: np.ndarray, rows: np.ndarray, stats: np.ndarray) -> tuple[list[b
     return cut(key), cut(count), stats
 
 
+PIECE = 1 << 21  # bytes of texts of a batch that are worked on at once
 PART = 1 << 19  # entries of a batch that are worked on at once
 
 
